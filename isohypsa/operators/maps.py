@@ -117,17 +117,23 @@ def isoline_crossings(slices: DataFrame, spec: GridSpec, step: float) -> DataFra
     Both neighbours of a cell are read from its own slice, and an instant's range is the minimum
     and maximum of its array: nothing is shuffled. Edge E joins (i, j)-(i, j+1), edge S (i, j)-(i+1, j).
     """
-    cells = slices.select(
-        "time", "vals", F.array_min("vals").alias("vmin"), F.array_max("vals").alias("vmax"),
-        F.posexplode("vals").alias("at", "a"),
+    n = spec.n_cells
+    pad = F.array_repeat(F.lit(None).cast("int"), spec.nlon)
+    around = F.arrays_zip(
+        F.col("vals").alias("a"),
+        F.concat(F.slice("vals", 2, n - 1), F.array(F.lit(None).cast("int"))).alias("east"),
+        F.concat(F.slice("vals", spec.nlon + 1, n - spec.nlon), pad).alias("south"),
     )
+    cells = slices.select(
+        "time", F.array_min("vals").alias("vmin"), F.array_max("vals").alias("vmax"), around.alias("cells"),
+    ).select("time", "vmin", "vmax", F.posexplode("cells").alias("at", "c"))
     j = F.col("at") % spec.nlon
     edges = cells.select(
-        "time", "vmin", "vmax", "a",
+        "time", "vmin", "vmax", F.col("c.a").alias("a"),
         F.floor(F.col("at") / spec.nlon).cast("int").alias("i"), j.cast("int").alias("j"),
         F.explode(F.array(
-            F.struct(F.lit("E").alias("edge"), F.when(j < spec.nlon - 1, F.get("vals", F.col("at") + 1)).alias("b")),
-            F.struct(F.lit("S").alias("edge"), F.get("vals", F.col("at") + spec.nlon).alias("b")),
+            F.struct(F.lit("E").alias("edge"), F.when(j < spec.nlon - 1, F.col("c.east")).alias("b")),
+            F.struct(F.lit("S").alias("edge"), F.col("c.south").alias("b")),
         )).alias("e"),
     ).select("time", "vmin", "vmax", "i", "j", "a", "e.edge", "e.b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     first = F.ceil(F.col("vmin").cast("double") / 10) * 10

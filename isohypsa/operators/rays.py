@@ -127,28 +127,39 @@ def ray_reach_from_cells(cells: DataFrame) -> DataFrame:
     )
 
 
+def _by_instant(clusters: DataFrame, *cols: str) -> DataFrame:
+    """Cluster rows of an instant (few, bounded by the lattice) in one array, to travel to their
+    slice; the large side of that join is never expanded."""
+    return clusters.groupBy("time").agg(F.collect_list(F.struct(*cols)).alias("cs"))
+
+
 def ray_reach(clusters: DataFrame, slices: DataFrame, spec: GridSpec) -> DataFrame:
-    """Reach of each (cluster, ray), reading the slice by index. Clusters of an instant are few
-    (bounded by the lattice), so they travel to their slice; the slices are not expanded."""
-    spark = slices.sparkSession
-    per_time = with_center_cell(clusters, spec).groupBy("time").agg(
-        F.collect_list(F.struct("id", "type", "ci", "cj", "edge")).alias("cs"),
+    """Reach of each (cluster, ray), reading the slice by index.
+
+    The walk is a nested transform over the arrays of one slice row: exploding rays or steps next
+    to the slice would copy it for every step."""
+    rays = ray_plan(clusters, spec).where("k_max >= 1").groupBy("time", "id", "type", "ci", "cj").agg(
+        F.collect_list(F.struct("ray", "dx", "dy", "k_max")).alias("rays"),
     )
-    cut = F.broadcast(ray_cutoff(spark, spec))
-    rays = (
-        slices.join(per_time, "time")
-        .select("time", "vals", F.explode("cs").alias("c"))
-        .select("time", "vals", "c.id", "c.type", "c.ci", "c.cj", "c.edge")
-        .join(cut, ["ci", "edge"])
-        .withColumn("nlon", F.lit(spec.nlon))
-        .withColumn("k_max", steps_in_range(F.col("cj")))
-        .where("k_max >= 1")
-        .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("k_max"))))
+    per_time = _by_instant(rays, "id", "type", "ci", "cj", "rays")
+
+    def one_ray(c: Column, r: Column) -> Column:
+        seen = F.transform(
+            F.sequence(F.lit(1), r["k_max"]),
+            lambda k: F.get("vals", (c["ci"] + k * r["dx"]) * spec.nlon + c["cj"] + k * r["dy"]),
+        )
+        far = F.when(c["type"] == "MAX", F.array_min(seen)).otherwise(F.array_max(seen))
+        return F.struct(
+            c["id"].alias("id"), c["type"].alias("type"), r["ray"].alias("ray"), r["dx"].alias("dx"),
+            r["dy"].alias("dy"), far.alias("far"),
+        )
+
+    walked = slices.join(per_time, "time").select(
+        "time", F.flatten(F.transform("cs", lambda c: F.transform(c["rays"], lambda r: one_ray(c, r)))).alias("rs"),
     )
-    at = (F.col("ci") + F.col("k") * F.col("dx")) * spec.nlon + F.col("cj") + F.col("k") * F.col("dy")
-    return rays.select(
-        "time", "id", "type", "ray", "dx", "dy", height(F.get("vals", at), spec).alias("cell_h"),
-    ).where(F.col("cell_h").isNotNull()).transform(ray_reach_from_cells)
+    reach = walked.select("time", F.explode("rs").alias("r")).select("time", "r.*").where("far IS NOT NULL")
+    # height grows with the packed value, so the extreme of the heights is the height of the extreme
+    return reach.select("time", "id", "type", "ray", "dx", "dy", height(F.col("far"), spec).alias("reach"))
 
 
 def hit(reach: Column, kind: Column, level: Column) -> Column:
@@ -194,21 +205,23 @@ def north_walk(clusters: DataFrame, slices: DataFrame, spec: GridSpec) -> DataFr
     maxima = with_center_cell(clusters.where(F.col("type") == "MAX"), spec).where(
         (F.col("cj") >= 0) & (F.col("ci") <= F.lit(spec.row_limit - 1))
     )
-    per_time = maxima.groupBy("time").agg(F.collect_list(F.struct("id", "ci", "cj")).alias("cs"))
-    walk = (
-        slices.join(per_time, "time")
-        .select("time", "vals", F.explode("cs").alias("c"))
-        .select("time", "vals", "c.id", "c.ci", "c.cj")
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.col("ci"), F.lit(most)))))
-    )
-    km = haversine_km(
-        lat_of(F.col("ci"), spec), F.lit(0.0), lat_of(F.col("ci") - F.col("k"), spec), F.lit(0.0),
+    per_time = _by_instant(maxima, "id", "ci", "cj")
+    # the distance grows with k along a meridian, so a count of rows equals "stop at the first
+    # violation"; it depends on k only through the latitude difference
+    def in_reach(c: Column, k: Column) -> Column:
+        lat = lat_of(c["ci"], spec)
+        return haversine_km(lat, F.lit(0.0), lat_of(c["ci"] - k, spec), F.lit(0.0)) <= spec.search_km
+
+    def walk(c: Column) -> Column:
+        ks = F.filter(F.sequence(F.lit(0), F.least(c["ci"], F.lit(most))), lambda k: in_reach(c, k))
+        return F.transform(ks, lambda k: F.struct(
+            c["id"].alias("id"), k.alias("k"),
+            F.get("vals", (c["ci"] - k) * spec.nlon + c["cj"]).alias("raw"),
+        ))
+
+    seen = slices.join(per_time, "time").select(
+        "time", F.flatten(F.transform("cs", walk)).alias("ws"),
+    ).select("time", F.explode("ws").alias("w")).where("w.raw IS NOT NULL").select(
+        "time", "w.id", "w.k", contour_level(height(F.col("w.raw"), spec), spec.contour_step).alias("level"),
     )
-    at = (F.col("ci") - F.col("k")) * spec.nlon + F.col("cj")
-    # the distance grows with k along a meridian, so the filter equals "stop at the first violation"
-    seen = walk.where(km <= spec.search_km).select(
-        "time", "id", "k", contour_level(height(F.get("vals", at), spec), spec.contour_step).alias("level"),
-    ).where(F.col("level").isNotNull())
     return seen.groupBy("time", "id", "level").agg(F.min("k").alias("first_k"))
-
-

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohypsa.params import GridSpec
+from isohypsa.sources.grid import shuffle_width
 
 SPEC = GridSpec(res=2.5, step=1, lat_min=0)
 # Temperature lattice: every third row and column.
@@ -59,5 +60,5 @@ def synth_field(spark: SparkSession, params: DataFrame, spec: GridSpec = SPEC) -
 def field(spark: SparkSession, sf_dir: str) -> DataFrame:
     # (time, s) rows are tiny but each becomes a whole grid: fix the number of partitions, or
     # adaptive execution would merge them into one by their bytes
-    spread = instants(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "time")
+    spread = instants(spark, sf_dir).repartition(shuffle_width(spark), "time", "s")
     return synth_field(spark, spread)

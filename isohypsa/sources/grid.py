@@ -118,6 +118,12 @@ def normalize_lon(field: DataFrame, axis: DataFrame) -> DataFrame:
     )
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partition count for work whose cost is far above its bytes (a 2 MB slice stands for a
+    million samples): a stated count is kept as it is, a default one would be merged by bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def to_slices(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
     """Long field -> one dense array per instant.
 
@@ -131,7 +137,7 @@ def to_slices(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
         field.where(F.col("i").between(0, spec.nlat - 1) & F.col("j").between(0, spec.nlon - 1))
         .groupBy("time", "i", "j").agg(F.min(F.col(value)).alias("v"))
     )
-    rows = uniq.repartition("time").groupBy("time", "i").agg(
+    rows = uniq.repartition(shuffle_width(field.sparkSession), "time").groupBy("time", "i").agg(
         F.array_sort(F.collect_list(F.struct("j", "v"))).alias("cells")
     )
     gaps = F.transform(
