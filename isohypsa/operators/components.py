@@ -7,24 +7,14 @@ single shuffle by time; larger lattices use the relational fixpoint over row run
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from isohypsa.params import MAX_LATTICE_CELLS
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; a private one only where none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="isohypsa-checkpoint-"))
+from isohypsa.staging import ensure_checkpoint_dir
 
 
 def _kernel(size_x: int, size_y: int):

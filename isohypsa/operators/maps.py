@@ -141,8 +141,8 @@ def isoline_crossings(slices: DataFrame, spec: GridSpec, step: float) -> DataFra
     lo = F.greatest(F.ceil((F.least("a", "b") - first) / st), F.lit(0)).cast("int")
     hi = F.floor((F.greatest("a", "b") - first) / st).cast("int")
     crossed = edges.withColumns({"_lo": lo, "_hi": hi, "_first": first}).where("_lo <= _hi").withColumn(
-        "level", F.col("_first") + F.explode(F.sequence("_lo", "_hi")) * st,
-    ).where(
+        "_n", F.explode(F.sequence("_lo", "_hi")),
+    ).withColumn("level", F.col("_first") + F.col("_n") * st).where(
         (F.col("level") < F.col("vmax")) & ((F.col("a") < F.col("level")) != (F.col("b") < F.col("level")))
     )
     t = (F.col("level") - F.col("a")) / (F.col("b") - F.col("a"))

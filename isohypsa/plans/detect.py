@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +11,11 @@ from isohypsa.functions.geo import celsius, lat_of, lon_of
 from isohypsa.operators import clusters as C
 from isohypsa.operators import formations as B
 from isohypsa.operators import rays as R
-from isohypsa.operators.components import ensure_checkpoint_dir, label_components
+from isohypsa.operators.components import label_components
 from isohypsa.operators.extrema import clip_and_coarsen, detect_extrema
 from isohypsa.params import GridSpec
-from isohypsa.sources.grid import from_slices, to_slices
+from isohypsa.sources.grid import to_slices
+from isohypsa.staging import stage
 
 __all__ = ["detect_extrema", "cluster_extrema", "detect_blocking", "heat_clusters", "Detection"]
 
@@ -57,15 +58,9 @@ class Detection:
         limits = self.limits
         return B.rex_candidates(self.pairs, B.open_levels(self.levels, limits), limits, self.spec)
 
-    def materialized(self) -> "Detection":
-        """Cluster rows (a few per instant) cut from their lineage on shared storage, so that the
-        formation stage does not sample the field again."""
-        ensure_checkpoint_dir(self.slices.sparkSession)
-        return replace(self, clusters=self.clusters.checkpoint())
-
     def formations(self) -> DataFrame:
-        limits = self.limits.checkpoint()
-        levels = B.open_levels(self.levels, limits).checkpoint()
+        limits = stage(self.limits, "limits")
+        levels = stage(B.open_levels(self.levels, limits), "levels")
         pairs = self.pairs
         omega = B.omega_fold(B.omega_candidates(pairs, levels, limits))
         rex = B.rex_nearest(B.rex_candidates(pairs, levels, limits, self.spec))
@@ -73,19 +68,27 @@ class Detection:
 
 
 def cluster_extrema(field: DataFrame | None, spec: GridSpec, slices: DataFrame | None = None,
-                    value: str = "h", method: str = "auto") -> Detection:
-    slices = to_slices(field, spec, value) if slices is None else slices
+                    value: str = "h", method: str = "auto", staged: bool = False) -> Detection:
+    """Sampling and clustering of a long ``field`` or of stored ``slices``.
+
+    ``staged`` writes what the formation stage reads again - slices (unless they are stored
+    already), labelled points and cluster rows - instead of deriving it anew for every reader."""
+    if slices is None:
+        slices = to_slices(field, spec, value)
+        slices = stage(slices, "slices") if staged else slices
     extrema = detect_extrema(field, spec, value, slices)
     labelled = label_components(
         C.typed_points(extrema).select("time", "x", "y", "type", "raw"), spec.size_x, spec.size_y, method,
     )
+    labelled = stage(labelled, "labelled") if staged else labelled
     kept = C.reindex(C.band_filter(C.cluster_summary(labelled, spec), spec))
+    kept = stage(kept, "clusters") if staged else kept
     return Detection(slices, extrema, labelled, kept, spec)
 
 
 def detect_blocking(field: DataFrame | None, spec: GridSpec, slices: DataFrame | None = None) -> DataFrame:
     """Formations (time, max_id, min1_id, min2_id, type); the flagship query."""
-    return cluster_extrema(field, spec, slices).materialized().formations()
+    return cluster_extrema(field, spec, slices, staged=True).formations()
 
 
 def heat_points(field: DataFrame, spec: GridSpec, scale: float, offset: float, threshold: float = 28.0,

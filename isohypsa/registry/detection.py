@@ -25,6 +25,10 @@ def det(spark, d):
     return D.cluster_extrema(field(spark, d), SPEC)
 
 
+def staged(spark, d):
+    return D.cluster_extrema(field(spark, d), SPEC, staged=True)
+
+
 def labelled(spark, d, method="auto"):
     ex = D.detect_extrema(field(spark, d), SPEC)
     return label_components(C.typed_points(ex).select("time", "x", "y", "type", "raw"), SPEC.size_x, SPEC.size_y, method)
@@ -160,7 +164,7 @@ def _reach_join(s, d):
 
 
 def all_tests(s, d):
-    x = det(s, d).materialized()
+    x = staged(s, d)
     levels = x.clusters.select("time", "id").join(x.levels.select("time", "level").distinct(), "time")
     return R.contour_tests(x.reach, levels)
 
@@ -177,7 +181,7 @@ query("A10_dir_majority", chain("tests") + f"SELECT time, id, level, {', '.join(
 
 @query("A10_thresholds", chain("tests") + f"SELECT time, id, level, closed, {', '.join(ALL + MOST)} FROM tests")
 def _threshold_form(s, d):
-    x = det(s, d).materialized()
+    x = staged(s, d)
     lv = x.levels.select("time", "level").distinct()
     j = x.limits.join(lv, "time")
     tests = [R.passes("closed_at", F.col("level"), F.col("type")).alias("closed")]
@@ -195,15 +199,15 @@ query("G07_unwrap_pair", chain("sides") + "SELECT time, max_id, min_id, ma AS lo
     lambda s, d: G.with_unwrapped_pair(det(s, d).pairs, "max_center_lon", "min_center_lon")
     .select("time", "max_id", "min_id", "lon_a_int", "lon_b_int", "side"))
 query("W05_omega_candidates", chain("omegacand") + "SELECT time, max_id, first_k, level, min_id, side FROM omegacand")(
-    lambda s, d: det(s, d).materialized().omega_candidates().select("time", "max_id", "first_k", "level", "min_id", "side"))
+    lambda s, d: staged(s, d).omega_candidates().select("time", "max_id", "first_k", "level", "min_id", "side"))
 query("W05_omega_fold", chain("omega") + "SELECT time, max_id, west_id, east_id, round(score, 6) AS score FROM omega")(
-    lambda s, d: B.omega_fold(det(s, d).materialized().omega_candidates()).withColumn("score", F.round("score", 6)))
+    lambda s, d: B.omega_fold(staged(s, d).omega_candidates()).withColumn("score", F.round("score", 6)))
 query("W06_rex_candidates", chain("rexcand") + "SELECT time, max_id, first_k, level, min_id, km FROM rexcand")(
-    lambda s, d: det(s, d).materialized().rex_candidates())
+    lambda s, d: staged(s, d).rex_candidates())
 query("W06_rex_nearest", chain("rex") + "SELECT time, max_id, rex_id, rex_km FROM rex")(
-    lambda s, d: B.rex_nearest(det(s, d).materialized().rex_candidates()))
+    lambda s, d: B.rex_nearest(staged(s, d).rex_candidates()))
 FORMS = chain("formations") + "SELECT time, max_id, min1_id, min2_id, type FROM formations"
-query("W07_resolve_formation", FORMS)(lambda s, d: det(s, d).materialized().formations())
+query("W07_resolve_formation", FORMS)(lambda s, d: staged(s, d).formations())
 query("Q03_detect_blocking", FORMS)(lambda s, d: D.detect_blocking(field(s, d), SPEC))
 ROLES = ("max", "min1", "min2")
 
@@ -212,7 +216,7 @@ ROLES = ("max", "min1", "min2")
     f"{r}.center_lat AS {r}_lat, {r}.center_lon AS {r}_lon, {r}.type AS {r}_type, {r}.contour AS {r}_contour" for r in ROLES)
     + " FROM formations f" + "".join(f" LEFT JOIN clusters {r} ON {r}.time = f.time AND {r}.id = f.{r}_id" for r in ROLES))
 def _formation_clusters(s, d):
-    x = det(s, d).materialized()
+    x = staged(s, d)
     return B.formation_clusters(x.formations(), x.clusters).drop("type")
 
 

@@ -56,7 +56,7 @@ LIMITS_SIDES = {
 
 
 def snap(x: str) -> str:
-    return f"(round(round(({x})/2.5::DOUBLE, 9)) * 2.5::DOUBLE)"
+    return f"(round(round(({x})/2.5::DOUBLE, 9)) * 2.5::DOUBLE + 0.0::DOUBLE)"
 
 
 def unit_mean(x: str) -> str:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from isohypsa.functions.geo import height, lat_of, lon_of
-from isohypsa.operators.components import ensure_checkpoint_dir
 from isohypsa.params import GridSpec
 
 SCHEMAS = {
@@ -22,12 +19,6 @@ SCHEMAS = {
 }
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder beside the session's checkpoints (shared storage on a cluster)."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def _fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", c.cast("double"))
 
