@@ -27,6 +27,8 @@ MIME_TYPES = {
 DEFAULT_MIME = "application/octet-stream"
 PREVIEW_EXTENSIONS = ("jpg", "jpeg", "png", "svg", "gif", "pdf")
 DATA_FOLDER = "/app/config/data"
+# Checked before the cast: a failing cast costs an exception per element.
+NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -42,7 +44,7 @@ def sort_numeric_or_text(arr: Column) -> Column:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
     def number(v: Column) -> Column:
-        return F.when(F.trim(v) == "", F.lit(0.0)).otherwise(v.try_cast("double"))
+        return F.when(F.trim(v) == "", F.lit(0.0)).when(v.rlike(NUMBER), v.try_cast("double"))
 
     numeric = F.array_sort(F.transform(arr, lambda v, i: F.struct(number(v).alias("n"), i.alias("p"), v.alias("v"))))
     text = F.array_sort(F.transform(arr, lambda v: F.struct(

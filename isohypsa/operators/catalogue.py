@@ -228,15 +228,16 @@ def nearest_runs(runs: DataFrame, key: str, age: str, tie: str, k: int = 3) -> D
 # --- numbering and running sums that tolerate hot keys -------------------------------------------
 
 
-def sequential_number(df: DataFrame, key: str, order: str, block_width: int, out: str = "n") -> DataFrame:
-    """0-based position within ``key`` by the unique integer ``order``. Rows are numbered within
-    (key, block of the order); block sizes give the offsets, so no key is one task's work."""
-    d = df.withColumn("_block", F.floor(F.col(order) / block_width))
-    sizes = d.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+def position_within(df: DataFrame, keys: list[str], block: Column, order: list[Column], out: str) -> DataFrame:
+    """0-based position of each row within ``keys`` by ``order``. ``block`` must not decrease along
+    the order: rows are numbered within (keys, block) and block sizes give the offsets, so a key
+    holding very many rows is spread over its blocks."""
+    d = df.withColumn("_block", block)
+    sizes = d.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    inside = F.row_number().over(W.partitionBy(key, "_block").orderBy(order)) - 1
-    return d.withColumn("_in", inside).join(offsets, [key, "_block"]).withColumn(
+    inside = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*order)) - 1
+    return d.withColumn("_in", inside).join(offsets, [*keys, "_block"]).withColumn(
         out, (F.col("_in") + F.col("_before")).cast("bigint"),
     ).drop("_block", "_in", "_before")
 
@@ -245,18 +246,21 @@ def unique_names(files: DataFrame, name: str, order: str, block_width: int = 100
     """``base.ext`` stays for the first, ``base(n).ext`` for the n-th duplicate."""
     stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
     ext = F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1)
-    return sequential_number(files, name, order, block_width, "_n").withColumn(
+    numbered = position_within(files, [name], F.floor(F.col(order) / block_width), [F.col(order)], "_n")
+    return numbered.withColumn(
         "unique_name",
         F.when(F.col("_n") > 0, F.concat(stem, F.lit("("), F.col("_n"), F.lit(")"), ext)).otherwise(F.col(name)),
     ).drop("_n")
 
 
-def progress_running(events: DataFrame, key: str, ts: str, tie: str, block_seconds: int = 86_400) -> DataFrame:
+def progress_running(events: DataFrame, key: str, ts: str, tie: str, block_seconds: int = 86_400,
+                     carry: DataFrame | None = None) -> DataFrame:
     """Progress after each event of a run: increments outside 0..100 are ignored, 100 ends the run,
     otherwise min(100, 4 x the increments since the last end).
 
     Running sums are taken within (key, time block); each block's carry-in comes from the block
-    totals, so a run with very many events is spread over its blocks."""
+    totals, so a run with very many events is spread over its blocks. ``carry(key, carry)`` holds
+    the sums of runs begun in earlier batches."""
     ok = events.where(F.col("increment").between(0, 100))
     d = ok.withColumns({
         "_block": F.floor(F.unix_timestamp(ts) / block_seconds), "_end": (F.col("increment") == 100).cast("int"),
@@ -278,6 +282,12 @@ def progress_running(events: DataFrame, key: str, ts: str, tie: str, block_secon
     blocks = blocks.withColumn("_held", F.sum("_give").over(
         W.partitionBy(key, "_grp").orderBy("_block").rowsBetween(W.unboundedPreceding, 0),
     )).withColumn("_carry", F.coalesce(F.lag("_held").over(prior), F.lit(0)))
+    if carry is not None:
+        earlier = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        begun = F.coalesce(F.sum("_ends").over(earlier), F.lit(0)) == 0
+        blocks = blocks.withColumn("_begun", begun).join(carry.withColumnRenamed("carry", "_kept"), key, "left").withColumn(
+            "_carry", F.col("_carry") + F.when(F.col("_begun"), F.coalesce("_kept", F.lit(0))).otherwise(0),
+        )
     out = d.join(blocks.select(key, "_block", "_carry"), [key, "_block"])
     run = F.col("_sum") + F.when(F.col("_seg") == 0, F.col("_carry")).otherwise(0)
     return out.withColumn(
@@ -285,6 +295,20 @@ def progress_running(events: DataFrame, key: str, ts: str, tie: str, block_secon
     ).drop("_block", "_end", "_inc", "_seg", "_sum", "_carry")
 
 
+def progress_carry(events: DataFrame, key: str, ts: str, tie: str, carry: DataFrame | None = None) -> DataFrame:
+    """(key, carry) after a batch: increments since the last end, on top of the earlier carry where
+    the batch has no end."""
+    ok = events.where(F.col("increment").between(0, 100))
+    ends = ok.where(F.col("increment") == 100).groupBy(key).agg(F.max(F.struct(ts, tie)).alias("_last"))
+    since = ok.join(ends, key, "left").where(F.col("_last").isNull() | (F.struct(ts, tie) > F.col("_last")))
+    sums = since.groupBy(key).agg(F.sum("increment").alias("_new"))
+    kept = carry if carry is not None else sums.select(key, F.lit(0).cast("bigint").alias("carry")).where(F.lit(False))
+    j = kept.join(sums, key, "full_outer").join(ends, key, "left")
+    return j.select(key, (
+        F.coalesce("_new", F.lit(0)) + F.when(F.col("_last").isNull(), F.coalesce("carry", F.lit(0))).otherwise(0)
+    ).cast("bigint").alias("carry"))
+
+
 def progress_view(df: DataFrame, ts: Column) -> DataFrame:
     return df.withColumn("timestamp", ts).withColumn("completed", F.col("progress") >= 100)
 

@@ -27,25 +27,28 @@ SECTORS = {
 }
 
 
-def direction_set(spark: SparkSession) -> DataFrame:
-    """The 64 rays: 8 neighbours, then (i, j*s) and (j*s, i) for unit diagonals (i, j), s = 2..8."""
-    near = spark.range(9).where("id <> 4").select(
-        F.when(F.col("id") < 4, F.col("id")).otherwise(F.col("id") - 1).cast("int").alias("ray"),
-        (F.floor(F.col("id") / 3) - 1).cast("int").alias("dx"),
-        (F.col("id") % 3 - 1).cast("int").alias("dy"),
-    )
-    diag = spark.range(4).select(
-        "id",
-        F.when(F.col("id") < 2, -1).otherwise(1).alias("a"),
-        F.when(F.col("id") % 2 == 0, -1).otherwise(1).alias("b"),
-        F.explode(F.sequence(F.lit(2), F.lit(8))).alias("s"),
-    ).withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1))))
-    far = diag.select(
-        (8 + F.col("id") * 14 + (F.col("s") - 2) * 2 + F.col("turn")).cast("int").alias("ray"),
-        F.when(F.col("turn") == 0, F.col("a")).otherwise(F.col("b") * F.col("s")).cast("int").alias("dx"),
-        F.when(F.col("turn") == 0, F.col("b") * F.col("s")).otherwise(F.col("a")).cast("int").alias("dy"),
-    )
-    return near.unionByName(far)
+def rays() -> list[tuple[int, int]]:
+    """(dx, dy) of the 64 rays: 8 neighbours, then (a, b*s) and (b*s, a) for the unit diagonals
+    (a, b) and s = 2..8."""
+    unit = (-1, 0, 1)
+    out = [(a, b) for a in unit for b in unit if a or b]
+    for a in unit:
+        for b in unit:
+            if a and b:
+                out += [r for s in range(2, 9) for r in ((a, b * s), (b * s, a))]
+    return out
+
+
+def ray_column() -> Column:
+    """The rays as one array literal, to be exploded beside any row."""
+    return F.array(*[
+        F.struct(F.lit(n).alias("ray"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, (dx, dy) in enumerate(rays())
+    ])
+
+
+def direction_set(df: DataFrame) -> DataFrame:
+    """Every row with each of the 64 rays (``ray``, ``dx``, ``dy``)."""
+    return df.withColumn("_r", F.explode(ray_column())).select("*", "_r.*").drop("_r")
 
 
 def in_sector(sector: str) -> Column:
@@ -60,11 +63,9 @@ def ray_cutoff(spark: SparkSession, spec: GridSpec) -> DataFrame:
     # a step changes |dx| rows: beyond this many rows the meridian distance alone is too far
     far_rows = int(spec.search_km / step_km) + 2
     walked = (
-        spark.range(spec.nlat * 2)
-        .select(
+        direction_set(spark.range(spec.nlat * 2).select(
             F.floor(F.col("id") / 2).cast("int").alias("ci"), (F.col("id") % 2).cast("int").alias("edge"),
-        )
-        .join(F.broadcast(direction_set(spark)))
+        ))
         .withColumn("k", F.explode(F.sequence(
             F.lit(1),
             F.when(F.col("dx") == 0, F.lit(spec.nlon)).otherwise(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isohypsa.functions.text import with_request_hash
 from isohypsa.operators import catalogue as K
+from isohypsa.staging import stage
 
 
 def request_lifecycle(requests: DataFrame, listing: DataFrame, now: Column) -> DataFrame:
@@ -16,7 +17,8 @@ def request_lifecycle(requests: DataFrame, listing: DataFrame, now: Column) -> D
     equal requests get one hash and share their files."""
     valid = K.validate_requests(requests).where(F.size("violations") == 0).drop("violations")
     complete = K.request_defaults(valid)
-    hashed = with_request_hash(complete.withColumnRenamed("requestHash", "given"))
+    # read four times below: written once, so that the hashes are computed once
+    hashed = stage(with_request_hash(complete.withColumnRenamed("requestHash", "given")), "hashed")
     incoming = hashed.select("requestHash", F.col("userId"), F.col("key").alias("arrival"))
     empty = incoming.select(
         "requestHash", F.lit(None).cast("string").alias("requestStatus"), F.lit(None).cast("bigint").alias("timesRequested"),

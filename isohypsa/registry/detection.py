@@ -76,16 +76,14 @@ query("J01_stencil_join", BEARINGS + f" SELECT key, bearing, round(dest_lat::DOU
 
 
 def sampled_points(spark, d):
-    """Customer points (single precision) with their enclosing nodes, once per instant."""
-    f = field(spark, d)
-    pts = customer_points(spark, d).select("key", F.col("lat2").cast("float").alias("dest_lat"), F.col("lon2").cast("float").alias("dest_lon"))
-    at = G.with_bilinear_weights(pts, SPEC)
-    last = f.agg(F.max("time").alias("last"))  # one row: the broadcast is bounded
-    keyed = at.join(F.broadcast(last)).withColumn("time", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    return keyed, f
+    """Customer points (single precision) with their enclosing nodes, each at one instant."""
+    pts = customer_points(spark, d).select(
+        "key", (F.col("key") % 4).cast("int").alias("time"),
+        F.col("lat2").cast("float").alias("dest_lat"), F.col("lon2").cast("float").alias("dest_lon"))
+    return G.with_bilinear_weights(pts, SPEC), field(spark, d)
 
 
-GATHER = chain("field")[:-1] + f""", {CUST}, pts AS (SELECT key, CAST(lat2 AS FLOAT) AS dest_lat, CAST(lon2 AS FLOAT) AS dest_lon FROM cust),
+GATHER = chain("field")[:-1] + f""", {CUST}, pts AS (SELECT key, CAST(key % 4 AS INTEGER) AS time, CAST(lat2 AS FLOAT) AS dest_lat, CAST(lon2 AS FLOAT) AS dest_lon FROM cust),
  node AS (SELECT key, time, ok, n_i, n_j, w11, w12, w21, w22 FROM (""" + """
 SELECT *, n_i >= 1 AND n_i <= 72 AND n_j >= 0 AND n_j <= 142 AS ok,
   CAST(CAST(dn*de AS DOUBLE)/6.25::DOUBLE AS FLOAT) AS w11, CAST(CAST(ds*de AS DOUBLE)/6.25::DOUBLE AS FLOAT) AS w12,
@@ -93,7 +91,7 @@ SELECT *, n_i >= 1 AND n_i <= 72 AND n_j >= 0 AND n_j <= 142 AS ok,
  SELECT *, CAST(36 - fl AS INTEGER) AS n_i, CAST(fo2 + 72 AS INTEGER) AS n_j,
    CAST((fl+1)*2.5::DOUBLE AS FLOAT) - dest_lat AS dn, dest_lat - CAST(fl*2.5::DOUBLE AS FLOAT) AS ds,
    CAST((fo2+1)*2.5::DOUBLE AS FLOAT) - dest_lon AS de, dest_lon - CAST(fo2*2.5::DOUBLE AS FLOAT) AS dw FROM (
-  SELECT *, floor(CAST(dest_lat AS DOUBLE)/2.5::DOUBLE) AS fl, floor(CAST(dest_lon AS DOUBLE)/2.5::DOUBLE) AS fo2 FROM pts))), (SELECT DISTINCT time FROM field)),
+  SELECT *, floor(CAST(dest_lat AS DOUBLE)/2.5::DOUBLE) AS fl, floor(CAST(dest_lon AS DOUBLE)/2.5::DOUBLE) AS fo2 FROM pts)))),
  g AS (SELECT p.time, p.key, w11, w12, w21, w22, ok, CASE WHEN ok THEN a.h END AS z11, CASE WHEN ok THEN b.h END AS z12, CASE WHEN ok THEN c.h END AS z21, CASE WHEN ok THEN d.h END AS z22 FROM node p
   LEFT JOIN field a ON a.time = p.time AND a.i = p.n_i AND a.j = p.n_j LEFT JOIN field b ON b.time = p.time AND b.i = p.n_i AND b.j = p.n_j + 1
   LEFT JOIN field c ON c.time = p.time AND c.i = p.n_i - 1 AND c.j = p.n_j LEFT JOIN field d ON d.time = p.time AND d.i = p.n_i - 1 AND d.j = p.n_j + 1) """
@@ -140,9 +138,7 @@ query("Q02_cluster_extrema", chain("clusters") + "SELECT time, id, type, n_point
 # --- rays and contour tests -------------------------------------------------------------------
 
 query("G11_direction_set", chain("rays") + "SELECT s_suppkey AS key, ray, CAST(s_suppkey % 73 + dx AS BIGINT) AS i, CAST(s_suppkey % 144 + dy AS BIGINT) AS j FROM supplier, rays")(
-    lambda s, d: table(s, d, "supplier").select(
-        F.col("s_suppkey").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("ray"))
-    .join(F.broadcast(R.direction_set(s)), "ray")
+    lambda s, d: R.direction_set(table(s, d, "supplier").select(F.col("s_suppkey").alias("key")))
     .select("key", "ray", (F.col("key") % 73 + F.col("dx")).alias("i"), (F.col("key") % 144 + F.col("dy")).alias("j")))
 query("W04_ray_cutoff", chain("raysteps") + "SELECT time, id, ray, CAST(coalesce(MIN(CASE WHEN stop THEN k END), 146) - 1 AS INTEGER) AS k_max FROM raysteps GROUP BY time, id, ray")(
     lambda s, d: R.ray_plan(det(s, d).clusters, SPEC).select("time", "id", "ray", "k_max"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from isohypsa.functions import geo as G
 from isohypsa.operators import maps as M
+from isohypsa.operators.catalogue import position_within
 from isohypsa.operators.extrema import clip_and_coarsen
 from isohypsa.plans import detect as D
 from isohypsa.plans import maps as P
@@ -15,7 +16,7 @@ from isohypsa.registry.inputs import HEAT_SPEC, SPEC, field, instants, table
 from isohypsa.registry.sql import centroid, chain, destination_steps, hav, snap
 from isohypsa.sources import grid as S
 from isohypsa.sources import results as R
-from isohypsa.staging import ensure_checkpoint_dir, scratch_path
+from isohypsa.staging import scratch_path, stage
 
 AREA = (80.0, -60.0, 20.0, 60.0)  # north, west, south, east
 AREA_SQL = "lat BETWEEN 20 AND 80 AND lon BETWEEN -60 AND 60"
@@ -83,16 +84,10 @@ query("S07_sink_temperature", chain("hotlab", "hotcent") + f"""SELECT time, prin
 @query("S08_sink_stage_timings")
 def _timings(s, d):
     import time
-    t0 = time.time()
-    ensure_checkpoint_dir(s)
-    counts = D.detect_extrema(field(s, d), SPEC).groupBy("time").count().checkpoint()
-    took = time.time() - t0
-    return R.stage_timings("1", counts.select("time", (F.lit(took) / F.count("*").over(_all())).alias("elapsed")))
-
-
-def _all():
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(1))
+    began = time.time()
+    votes = stage(D.detect_extrema(field(s, d), SPEC).groupBy("time").count(), "votes")
+    took = (time.time() - began) / max(votes.count(), 1)
+    return R.stage_timings("1", votes.select("time", F.lit(took).alias("elapsed")))
 
 
 @query("S09_read_results", chain("points") + "SELECT p.time, p.latitude::DOUBLE AS latitude, p.longitude::DOUBLE AS longitude, p.z::DOUBLE AS z, p.type, p.cluster, p.centroid_lat::DOUBLE AS centroid_lat, p.centroid_lon::DOUBLE AS centroid_lon, 'run-0' AS request_hash FROM (" + SEL_SQL + ") p")
@@ -281,9 +276,10 @@ query("O01_order_points", chain("points") + "SELECT time, x, y, type, CAST(row_n
     lambda s, d: M.rank_within(
         det(s, d).points.withColumns({"lat": G.lat_of(F.col("x"), SPEC), "scan": F.col("x") * SPEC.size_y + F.col("y")}),
         ["time"], [*M.order_key(), F.col("scan")]).select("time", "x", "y", "type", "rank"))
-query("O02_sort_by_lat", f"WITH {CUST} SELECT nation, key, CAST(row_number() OVER (PARTITION BY nation ORDER BY lat, key) AS INTEGER) AS by_lat, CAST(row_number() OVER (PARTITION BY nation ORDER BY lon, key) AS INTEGER) AS by_lon FROM cust")(
-    lambda s, d: M.rank_within(M.rank_within(customer_points(s, d), ["nation"], [F.col("lat"), F.col("key")], "by_lat"),
-                               ["nation"], [F.col("lon"), F.col("key")], "by_lon").select("nation", "key", "by_lat", "by_lon"))
+query("O02_sort_by_lat", f"WITH {CUST} SELECT nation, key, row_number() OVER (PARTITION BY nation ORDER BY lat, key) - 1 AS by_lat, row_number() OVER (PARTITION BY nation ORDER BY lon, key) - 1 AS by_lon FROM cust")(
+    lambda s, d: position_within(
+        position_within(customer_points(s, d), ["nation"], F.floor(F.col("lat") / 5), [F.col("lat"), F.col("key")], "by_lat"),
+        ["nation"], F.floor(F.col("lon") / 10), [F.col("lon"), F.col("key")], "by_lon").select("nation", "key", "by_lat", "by_lon"))
 
 # --- composite maps ---------------------------------------------------------------------------
 

@@ -159,11 +159,10 @@ query("F05_month_end", "SELECT o_orderkey AS key, CAST(day(o_orderdate) AS INTEG
 
 
 def _validity(s, d):
-    ax = table(s, d, "events").select(F.floor(F.col("event_id") / 1000).alias("time")).distinct().agg(F.count("*").alias("n"))
-    q = table(s, d, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 60 - 30).alias("t"))
+    axis_length = table(s, d, "events").agg(F.count_distinct(F.floor(F.col("event_id") / 1000)).alias("n")).scalar()
+    q = table(s, d, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 60 - 30).alias("t")).withColumn("n", axis_length)
     ok = (F.col("t") >= -F.col("n")) & (F.col("t") < F.col("n"))
-    # the axis length is one row
-    return q.join(F.broadcast(ax)).select("key", "t", ok.alias("valid"), F.when(ok, F.when(F.col("t") < 0, F.col("t") + F.col("n")).otherwise(F.col("t"))).alias("instant"))
+    return q.select("key", "t", ok.alias("valid"), F.when(ok, F.when(F.col("t") < 0, F.col("t") + F.col("n")).otherwise(F.col("t"))).alias("instant"))
 
 
 query("F11_request_config_projection", req_sql("SELECT requestHash, variableName, array_to_string(pressureLevels, '|') AS pressureLevels, noMaps, mpi, nThreads, CAST(NULL AS VARCHAR) AS nProces FROM req"))(
@@ -259,13 +258,14 @@ query("J14_map_tasks", req_sql("SELECT requestHash, unnest(pressureLevels) AS pr
 query("A16_group_requests", req_sql("""SELECT first(requestHash ORDER BY updatedAt DESC NULLS LAST, requestHash DESC) AS requestHash, strftime(MAX(updatedAt), '%Y-%m-%d %H:%M:%S') AS updatedAt, COUNT(*) AS count FROM req
   GROUP BY variableName, pressureLevels, years[1], months[1], days[1], areaCovered, mapTypes, mapLevels, coalesce(fileFormat, '')"""))(
     lambda s, d: K.group_requests(requests(s, d)).select("requestHash", fmt("updatedAt").alias("updatedAt"), "count"))
-query("O03_newest_first", req_sql("SELECT requestHash, CAST(row_number() OVER (PARTITION BY userId ORDER BY updatedAt DESC NULLS LAST, requestHash) AS INTEGER) AS rank FROM req"))(
+query("O03_newest_first", req_sql("SELECT requestHash, row_number() OVER (PARTITION BY userId ORDER BY updatedAt DESC NULLS LAST, requestHash) - 1 AS position FROM req"))(
     lambda s, d: _newest(s, d))
 
 
 def _newest(s, d):
-    from isohypsa.operators.maps import rank_within
-    return rank_within(requests(s, d), ["userId"], [F.col("updatedAt").desc_nulls_last(), F.col("requestHash")]).select("requestHash", "rank")
+    age = -F.coalesce(F.unix_timestamp("updatedAt"), F.lit(0))
+    return K.position_within(requests(s, d), ["userId"], F.floor(age / (30 * 86_400)),
+                             [age, F.col("requestHash")], "position").select("requestHash", "position")
 
 
 query("O05_union_distinct_days", """WITH sel AS (SELECT o_custkey AS user_id, MAX(day(last_day(o_orderdate))) AS last FROM orders GROUP BY 1) SELECT user_id, CAST(n AS INTEGER) AS day FROM sel, range(1, 32) r(n) WHERE n <= last""")(
@@ -310,7 +310,7 @@ KEYS = {"click": "config.create", "view": "progress.update", "purchase": "result
 query("T02_route", "SELECT event_id, CASE event_type WHEN 'click' THEN 'config_queue' WHEN 'view' THEN 'progress_queue' WHEN 'purchase' THEN 'results_queue' ELSE 'notifications_queue' END AS queue, CASE event_type WHEN 'click' THEN 'requests_exchange' WHEN 'view' THEN 'progress_exchange' WHEN 'purchase' THEN 'results_exchange' ELSE 'notifications_exchange' END AS exchange FROM events WHERE event_type <> 'error'")(
     lambda s, d: Z.route(table(s, d, "events").withColumn("routing_key", F.coalesce(F.try_element_at(X.literal_map(KEYS), F.col("event_type")), F.lit("unknown")))).select("event_id", "queue", "exchange"))
 query("T03_ttl_drop", f"WITH {EV} SELECT event_id FROM ev WHERE k * 100 <= 5000")(
-    lambda s, d: Z.ttl_drop(events(s, d).withColumn("consumed", F.timestamp_micros(F.unix_micros("ts") + F.col("k") * 100_000)), "ts", F.col("consumed")).select("event_id"))
+    lambda s, d: Z.ttl_drop(events(s, d).withColumn("consumed", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("k") * 100_000)), "ts", F.col("consumed")).select("event_id"))
 RUNNING = f"""WITH {EV}, ok AS (SELECT * FROM ev WHERE increment BETWEEN 0 AND 100), seg AS (SELECT *, coalesce(SUM(CASE WHEN increment = 100 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM ok),
   run AS (SELECT *, CASE WHEN increment = 100 THEN 100 ELSE least(100, 4*SUM(increment) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) END AS progress FROM seg)"""
 
@@ -395,16 +395,17 @@ query("Q07_request_lifecycle", req_sql(f"""SELECT a.hash AS requestHash, 'GENERA
     lambda s, d: request_lifecycle(requests(s, d), stored(s, d), NOW_COL))
 
 
-@query("T04_progress_stream")
+@query("T04_progress_stream", RUNNING + " SELECT user_id, event_id, CAST(progress AS BIGINT) AS progress FROM run")
 def _progress_stream(s, d):
-    """The keyed stream over the whole events table, read as a file stream until exhausted."""
-    src = scratch_path(s, "progress-in")
-    events(s, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "increment", F.col("event_type").alias("message")).write.parquet(src)
-    out, cp = scratch_path(s, "progress-out"), scratch_path(s, "progress-cp")
-    stream = Z.progress_stream(s.readStream.schema("key bigint, seq bigint, increment bigint, message string").parquet(src))
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.read.parquet(out)
+    """The whole events table as a file stream of several micro-batches, in event order."""
+    base = scratch_path(s, "progress")
+    e = events(s, d).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "increment", F.col("event_type").alias("message"))
+    part = F.floor(F.dayofmonth("ts") / 11)
+    for n in range(3):  # written one after the other: a file source reads in order of age
+        e.where(part == n).write.mode("append").parquet(f"{base}/in")
+    stream = s.readStream.schema("user_id bigint, event_id bigint, ts timestamp, increment bigint, message string").parquet(f"{base}/in")
+    Z.progress_stream(stream, "user_id", "ts", "event_id", f"{base}/out", f"{base}/state", f"{base}/cp")
+    return s.read.parquet(f"{base}/out").select("user_id", "event_id", "progress")
 
 
 @query("T07_detect_stream")

@@ -1,21 +1,21 @@
 """Message streams: parsing, routing, expiry, running progress, detection and catalogue updates.
 
-Every step is a plain DataFrame transform usable on a batch or a stream; the keyed state of the
-progress stream is ``transformWithStateInPandas``.
+Every step is a plain DataFrame transform usable on a batch or a stream. Streams that carry state
+(progress, catalogue, users' requests) keep it as table versions, one per micro-batch: batch n reads
+version n - 1 and overwrites version n, so a repeated batch gives the same result, and a key with
+very many events is spread like in the batch form instead of sitting in one state task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from isohypsa.functions.text import parse_envelope
+from isohypsa.operators.catalogue import progress_carry, progress_running
 from isohypsa.params import GridSpec
 
 # Fixed bindings: routing key -> (queue, exchange).
@@ -49,7 +49,8 @@ def route(df: DataFrame, key: str = "routing_key") -> DataFrame:
 def ttl_drop(df: DataFrame, sent: str, consumed: Column | None = None, ttl_ms: int = MESSAGE_TTL_MS) -> DataFrame:
     """Messages at most ``ttl_ms`` old when consumed (now, unless a column says when)."""
     at = F.current_timestamp() if consumed is None else consumed
-    return df.where(F.unix_millis(at) - F.unix_millis(F.col(sent)) <= ttl_ms)
+    sent_ms = F.unix_millis(F.col(sent).cast("timestamp"))
+    return df.where(F.unix_millis(at.cast("timestamp")) - sent_ms <= ttl_ms)
 
 
 def next_step(notices: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -64,35 +65,6 @@ def next_step(notices: DataFrame, key: str, order: list[str]) -> DataFrame:
     )
 
 
-class _Progress(StatefulProcessor):
-    """Running progress of one request: state is the sum of increments since the last end."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "total long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("seq")
-        total = self.total.get()[0] if self.total.exists() else 0
-        progress = []
-        for inc in pdf["increment"]:
-            total = 0 if inc == 100 else total + int(inc)
-            progress.append(100 if inc == 100 else min(100, 4 * total))
-        self.total.update((total,))
-        yield pd.DataFrame({"key": key[0], "seq": pdf["seq"].to_numpy(), "progress": progress})
-
-    def close(self) -> None:
-        pass
-
-
-def progress_stream(events: DataFrame) -> DataFrame:
-    """events(key, seq, increment, message) -> (key, seq, progress). Increments outside 0..100 and
-    events without a text message are dropped; 100 emits and resets the run."""
-    ok = events.where(F.col("increment").between(0, 100) & F.col("message").isNotNull())
-    return ok.select("key", "seq", "increment").groupBy("key").transformWithStateInPandas(
-        _Progress(), "key bigint, seq bigint, progress bigint", "append", "none",
-    )
-
-
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Process everything available, then stop."""
     q = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -100,6 +72,22 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return q
 
 
+def progress_stream(events: DataFrame, key: str, ts: str, tie: str, out: str, state: str,
+                    checkpoint: str) -> StreamingQuery:
+    """Running progress per request. ``out/batch=n`` holds the progress rows of a micro-batch,
+    ``state/v=n`` the sum of each run that has not ended. Events without a numeric increment or a
+    text message are dropped; 100 emits and resets the run."""
+    spark = events.sparkSession
+    valid = events.where(F.col("increment").isNotNull() & F.col("message").isNotNull())
+
+    def sink(batch: DataFrame, n: int) -> None:
+        kept = spark.read.parquet(f"{state}/v={n - 1}") if n else None
+        progress_running(batch, key, ts, tie, carry=kept).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        progress_carry(batch, key, ts, tie, kept).write.mode("overwrite").parquet(f"{state}/v={n}")
+
+    return run_available(valid, sink, checkpoint)
+
+
 def detect_stream(slices: DataFrame, spec: GridSpec, out: str, checkpoint: str) -> StreamingQuery:
     """Formations of every arriving instant. A batch overwrites only the partitions of its own
     instants, so a repeated batch gives the same table."""
