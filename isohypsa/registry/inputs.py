@@ -34,8 +34,9 @@ def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("s"))
 
 
-def synth_field(spark: SparkSession, params: DataFrame, spec: GridSpec = SPEC) -> DataFrame:
+def synth_field(params: DataFrame, spec: GridSpec = SPEC, scenarios: list | None = None) -> DataFrame:
     """field(time, i, j, h) from rows (time, s): base slope plus the three bumps of the scenario."""
+    scenarios = scenarios or SCENARIOS
     grid = params.select(
         "time", "s", F.explode(F.sequence(F.lit(0), F.lit(spec.nlat - 1))).alias("i"),
     ).select(
@@ -45,13 +46,15 @@ def synth_field(spark: SparkSession, params: DataFrame, spec: GridSpec = SPEC) -
 
     def bump(n: int):
         parts = []
-        for amp, blat, blon, slat, slon in (sc[n] for sc in SCENARIOS):
+        for amp, blat, blon, slat, slon in (sc[n] for sc in scenarios):
             a = F.lit(float(amp)) + (F.col("s") % 11 - 5 if n == 0 else F.lit(0))
             u = (F.col("lat") - F.lit(blat)) / F.lit(slat)
             v = (F.col("lon") - F.lit(blon)) / F.lit(slon)
             parts.append(a.cast("double") * F.exp(-(u * u + v * v)))
-        t = F.col("time") % 3
-        return F.when(t == 0, parts[0]).when(t == 1, parts[1]).otherwise(parts[2])
+        chosen = parts[-1]
+        for k, part in enumerate(parts[:-1]):
+            chosen = F.when(F.col("time") % len(parts) == k, part).otherwise(chosen)
+        return chosen
 
     h = F.lit(5900.0) - F.lit(8.0) * F.greatest(F.col("lat") - 25.0, F.lit(0.0)) + bump(0) + bump(1) + bump(2) + 0.5
     return grid.select("time", "i", "j", F.floor(h).cast("int").alias("h"))
@@ -61,4 +64,4 @@ def field(spark: SparkSession, sf_dir: str) -> DataFrame:
     # (time, s) rows are tiny but each becomes a whole grid: fix the number of partitions, or
     # adaptive execution would merge them into one by their bytes
     spread = instants(spark, sf_dir).repartition(shuffle_width(spark), "time", "s")
-    return synth_field(spark, spread)
+    return synth_field(spread)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isohypsa.functions import text as X
 from isohypsa.operators import catalogue as K
 from isohypsa.plans.lifecycle import request_lifecycle
-from isohypsa.registry.base import query
+from isohypsa.registry.base import ORACLES, query
 from isohypsa.registry.inputs import table
 from isohypsa.registry.mapdata import LISTING, listing
 from isohypsa.staging import scratch_path
@@ -408,7 +408,7 @@ def _progress_stream(s, d):
     return s.read.parquet(f"{base}/out").select("user_id", "event_id", "progress")
 
 
-@query("T07_detect_stream")
+@query("T07_detect_stream", ORACLES["Q03_detect_blocking"])
 def _detect_stream(s, d):
     from isohypsa.registry.inputs import SPEC, field
     from isohypsa.sources.grid import to_slices
@@ -421,11 +421,11 @@ def _detect_stream(s, d):
 def _versions(s, d, merge, rows, schema):
     src, root = scratch_path(s, "messages-in"), scratch_path(s, "catalogue")
     rows.write.parquet(src)
-    Z.catalogue_stream(s.readStream.schema(schema).parquet(src), merge, root, catalogue(s, d), scratch_path(s, "catalogue-cp"))
-    return Z.latest_version(s, root, 0)
+    q = Z.catalogue_stream(s.readStream.schema(schema).parquet(src), merge, root, catalogue(s, d), scratch_path(s, "catalogue-cp"))
+    return Z.latest_version(s, root, q)
 
 
-query("T08_admission_stream", None)(lambda s, d: _versions(
+query("T08_admission_stream", "SELECT requestHash, requestStatus, timesRequested FROM (" + ORACLES["U01_admit_requests"] + ")")(lambda s, d: _versions(
     s, d, lambda b, c: K.admit_requests(b, c).select(*CATALOGUE), arrivals(s, d), "requestHash string, userId bigint, arrival bigint"))
-query("T08_settlement_stream", None)(lambda s, d: _versions(
+query("T08_settlement_stream", "SELECT u.requestHash, u.requestStatus, c.timesRequested FROM (" + ORACLES["U02_settle_results"] + ") u JOIN (" + req_sql("SELECT * FROM cat", CAT) + ") c USING (requestHash)")(lambda s, d: _versions(
     s, d, lambda b, c: K.settle_results(b, c, stored(s, d), NOW_COL)[0].select(*CATALOGUE), done(s, d), "requestHash string, status string"))

@@ -114,5 +114,7 @@ def catalogue_stream(messages: DataFrame, merge: Callable[[DataFrame, DataFrame]
     return run_available(messages, sink, checkpoint)
 
 
-def latest_version(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    return spark.read.parquet(f"{root}/v={batch}")
+def latest_version(spark: SparkSession, root: str, query: StreamingQuery) -> DataFrame:
+    """The state after the last micro-batch of a finished query."""
+    last = query.lastProgress
+    return spark.read.parquet(f"{root}/v={last['batchId'] if last else -1}")
