@@ -46,29 +46,25 @@ def with_destination(
 ) -> DataFrame:
     """Great-circle destination. Points are single precision, also while in radians;
     the longitude is not wrapped."""
-    ad = dist_km.cast("double") / F.lit(float(EARTH_RADIUS_KM))
-    staged = df.withColumns({
-        "_la": rad(F.col(lat).cast("float")).cast("float").cast("double"),
-        "_lo": rad(F.col(lon).cast("float")).cast("float").cast("double"),
-        "_be": rad(bearing),
-        "_ad": ad,
+    pi = f"{math.pi!r}D"
+
+    def single(x: str) -> str:
+        return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+
+    staged = df.withColumns({"_km": dist_km.cast("double"), "_be": rad(bearing)}).withColumns({
+        "_la": F.expr(single(f"{single(lat)} * {pi} / 180D")),
+        "_lo": F.expr(single(f"{single(lon)} * {pi} / 180D")),
+        "_ad": F.expr(f"_km / {float(EARTH_RADIUS_KM)}D"),
     })
     staged = staged.withColumn(
-        "_fa",
-        F.asin(F.sin("_la") * F.cos("_ad") + F.cos("_la") * F.sin("_ad") * F.cos("_be"))
-        .cast("float").cast("double"),
-    )
-    staged = staged.withColumn(
-        "_fo",
-        (F.col("_lo") + F.atan2(
-            F.sin("_be") * F.sin("_ad") * F.cos("_la"),
-            F.cos("_ad") - F.sin("_la") * F.sin("_fa"),
-        )).cast("float").cast("double"),
+        "_fa", F.expr(single("asin(sin(_la) * cos(_ad) + cos(_la) * sin(_ad) * cos(_be))")),
+    ).withColumn(
+        "_fo", F.expr(single("_lo + atan2(sin(_be) * sin(_ad) * cos(_la), cos(_ad) - sin(_la) * sin(_fa))")),
     )
     return staged.withColumns({
-        out_lat: deg(F.col("_fa")).cast("float"),
-        out_lon: deg(F.col("_fo")).cast("float"),
-    }).drop("_la", "_lo", "_be", "_ad", "_fa", "_fo")
+        out_lat: F.expr(f"CAST(_fa * 180D / {pi} AS FLOAT)"),
+        out_lon: F.expr(f"CAST(_fo * 180D / {pi} AS FLOAT)"),
+    }).drop("_la", "_lo", "_be", "_ad", "_km", "_fa", "_fo")
 
 
 def with_bilinear_weights(df: DataFrame, spec: GridSpec, lat: str = "dest_lat", lon: str = "dest_lon") -> DataFrame:
@@ -78,39 +74,27 @@ def with_bilinear_weights(df: DataFrame, spec: GridSpec, lat: str = "dest_lat",
     Node order: (lat_lo, lon_lo), (lat_lo, lon_hi), (lat_hi, lon_lo), (lat_hi, lon_hi).
     With ``spec.compat`` the weights of the two mixed nodes are exchanged.
     """
-    r = F.lit(float(spec.res))
+    r = f"{float(spec.res)!r}D"
+    area = f"CAST(CAST({float(spec.res) ** 2!r}D AS FLOAT) AS DOUBLE)"
     df = df.withColumns({
-        "_fl": F.floor(F.col(lat).cast("double") / r),
-        "_fo": F.floor(F.col(lon).cast("double") / r),
-    })
-    df = df.withColumns({
-        "_i": (F.lit(spec.north) - F.col("_fl")).cast("int"),
-        "_j": (F.col("_fo") + F.lit(spec.west)).cast("int"),
+        "_fl": F.expr(f"floor(CAST({lat} AS DOUBLE) / {r})"), "_fo": F.expr(f"floor(CAST({lon} AS DOUBLE) / {r})"),
+    }).withColumns({
+        "_i": F.expr(f"CAST({spec.north} - _fl AS INT)"), "_j": F.expr(f"CAST(_fo + {spec.west} AS INT)"),
         # distances to the enclosing nodes, single precision
-        "_dn": (((F.col("_fl") + 1) * r).cast("float") - F.col(lat)),
-        "_ds": (F.col(lat) - (F.col("_fl") * r).cast("float")),
-        "_de": (((F.col("_fo") + 1) * r).cast("float") - F.col(lon)),
-        "_dw": (F.col(lon) - (F.col("_fo") * r).cast("float")),
+        "_dn": F.expr(f"CAST((_fl + 1) * {r} AS FLOAT) - {lat}"), "_ds": F.expr(f"{lat} - CAST(_fl * {r} AS FLOAT)"),
+        "_de": F.expr(f"CAST((_fo + 1) * {r} AS FLOAT) - {lon}"), "_dw": F.expr(f"{lon} - CAST(_fo * {r} AS FLOAT)"),
     })
-    ok = (
-        (F.col("_i") >= 1) & (F.col("_i") <= spec.nlat - 1)
-        & (F.col("_j") >= 0) & (F.col("_j") <= spec.nlon - 2)
-    )
-    area = F.lit(float(spec.res) * float(spec.res)).cast("float")
+    ok = f"_i BETWEEN 1 AND {spec.nlat - 1} AND _j BETWEEN 0 AND {spec.nlon - 2}"
 
     def weight(a: str, b: str) -> Column:
-        return F.when(ok, ((F.col(a) * F.col(b)).cast("double") / area.cast("double")).cast("float"))
+        return F.expr(f"CASE WHEN {ok} THEN CAST(CAST({a} * {b} AS DOUBLE) / {area} AS FLOAT) END")
 
     mixed_hi, mixed_lo = weight("_ds", "_de"), weight("_dn", "_dw")
     if not spec.compat:
         mixed_hi, mixed_lo = mixed_lo, mixed_hi
     return df.withColumns({
-        "i_lo": F.when(ok, F.col("_i")),
-        "j_lo": F.when(ok, F.col("_j")),
-        "w11": weight("_dn", "_de"),
-        "w12": mixed_hi,
-        "w21": mixed_lo,
-        "w22": weight("_ds", "_dw"),
+        "i_lo": F.expr(f"CASE WHEN {ok} THEN _i END"), "j_lo": F.expr(f"CASE WHEN {ok} THEN _j END"),
+        "w11": weight("_dn", "_de"), "w12": mixed_hi, "w21": mixed_lo, "w22": weight("_ds", "_dw"),
     }).drop("_fl", "_fo", "_i", "_j", "_dn", "_ds", "_de", "_dw")
 
 

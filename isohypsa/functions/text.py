@@ -27,8 +27,9 @@ MIME_TYPES = {
 DEFAULT_MIME = "application/octet-stream"
 PREVIEW_EXTENSIONS = ("jpg", "jpeg", "png", "svg", "gif", "pdf")
 DATA_FOLDER = "/app/config/data"
-# Checked before the cast: a failing cast costs an exception per element.
-NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+# Texts read as numbers; an empty one counts as zero. Checked before the cast, because a failing
+# cast costs an exception per element.
+NUMBER = r"^\s*([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?)?\s*$"
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -44,13 +45,13 @@ def sort_numeric_or_text(arr: Column) -> Column:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
     def number(v: Column) -> Column:
-        return F.when(F.trim(v) == "", F.lit(0.0)).when(v.rlike(NUMBER), v.try_cast("double"))
+        return F.coalesce(v.try_cast("double"), F.lit(0.0))
 
-    numeric = F.array_sort(F.transform(arr, lambda v, i: F.struct(number(v).alias("n"), i.alias("p"), v.alias("v"))))
-    text = F.array_sort(F.transform(arr, lambda v: F.struct(
+    numeric = F.sort_array(F.transform(arr, lambda v, i: F.struct(number(v).alias("n"), i.alias("p"), v.alias("v"))))
+    text = F.sort_array(F.transform(arr, lambda v: F.struct(
         F.lower(v).alias("n"), F.translate(v, upper + lower, lower + upper).alias("p"), v.alias("v"),
     )))
-    return F.when(F.forall(arr, lambda v: number(v).isNotNull()), F.transform(numeric, lambda e: e["v"])).otherwise(
+    return F.when(F.size(arr) <= 1, arr).when(F.forall(arr, lambda v: v.rlike(NUMBER)), F.transform(numeric, lambda e: e["v"])).otherwise(
         F.transform(text, lambda e: e["v"])
     )
 
@@ -86,7 +87,7 @@ def two_digits(arr: Column) -> Column:
 
 def compact_ranges(values: Column) -> Column:
     """Runs of consecutive integers as ``a-b`` (or ``a``), joined with '-', two digits each."""
-    s = F.array_sort(F.transform(values, lambda v: v.cast("int")))
+    s = F.sort_array(F.transform(values, lambda v: v.cast("int")))
     n = F.size(s)
     first = F.filter(s, lambda v, i: (i == 0) | (v != F.get(s, i - 1) + 1))
     last = F.filter(s, lambda v, i: (i == n - 1) | (F.get(s, i + 1) != v + 1))

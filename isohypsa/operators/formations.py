@@ -103,7 +103,7 @@ def omega_fold(candidates: DataFrame) -> DataFrame:
             F.when(better & ~west, c["low"]).otherwise(state["east"]).alias("east"),
         )
 
-    queue = F.array_sort(F.collect_list(F.struct(
+    queue = F.sort_array(F.collect_list(F.struct(
         "first_k", "min_id", "side",
         F.struct(
             F.col("min_id").cast("int").alias("id"), F.col("min_center_lat").cast("double").alias("lat"),

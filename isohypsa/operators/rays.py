@@ -41,9 +41,10 @@ def rays() -> list[tuple[int, int]]:
 
 def ray_column() -> Column:
     """The rays as one array literal, to be exploded beside any row."""
-    return F.array(*[
-        F.struct(F.lit(n).alias("ray"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, (dx, dy) in enumerate(rays())
-    ])
+    items = ", ".join(
+        f"named_struct('ray', {n}, 'dx', {dx}, 'dy', {dy})" for n, (dx, dy) in enumerate(rays())
+    )
+    return F.expr(f"array({items})")
 
 
 def direction_set(df: DataFrame) -> DataFrame:

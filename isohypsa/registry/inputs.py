@@ -44,20 +44,16 @@ def synth_field(params: DataFrame, spec: GridSpec = SPEC, scenarios: list | None
         (F.lit(90.0) - F.col("i") * F.lit(float(spec.res))).alias("lat"),
     ).withColumn("lon", F.lit(-180.0) + F.col("j") * F.lit(float(spec.res)))
 
-    def bump(n: int):
-        parts = []
-        for amp, blat, blon, slat, slon in (sc[n] for sc in scenarios):
-            a = F.lit(float(amp)) + (F.col("s") % 11 - 5 if n == 0 else F.lit(0))
-            u = (F.col("lat") - F.lit(blat)) / F.lit(slat)
-            v = (F.col("lon") - F.lit(blon)) / F.lit(slon)
-            parts.append(a.cast("double") * F.exp(-(u * u + v * v)))
-        chosen = parts[-1]
-        for k, part in enumerate(parts[:-1]):
-            chosen = F.when(F.col("time") % len(parts) == k, part).otherwise(chosen)
-        return chosen
-
-    h = F.lit(5900.0) - F.lit(8.0) * F.greatest(F.col("lat") - 25.0, F.lit(0.0)) + bump(0) + bump(1) + bump(2) + 0.5
-    return grid.select("time", "i", "j", F.floor(h).cast("int").alias("h"))
+    def bump(n: int) -> str:
+        arms = []
+        for k, (amp, blat, blon, slat, slon) in enumerate(sc[n] for sc in scenarios):
+            a = f"({float(amp)}D + {'(s % 11 - 5)' if n == 0 else '0'})"
+            u, v = f"((lat - {blat}D) / {slat}D)", f"((lon - ({blon}D)) / {slon}D)"
+            arms.append(f"WHEN {k} THEN {a} * exp(-({u} * {u} + {v} * {v}))")
+        return f"(CASE time % {len(scenarios)} {' '.join(arms)} END)"
+
+    h = f"floor(5900D - 8D * greatest(lat - 25D, 0D) + {bump(0)} + {bump(1)} + {bump(2)} + 0.5D)"
+    return grid.select("time", "i", "j", F.expr(f"CAST({h} AS INT) AS h"))
 
 
 def field(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ def to_slices(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
         .groupBy("time", "i", "j").agg(F.min(F.col(value)).alias("v"))
     )
     rows = uniq.repartition(shuffle_width(field.sparkSession), "time").groupBy("time", "i").agg(
-        F.array_sort(F.collect_list(F.struct("j", "v"))).alias("cells")
+        F.sort_array(F.collect_list(F.struct("j", "v"))).alias("cells")
     )
     gaps = F.transform(
         F.sequence(F.lit(0), F.lit(spec.nlon - 1)),
@@ -148,7 +148,7 @@ def to_slices(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
         "time", "i",
         F.when(F.size("cells") == spec.nlon, F.col("cells.v")).otherwise(gaps).alias("vals"),
     )
-    stacked = rows.groupBy("time").agg(F.array_sort(F.collect_list(F.struct("i", "vals"))).alias("rows"))
+    stacked = rows.groupBy("time").agg(F.sort_array(F.collect_list(F.struct("i", "vals"))).alias("rows"))
     blank = F.array_repeat(F.lit(None).cast("int"), spec.nlon)
     holes = F.transform(
         F.sequence(F.lit(0), F.lit(spec.nlat - 1)),
