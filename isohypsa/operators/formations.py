@@ -46,41 +46,62 @@ def open_levels(levels: DataFrame, limits: DataFrame) -> DataFrame:
     ).where(F.col("search").isNotNull())
 
 
-def _with_min_limits(pairs: DataFrame, levels: DataFrame, limits: DataFrame, search: str) -> DataFrame:
+def formation_candidates(pairs: DataFrame, levels: DataFrame, limits: DataFrame, spec: GridSpec) -> DataFrame:
+    """Minima that may complete a formation, per (MAX, level); ``search`` tells which kind."""
+    kind, lev = F.lit("MIN"), F.col("level")
     minima = limits.where("type = 'MIN'").withColumnRenamed("id", "min_id").drop("type")
-    return (
+    c = (
         pairs.where(F.col("min_center_lat") <= F.col("max_center_lat"))
         .join(minima, ["time", "min_id"])
-        .join(levels.where(F.col("search") == search), ["time", "max_id"])
-        .where(~passes("closed_at", F.col("level"), F.lit("MIN")))
+        .join(levels, ["time", "max_id"])
+        .where(~passes("closed_at", lev, kind))
     )
-
-
-def omega_candidates(pairs: DataFrame, levels: DataFrame, limits: DataFrame) -> DataFrame:
-    """Minima that may close one side of an OMEGA, per (MAX, level)."""
-    kind, lev = F.lit("MIN"), F.col("level")
-    c = _with_min_limits(pairs, levels, limits, "OMEGA").where(F.col("max_contour") != F.col("min_contour"))
     c = with_unwrapped_pair(c, "max_center_lon", "min_center_lon")
     inner = F.when(F.col("side") == "WEST", passes("right_most", lev, kind)).otherwise(
         passes("left_most", lev, kind)
     )
-    return c.where(F.col("side").isNotNull() & passes("bottom_most", lev, kind) & inner).select(
-        "time", "max_id", "first_k", "level", "min_id", "side",
-        "max_center_lat", "max_center_lon", "min_center_lat", "min_center_lon",
+    omega = (
+        (F.col("max_contour") != F.col("min_contour")) & F.col("side").isNotNull()
+        & passes("bottom_most", lev, kind) & inner
+    )
+    rex = (
+        (F.abs(F.col("max_center_lon") - F.col("min_center_lon")) <= spec.rex_dlon)
+        & passes("bottom_all", lev, kind) & passes("left_all", lev, kind) & passes("top_most", lev, kind)
+    )
+    return c.where(F.when(F.col("search") == "OMEGA", omega).otherwise(rex)).select(
+        "time", "max_id", "search", "first_k", "level", "min_id", "side",
+        "max_center_lat", "max_center_lon", "min_center_lat", "min_center_lon", stable_km(F.col("km")).alias("km"),
     )
 
 
+def omega_candidates(candidates: DataFrame) -> DataFrame:
+    return candidates.where(F.col("search") == "OMEGA").drop("search", "km")
+
+
+def rex_candidates(candidates: DataFrame) -> DataFrame:
+    return candidates.where(F.col("search") == "REX").select("time", "max_id", "first_k", "level", "min_id", "km")
+
+
 def _km(a: Column, b: Column) -> Column:
     return stable_km(haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]))
 
 
-def omega_fold(candidates: DataFrame) -> DataFrame:
+def _queue() -> Column:
+    """One candidate of the fold, ordered by (level in first-visit order, cluster id)."""
+    def point(role: str) -> Column:
+        return F.struct(
+            F.col(f"{role}_id").cast("int").alias("id"), F.col(f"{role}_center_lat").cast("double").alias("lat"),
+            F.col(f"{role}_center_lon").cast("double").alias("lon"),
+        )
+
+    return F.struct("first_k", "min_id", "side", point("min").alias("low"), point("max").alias("top"))
+
+
+def _fold(queue: Column) -> Column:
     """Order-dependent choice of the western and eastern minimum.
 
-    Candidates are visited by (level in first-visit order, cluster id); both sides share one
-    score. An unset partner is a point at 1e30 degrees and takes part in the distances. A group is
-    one MAX of one instant: at most levels x minima of that instant.
-    """
+    Both sides share one score. An unset partner is a point at 1e30 degrees and takes part in the
+    distances."""
     point = "struct<id:int,lat:double,lon:double>"
     unset = F.struct(
         F.lit(-1).alias("id"), F.lit(UNSET).cast("float").cast("double").alias("lat"),
@@ -103,19 +124,14 @@ def omega_fold(candidates: DataFrame) -> DataFrame:
             F.when(better & ~west, c["low"]).otherwise(state["east"]).alias("east"),
         )
 
-    queue = F.sort_array(F.collect_list(F.struct(
-        "first_k", "min_id", "side",
-        F.struct(
-            F.col("min_id").cast("int").alias("id"), F.col("min_center_lat").cast("double").alias("lat"),
-            F.col("min_center_lon").cast("double").alias("lon"),
-        ).alias("low"),
-        F.struct(
-            F.col("max_id").cast("int").alias("id"), F.col("max_center_lat").cast("double").alias("lat"),
-            F.col("max_center_lon").cast("double").alias("lon"),
-        ).alias("top"),
-    )))
-    folded = candidates.groupBy("time", "max_id").agg(queue.alias("q")).select(
-        "time", "max_id", F.aggregate("q", start, visit).alias("s"),
+    return F.aggregate(queue, start, visit)
+
+
+def omega_fold(candidates: DataFrame) -> DataFrame:
+    """West and east minimum of each MAX. A group is one MAX of one instant: at most levels x
+    minima of that instant."""
+    folded = candidates.groupBy("time", "max_id").agg(F.sort_array(F.collect_list(_queue())).alias("q")).select(
+        "time", "max_id", _fold(F.col("q")).alias("s"),
     )
     return folded.select(
         "time", "max_id", F.col("s.west.id").alias("west_id"), F.col("s.east.id").alias("east_id"),
@@ -123,14 +139,6 @@ def omega_fold(candidates: DataFrame) -> DataFrame:
     )
 
 
-def rex_candidates(pairs: DataFrame, levels: DataFrame, limits: DataFrame, spec: GridSpec) -> DataFrame:
-    kind, lev = F.lit("MIN"), F.col("level")
-    return _with_min_limits(pairs, levels, limits, "REX").where(
-        (F.abs(F.col("max_center_lon") - F.col("min_center_lon")) <= spec.rex_dlon)
-        & passes("bottom_all", lev, kind) & passes("left_all", lev, kind) & passes("top_most", lev, kind)
-    ).select("time", "max_id", "first_k", "level", "min_id", stable_km(F.col("km")).alias("km"))
-
-
 def rex_nearest(candidates: DataFrame) -> DataFrame:
     """Nearest candidate; on equal distance the earlier level, then the lower id."""
     return candidates.groupBy("time", "max_id").agg(
@@ -153,6 +161,22 @@ def resolve(omega: DataFrame, rex: DataFrame) -> DataFrame:
     )
 
 
+def formations(candidates: DataFrame) -> DataFrame:
+    """``resolve`` of the fold and the nearest REX minimum in one aggregation per (time, MAX)."""
+    is_rex = F.col("search") == "REX"
+    found = candidates.groupBy("time", "max_id").agg(
+        F.sort_array(F.collect_list(F.when(~is_rex, _queue()))).alias("q"),
+        F.min(F.when(is_rex, F.struct("km", "first_k", "min_id"))).alias("rex"),
+    ).select("time", "max_id", F.col("rex.min_id").alias("rex_id"), _fold(F.col("q")).alias("s"))
+    rex = F.col("rex_id").isNotNull()
+    return found.where(rex | ((F.col("s.west.id") >= 0) & (F.col("s.east.id") >= 0))).select(
+        "time", "max_id",
+        F.when(rex, F.col("rex_id")).otherwise(F.col("s.west.id")).alias("min1_id"),
+        F.when(rex, F.lit(-1)).otherwise(F.col("s.east.id")).alias("min2_id"),
+        F.when(rex, "REX").otherwise("OMEGA").alias("type"),
+    )
+
+
 def formation_clusters(formations: DataFrame, clusters: DataFrame) -> DataFrame:
     """Resolve the ids of a formation to centre and contour of each partner."""
     out = formations

@@ -50,21 +50,13 @@ class Detection:
     def pairs(self) -> DataFrame:
         return B.near_pairs(self.clusters, self.spec)
 
-    def omega_candidates(self) -> DataFrame:
-        limits = self.limits
-        return B.omega_candidates(self.pairs, B.open_levels(self.levels, limits), limits)
-
-    def rex_candidates(self) -> DataFrame:
-        limits = self.limits
-        return B.rex_candidates(self.pairs, B.open_levels(self.levels, limits), limits, self.spec)
+    def candidates(self) -> DataFrame:
+        # the thresholds serve the maxima's levels and the minima: written once
+        limits = stage(self.limits, "limits")
+        return B.formation_candidates(self.pairs, B.open_levels(self.levels, limits), limits, self.spec)
 
     def formations(self) -> DataFrame:
-        limits = stage(self.limits, "limits")
-        levels = stage(B.open_levels(self.levels, limits), "levels")
-        pairs = self.pairs
-        omega = B.omega_fold(B.omega_candidates(pairs, levels, limits))
-        rex = B.rex_nearest(B.rex_candidates(pairs, levels, limits, self.spec))
-        return B.resolve(omega, rex)
+        return B.formations(self.candidates())
 
 
 def cluster_extrema(field: DataFrame | None, spec: GridSpec, slices: DataFrame | None = None,

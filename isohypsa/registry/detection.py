@@ -195,15 +195,22 @@ query("G07_unwrap_pair", chain("sides") + "SELECT time, max_id, min_id, ma AS lo
     lambda s, d: G.with_unwrapped_pair(det(s, d).pairs, "max_center_lon", "min_center_lon")
     .select("time", "max_id", "min_id", "lon_a_int", "lon_b_int", "side"))
 query("W05_omega_candidates", chain("omegacand") + "SELECT time, max_id, first_k, level, min_id, side FROM omegacand")(
-    lambda s, d: staged(s, d).omega_candidates().select("time", "max_id", "first_k", "level", "min_id", "side"))
+    lambda s, d: B.omega_candidates(staged(s, d).candidates()).select("time", "max_id", "first_k", "level", "min_id", "side"))
 query("W05_omega_fold", chain("omega") + "SELECT time, max_id, west_id, east_id, round(score, 6) AS score FROM omega")(
-    lambda s, d: B.omega_fold(staged(s, d).omega_candidates()).withColumn("score", F.round("score", 6)))
+    lambda s, d: B.omega_fold(B.omega_candidates(staged(s, d).candidates())).withColumn("score", F.round("score", 6)))
 query("W06_rex_candidates", chain("rexcand") + "SELECT time, max_id, first_k, level, min_id, km FROM rexcand")(
-    lambda s, d: staged(s, d).rex_candidates())
+    lambda s, d: B.rex_candidates(staged(s, d).candidates()))
 query("W06_rex_nearest", chain("rex") + "SELECT time, max_id, rex_id, rex_km FROM rex")(
-    lambda s, d: B.rex_nearest(staged(s, d).rex_candidates()))
+    lambda s, d: B.rex_nearest(B.rex_candidates(staged(s, d).candidates())))
 FORMS = chain("formations") + "SELECT time, max_id, min1_id, min2_id, type FROM formations"
-query("W07_resolve_formation", FORMS)(lambda s, d: staged(s, d).formations())
+
+
+@query("W07_resolve_formation", FORMS)
+def _resolve(s, d):
+    c = staged(s, d).candidates()
+    return B.resolve(B.omega_fold(B.omega_candidates(c)), B.rex_nearest(B.rex_candidates(c)))
+
+
 query("Q03_detect_blocking", FORMS)(lambda s, d: D.detect_blocking(field(s, d), SPEC))
 ROLES = ("max", "min1", "min2")
 
