@@ -14,7 +14,7 @@ import sys
 import time
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "1"))
 NATIVE = int(os.environ.get("BENCH_NATIVE", "0"))
 HEADLINE = (
     "Q01_detect_extrema", "Q02_cluster_extrema", "Q03_detect_blocking", "Q04_heat_clusters",

@@ -187,12 +187,18 @@ def unwrap_set(df: DataFrame, keys: list[str], lon: str = "lon", out: str = "lon
 
 def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
     """Monotone-chain convex hull of one formation's points, pushed out from the vertex mean."""
-    pts = np.unique(pdf[["lon_unwrapped", "lat"]].to_numpy(), axis=0)
+    lon, lat = pdf["lon"].to_numpy(), pdf["lat"].to_numpy()
+    if lon.max() - lon.min() >= 180:
+        lon = np.where(lon < 0, lon + 360, lon)
+    pts = np.unique(np.column_stack([lon, lat]), axis=0)
 
     def half(seq):
         out: list = []
         for p in seq:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], p - out[-2]) <= 0:
+            while len(out) > 1:
+                (ax, ay), (bx, by) = out[-2], out[-1]
+                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > 0:
+                    break
                 out.pop()
             out.append(p)
         return out[:-1]
@@ -207,25 +213,26 @@ def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def formation_hull(members: DataFrame) -> DataFrame:
     """Hull vertices per formation; a group is one formation's clusters (bounded by the lattice)."""
-    pts = unwrap_set(members.select("time", "max_id", "lat", "lon"), ["time", "max_id"])
-    return pts.groupBy("time", "max_id").applyInPandas(
+    return members.select("time", "max_id", "lat", "lon").groupBy("time", "max_id").applyInPandas(
         _hull, "time int, max_id int, vertex int, lat double, lon double",
     )
 
 
 def formation_label(members: DataFrame) -> DataFrame:
-    """Position of the type label of each formation."""
-    pts = unwrap_set(members, ["time", "max_id"])
-    mid_lon = (F.min("lon_unwrapped") + F.max("lon_unwrapped")) / 2
-    mid_lat = (F.min("lat") + F.max("lat")) / 2
-    return pts.groupBy("time", "max_id", "form_type").agg(
-        mid_lat.alias("mid_lat"), F.least(mid_lon, F.lit(MAX_LABEL_LON)).alias("label_lon"),
-    ).select(
-        "time", "max_id", "form_type",
-        F.when(F.col("form_type") == "OMEGA", F.col("mid_lat") - OMEGA_LABEL_SOUTH).otherwise(
-            F.col("mid_lat")
-        ).alias("label_lat"),
-        "label_lon",
+    """Position of the type label of each formation and its number of points. Both readings of the
+    longitudes (plain and unwrapped) are kept in one aggregation, the span picks one afterwards."""
+    lon = F.col("lon")
+    east = F.when(lon < 0, lon + 360).otherwise(lon)
+    ranges = members.groupBy("time", "max_id", "form_type").agg(
+        F.min(lon).alias("_lo"), F.max(lon).alias("_hi"), F.min(east).alias("_elo"), F.max(east).alias("_ehi"),
+        ((F.min("lat") + F.max("lat")) / 2).alias("_mid"), F.count(F.lit(1)).alias("n_points"),
+    )
+    wide = F.col("_hi") - F.col("_lo") >= 180
+    mid_lon = F.when(wide, F.col("_elo") + F.col("_ehi")).otherwise(F.col("_lo") + F.col("_hi")) / 2
+    south = F.when(F.col("form_type") == "OMEGA", OMEGA_LABEL_SOUTH).otherwise(0.0)
+    return ranges.select(
+        "time", "max_id", "form_type", (F.col("_mid") - south).alias("label_lat"),
+        F.least(mid_lon, F.lit(MAX_LABEL_LON)).alias("label_lon"), "n_points",
     )
 
 

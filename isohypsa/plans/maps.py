@@ -47,9 +47,7 @@ def combined_map_data(crossings: DataFrame, selected: DataFrame) -> DataFrame:
 
 def formation_map_data(formations: DataFrame, points: DataFrame) -> DataFrame:
     """One row per formation: label position and number of member points."""
-    members = M.formation_members(formations, points)
-    sizes = members.groupBy("time", "max_id").agg(F.count(F.lit(1)).alias("n_points"))
-    return M.formation_label(members).join(sizes, ["time", "max_id"])
+    return M.formation_label(M.formation_members(formations, points))
 
 
 def surface_map_data(field: DataFrame, spec: GridSpec, area: tuple[float, float, float, float], value: str = "h") -> DataFrame:

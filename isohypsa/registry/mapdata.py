@@ -240,7 +240,7 @@ query("A14_formation_hull")(lambda s, d: M.formation_hull(members(s, d)))
 UNWRAP = "unwrapped AS (SELECT *, CASE WHEN MAX(lon) OVER (PARTITION BY time, max_id) - MIN(lon) OVER (PARTITION BY time, max_id) >= 180 AND lon < 0 THEN lon + 360 ELSE lon END AS ulon FROM members)"
 LABEL_SQL = """SELECT time, max_id, form_type, (MIN(lat) + MAX(lat))/2 - CASE WHEN form_type = 'OMEGA' THEN 8 ELSE 0 END AS label_lat, least((MIN(ulon) + MAX(ulon))/2, 170) AS label_lon"""
 query("A15_formation_label", with_ctes(MEMBER_CHAIN, UNWRAP) + LABEL_SQL + " FROM unwrapped GROUP BY time, max_id, form_type")(
-    lambda s, d: M.formation_label(members(s, d)))
+    lambda s, d: M.formation_label(members(s, d)).drop("n_points"))
 query("A15_group_label", MEMBER_CHAIN + "SELECT time, max_id, role, cluster, MAX(lat) + 0.5::DOUBLE AS label_lat, first(lon ORDER BY lat DESC, scan) + 0.5::DOUBLE AS label_lon FROM members GROUP BY time, max_id, role, cluster")(
     lambda s, d: M.group_label(members(s, d)))
 

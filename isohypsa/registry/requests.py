@@ -14,7 +14,12 @@ from isohypsa.staging import scratch_path
 from isohypsa.streaming import messages as Z
 
 NOW = "2000-06-01 00:00:00"
-NOW_COL = F.lit(NOW).cast("timestamp")
+
+
+def now_col():
+    return F.lit(NOW).cast("timestamp")
+
+
 NOW_SQL = f"TIMESTAMP '{NOW}'"
 
 
@@ -168,7 +173,7 @@ def _validity(s, d):
 query("F11_request_config_projection", req_sql("SELECT requestHash, variableName, array_to_string(pressureLevels, '|') AS pressureLevels, noMaps, mpi, nThreads, CAST(NULL AS VARCHAR) AS nProces FROM req"))(
     lambda s, d: K.config_projection(requests(s, d).drop("nProces")).select("requestHash", "variableName", join_text("pressureLevels").alias("pressureLevels"), "noMaps", "mpi", "nThreads", "nProces"))
 query("F12_return_view", req_sql(f"SELECT requestHash, array_to_string(mapLevels, '|') AS mapLevels, noMaps, coalesce(mpi, false) AS mpi, coalesce(timesRequested, 0) AS timesRequested, {sfmt(f'coalesce(updatedAt, {NOW_SQL})')} AS updatedAt, requestStatus FROM req"))(
-    lambda s, d: K.return_view(requests(s, d), NOW_COL).select("requestHash", join_text("mapLevels").alias("mapLevels"), "noMaps", "mpi", "timesRequested", fmt("updatedAt").alias("updatedAt"), "requestStatus"))
+    lambda s, d: K.return_view(requests(s, d), now_col()).select("requestHash", join_text("mapLevels").alias("mapLevels"), "noMaps", "mpi", "timesRequested", fmt("updatedAt").alias("updatedAt"), "requestStatus"))
 
 # --- files -------------------------------------------------------------------------------------
 
@@ -236,7 +241,7 @@ query("J09_request_with_relations", req_sql(f"""SELECT r.requestHash, coalesce(b
 query("J10_requests_by_hashes", req_sql("SELECT requestHash, requestStatus FROM req WHERE requestHash IN (SELECT 'h' || l_orderkey FROM lineitem WHERE l_returnflag = 'R')"))(
     lambda s, d: K.requests_by_hashes(requests(s, d), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("h"), F.col("l_orderkey")).alias("requestHash"))).select("requestHash", "requestStatus"))
 query("J11_files_without_catalogue", f"WITH {FILES} SELECT requestHash, file FROM stored WHERE requestHash NOT IN (SELECT requestHash FROM files WHERE expiresAt >= {NOW_SQL})")(
-    lambda s, d: K.files_without_catalogue(stored(s, d), cat_files(s, d).where(F.col("expiresAt") >= NOW_COL)).select("requestHash", "file"))
+    lambda s, d: K.files_without_catalogue(stored(s, d), cat_files(s, d).where(F.col("expiresAt") >= now_col())).select("requestHash", "file"))
 
 
 def user_changes(s, d):
@@ -367,12 +372,12 @@ DONE = "done AS (SELECT 'h' || o_orderkey AS requestHash FROM orders WHERE o_ord
 query("U02_settle_results", req_sql(f"""SELECT c.requestHash, CASE WHEN d.requestHash IS NULL THEN c.requestStatus WHEN n.n > 0 THEN 'CACHED' ELSE 'EMPTY' END AS requestStatus,
   CASE WHEN d.requestHash IS NOT NULL THEN coalesce(n.n, 0) END AS n_files, CASE WHEN d.requestHash IS NOT NULL AND n.n > 0 THEN {sfmt(NOW_SQL + ' + INTERVAL 7 DAY')} END AS expiresAt
   FROM cat c LEFT JOIN done d USING (requestHash) LEFT JOIN (SELECT requestHash, COUNT(*) AS n FROM stored GROUP BY 1) n USING (requestHash)""", CAT, DONE, STORED))(
-    lambda s, d: K.settle_results(done(s, d), catalogue(s, d), stored(s, d), NOW_COL)[0].select("requestHash", "requestStatus", "n_files", fmt("expiresAt").alias("expiresAt")))
+    lambda s, d: K.settle_results(done(s, d), catalogue(s, d), stored(s, d), now_col())[0].select("requestHash", "requestStatus", "n_files", fmt("expiresAt").alias("expiresAt")))
 query("U02_settled_files", req_sql(f"SELECT requestHash, file, '/api/files/proxy/' || requestHash || '/' || file AS url, {sfmt(NOW_SQL + ' + INTERVAL 7 DAY')} AS expiresAt FROM stored WHERE requestHash IN (SELECT requestHash FROM done)", DONE, STORED))(
-    lambda s, d: K.settle_results(done(s, d), catalogue(s, d), stored(s, d), NOW_COL)[1].select("requestHash", "file", "url", fmt("expiresAt").alias("expiresAt")))
+    lambda s, d: K.settle_results(done(s, d), catalogue(s, d), stored(s, d), now_col())[1].select("requestHash", "file", "url", fmt("expiresAt").alias("expiresAt")))
 query("U03_expire_files", f"WITH {FILES} SELECT requestHash, file, expiresAt < {NOW_SQL} AS deleted FROM files")(
     lambda s, d: (lambda gone, kept: gone.withColumn("deleted", F.lit(True)).unionByName(kept.withColumn("deleted", F.lit(False))))(
-        *K.expire_files(cat_files(s, d), NOW_COL)).select("requestHash", "file", "deleted"))
+        *K.expire_files(cat_files(s, d), now_col())).select("requestHash", "file", "deleted"))
 REFUSED = "refused AS (SELECT c.id, c.email FROM chg c WHERE EXISTS (SELECT 1 FROM users u WHERE u.email = c.email AND u.id <> c.id) OR (c.email IS NOT NULL AND c.id > (SELECT MIN(id) FROM chg x WHERE x.email = c.email)))"
 query("U04_user_upsert", f"""WITH {USERS}, {CHANGES}, {REFUSED}, good AS (SELECT * FROM chg WHERE id NOT IN (SELECT id FROM refused))
   SELECT coalesce(u.id, g.id) AS id, coalesce(nullif(g.name, ''), u.name) AS name, coalesce(g.email, u.email) AS email, coalesce(g.role, u.role, 'user') AS role FROM users u FULL JOIN good g ON g.id = u.id""")(
@@ -392,7 +397,7 @@ query("Q07_request_lifecycle", req_sql(f"""SELECT a.hash AS requestHash, 'GENERA
  FROM (SELECT sha256({CANON}) AS hash, key, len(pressureLevels)*len(years)*len(months)*len(days)*len(hours)*len(mapTypes)*len(mapLevels) AS n_tasks FROM (SELECT * REPLACE (CASE WHEN len(mapLevels) > 0 THEN mapLevels WHEN lower(variableName) = 'temperature' THEN ['10'] ELSE ['20'] END AS mapLevels, CASE WHEN lower(variableName) = 'temperature' THEN ['cont'] ELSE mapTypes END AS mapTypes) FROM req WHERE {VIOLATIONS} = '')) a
  LEFT JOIN (SELECT sha AS hash, COUNT(DISTINCT file) AS n FROM (SELECT sha256({CANON}) AS sha, s.file FROM (SELECT * REPLACE (CASE WHEN len(mapLevels) > 0 THEN mapLevels WHEN lower(variableName) = 'temperature' THEN ['10'] ELSE ['20'] END AS mapLevels, CASE WHEN lower(variableName) = 'temperature' THEN ['cont'] ELSE mapTypes END AS mapTypes) FROM req WHERE {VIOLATIONS} = '') JOIN stored s USING (requestHash)) GROUP BY 1) n ON n.hash = a.hash
  GROUP BY a.hash""", STORED))(
-    lambda s, d: request_lifecycle(requests(s, d), stored(s, d), NOW_COL))
+    lambda s, d: request_lifecycle(requests(s, d), stored(s, d), now_col()))
 
 
 @query("T04_progress_stream", RUNNING + " SELECT user_id, event_id, CAST(progress AS BIGINT) AS progress FROM run")
@@ -428,4 +433,4 @@ def _versions(s, d, merge, rows, schema):
 query("T08_admission_stream", "SELECT requestHash, requestStatus, timesRequested FROM (" + ORACLES["U01_admit_requests"] + ")")(lambda s, d: _versions(
     s, d, lambda b, c: K.admit_requests(b, c).select(*CATALOGUE), arrivals(s, d), "requestHash string, userId bigint, arrival bigint"))
 query("T08_settlement_stream", "SELECT u.requestHash, u.requestStatus, c.timesRequested FROM (" + ORACLES["U02_settle_results"] + ") u JOIN (" + req_sql("SELECT * FROM cat", CAT) + ") c USING (requestHash)")(lambda s, d: _versions(
-    s, d, lambda b, c: K.settle_results(b, c, stored(s, d), NOW_COL)[0].select(*CATALOGUE), done(s, d), "requestHash string, status string"))
+    s, d, lambda b, c: K.settle_results(b, c, stored(s, d), now_col())[0].select(*CATALOGUE), done(s, d), "requestHash string, status string"))

@@ -26,9 +26,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the scratch folder and continue from the written table."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_paths() -> list[str]:
+    return list(_STAGED)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables this process staged after the first ``keep`` of ``staged_paths()``; for
+    long-running streams, once a micro-batch has written its result."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_STAGED) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from isohypsa.functions.text import parse_envelope
 from isohypsa.operators.catalogue import progress_carry, progress_running
 from isohypsa.params import GridSpec
+from isohypsa.staging import release, staged_paths
 
 # Fixed bindings: routing key -> (queue, exchange).
 ROUTES = {
@@ -94,8 +95,10 @@ def detect_stream(slices: DataFrame, spec: GridSpec, out: str, checkpoint: str)
     from isohypsa.plans.detect import cluster_extrema
 
     def sink(batch: DataFrame, _: int) -> None:
+        before = len(staged_paths())
         found = cluster_extrema(None, spec, slices=batch, staged=True).formations()
         found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("time").parquet(out)
+        release(batch.sparkSession, keep=before)
 
     return run_available(slices, sink, checkpoint)
 
