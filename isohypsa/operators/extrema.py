@@ -10,15 +10,13 @@ built once per query and shared by all instants. Two ways to read the field with
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohypsa.functions.geo import (
     height, interpolate, lat_of, lon_of, with_bilinear_weights, with_destination,
 )
-from isohypsa.params import EARTH_RADIUS_KM, GridSpec
+from isohypsa.params import GridSpec
 from isohypsa.sources.grid import to_slices
 
 
@@ -84,43 +82,26 @@ def _vote_aggregates(own: Column, sample: Column, spec: GridSpec) -> list[Column
     ]
 
 
-def row_bands(slices: DataFrame, spec: GridSpec) -> DataFrame:
-    """(time, x, first, band): for each coarse row the grid rows its samples can touch.
-
-    Cutting the bands before exploding keeps the rows small: the whole slice is never repeated."""
-    reach_rows = math.ceil(math.degrees(spec.dist_km / EARTH_RADIUS_KM) / spec.res) + 1
-
-    def band(x: Column) -> Column:
-        lo = F.greatest(x * spec.step - reach_rows, F.lit(0))
-        hi = F.least(x * spec.step + reach_rows, F.lit(spec.nlat - 1))
-        return F.struct(
-            x.alias("x"), (lo * spec.nlon).alias("first"),
-            F.slice("vals", lo * spec.nlon + 1, (hi - lo + 1) * spec.nlon).alias("band"),
-        )
-
-    cut = F.transform(F.sequence(F.lit(0), F.lit(spec.size_x - 1)), band)
-    return slices.select("time", F.explode(cut).alias("b")).select("time", "b.x", "b.first", "b.band")
-
-
 def votes_from_slices(slices: DataFrame, spec: GridSpec) -> DataFrame:
     """Per coarse cell the number of samples not above (n_ge) and not below (n_le) it.
 
-    Bands meet the broadcast stencil on the coarse row; the join, the array reads and the partial
-    aggregation are one code-generated stage, so samples are never materialized."""
+    A slice meets the broadcast stencil once per coarse row; the join, the array reads and the
+    partial aggregation are one code-generated stage, so samples are never materialized and the
+    slice is repeated per row of the lattice, not per sample."""
     if not spec.fits_slice:
         raise ValueError("stencil too large to broadcast; use votes_by_join")
     samples = stencil(slices.sparkSession, spec).select(
         "x", "y", (F.col("i_lo") * spec.nlon + F.col("j_lo")).alias("at"), "w11", "w12", "w21", "w22",
     )
-    probe = row_bands(slices, spec).join(F.broadcast(samples), "x")
-    at = F.col("at") - F.col("first")
+    rows = slices.select("time", "vals", F.explode(F.sequence(F.lit(0), F.lit(spec.size_x - 1))).alias("x"))
+    at = F.col("at")
     corners = [at, at + 1, at - spec.nlon, at - spec.nlon + 1]
-    own_at = F.col("x") * (spec.step * spec.nlon) + F.col("y") * spec.step - F.col("first")
-    probe = probe.select(
-        "time", "x", "y", F.get("band", own_at).alias("raw"),
+    own_at = F.col("x") * (spec.step * spec.nlon) + F.col("y") * spec.step
+    probe = rows.join(F.broadcast(samples), "x").select(
+        "time", "x", "y", F.get("vals", own_at).alias("raw"),
         interpolate(
             [F.col("w11"), F.col("w12"), F.col("w21"), F.col("w22")],
-            [F.get("band", c) for c in corners],
+            [F.get("vals", c) for c in corners],
         ).alias("sample"),
     )
     votes = probe.groupBy("time", "x", "y").agg(
