@@ -6,7 +6,8 @@ moves these probabilities along null vectors of the constraints (sum of words, n
 until each is 0 or 1, three units at a time, the longest first, and leaves at most two fractions per block, of short
 documents. Blocks are bounded slices of a
 source; what they leave is gathered in new blocks, level by level, until one block per source is left.
-There the landing phase gives up first the document total, then the word total.
+There the landing phase rounds the last two fractions and undoes the few decisions that bring the word total back to
+its target; documents are counted only nearly then.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from isohypsa.llm.common import same, words
 from isohypsa.staging import stage
 
 #: Rows of a block, the bound of what one task holds.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 #: No source is taken more often than this.
 MOST_COPIES = 3
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -54,9 +55,26 @@ def step(p: list[float], live: list[int], u: tuple[float, ...], rng: random.Rand
         p[i] = 0.0 if q < TINY else 1.0 if q > 1 - TINY else q
 
 
+def landing(p: list[float], start: list[float], a: list[tuple[float, float]], live: list[int], rng: random.Random) -> None:
+    """Round the last fractions at random, then undo single decisions of this block, the best first, while
+    that brings the word total nearer to what the block began with."""
+    for i in live:
+        p[i] = float(rng.random() < p[i])
+    off = sum((q - s) * x for q, s, (x, _) in zip(p, start, a))
+    free = {i for i, s in enumerate(start) if 0 < s < 1}
+    while free:
+        i = min(free, key=lambda k: (abs(off + (1 - 2 * p[k]) * a[k][0]), k))
+        moved = off + (1 - 2 * p[i]) * a[i][0]
+        if abs(moved) >= abs(off):
+            break
+        p[i], off = 1 - p[i], moved
+        free.discard(i)
+
+
 def flight(p: list[float], a: list[tuple[float, float]], rng: random.Random, land: bool) -> list[float]:
     """Probabilities after the flight phase; with ``land`` all are 0 or 1."""
     live: list[int] = []
+    start = list(p)
     for i in range(len(p)):
         if not TINY <= p[i] <= 1 - TINY:
             p[i] = float(round(p[i]))
@@ -68,13 +86,8 @@ def flight(p: list[float], a: list[tuple[float, float]], rng: random.Random, lan
     while len(live) >= 2 and (u := null_vector([a[k] for k in live])):
         step(p, live, u, rng)
         live = [k for k in live if 0 < p[k] < 1]
-    while land and live:
-        if len(live) >= 2:  # the word total alone
-            x0, x1 = (a[k][0] or TINY for k in live[:2])
-            step(p, live[:2], (x1, -x0), rng)
-        else:
-            p[live[0]] = float(rng.random() < p[live[0]])
-        live = [k for k in live if 0 < p[k] < 1]
+    if land:
+        landing(p, start, a, live, rng)
     return p
 
 
