@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class that the model is fitted on, those with the smallest hash of doc_id.
-MAX_PER_CLASS = 2000
+MAX_PER_CLASS = 1000
 BITS = 18
 ORDERS = (3, 4, 5)
 #: Words whose scores a task remembers at once.
@@ -81,29 +81,37 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 80, pe
     size = 1 << BITS
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(size, np.float32).tobytes(), 500.0 if len(labels) and labels[0] else -500.0)
-    rows, cols, scale = [], [], np.ones(len(texts))
+    cols, vals, first, scale = [], [], np.zeros(len(texts) + 1, np.int64), np.ones(len(texts), np.float32)
     for i, t in enumerate(texts):
         words = t.split(" ") if t else []
-        bucket = [grams(words[at:at + 5000])[0] for at in range(0, len(words), 5000)]
-        cols.append(np.concatenate(bucket) if bucket else np.empty(0, np.int64))
-        rows.append(np.full(len(cols[-1]), i, np.int32))
+        bucket = [np.zeros(1, np.int64)] + [grams(words[at:at + 5000])[0] + 1 for at in range(0, len(words), 5000)]
+        u, n = np.unique(np.concatenate(bucket), return_counts=True)
+        cols.append(u.astype(np.int32))
+        vals.append(n.astype(np.float32))
         scale[i] = max(len(words), 1) ** -0.5
-    row, col = np.concatenate(rows), np.concatenate(cols).astype(np.int32)
-    y = labels.astype(np.float64)
-    counts = [np.bincount(col, (y[row] == k).astype(np.float64), size) + smooth for k in (1, 0)]
-    ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
-    value = ratio[col] * scale[row]
+        first[i + 1] = first[i] + len(u)
+    col, value = np.concatenate(cols), np.concatenate(vals)  # column 0 stands in every row, as the constant
+    del cols, vals
+    y, size = labels.astype(np.float32), size + 1
+    held = np.repeat(y, np.diff(first))
+    counts = [np.bincount(col, k * value, size) + smooth for k in (held, 1 - held)]
+    del held
+    value *= np.repeat(scale, np.diff(first))
+    value[first[:-1]] = 1.0
+    ratio = (np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())).astype(np.float32)
+    ratio[0] = 1.0
+    value *= ratio[col]
     each = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum())
     # Gradient steps with a step size per weight.
-    w, b, grown, grown_b = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
+    w, grown, decay = np.zeros(size, np.float32), np.full(size, 1e-8), np.full(size, penalty)
+    decay[0] = 0.0
     for _ in range(rounds):
-        z = np.bincount(row, w[col] * value, len(y)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * each
-        g = np.bincount(col, error[row] * value, size) + penalty * w
-        grown, grown_b = grown + g * g, grown_b + error.sum() ** 2
-        w -= 0.3 * g / np.sqrt(grown)
-        b -= 0.3 * error.sum() / np.sqrt(grown_b)
-    return Model((w * ratio).astype(np.float32).tobytes(), float(b))
+        z = np.add.reduceat(w[col] * value, first[:-1])
+        error = ((1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * each).astype(np.float32)
+        g = np.bincount(col, np.repeat(error, np.diff(first)) * value, size) + decay * w
+        grown += g * g
+        w -= (0.3 * g / np.sqrt(grown)).astype(np.float32)
+    return Model((w * ratio)[1:].astype(np.float32).tobytes(), float(w[0]))
 
 
 def held_out(doc_id: Column) -> Column:
