@@ -46,3 +46,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR {broken}) AS kept
 FROM r"""
+
+
+def chat_format() -> str:
+    """Turns as they are, and the length of the format by its marks: 9 + 8 + 8 characters a block, 8 between turns, one for
+    every backslash that an escape adds."""
+    control = r"[<\[]\\*(\||/?s>|/?INST\]|/?<?/?SYS>>)"
+    extra = f"len(regexp_extract_all(text, '{control}')) + len(regexp_extract_all(role, '{control}')) * (fresh::INT)"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), o AS (
+  SELECT *, row_number() OVER w AS n, coalesce(lag(role) OVER w <> role, TRUE) AS fresh FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(text) + 8 + CASE WHEN fresh THEN length(role) + 17 ELSE 0 END + {extra})::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id"""
