@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohypsa.llm import chat, mixing, pieces, quality, sql, toxicity
+from isohypsa.llm import chat, licenses, mixing, pieces, quality, sql, toxicity
 from isohypsa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_chat_format"] = sql.chat_format()
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_license_scan"] = sql.license_scan()

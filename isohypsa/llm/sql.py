@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from isohypsa.llm import licenses
 from isohypsa.llm.quality import RULES, STOP_WORDS, WINDOW
 
 WS = r"[\x20\x09-\x0D]+"
@@ -65,3 +66,40 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(text) + 8 + CASE WHEN fresh THEN length(role) + 17 ELSE 0 END + {extra})::BIGINT AS formatted_chars
 FROM o GROUP BY conv_id"""
+
+
+def license_scan() -> str:
+    phrases = [(i, label, True, i < len(licenses.BASE), t) for i, (label, t) in enumerate(licenses.BASE + licenses.PHRASES)]
+    passages = [(len(phrases) + i, label, False, False, t) for i, (label, t) in enumerate(licenses.PASSAGES)]
+    rows = ", ".join(f"({i}, '{label}', {exact}, {base}, '{text}')" for i, label, exact, base, text in phrases + passages)
+    common = ", ".join(f"'{w}'" for w in licenses.COMMON)
+    words = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH t AS MATERIALIZED (
+  SELECT *, {words('text')} AS w FROM (VALUES {rows}) v(template, label, exact, base, text)
+), tp AS (
+  SELECT *, count(*) OVER (PARTITION BY template) AS votes FROM (
+    SELECT template, label, exact, base, len(w) AS length, place, w[place + 1] AS a, w[place + 2] AS b
+    FROM (SELECT *, unnest(range(len(w) - 1)) AS place FROM t))
+  WHERE exact OR NOT (a IN ({common}) AND b IN ({common}))
+), d AS MATERIALIZED (
+  SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents
+), p AS (
+  SELECT doc_id, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS pos FROM d)
+), g AS (
+  SELECT doc_id, template, label, exact, base, length, votes, pos - place AS diagonal, count(*) AS got, min(pos) AS lo, max(pos) AS hi
+  FROM p JOIN tp USING (a, b) GROUP BY ALL
+), m AS (
+  SELECT doc_id, template, label, exact, base, length, votes, run, sum(got) AS got, min(lo) AS lo, max(hi) + 1 AS hi FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM (
+      SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {licenses.BAND} THEN exact::INT ELSE 1 END AS fresh
+      FROM g WHERE NOT exact OR got = votes))
+  GROUP BY ALL
+), s AS (
+  SELECT *, least(got / votes, 1.0) AS cover FROM m
+  WHERE exact OR (least(got / votes, 1.0) >= {licenses.COVER} AND hi - lo < {licenses.STRETCH} * length)
+)
+SELECT d.doc_id, any_value(len(d.w)) AS n_words, count(*) FILTER (base) AS n_base, min(lo) FILTER (base) AS first_word, max(lo) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+  coalesce(max(cover), 0)::DOUBLE AS score
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
