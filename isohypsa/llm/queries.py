@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohypsa.llm import chat, licenses, mixing, pieces, quality, sql, toxicity
+from isohypsa.llm import chat, licenses, mixing, pieces, quality, sql, toxicity, vectors
 from isohypsa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_license_scan"] = sql.license_scan()
+
+
+@query
+def op6_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op6_rotated_codes"] = sql.nearest_vectors()

@@ -119,32 +119,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample_labels(labels: DataFrame, max_per_class: int) -> DataFrame:
-    """doc_id, toxic of at most max_per_class rows of each class outside the held-out part. Ids that are null, unlabelled or
-    labelled both ways are left out; repeated rows count once."""
+def sample_labels(labels: DataFrame, max_per_class: int) -> tuple[DataFrame, float]:
+    """doc_id, toxic of at most max_per_class rows of each class outside the held-out part, and the share of label 1 among all of those rows.
+    Ids that are null, unlabelled or labelled both ways are left out; repeated rows count once. A hash bound from the class's
+    count leaves about twice the rows that are wanted, so that few are ranked."""
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id")
-    one = one.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return one.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= max_per_class).select("doc_id", "toxic")
-
-
-def toxic_share(labels: DataFrame) -> float:
-    """The share of label 1 among the labelled rows outside the held-out part."""
-    return labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0] or 0.0
+    one = one.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("doc_id", "toxic")
+    counts = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    bound = F.lit(0.0)
+    for k, n in counts.items():
+        bound = F.when(F.col("toxic") == k, min(1.0, (2.0 * max_per_class + 50) / n)).otherwise(bound)
+    first = Window.partitionBy("toxic").orderBy("place", "doc_id")
+    few = one.withColumn("place", place).filter(F.col("place") <= bound).withColumn("at", F.row_number().over(first))
+    return few.filter(F.col("at") <= max_per_class).select("doc_id", "toxic"), counts.get(1, 0) / max(sum(counts.values()), 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
     """The model of the labelled sample. The sample holds at most 2 * max_per_class ids and is sent to all tasks; what comes
     back are the distinct words of those texts. Several rows of one id: the smallest text counts."""
-    sample = F.broadcast(sample_labels(labels, max_per_class))
+    sample, share = sample_labels(labels, max_per_class)
 
     def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "words": [" ".join(distinct_words(t)) for t in b["text"]]})
 
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").mapInPandas(shorten, "doc_id long, toxic long, words string")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(shorten, "doc_id long, toxic long, words string")
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("words").alias("words")).toPandas().sort_values("doc_id")
-    return fit(rows["words"].tolist(), rows["toxic"].to_numpy(), toxic_share(labels))
+    return fit(rows["words"].tolist(), rows["toxic"].to_numpy(), share)
 
 
 def score(text: Column, model: Model) -> Column:
