@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohypsa.llm import chat, licenses, mixing, pieces, quality, sql, toxicity, vectors
+from isohypsa.llm import chat, licenses, lines, mixing, pieces, quality, sql, toxicity, vectors
 from isohypsa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,12 @@ def op6_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_rotated_codes"] = sql.nearest_vectors()
+
+
+@query
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.remove_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return cleaned.select("doc_id", "text", F.col("l_lines").alias("n_lines"), F.col("l_removed").alias("n_removed"), F.col("l_emptied").alias("emptied"))
+
+
+ORACLES["op5_line_spread"] = sql.line_spread()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from isohypsa.llm import licenses
+from isohypsa.llm.lines import MIN_CHARS, SITES
 from isohypsa.llm.quality import RULES, STOP_WORDS, WINDOW
 
 WS = r"[\x20\x09-\x0D]+"
@@ -117,3 +118,22 @@ WITH v AS MATERIALIZED (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def line_spread(documents: str = "documents", sites: int = SITES) -> str:
+    """Exact counts of sites per line; ids are unique in the tables that this is held against."""
+    trim = r"trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    return f"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, no, {trim} AS t, line, source FROM (
+    SELECT doc_id, coalesce(source, '') AS source, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM {documents})
+), s AS (
+  SELECT t, min((doc_id, no)) AS first FROM l WHERE length(t) >= {MIN_CHARS} GROUP BY t HAVING count(DISTINCT source) >= {sites}
+), c AS (
+  SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY no) FILTER (s.t IS NULL OR (doc_id, no) = first) AS text,
+    count(*) FILTER (s.t IS NOT NULL AND (doc_id, no) <> first) AS gone
+  FROM l LEFT JOIN s ON l.t = s.t GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN gone > 0 THEN coalesce(c.text, '') ELSE d.text END AS text, coalesce(n, 0) AS n_lines, coalesce(gone, 0) AS n_removed,
+  coalesce(gone > 0 AND NOT regexp_matches(coalesce(c.text, ''), '[^\\x20\\x09-\\x0D]'), FALSE) AS emptied
+FROM {documents} d LEFT JOIN c USING (doc_id)"""
