@@ -80,7 +80,7 @@ def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in (batch.iloc[at:at + 256] for batch in batches for at in range(0, len(batch), 256)):
         sets = [shingles(t) for t in b["text"]]
         yield pd.DataFrame(fingerprint(sets) | {"shingles": [s.view(np.int64) for s in sets]})
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+#: Rows whose tokens a task holds at once.
+ROWS = 256
 #: Kinds of pieces in a model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 OFFSETS = "ids array<int>, begins array<int>, ends array<int>"
@@ -194,7 +196,7 @@ def encode(docs: DataFrame, model: PieceModel, digests: bool = False) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(shared.value)
-        for b in batches:
+        for b in (batch.iloc[at:at + ROWS] for batch in batches for at in range(0, len(batch), ROWS)):
             rows = [(digest if digests else Encoder.encode)(encoder, t) for t in b["text"]]
             yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
