@@ -25,7 +25,7 @@ class Template:
 
 
 #: Strings of this and other common templates, as what follows their first character (fixed values).
-CONTROL = r"\||/?s>|/?INST\]|/?<?/?SYS>>"
+CONTROL = r"\||/?s>|/?INST\]|/?SYS>>"
 #: A control string, with the backslashes that earlier escapes have put behind its first character.
 PLAIN = rf"([<\[])(\\*)(?={CONTROL})"
 ESCAPED = rf"([<\[])\\(\\*)(?={CONTROL})"

@@ -96,6 +96,7 @@ class Encoder:
         self.raw = {i: int(p[3:5], 16) for i, (p, kind) in enumerate(model.pieces) if kind == BYTE}
         self.surface = [b"" if kind == CONTROL else bytes([self.raw[i]]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN
                         else p.replace(SPACE, " ").encode() for i, (p, kind) in enumerate(model.pieces)]
+        self.control = {i for i, (_, kind) in enumerate(model.pieces) if kind == CONTROL}
         self.length = np.array([1 if kind == BYTE else len(p.encode()) for p, kind in model.pieces], np.int64)
 
     @cached_property
@@ -150,11 +151,11 @@ class Encoder:
         """The text of ids; a run of byte pieces is read as UTF-8, bytes that are none become U+FFFD each."""
         surface = self.surface
         data = b"".join([surface[i] for i in ids])
-        try:
-            out = data.decode()
+        try:  # bytes on two sides of a control piece are not one character
+            out = data.decode() if self.control.isdisjoint(ids[1:-1]) else self.decode_runs(ids)
         except UnicodeDecodeError:
             out = self.decode_runs(ids)
-        first = next((i for i in ids if self.model.pieces[i][1] != CONTROL), None)
+        first = next((i for i in ids if i not in self.control), None)
         strip = first is not None and self.model.dummy_prefix and self.model.pieces[first][0].startswith(SPACE)
         return out[1:] if strip else out
 

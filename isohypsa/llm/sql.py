@@ -53,7 +53,7 @@ FROM r"""
 def chat_format() -> str:
     """Turns as they are, and the length of the format by its marks: 9 + 8 + 8 characters a block, 8 between turns, one for
     every backslash that an escape adds."""
-    control = r"[<\[]\\*(\||/?s>|/?INST\]|/?<?/?SYS>>)"
+    control = r"[<\[]\\*(\||/?s>|/?INST\]|/?SYS>>)"
     extra = f"len(regexp_extract_all(text, '{control}')) + len(regexp_extract_all(role, '{control}')) * (fresh::INT)"
     return f"""
 WITH c AS (
