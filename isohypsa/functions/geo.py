@@ -40,31 +40,38 @@ def with_haversine(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, ou
     return df.withColumn(out, haversine_km(F.col(lat1), F.col(lon1), F.col(lat2), F.col(lon2)))
 
 
+def with_turn(df: DataFrame, lat: str, dist_km: Column, bearing: Column, out_lat: str = "dest_lat", out_turn: str = "turn") -> DataFrame:
+    """Latitude of the great-circle destination and the change of longitude on the way, in radians: both
+    depend on the latitude of the start alone. Points are single precision, also while in radians."""
+    pi = f"{math.pi!r}D"
+    staged = df.withColumns({
+        "_be": rad(bearing), "_ad": dist_km.cast("double") / F.lit(float(EARTH_RADIUS_KM)), "_la": F.expr(_single(f"{_single(lat)} * {pi} / 180D")),
+    }).withColumn("_fa", F.expr(_single("asin(sin(_la) * cos(_ad) + cos(_la) * sin(_ad) * cos(_be))")))
+    return staged.withColumns({
+        out_lat: F.expr(f"CAST(_fa * 180D / {pi} AS FLOAT)"),
+        out_turn: F.expr("atan2(sin(_be) * sin(_ad) * cos(_la), cos(_ad) - sin(_la) * sin(_fa))"),
+    }).drop("_la", "_be", "_ad", "_fa")
+
+
+def turned_lon(lon: str, turn: str) -> Column:
+    """Longitude after a turn, in single precision and not wrapped."""
+    pi = f"{math.pi!r}D"
+    start = _single(f"{_single(lon)} * {pi} / 180D")
+    return F.expr(f"CAST({_single(f'{start} + {turn}')} * 180D / {pi} AS FLOAT)")
+
+
+def _single(x: str) -> str:
+    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+
+
 def with_destination(
     df: DataFrame, lat: str, lon: str, dist_km: Column, bearing: Column,
     out_lat: str = "dest_lat", out_lon: str = "dest_lon",
 ) -> DataFrame:
     """Great-circle destination. Points are single precision, also while in radians;
     the longitude is not wrapped."""
-    pi = f"{math.pi!r}D"
-
-    def single(x: str) -> str:
-        return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
-
-    staged = df.withColumns({"_km": dist_km.cast("double"), "_be": rad(bearing)}).withColumns({
-        "_la": F.expr(single(f"{single(lat)} * {pi} / 180D")),
-        "_lo": F.expr(single(f"{single(lon)} * {pi} / 180D")),
-        "_ad": F.expr(f"_km / {float(EARTH_RADIUS_KM)}D"),
-    })
-    staged = staged.withColumn(
-        "_fa", F.expr(single("asin(sin(_la) * cos(_ad) + cos(_la) * sin(_ad) * cos(_be))")),
-    ).withColumn(
-        "_fo", F.expr(single("_lo + atan2(sin(_be) * sin(_ad) * cos(_la), cos(_ad) - sin(_la) * sin(_fa))")),
-    )
-    return staged.withColumns({
-        out_lat: F.expr(f"CAST(_fa * 180D / {pi} AS FLOAT)"),
-        out_lon: F.expr(f"CAST(_fo * 180D / {pi} AS FLOAT)"),
-    }).drop("_la", "_lo", "_be", "_ad", "_km", "_fa", "_fo")
+    turned = with_turn(df, lat, dist_km, bearing, out_lat, "_turn")
+    return turned.withColumn(out_lon, turned_lon(lon, "_turn")).drop("_turn")
 
 
 def with_bilinear_weights(df: DataFrame, spec: GridSpec, lat: str = "dest_lat", lon: str = "dest_lon") -> DataFrame:

@@ -1,8 +1,8 @@
 """Connected components of typed lattice cells (8 neighbours, no date-line wrap).
 
-``label_components`` names each component by its smallest row-major scan position. Lattices are
-bounded by the grid: up to a checked size one instant is labelled by a small numpy kernel after a
-single shuffle by time; larger lattices use the relational fixpoint over row runs.
+``label_components`` names each component by its smallest row-major scan position. The points of one
+instant are bounded by the lattice and are labelled by a small numpy kernel after a single shuffle by
+time, on any grid; the relational fixpoint over row runs is its twin in the tests.
 """
 
 from __future__ import annotations
@@ -13,56 +13,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from isohypsa.params import MAX_LATTICE_CELLS
 from isohypsa.staging import ensure_checkpoint_dir
 
 
-def _kernel(size_x: int, size_y: int):
-    """Min-label propagation with pointer jumping on one instant's lattice."""
+def _kernel(size_y: int):
+    """Min-label propagation with pointer jumping on the points of one instant; memory follows the points."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = np.zeros((size_x + 2, size_y + 2), dtype=np.int32)
-        x, y = pdf["x"].to_numpy() + 1, pdf["y"].to_numpy() + 1
-        codes = pd.factorize(pdf["type"])[0] + 1
-        kind[x, y] = codes
-        width = size_y + 2
-        flat = kind.ravel()
-        label = np.arange(flat.size)
-        cells = np.sort(x * width + y)
+        width = size_y + 2  # a border column keeps rows apart
+        at = (pdf["x"].to_numpy(np.int64) + 1) * width + pdf["y"].to_numpy(np.int64) + 1
+        cells, first = np.unique(at, return_index=True)
+        kind = pd.factorize(pdf["type"])[0][first]
+        label = np.arange(len(cells))
         edges = []
         for step in (1, width - 1, width, width + 1):
-            a = cells
-            same = flat[a] == flat[a + step]
-            edges.append((a[same], a[same] + step))
+            to = np.minimum(np.searchsorted(cells, cells + step), max(len(cells) - 1, 0))
+            same = (cells[to] == cells + step) & (kind[to] == kind)
+            edges.append((np.flatnonzero(same), to[same]))
         a = np.concatenate([e[0] for e in edges])
         b = np.concatenate([e[1] for e in edges])
         while True:
             low = np.minimum(label[a], label[b])
             before = label.copy()
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
+            np.minimum.at(label, before[a], low)
+            np.minimum.at(label, before[b], low)
             label = label[label]
             if np.array_equal(before, label):
                 break
-        root = label[x * width + y]
-        out = pdf.copy()
-        out["root"] = ((root // width - 1) * size_y + (root % width - 1)).astype("int32")
-        return out
+        root = cells[label[np.searchsorted(cells, at)]]
+        return pdf.assign(root=((root // width - 1) * size_y + (root % width - 1)).astype("int32"))
 
     return run
 
 
-def label_components(points: DataFrame, size_x: int, size_y: int, method: str = "auto") -> DataFrame:
-    """Add ``root`` (smallest scan position of the component) to ``points(time, x, y, type, ...)``."""
-    if method == "auto":
-        method = "slice" if size_x * size_y <= MAX_LATTICE_CELLS else "relational"
+def label_components(points: DataFrame, size_x: int, size_y: int, method: str = "slice") -> DataFrame:
+    """Add ``root`` (smallest scan position of the component) to ``points(time, x, y, type, ...)``.
+
+    ``relational`` is the independent twin of the kernel, as a fixpoint over row runs."""
     if method == "relational":
         return label_components_relational(points, size_y)
-    if size_x * size_y > MAX_LATTICE_CELLS:
-        raise ValueError("lattice too large for the slice kernel")
     slim = points.select("time", "x", "y", "type", *[c for c in points.columns if c not in ("time", "x", "y", "type")])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields) + ", root int"
-    return slim.groupBy("time").applyInPandas(_kernel(size_x, size_y), schema)
+    return slim.groupBy("time").applyInPandas(_kernel(size_y), schema)
 
 
 def row_runs(points: DataFrame) -> DataFrame:

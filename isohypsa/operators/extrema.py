@@ -1,11 +1,10 @@
 """Local maxima and minima by great-circle sampling.
 
-The sampling geometry (stencil) depends on the lattice only, never on the instant, so it is
-built once per query and shared by all instants. Two ways to read the field with it:
-
-* ``votes_from_slices`` - the stencil is broadcast (its size is bounded by the grid and checked)
-  and each slice is probed by array index; per-sample rows never leave the generated code;
-* ``votes_by_join`` - beyond that bound, four equi-joins on (i, j).
+The sampling geometry depends on the latitude of a cell only: a coarse row has one destination
+latitude and one change of longitude per bearing, whatever the instant and the column. So the
+stencil that goes to all tasks has rows x bearings entries on any grid, and ``votes_from_slices``
+probes each slice by array index; per-sample rows never leave the generated code.
+``votes_by_join`` is the same vote by equi-joins, kept as its independent twin.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohypsa.functions.geo import (
-    height, interpolate, lat_of, lon_of, with_bilinear_weights, with_destination,
+    height, interpolate, lat_of, lon_of, turned_lon, with_bilinear_weights, with_destination, with_turn,
 )
 from isohypsa.params import GridSpec
 from isohypsa.sources.grid import to_slices
@@ -82,22 +81,28 @@ def _vote_aggregates(own: Column, sample: Column, spec: GridSpec) -> list[Column
     ]
 
 
+def row_stencil(spark: SparkSession, spec: GridSpec) -> DataFrame:
+    """One row per (coarse row, bearing): destination latitude and turn. Bounded by the grid's rows times the bearings."""
+    rows = spark.range(spec.size_x).select(F.col("id").cast("int").alias("x"), lat_of(F.col("id") * spec.step, spec).cast("float").alias("lat"))
+    bearing = F.lit(float(spec.bearing_start)) + F.col("k") * F.lit(float(spec.bearing_step))
+    each = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(spec.n_bearings - 1)))).withColumn("bearing", bearing)
+    return with_turn(each, "lat", F.lit(float(spec.dist_km)), F.col("bearing")).select("x", "dest_lat", "turn")
+
+
 def votes_from_slices(slices: DataFrame, spec: GridSpec) -> DataFrame:
     """Per coarse cell the number of samples not above (n_ge) and not below (n_le) it.
 
-    A slice meets the broadcast stencil once per coarse row; the join, the array reads and the
-    partial aggregation are one code-generated stage, so samples are never materialized and the
-    slice is repeated per row of the lattice, not per sample."""
-    if not spec.fits_slice:
-        raise ValueError("stencil too large to broadcast; use votes_by_join")
-    samples = stencil(slices.sparkSession, spec).select(
-        "x", "y", (F.col("i_lo") * spec.nlon + F.col("j_lo")).alias("at"), "w11", "w12", "w21", "w22",
-    )
+    A slice meets the stencil of each coarse row once, and the columns of the row are an explode of a
+    sequence; join, explode, array reads and partial aggregation are one code-generated stage, so
+    samples are never materialized."""
+    samples = row_stencil(slices.sparkSession, spec)
     rows = slices.select("time", "vals", F.explode(F.sequence(F.lit(0), F.lit(spec.size_x - 1))).alias("x"))
-    at = F.col("at")
+    each = rows.join(F.broadcast(samples), "x").select("*", F.explode(F.sequence(F.lit(0), F.lit(spec.size_y - 1))).alias("y"))
+    each = each.withColumn("lon", lon_of(F.col("y") * spec.step, spec).cast("float")).withColumn("dest_lon", turned_lon("lon", "turn"))
+    at = F.col("i_lo") * spec.nlon + F.col("j_lo")
     corners = [at, at + 1, at - spec.nlon, at - spec.nlon + 1]
     own_at = F.col("x") * (spec.step * spec.nlon) + F.col("y") * spec.step
-    probe = rows.join(F.broadcast(samples), "x").select(
+    probe = with_bilinear_weights(each, spec).select(
         "time", "x", "y", F.get("vals", own_at).alias("raw"),
         interpolate(
             [F.col("w11"), F.col("w12"), F.col("w21"), F.col("w22")],
@@ -124,14 +129,24 @@ def gather4(samples: DataFrame, field: DataFrame, value: str = "h") -> DataFrame
     return out
 
 
+def corner_table(field: DataFrame, value: str = "h") -> DataFrame:
+    """time, i_lo, j_lo and the four corner values; a row for each cell that is a corner of any."""
+    cells = field.select("time", F.col("i").alias("i_lo"), F.col("j").alias("j_lo"), F.col(value).alias("v"))
+    each = cells.select("time", F.explode(F.array(*[
+        F.struct((F.col("i_lo") + di).alias("i_lo"), (F.col("j_lo") - dj).alias("j_lo"), F.lit(n).alias("n"), F.col("v").alias("v"))
+        for n, di, dj in (("z11", 0, 0), ("z12", 0, 1), ("z21", 1, 0), ("z22", 1, 1))])).alias("c")).select("time", "c.*")
+    return each.groupBy("time", "i_lo", "j_lo").agg(*[F.max(F.when(F.col("n") == n, F.col("v"))).alias(n) for n in ("z11", "z12", "z21", "z22")])
+
+
 def votes_by_join(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
-    """Relational form of the vote for grids beyond the slice bound (and as a cross-check)."""
+    """Relational form of the vote, a cross-check: the four corners of every cell are put side by side once
+    (by neighbours within a row and one join to the row above) and met by the samples in one join."""
     spark = field.sparkSession
     own = clip_and_coarsen(field, spec).select("time", "x", "y", F.col(value).alias("raw"))
     samples = own.join(
         stencil(spark, spec).select("x", "y", "i_lo", "j_lo", "w11", "w12", "w21", "w22"), ["x", "y"],
     )
-    z = gather4(samples, field, value).withColumn(
+    z = samples.join(corner_table(field, value), ["time", "i_lo", "j_lo"], "left").withColumn(
         "sample",
         interpolate(
             [F.col("w11"), F.col("w12"), F.col("w21"), F.col("w22")],
@@ -154,8 +169,4 @@ def classify(votes: DataFrame, spec: GridSpec) -> DataFrame:
 
 def detect_extrema(field: DataFrame, spec: GridSpec, value: str = "h", slices: DataFrame | None = None) -> DataFrame:
     """(time, x, y, raw, n_ge, n_le, type) for every coarse cell."""
-    if spec.fits_slice:
-        votes = votes_from_slices(to_slices(field, spec, value) if slices is None else slices, spec)
-    else:
-        votes = votes_by_join(field, spec, value)
-    return classify(votes, spec)
+    return classify(votes_from_slices(to_slices(field, spec, value) if slices is None else slices, spec), spec)

@@ -1,8 +1,8 @@
 """Grid geometry and detection parameters.
 
 Everything that is bounded by the *grid* (and so never grows with the number of
-instants) is derived from a ``GridSpec``; operators check these sizes before they
-broadcast or collect anything.
+instants) is derived from a ``GridSpec``. What operators broadcast is bounded by the grid's
+rows (rows x bearings, rows x rays), what a group holds by its cells.
 """
 
 from __future__ import annotations
@@ -15,12 +15,6 @@ EARTH_RADIUS_KM = 6371
 KELVIN_OFFSET = 273.15
 UNSET = 1.0e30
 
-# Largest slice kept as one array value, and largest sample table that is broadcast.
-MAX_SLICE_CELLS = 8_000_000
-MAX_STENCIL_SAMPLES = 4_000_000
-# Largest coarse lattice whose components are labelled inside one task.
-MAX_LATTICE_CELLS = 2_000_000
-
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -88,14 +82,3 @@ class GridSpec:
     @property
     def eps(self) -> float:
         return self.res * self.step
-
-    @property
-    def fits_slice(self) -> bool:
-        return (
-            self.n_cells <= MAX_SLICE_CELLS
-            and self.n_coarse * self.n_bearings <= MAX_STENCIL_SAMPLES
-        )
-
-    @property
-    def fits_lattice(self) -> bool:
-        return self.n_coarse <= MAX_LATTICE_CELLS

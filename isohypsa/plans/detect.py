@@ -60,7 +60,7 @@ class Detection:
 
 
 def cluster_extrema(field: DataFrame | None, spec: GridSpec, slices: DataFrame | None = None,
-                    value: str = "h", method: str = "auto", staged: bool = False) -> Detection:
+                    value: str = "h", method: str = "slice", staged: bool = False) -> Detection:
     """Sampling and clustering of a long ``field`` or of stored ``slices``.
 
     ``staged`` writes what the formation stage reads again - slices (unless they are stored

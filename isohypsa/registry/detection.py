@@ -14,8 +14,8 @@ from isohypsa.operators import rays as R
 from isohypsa.operators.components import label_components
 from isohypsa.plans import detect as D
 from isohypsa.registry.base import query
-from isohypsa.registry.inputs import HEAT_SPEC, SPEC, field, table
-from isohypsa.registry.sql import LIMITS_SIDES, chain, destination_steps
+from isohypsa.registry.inputs import HEAT_SPEC, SPEC, field, instants, table
+from isohypsa.registry.sql import LIMITS_SIDES, WEIGHTS, chain, destination_steps
 from isohypsa.sources.grid import PACKING, to_slices
 
 HEAT = (0.05, 13.15)  # scale and offset turning metres of the test field into kelvin
@@ -29,7 +29,7 @@ def staged(spark, d):
     return D.cluster_extrema(field(spark, d), SPEC, staged=True)
 
 
-def labelled(spark, d, method="auto"):
+def labelled(spark, d, method="slice"):
     ex = D.detect_extrema(field(spark, d), SPEC)
     return label_components(C.typed_points(ex).select("time", "x", "y", "type", "raw"), SPEC.size_x, SPEC.size_y, method)
 
@@ -76,23 +76,17 @@ query("J01_stencil_join", BEARINGS + f" SELECT key, bearing, round(dest_lat::DOU
 
 
 def sampled_points(spark, d):
-    """Customer points (single precision) with their enclosing nodes, each at one instant."""
+    """Customer points (single precision) with their enclosing nodes, dealt over all instants."""
+    spread = instants(spark, d).agg((F.max("time") + 1).alias("n")).scalar()
     pts = customer_points(spark, d).select(
-        "key", (F.col("key") % 4).cast("int").alias("time"),
+        "key", (F.col("key") % spread).cast("int").alias("time"),
         F.col("lat2").cast("float").alias("dest_lat"), F.col("lon2").cast("float").alias("dest_lon"))
     return G.with_bilinear_weights(pts, SPEC), field(spark, d)
 
 
-GATHER = chain("field")[:-1] + f""", {CUST}, pts AS (SELECT key, CAST(key % 4 AS INTEGER) AS time, CAST(lat2 AS FLOAT) AS dest_lat, CAST(lon2 AS FLOAT) AS dest_lon FROM cust),
- node AS (SELECT key, time, ok, n_i, n_j, w11, w12, w21, w22 FROM (""" + """
-SELECT *, n_i >= 1 AND n_i <= 72 AND n_j >= 0 AND n_j <= 142 AS ok,
-  CAST(CAST(dn*de AS DOUBLE)/6.25::DOUBLE AS FLOAT) AS w11, CAST(CAST(ds*de AS DOUBLE)/6.25::DOUBLE AS FLOAT) AS w12,
-  CAST(CAST(dn*dw AS DOUBLE)/6.25::DOUBLE AS FLOAT) AS w21, CAST(CAST(ds*dw AS DOUBLE)/6.25::DOUBLE AS FLOAT) AS w22 FROM (
- SELECT *, CAST(36 - fl AS INTEGER) AS n_i, CAST(fo2 + 72 AS INTEGER) AS n_j,
-   CAST((fl+1)*2.5::DOUBLE AS FLOAT) - dest_lat AS dn, dest_lat - CAST(fl*2.5::DOUBLE AS FLOAT) AS ds,
-   CAST((fo2+1)*2.5::DOUBLE AS FLOAT) - dest_lon AS de, dest_lon - CAST(fo2*2.5::DOUBLE AS FLOAT) AS dw FROM (
-  SELECT *, floor(CAST(dest_lat AS DOUBLE)/2.5::DOUBLE) AS fl, floor(CAST(dest_lon AS DOUBLE)/2.5::DOUBLE) AS fo2 FROM pts)))),
- g AS (SELECT p.time, p.key, w11, w12, w21, w22, ok, CASE WHEN ok THEN a.h END AS z11, CASE WHEN ok THEN b.h END AS z12, CASE WHEN ok THEN c.h END AS z21, CASE WHEN ok THEN d.h END AS z22 FROM node p
+GATHER = chain("field")[:-1] + f""", {CUST}, pts AS MATERIALIZED (SELECT key, CAST(key % (SELECT MAX(time) + 1 FROM synth) AS INTEGER) AS time, CAST(lat2 AS FLOAT) AS dest_lat, CAST(lon2 AS FLOAT) AS dest_lon FROM cust),
+ node AS MATERIALIZED (SELECT key, time, ok, n_i, n_j, w11, w12, w21, w22 FROM ({WEIGHTS.replace("{src}", "pts")})),
+ g AS MATERIALIZED (SELECT p.time, p.key, w11, w12, w21, w22, ok, CASE WHEN ok THEN a.h END AS z11, CASE WHEN ok THEN b.h END AS z12, CASE WHEN ok THEN c.h END AS z21, CASE WHEN ok THEN d.h END AS z22 FROM node p
   LEFT JOIN field a ON a.time = p.time AND a.i = p.n_i AND a.j = p.n_j LEFT JOIN field b ON b.time = p.time AND b.i = p.n_i AND b.j = p.n_j + 1
   LEFT JOIN field c ON c.time = p.time AND c.i = p.n_i - 1 AND c.j = p.n_j LEFT JOIN field d ON d.time = p.time AND d.i = p.n_i - 1 AND d.j = p.n_j + 1) """
 

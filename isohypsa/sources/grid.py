@@ -124,20 +124,28 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def to_slices(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
+def rejected_cells(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
+    """What ``to_slices`` leaves out, as rows with a reason: cells beyond the grid, and values beside the
+    smallest one of their cell."""
+    inside = F.col("i").between(0, spec.nlat - 1) & F.col("j").between(0, spec.nlon - 1)
+    off = field.where(~F.coalesce(inside, F.lit(False))).select("time", "i", "j", F.col(value).alias("value"), F.lit("off grid").alias("reason"))
+    again = field.where(inside).groupBy("time", "i", "j").agg(F.min(value).alias("value"), F.count("*").alias("n")).where("n > 1")
+    return off.unionByName(again.select("time", "i", "j", "value", F.concat(F.col("n") - 1, F.lit(" more values")).alias("reason")))
+
+
+def to_slices(field: DataFrame, spec: GridSpec, value: str = "h", partitions: int | None = None) -> DataFrame:
     """Long field -> one dense array per instant.
 
-    Cells are made unique first (combined map-side), so a group can never exceed the grid, whose
-    size is checked. Rows are assembled per latitude, then stacked; both steps share the one
-    shuffle by ``time``.
+    The field is shuffled once, by ``time``, into ``partitions`` (the session's number unless stated; take
+    a few dozen instants per partition): cells are made unique, assembled per latitude and stacked where they
+    are, so a group never exceeds the grid. ``rejected_cells`` lists what is left out.
     """
-    if not spec.fits_slice:
-        raise ValueError(f"grid of {spec.n_cells} cells is too large for one slice")
     uniq = (
         field.where(F.col("i").between(0, spec.nlat - 1) & F.col("j").between(0, spec.nlon - 1))
+        .repartition(partitions or shuffle_width(field.sparkSession), "time")
         .groupBy("time", "i", "j").agg(F.min(F.col(value)).alias("v"))
     )
-    rows = uniq.repartition(shuffle_width(field.sparkSession), "time").groupBy("time", "i").agg(
+    rows = uniq.groupBy("time", "i").agg(
         F.sort_array(F.collect_list(F.struct("j", "v"))).alias("cells")
     )
     gaps = F.transform(

@@ -13,7 +13,7 @@ from isohypsa.operators.extrema import votes_by_join, votes_from_slices
 from isohypsa.params import GridSpec
 from isohypsa.plans.detect import cluster_extrema, detect_blocking, heat_clusters
 from isohypsa.registry.inputs import SCENARIOS, SPEC, synth_field
-from isohypsa.sources.grid import PACKING, from_slices, to_slices
+from isohypsa.sources.grid import PACKING, from_slices, rejected_cells, to_slices
 
 FLAT = (0, 60.0, 0.0, 9.0, 9.0)
 CASES = [
@@ -213,11 +213,26 @@ def test_heat_clusters(spark):
     assert len(by) == 3 and by[(82.5, -172.5)] == by[(75.0, -165.0)] == 0 and by[(82.5, -30.0)] == 1
 
 
-def test_native_grid_takes_the_slice_path():
-    assert GridSpec().fits_slice and GridSpec().n_coarse * 64 == 976_896
-    assert not GridSpec(res=0.01).fits_slice
-    with pytest.raises(ValueError):
-        to_slices(None, GridSpec(res=0.01))
+def test_finer_lattices_run_and_agree_with_the_join(spark):
+    """The lattice of every cell, and a grid of another resolution: one plan for all."""
+    for spec in (GridSpec(res=2.5, step=1, lat_min=-40), GridSpec(res=1.25, step=2, lat_min=0), GridSpec(res=0.5, step=12, lat_min=30, n_bearings=8)):
+        f = synth_field(spark.range(2).select(F.col("id").cast("int").alias("time"), (F.col("id") + 4).alias("s")), spec)
+        a = votes_from_slices(to_slices(f, spec), spec).select("time", "x", "y", "n_ge", "n_le")
+        b = votes_by_join(f, spec).select("time", "x", "y", "n_ge", "n_le")
+        assert a.count() == 2 * spec.n_coarse and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert GridSpec(step=1).n_coarse * 64 == 24_053_760
+    assert {r["type"] for r in detect_blocking(f, spec).collect()} <= {"OMEGA", "REX"}
+
+
+def test_slices_shuffle_the_field_once(spark, field):
+    text = to_slices(field, SPEC)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(time") == 1 and "hashpartitioning(time#" in text
+
+
+def test_rejected_cells(spark):
+    f = spark.createDataFrame([(0, 0, 0, 5), (0, 0, 0, 4), (0, 99, 0, 1), (0, None, 0, 1)], "time int, i int, j int, h int")
+    got = {(r.i, r.value, r.reason) for r in rejected_cells(f, SPEC).collect()}
+    assert got == {(0, 4, "1 more values"), (99, 1, "off grid"), (None, 1, "off grid")}
 
 
 def test_plans_do_not_cross_join(spark, field):
