@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,14 +80,14 @@ def contour_bands(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFra
     step = spec.contour_step
     h = height(F.col(value), spec)
     per_band = field.withColumn("contour", (F.floor(h / step) * step).cast("int")).groupBy("time", "contour").agg(
-        F.count(F.lit(1)).alias("n_points"),
-    )
-    # the range of an instant follows from its bands: no second pass over the cells
-    bounds = field_range(field, spec, value)
-    levels = bounds.select(
-        "time", F.explode(F.sequence(F.col("min_contour"), F.col("max_contour") - step, F.lit(step))).alias("contour"),
+        F.count(F.lit(1)).alias("n_points"), F.min(h).alias("lo"), F.max(h).alias("hi"),
     )
-    return levels.join(per_band, ["time", "contour"], "left").fillna(0, ["n_points"])
+    # bands are few: an instant's range and its empty bands follow from them, in one pass over the cells
+    bands = per_band.groupBy("time").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("contour", "n_points"))).alias("known"))
+    edge = lambda c, by: (F.col(c) - F.col(c).cast("int") % step).cast("int") + by
+    return bands.select("time", "known", F.explode(F.sequence(edge("lo", -step), edge("hi", step) - step, F.lit(step))).alias("contour")).select(
+        "time", "contour", F.coalesce(F.try_element_at("known", F.col("contour")), F.lit(0)).alias("n_points"))
 
 
 def contour_band_points(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
@@ -111,39 +113,62 @@ def level_list(vmin: Column, vmax: Column, step: float) -> Column:
     return F.when(F.size(spaced) < 2, even).otherwise(spaced)
 
 
-def isoline_crossings(slices: DataFrame, spec: GridSpec, step: float) -> DataFrame:
-    """Linear crossing points of every level with the grid edges.
+def crop_window(spec: GridSpec, area: tuple[float, float, float, float] | None) -> tuple[int, int, int, int]:
+    """First and last row and column of the cells inside (north, west, south, east)."""
+    if area is None:
+        return 0, spec.nlat - 1, 0, spec.nlon - 1
+    north, west, south, east = area
+    near = 1e-9
+    return (max(0, math.ceil((90 - north) / spec.res - near)), min(spec.nlat - 1, math.floor((90 - south) / spec.res + near)),
+            max(0, math.ceil((west + 180) / spec.res - near)), min(spec.nlon - 1, math.floor((east + 180) / spec.res + near)))
+
 
-    Both neighbours of a cell are read from its own slice, and an instant's range is the minimum
-    and maximum of its array: nothing is shuffled. Edge E joins (i, j)-(i, j+1), edge S (i, j)-(i+1, j).
+def isoline_crossings(slices: DataFrame, spec: GridSpec, step: float, area: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Linear crossing points of every contour level with the grid edges inside the area.
+
+    Slices are cropped to the area first; range, levels (``level_list``, five equally spaced ones on a flat
+    slice) and edges, with both ends inside, follow from the crop. Neighbours are read from the slice itself and
+    an instant's range is that of its array: nothing is shuffled. Edge E joins (i, j)-(i, j+1), edge S (i, j)-(i+1, j).
     """
-    n = spec.n_cells
-    pad = F.array_repeat(F.lit(None).cast("int"), spec.nlon)
+    i0, i1, j0, j1 = crop_window(spec, area)
+    width, n = max(j1 - j0 + 1, 0), max(i1 - i0 + 1, 0) * max(j1 - j0 + 1, 0)
+    if not n:
+        i0 = i1 = j0 = j1 = 0
+        width = n = 1
+        slices = slices.limit(0)
+    cropped = slices.select("time", F.flatten(F.transform(
+        F.sequence(F.lit(i0), F.lit(i1)), lambda i: F.slice(F.col("vals"), i * spec.nlon + j0 + 1, F.lit(width)))).alias("vals"))
+    nothing = F.lit(None).cast("int")
     around = F.arrays_zip(
         F.col("vals").alias("a"),
-        F.concat(F.slice("vals", 2, n - 1), F.array(F.lit(None).cast("int"))).alias("east"),
-        F.concat(F.slice("vals", spec.nlon + 1, n - spec.nlon), pad).alias("south"),
+        F.concat(F.slice("vals", 2, n), F.array(nothing)).alias("east"),
+        F.concat(F.slice("vals", width + 1, n), F.array_repeat(nothing, width)).alias("south"),
     )
-    cells = slices.select(
+    cells = cropped.select(
         "time", F.array_min("vals").alias("vmin"), F.array_max("vals").alias("vmax"), around.alias("cells"),
     ).select("time", "vmin", "vmax", F.posexplode("cells").alias("at", "c"))
-    j = F.col("at") % spec.nlon
+    j = F.col("at") % width
     edges = cells.select(
         "time", "vmin", "vmax", F.col("c.a").alias("a"),
-        F.floor(F.col("at") / spec.nlon).cast("int").alias("i"), j.cast("int").alias("j"),
+        (F.floor(F.col("at") / width) + i0).cast("int").alias("i"), (j + j0).cast("int").alias("j"),
         F.explode(F.array(
-            F.struct(F.lit("E").alias("edge"), F.when(j < spec.nlon - 1, F.col("c.east")).alias("b")),
+            F.struct(F.lit("E").alias("edge"), F.when(j < width - 1, F.col("c.east")).alias("b")),
             F.struct(F.lit("S").alias("edge"), F.col("c.south").alias("b")),
         )).alias("e"),
     ).select("time", "vmin", "vmax", "i", "j", "a", "e.edge", "e.b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    first = F.ceil(F.col("vmin").cast("double") / 10) * 10
-    st = F.lit(float(step))
-    lo = F.greatest(F.ceil((F.least("a", "b") - first) / st), F.lit(0)).cast("int")
-    hi = F.floor((F.greatest("a", "b") - first) / st).cast("int")
-    crossed = edges.withColumns({"_lo": lo, "_hi": hi, "_first": first}).where("_lo <= _hi").withColumn(
-        "_n", F.explode(F.sequence("_lo", "_hi")),
-    ).withColumn("level", F.col("_first") + F.col("_n") * st).where(
-        (F.col("level") < F.col("vmax")) & ((F.col("a") < F.col("level")) != (F.col("b") < F.col("level")))
+    # level number n is first + n * gap; arithmetic finds the few numbers near an edge, the comparison decides
+    start = F.ceil(F.col("vmin").cast("double") / 10) * 10
+    count = F.ceil((F.col("vmax") - start) / F.lit(float(step)))
+    even = count < 2
+    placed = edges.withColumns({
+        "_even": even, "_first": F.when(even, F.col("vmin").cast("double")).otherwise(start), "_count": F.when(even, 5).otherwise(count).cast("int"),
+        "_gap": F.when(even, (F.col("vmax") - F.col("vmin")) / F.lit(4.0)).otherwise(F.lit(float(step))),
+    })
+    lo = F.greatest(F.floor((F.least("a", "b") - F.col("_first")) / F.col("_gap")), F.lit(0)).cast("int")
+    hi = F.least(F.ceil((F.greatest("a", "b") - F.col("_first")) / F.col("_gap")), F.col("_count") - 1).cast("int")
+    level = F.when(F.col("_even"), F.col("vmin") + (F.col("vmax") - F.col("vmin")).cast("double") * F.col("_n") / 4).otherwise(F.col("_first") + F.col("_n") * F.lit(float(step)))
+    crossed = placed.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("_n", F.explode(F.sequence("_lo", "_hi"))).withColumn("level", level).where(
+        (F.col("a") < F.col("level")) != (F.col("b") < F.col("level"))
     )
     t = (F.col("level") - F.col("a")) / (F.col("b") - F.col("a"))
     return crossed.select(

@@ -31,7 +31,8 @@ def contour_map_data(field: DataFrame, axis: DataFrame, spec: GridSpec, area: tu
 
 def isolines_in_area(slices: DataFrame, axis: DataFrame, spec: GridSpec, area: tuple[float, float, float, float],
                      step: float) -> DataFrame:
-    return M.instant_to_date(M.area_filter(M.isoline_crossings(slices, spec, step), *area), axis)
+    """Isolines of the cells inside the area; range and levels are those of the area."""
+    return M.instant_to_date(M.isoline_crossings(slices, spec, step, area), axis)
 
 
 def scatter_map_data(selected: DataFrame, axis: DataFrame) -> DataFrame:

@@ -33,15 +33,18 @@ def with_ctes(base: str, *extra: str) -> str:
     return base.rstrip("\n") + "".join(",\n" + e for e in extra) + "\n"
 
 
-def crossings_sql() -> str:
-    return """rng AS (SELECT time, MIN(h) AS vmin, MAX(h) AS vmax FROM field GROUP BY time),
- edges AS (SELECT a.time, a.i, a.j, 'E' AS edge, a.h AS a, b.h AS b FROM field a JOIN field b ON a.time = b.time AND a.i = b.i AND b.j = a.j + 1
-   UNION ALL SELECT a.time, a.i, a.j, 'S', a.h, b.h FROM field a JOIN field b ON a.time = b.time AND b.i = a.i + 1 AND b.j = a.j),
- crossings AS (SELECT time, i, j, edge, CAST(level AS DOUBLE) AS level,
+def crossings_sql(where: str = "TRUE", source: str = "field") -> str:
+    """Every edge against every level of its instant's list, over the cells that the condition leaves."""
+    return f"""crop AS MATERIALIZED (SELECT time, i, j, h FROM (SELECT *, 90 - 2.5::DOUBLE*i AS lat, -180 + 2.5::DOUBLE*j AS lon FROM {source}) WHERE {where}),
+ rng AS (SELECT time, CAST(MIN(h) AS DOUBLE) AS vmin, CAST(MAX(h) AS DOUBLE) AS vmax, ceil(MIN(h)/10.0::DOUBLE)*10 AS f FROM crop GROUP BY time),
+ lists AS (SELECT *, list_transform(range(greatest(CAST(ceil((vmax - f)/20.0::DOUBLE) AS BIGINT), 0)), lambda k: f + k*20.0::DOUBLE) AS a FROM rng),
+ lev AS MATERIALIZED (SELECT time, unnest(CASE WHEN len(a) < 2 THEN list_transform(range(5), lambda k: vmin + (vmax - vmin)*k/4.0::DOUBLE) ELSE a END) AS level FROM lists),
+ edges AS (SELECT a.time, a.i, a.j, 'E' AS edge, a.h AS a, b.h AS b FROM crop a JOIN crop b ON a.time = b.time AND a.i = b.i AND b.j = a.j + 1
+   UNION ALL SELECT a.time, a.i, a.j, 'S', a.h, b.h FROM crop a JOIN crop b ON a.time = b.time AND b.i = a.i + 1 AND b.j = a.j),
+ crossings AS (SELECT e.time, i, j, edge, level,
     90 - 2.5::DOUBLE*i - CASE WHEN edge = 'S' THEN (level - a)::DOUBLE/(b - a)*2.5::DOUBLE ELSE 0 END AS lat,
     -180 + 2.5::DOUBLE*j + CASE WHEN edge = 'E' THEN (level - a)::DOUBLE/(b - a)*2.5::DOUBLE ELSE 0 END AS lon
-   FROM (SELECT e.*, r.vmax, CAST(ceil(r.vmin/10.0::DOUBLE)*10 AS INTEGER) + 20*n AS level FROM edges e JOIN rng r USING (time), range(100) k(n) WHERE e.a <> e.b)
-   WHERE level < vmax AND (a < level) <> (b < level))"""
+   FROM edges e JOIN lev l ON e.time = l.time AND (a < level) <> (b < level))"""
 
 
 # --- sources and sinks ------------------------------------------------------------------------
@@ -253,6 +256,16 @@ query("A19_surface_grid", chain("field") + "SELECT time, 90 - 2.5::DOUBLE*i AS l
     lambda s, d: M.surface_grid(holey(s, d), SPEC))
 query("A20_isoline_cells", with_ctes(chain("field"), crossings_sql()) + "SELECT time, i, j, edge, level, round(lat, 6) AS lat, round(lon, 6) AS lon FROM crossings")(
     lambda s, d: M.isoline_crossings(S.to_slices(field(s, d), SPEC), SPEC, 20).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)}))
+
+
+def tilted(s, d):
+    """The poles are raised, so that the globe's levels are not the area's; every third instant is nearly flat."""
+    return field(s, d).withColumn("h", F.when(F.col("time") % 3 == 2, F.lit(5000) + F.col("h") % 7).otherwise(F.col("h") + F.when((F.col("i") < 5) | (F.col("i") > 60), 2).otherwise(7)).cast("int"))
+
+
+TILTED = "tilted AS (SELECT time, i, j, CASE WHEN time % 3 = 2 THEN 5000 + h % 7 WHEN i < 5 OR i > 60 THEN h + 2 ELSE h + 7 END AS h FROM field)"
+query("A20_isoline_levels_of_area", with_ctes(chain("field"), TILTED, crossings_sql(AREA_SQL, "tilted")) + "SELECT time, i, j, edge, round(level, 6) AS level, round(lat, 6) AS lat, round(lon, 6) AS lon FROM crossings")(
+    lambda s, d: M.isoline_crossings(S.to_slices(tilted(s, d), SPEC), SPEC, 20, AREA).withColumns({c: F.round(c, 6) for c in ("level", "lat", "lon")}))
 query("J07_instant_to_date", with_ctes(chain("clusters"), AXIS_SQL) + "SELECT c.time, c.id, c.type, a.label FROM clusters c JOIN axis a ON a.time = c.time")(
     lambda s, d: M.instant_to_date(det(s, d).clusters.select("time", "id", "type"), axis(s, d)))
 
@@ -286,14 +299,14 @@ query("O02_sort_by_lat", f"WITH {CUST} SELECT nation, key, row_number() OVER (PA
 AREA_CELLS = "cells AS (SELECT * FROM located WHERE " + AREA_SQL + ")"
 query("Q05_contour_map_data", with_ctes(chain("field"), AXIS_SQL, LOC, AREA_CELLS) + "SELECT l.time, a.label, l.levels FROM (" + LEVELS_SQL.format(keys="time", src="cells") + ") l JOIN axis a USING (time)")(
     lambda s, d: P.contour_map_data(field(s, d), axis(s, d), SPEC, AREA, 20).select("time", "label", joined(F.col("levels")).alias("levels")))
-query("Q05_isolines_in_area", with_ctes(chain("field"), AXIS_SQL, crossings_sql()) + f"SELECT c.time, a.label, edge, level, i, j, round(lat, 6) AS lat, round(lon, 6) AS lon FROM crossings c JOIN axis a USING (time) WHERE {AREA_SQL}")(
+query("Q05_isolines_in_area", with_ctes(chain("field"), AXIS_SQL, crossings_sql(AREA_SQL)) + "SELECT c.time, a.label, edge, level, i, j, round(lat, 6) AS lat, round(lon, 6) AS lon FROM crossings c JOIN axis a USING (time)")(
     lambda s, d: P.isolines_in_area(S.to_slices(field(s, d), SPEC), axis(s, d), SPEC, AREA, 20).select(
         "time", "label", "edge", "level", "i", "j", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")))
 query("Q06_scatter_map_data", with_ctes(chain("points"), AXIS_SQL) + "SELECT p.time, a.label, 90 - 2.5::DOUBLE*x AS lat, -180 + 2.5::DOUBLE*y AS lon, raw AS value, cluster FROM points p JOIN axis a USING (time)")(
     lambda s, d: P.scatter_map_data(selected(det(s, d)), axis(s, d)).select("time", "label", "lat", "lon", "value", "cluster"))
-query("Q06_combined_map_data", with_ctes(chain("points", "field"), crossings_sql()) + """SELECT time, layer, COUNT(*) AS n, round(SUM(value), 3) AS total FROM (
+query("Q06_combined_map_data", with_ctes(chain("points", "field"), crossings_sql(AREA_SQL)) + """SELECT time, layer, COUNT(*) AS n, round(SUM(value), 3) AS total FROM (
   SELECT time, level AS value, 'contour' AS layer FROM crossings UNION ALL SELECT time, CAST(raw AS DOUBLE), 'points' FROM points) GROUP BY time, layer""")(
-    lambda s, d: (lambda x: P.combined_map_data(M.isoline_crossings(x.slices, SPEC, 20), selected(x)))(det(s, d))
+    lambda s, d: (lambda x: P.combined_map_data(M.isoline_crossings(x.slices, SPEC, 20, AREA), selected(x)))(det(s, d))
     .groupBy("time", "layer").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")))
 
 

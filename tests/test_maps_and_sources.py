@@ -40,6 +40,14 @@ def test_isolines_against_loop(spark):
     assert {(r.i, r.j, r.edge, r.level) for r in got} == want and len(got) == len(want)
 
 
+def test_isolines_of_an_area_and_of_a_flat_slice(spark):
+    f = small_field(spark, lambda i, j: 5000 if i == 0 else 5800 + (i + j) % 3)
+    area = (90 - SMALL.res, -180, -90, 180)  # all but the first row
+    got = M.isoline_crossings(S.to_slices(f, SMALL), SMALL, 20, area).collect()
+    assert {r.level for r in got} == {5800.5, 5801.0, 5801.5, 5802.0} and min(r.i for r in got) == 1
+    assert M.isoline_crossings(S.to_slices(f, SMALL), SMALL, 20, (10.1, 0, 10.05, 5)).count() == 0
+
+
 def test_hull_holds_all_points(spark):
     rnd = random.Random(9)
     rows = [(0, m, float(rnd.randrange(30, 60)), float(rnd.choice([rnd.randrange(150, 180), rnd.randrange(-179, -160)]) if m else rnd.randrange(-20, 20)))
