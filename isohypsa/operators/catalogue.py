@@ -353,7 +353,8 @@ def settle_results(done: DataFrame, catalogue: DataFrame, listing: DataFrame, no
     """Apply done messages: (new catalogue, file rows of the settled requests). A request without
     stored files becomes EMPTY; messages with an error status change nothing."""
     hashes = done.where(F.col("status") == "OK").select("requestHash").distinct().withColumn("_done", F.lit(True))
-    stored = listing.groupBy("requestHash").agg(F.count(F.lit(1)).alias("n_files"))
+    # only the listing of settled requests is counted, not the whole store
+    stored = listing.join(hashes.select("requestHash"), "requestHash", "left_semi").groupBy("requestHash").agg(F.count(F.lit(1)).alias("n_files"))
     state = catalogue.join(hashes, "requestHash", "left").join(stored, "requestHash", "left")
     full = F.col("n_files") > 0
     updated = state.withColumns({
@@ -384,8 +385,11 @@ def user_upsert(incoming: DataFrame, users: DataFrame) -> tuple[DataFrame, DataF
     """(new users table, rejected rows). Absent or empty attributes keep their value, new users get
     role ``user``; an email owned by another id is refused, within a batch the lowest id wins."""
     clash = email_conflicts(incoming, users).select("id").withColumn("_clash", F.lit(True))
-    winner = incoming.groupBy("email").agg(F.min("id").alias("_winner"))
-    checked = incoming.join(clash, "id", "left").join(winner, "email", "left")
+    # rows without an e-mail, the usual partial update, take no part in the contest and meet no common key
+    named = incoming.where(F.col("email").isNotNull())
+    winner = named.groupBy("email").agg(F.min("id").alias("_winner"))
+    checked = named.join(winner, "email").select(*incoming.columns, "_winner").unionByName(
+        incoming.where(F.col("email").isNull()), allowMissingColumns=True).join(clash, "id", "left")
     refused = F.col("_clash").isNotNull() | (F.col("email").isNotNull() & (F.col("id") != F.col("_winner")))
     good = checked.where(~refused)
     n = good.select("id", *[F.col(c).alias(f"new_{c}") for c in ("name", "email", "role")])

@@ -8,6 +8,7 @@ contour, and the closed / all / majority tests reduce to one threshold each per
 from __future__ import annotations
 
 import math
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +29,10 @@ SECTORS = {
 
 
 def rays() -> list[tuple[int, int]]:
-    """(dx, dy) of the 64 rays: 8 neighbours, then (a, b*s) and (b*s, a) for the unit diagonals
-    (a, b) and s = 2..8."""
-    unit = (-1, 0, 1)
-    out = [(a, b) for a in unit for b in unit if a or b]
-    for a in unit:
-        for b in unit:
-            if a and b:
-                out += [r for s in range(2, 9) for r in ((a, b * s), (b * s, a))]
-    return out
+    """(dx, dy) of the 64 rays in order: the four axes, and all steps of which one coordinate has size 1 and the other
+    size 1 to 8."""
+    steps = product(range(-8, 9), repeat=2)
+    return [(dx, dy) for dx, dy in steps if 1 in (min(abs(dx), abs(dy)), abs(dx) + abs(dy))]
 
 
 def ray_column() -> Column:

@@ -61,15 +61,19 @@ query("S02_grid_profile", chain("field") + "SELECT dim, COUNT(*) AS size FROM (S
     lambda s, d: S.grid_profile(field(s, d)))
 
 
+NAMED = "CASE n_nationkey % 7 WHEN 0 THEN 'z' WHEN 1 THEN 't' WHEN 2 THEN 'latitude' WHEN 3 THEN 'longitude' WHEN 4 THEN 'time' WHEN 5 THEN 'wind' ELSE n_name END"
+query("S02_unknown_variables", f"SELECT n_nationkey, {NAMED} AS name FROM nation WHERE {NAMED} NOT IN ('latitude', 'longitude', 'time', 'z', 't')")(
+    lambda s, d: S.unknown_variables(table(s, d, "nation").select("n_nationkey", F.expr(NAMED).alias("name"))))
+
+
 @query("S03_normalize_dataset", chain("field") + f"""SELECT time, i, j, CAST(trunc((h*9.80665::DOUBLE - {OFFSET}::DOUBLE)/{SCALE}::DOUBLE) AS SMALLINT) AS z, false AS out_of_range,
   {SCALE}::DOUBLE AS scale_factor, {OFFSET}::DOUBLE AS add_offset, 'Geopotential' AS long_name FROM field""")
 def _normalize(s, d):
     raw = field(s, d).select(
         F.col("time").alias("valid_time"), "i", "j", F.lit("v").alias("expver"), F.lit(0).alias("number"),
         F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit(500).alias("p")), F.struct(F.lit(1).alias("n"), F.lit(850).alias("p")))).alias("lv"), "h",
-    ).select("valid_time", "i", "j", "expver", "number", F.col("lv.n").alias("level_index"), F.col("lv.p").alias("pressure_level"),
-             (F.col("h") * F.lit(9.80665) + F.col("lv.n")).alias("z"))
-    return S.normalize_dataset(raw, "z")
+    ).select("valid_time", "i", "j", "expver", "number", F.col("lv.p").alias("pressure_level"), (F.col("h") * F.lit(9.80665) + F.col("lv.n")).alias("z"))
+    return S.normalize_dataset(raw, "z", levels=[500, 850])
 
 
 SEL_SQL = """SELECT time, printf('%.2f', 90 - 2.5::DOUBLE*x) AS latitude, printf('%.2f', -180 + 2.5::DOUBLE*y) AS longitude, printf('%.1f', CAST(raw AS DOUBLE)) AS z, type, cluster,
@@ -107,11 +111,14 @@ query("S10_run_output_name", """SELECT o_orderkey, 'Geopotential_selected_geopot
         F.expr("timestamp(o_orderdate) + interval 61 minutes")).alias("name")))
 
 
-@query("S11_publish_results")
+@query("S11_publish_results", chain("points") + "SELECT 'run-' || time AS request_hash, COUNT(*) AS n_rows FROM points GROUP BY time")
 def _publish(s, d):
+    """Two publications one after the other, and the rows that are there in the end."""
+    base = scratch_path(s, "published")
     rows = R.selected_rows(det(s, d).points, SPEC).withColumn("request_hash", F.concat(F.lit("run-"), F.col("time")))
-    return R.publish_results(rows, scratch_path(s, "published")).select(
-        F.regexp_extract("path", r"request_hash=([^/]+)/", 1).alias("request_hash"), "size")
+    for n in range(2):
+        R.publish_results(rows.where(F.col("time") % 2 == n), base)
+    return s.read.option("header", True).csv(base).groupBy("request_hash").agg(F.count("*").alias("n_rows"))
 
 
 def listing(s, d):
@@ -122,10 +129,24 @@ def listing(s, d):
 
 LISTING = """listing AS (SELECT l_orderkey || '/ln_' || l_linenumber || '.' || (['csv', 'svg', 'png', 'pdf'])[l_linenumber % 4 + 1] AS name, CAST(MAX(l_quantity) AS BIGINT) AS size
  FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
-query("S12_list_objects", f"WITH {LISTING} SELECT split_part(name, '/', 1) AS prefix, name, size, split_part(name, '/', 2) AS file FROM listing WHERE split_part(name, '/', 1) IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F')")(
-    lambda s, d: R.list_objects(listing(s, d), table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("prefix"))))
-query("S12_prefix_exists", f"WITH {LISTING} SELECT CAST(o_orderkey AS VARCHAR) AS prefix, CAST(o_orderkey AS VARCHAR) IN (SELECT split_part(name, '/', 1) FROM listing) AS exists FROM orders")(
-    lambda s, d: R.prefix_exists(listing(s, d), table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("prefix"))))
+# Two kinds of prefixes over the same keys: an order's folder, and one folder deeper.
+PREFIXES = "prefixes AS (SELECT CASE WHEN o_orderstatus = 'F' THEN o_orderkey || '/' ELSE o_orderkey || '/deep' END AS prefix FROM orders)"
+DEEP = "deep AS (SELECT CASE WHEN size % 2 = 0 THEN split_part(name, '/', 1) || '/deep/' || split_part(name, '/', 2) ELSE name END AS name, size FROM listing)"
+
+
+def prefixes(s, d):
+    key = F.col("o_orderkey").cast("string")
+    return table(s, d, "orders").select(F.when(F.col("o_orderstatus") == "F", F.concat(key, F.lit("/"))).otherwise(F.concat(key, F.lit("/deep"))).alias("prefix"))
+
+
+def deep_listing(s, d):
+    return listing(s, d).withColumn("name", F.when(F.col("size") % 2 == 0, F.regexp_replace("name", "/", "/deep/")).otherwise(F.col("name")))
+
+
+query("S12_list_objects", f"WITH {LISTING}, {DEEP}, {PREFIXES} SELECT rtrim(prefix, '/') AS prefix, name, size, substr(name, len(rtrim(prefix, '/')) + 2) AS file FROM deep JOIN prefixes ON split_part(prefix, '/', 1) = split_part(name, '/', 1) AND starts_with(name, rtrim(prefix, '/') || '/')")(
+    lambda s, d: R.list_objects(deep_listing(s, d), prefixes(s, d)))
+query("S12_prefix_exists", f"WITH {LISTING}, {DEEP}, {PREFIXES}, k AS (SELECT DISTINCT split_part(name, '/', 1) AS f FROM deep UNION SELECT DISTINCT split_part(name, '/', 1) || '/deep' FROM deep WHERE name LIKE '%/deep/%') SELECT prefix, rtrim(prefix, '/') IN (SELECT f FROM k) AS exists FROM prefixes")(
+    lambda s, d: R.prefix_exists(deep_listing(s, d), prefixes(s, d)))
 
 # --- projections and filters -------------------------------------------------------------------
 
@@ -193,7 +214,7 @@ query("G09_bearing_walk", f"WITH {CUST}, w1 AS (SELECT key, bearing, dest_lat AS
         "key", F.round(F.col("walk_lat").cast("double"), 3).alias("walk_lat"), F.round(F.col("walk_lon").cast("double"), 3).alias("walk_lon")))
 LINE = "line AS (SELECT p_partkey AS key, CAST(p_partkey % 13 AS DOUBLE) AS x1, CAST(p_partkey % 7 AS DOUBLE) AS y1, CAST(p_partkey % 13 + 1 + p_partkey % 5 AS DOUBLE) AS x2, CAST(p_partkey % 7 + 1 + p_partkey % 11 AS DOUBLE) AS y2 FROM part)"
 query("G10_line_fit", f"""WITH {LINE}, fit AS (SELECT *, (y2 - y1)/(x2 - x1) AS m, y1 - (y2 - y1)/(x2 - x1)*x1 AS c, (x2 - x1) >= (y2 - y1) AS ax FROM line),
-  walk AS (SELECT fit.*, s FROM fit, range(0, 40) r(s) WHERE s >= CASE WHEN ax THEN x1 ELSE y1 END AND s <= CASE WHEN ax THEN x2 ELSE y2 END)
+  walk AS (SELECT fit.*, s FROM fit, range(0, (SELECT CAST(MAX(greatest(x2, y2)) AS BIGINT) + 1 FROM line)) r(s) WHERE s >= CASE WHEN ax THEN x1 ELSE y1 END AND s <= CASE WHEN ax THEN x2 ELSE y2 END)
   SELECT key, round(m, 6) AS slope, round(c, 6) AS intercept, CAST(CASE WHEN ax THEN s ELSE round((s - c)/m) END AS INTEGER) AS px, CAST(CASE WHEN ax THEN round(m*s + c) ELSE s END AS INTEGER) AS py FROM walk""")(
     lambda s, d: G.line_raster(table(s, d, "part").select(
         F.col("p_partkey").alias("key"), (F.col("p_partkey") % 13).cast("double").alias("x1"), (F.col("p_partkey") % 7).cast("double").alias("y1"),
@@ -205,7 +226,7 @@ query("G10_line_fit", f"""WITH {LINE}, fit AS (SELECT *, (y2 - y1)/(x2 - x1) AS
 query("A11_field_range", chain("field") + "SELECT time, MIN(h) AS vmin, MAX(h) AS vmax, MIN(h) - MIN(h) % 20 - 20 AS min_contour, MAX(h) - MAX(h) % 20 + 20 AS max_contour FROM field GROUP BY time")(
     lambda s, d: M.field_range(field(s, d), SPEC))
 query("A12_contour_bands", chain("field") + """SELECT r.time, r.lo + 20*CAST(n AS INTEGER) AS contour, COUNT(f.h) AS n_points FROM (SELECT time, MIN(h) - MIN(h) % 20 - 20 AS lo, MAX(h) - MAX(h) % 20 + 20 AS hi FROM field GROUP BY time) r
-  JOIN range(200) k(n) ON r.lo + 20*n < r.hi LEFT JOIN field f ON f.time = r.time AND f.h >= r.lo + 20*n AND f.h < r.lo + 20*n + 20 GROUP BY r.time, r.lo, n""")(
+  JOIN range((SELECT CAST((MAX(h) - MIN(h))/20 AS BIGINT) + 4 FROM field)) k(n) ON r.lo + 20*n < r.hi LEFT JOIN field f ON f.time = r.time AND f.h >= r.lo + 20*n AND f.h < r.lo + 20*n + 20 GROUP BY r.time, r.lo, n""")(
     lambda s, d: M.contour_bands(field(s, d), SPEC))
 query("A12_contour_band_points", chain("field") + "SELECT time, CAST(h - h % 20 AS INTEGER) AS contour, 90 - 2.5::DOUBLE*i AS lat, -180 + 2.5::DOUBLE*j AS lon, h AS height FROM field")(
     lambda s, d: M.contour_band_points(field(s, d), SPEC))

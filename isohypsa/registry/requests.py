@@ -238,8 +238,8 @@ query("J08_requests_of_user", req_sql("SELECT b.user_id, b.requestHash, r.reques
 query("J09_request_with_relations", req_sql(f"""SELECT r.requestHash, coalesce(b.n, 0) AS n_users, coalesce(f.n, 0) AS n_files, {sfmt('f.e')} AS expiresAt FROM req r LEFT JOIN (SELECT requestHash, COUNT(*) AS n FROM bridge GROUP BY 1) b USING (requestHash)
   LEFT JOIN (SELECT requestHash, COUNT(*) AS n, MAX(expiresAt) AS e FROM files GROUP BY 1) f USING (requestHash)""", BRIDGE, FILES))(
     lambda s, d: K.request_with_relations(requests(s, d), bridge(s, d), cat_files(s, d)).select("requestHash", "n_users", "n_files", fmt("expiresAt").alias("expiresAt")))
-query("J10_requests_by_hashes", req_sql("SELECT requestHash, requestStatus FROM req WHERE requestHash IN (SELECT 'h' || l_orderkey FROM lineitem WHERE l_returnflag = 'R')"))(
-    lambda s, d: K.requests_by_hashes(requests(s, d), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("h"), F.col("l_orderkey")).alias("requestHash"))).select("requestHash", "requestStatus"))
+query("J10_requests_by_hashes", req_sql("SELECT requestHash, requestStatus FROM req WHERE requestHash IN (SELECT 'h' || (l_orderkey + CASE WHEN l_returnflag = 'R' THEN 0 ELSE 300000000 END) FROM lineitem)"))(
+    lambda s, d: K.requests_by_hashes(requests(s, d), table(s, d, "lineitem").select(F.concat(F.lit("h"), F.col("l_orderkey") + F.when(F.col("l_returnflag") == "R", 0).otherwise(300_000_000)).alias("requestHash"))).select("requestHash", "requestStatus"))
 query("J11_files_without_catalogue", f"WITH {FILES} SELECT requestHash, file FROM stored WHERE requestHash NOT IN (SELECT requestHash FROM files WHERE expiresAt >= {NOW_SQL})")(
     lambda s, d: K.files_without_catalogue(stored(s, d), cat_files(s, d).where(F.col("expiresAt") >= now_col())).select("requestHash", "file"))
 
@@ -337,14 +337,14 @@ query("T06_next_step", """SELECT user_id, CASE WHEN t = 'error' THEN 'FAILED' WH
 
 
 def arrivals(s, d):
-    """Requests arriving: the first shipped line of many orders, and orders not seen before."""
-    return table(s, d, "lineitem").where("l_returnflag = 'A'").select(
+    """Requests arriving, one per line: orders of the catalogue, and orders not seen before."""
+    return table(s, d, "lineitem").select(
         F.concat(F.lit("h"), F.when(F.col("l_linenumber") == 7, F.col("l_orderkey") + 100_000_000).otherwise(F.col("l_orderkey"))).alias("requestHash"),
         F.col("l_suppkey").alias("userId"),
         (F.unix_timestamp("l_shipdate") * 1000 + F.col("l_partkey") % 1000).alias("arrival"))
 
 
-ARR = "arr AS (SELECT 'h' || (CASE WHEN l_linenumber = 7 THEN l_orderkey + 100000000 ELSE l_orderkey END) AS requestHash, l_suppkey AS userId, CAST(epoch(l_shipdate) AS BIGINT)*1000 + l_partkey % 1000 AS arrival FROM lineitem WHERE l_returnflag = 'A')"
+ARR = "arr AS (SELECT 'h' || (CASE WHEN l_linenumber = 7 THEN l_orderkey + 100000000 ELSE l_orderkey END) AS requestHash, l_suppkey AS userId, CAST(epoch(l_shipdate) AS BIGINT)*1000 + l_partkey % 1000 AS arrival FROM lineitem)"
 CATALOGUE = ["requestHash", "requestStatus", "timesRequested"]
 
 
@@ -364,11 +364,11 @@ query("U01_admission_links", req_sql("""SELECT DISTINCT userId AS user_id, reque
 
 
 def done(s, d):
-    return table(s, d, "orders").where("o_orderstatus <> 'F'").select(
-        F.concat(F.lit("h"), F.col("o_orderkey")).alias("requestHash"), F.when(F.col("o_orderpriority") == "1-URGENT", "ERROR").otherwise("OK").alias("status"))
+    return table(s, d, "orders").select(
+        F.concat(F.lit("h"), F.col("o_orderkey") + F.when(F.col("o_orderstatus") == "F", 200_000_000).otherwise(0)).alias("requestHash"), F.when(F.col("o_orderpriority") == "1-URGENT", "ERROR").otherwise("OK").alias("status"))
 
 
-DONE = "done AS (SELECT 'h' || o_orderkey AS requestHash FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT')"
+DONE = "done AS (SELECT 'h' || (o_orderkey + CASE WHEN o_orderstatus = 'F' THEN 200000000 ELSE 0 END) AS requestHash FROM orders WHERE o_orderpriority <> '1-URGENT')"
 query("U02_settle_results", req_sql(f"""SELECT c.requestHash, CASE WHEN d.requestHash IS NULL THEN c.requestStatus WHEN n.n > 0 THEN 'CACHED' ELSE 'EMPTY' END AS requestStatus,
   CASE WHEN d.requestHash IS NOT NULL THEN coalesce(n.n, 0) END AS n_files, CASE WHEN d.requestHash IS NOT NULL AND n.n > 0 THEN {sfmt(NOW_SQL + ' + INTERVAL 7 DAY')} END AS expiresAt
   FROM cat c LEFT JOIN done d USING (requestHash) LEFT JOIN (SELECT requestHash, COUNT(*) AS n FROM stored GROUP BY 1) n USING (requestHash)""", CAT, DONE, STORED))(
@@ -420,17 +420,29 @@ def _detect_stream(s, d):
     src, out = scratch_path(s, "slices-in"), scratch_path(s, "formations-out")
     to_slices(field(s, d), SPEC).write.parquet(src)
     Z.detect_stream(s.readStream.schema("time int, vals array<int>").option("maxFilesPerTrigger", 4).parquet(src), SPEC, out, scratch_path(s, "detect-cp"))
-    return s.read.parquet(out)
+    return Z.read_formations(s, out)
 
 
-def _versions(s, d, merge, rows, schema):
+def _versions(s, d, merge, rows, schema, part=None):
     src, root = scratch_path(s, "messages-in"), scratch_path(s, "catalogue")
     rows.write.parquet(src)
-    q = Z.catalogue_stream(s.readStream.schema(schema).parquet(src), merge, root, catalogue(s, d), scratch_path(s, "catalogue-cp"))
-    return Z.latest_version(s, root, q)
+    Z.catalogue_stream(s.readStream.schema(schema).parquet(src), merge, root, catalogue(s, d), scratch_path(s, "catalogue-cp"))
+    return Z.latest_version(s, root) if part is None else s.read.parquet(f"{root}/{part}").drop("batch")
+
+
+ARRIVAL = "requestHash string, userId bigint, arrival bigint"
+
+
+def _admit(batch, before):
+    admitted = K.admit_requests(batch, before)
+    return {"catalogue": admitted.select(*CATALOGUE), "links": K.admission_links(batch, before),
+            "messages": admitted.where("to_process > 0 OR to_settle").select("requestHash", "to_process", "to_settle")}
 
 
 query("T08_admission_stream", "SELECT requestHash, requestStatus, timesRequested FROM (" + ORACLES["U01_admit_requests"] + ")")(lambda s, d: _versions(
-    s, d, lambda b, c: K.admit_requests(b, c).select(*CATALOGUE), arrivals(s, d), "requestHash string, userId bigint, arrival bigint"))
+    s, d, _admit, arrivals(s, d), ARRIVAL))
+query("T08_admission_links_stream", ORACLES["U01_admission_links"])(lambda s, d: _versions(s, d, _admit, arrivals(s, d), ARRIVAL, "links"))
+query("T08_admission_messages_stream", "SELECT requestHash, to_process, to_settle FROM (" + ORACLES["U01_admit_requests"] + ") WHERE to_process > 0 OR to_settle")(
+    lambda s, d: _versions(s, d, _admit, arrivals(s, d), ARRIVAL, "messages"))
 query("T08_settlement_stream", "SELECT u.requestHash, u.requestStatus, c.timesRequested FROM (" + ORACLES["U02_settle_results"] + ") u JOIN (" + req_sql("SELECT * FROM cat", CAT) + ") c USING (requestHash)")(lambda s, d: _versions(
     s, d, lambda b, c: K.settle_results(b, c, stored(s, d), now_col())[0].select(*CATALOGUE), done(s, d), "requestHash string, status string"))

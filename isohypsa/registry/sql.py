@@ -116,17 +116,15 @@ STEPS: dict[str, tuple[list[str], str]] = {
     "clusters": (["summary"], """SELECT *, CAST(row_number() OVER (PARTITION BY time ORDER BY root) - 1 AS INTEGER) AS id FROM summary
   WHERE n_lat > 30 AND n_lat < 85 AND n_points <> 1"""),
     "points": (["labelled", "clusters"], """SELECT l.*, c.id AS cluster, c.center_lat, c.center_lon FROM labelled l JOIN clusters c ON c.time = l.time AND c.root = l.root"""),
-    "rays": ([], """SELECT CAST(row_number() OVER (ORDER BY grp, a, b, s, turn) - 1 AS INTEGER) AS ray, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy FROM (
-  SELECT 0 AS grp, i AS a, j AS b, 0 AS s, 0 AS turn, i AS dx, j AS dy FROM range(-1, 2) p(i), range(-1, 2) q(j) WHERE i <> 0 OR j <> 0
-  UNION ALL SELECT 1, i, j, s, 0, i, s*j FROM range(-1, 2) p(i), range(-1, 2) q(j), range(2, 9) r(s) WHERE i <> 0 AND j <> 0
-  UNION ALL SELECT 1, i, j, s, 1, s*j, i FROM range(-1, 2) p(i), range(-1, 2) q(j), range(2, 9) r(s) WHERE i <> 0 AND j <> 0)"""),
+    "rays": ([], """SELECT CAST(row_number() OVER (ORDER BY dx, dy) - 1 AS INTEGER) AS ray, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy FROM range(-8, 9) p(dx), range(-8, 9) q(dy)
+  WHERE least(abs(dx), abs(dy)) = 1 OR abs(dx) + abs(dy) = 1"""),
     "centers": (["clusters"], """SELECT *, CAST(36 - center_lat/2.5 AS INTEGER) AS ci,
    CASE WHEN CAST(center_lon/2.5 + 72 AS INTEGER) BETWEEN 0 AND 143 THEN CAST(center_lon/2.5 + 72 AS INTEGER) ELSE -1 END AS cj FROM clusters"""),
     # walk every ray cell by cell until the first stop
     "raysteps": (["centers", "rays"], f"""SELECT c.time, c.id, c.type, c.ci, c.cj, r.ray, r.dx, r.dy, CAST(k AS INTEGER) AS k, c.ci + k*r.dx AS i, c.cj + k*r.dy AS j,
    (c.ci + k*r.dx < 0 OR c.ci + k*r.dx >= 35 OR c.cj + k*r.dy < 0 OR c.cj + k*r.dy >= 144
     OR {hav('c.center_lat', 'c.center_lon', '(90 - 2.5::DOUBLE*(c.ci + k*r.dx))', '(-180 + 2.5::DOUBLE*(c.cj + k*r.dy))')} > 3000) AS stop
-  FROM centers c, rays r, range(1, 146) s(k)"""),
+  FROM centers c, rays r, range(1, (SELECT MAX(j) FROM field) + 2) s(k)"""),
     "raycells": (["raysteps", "field"], """SELECT w.time, w.id, w.type, w.ray, w.dx, w.dy, w.k, CAST(w.i AS INTEGER) AS i, CAST(w.j AS INTEGER) AS j, f.h AS cell_h
   FROM (SELECT *, MIN(CASE WHEN stop THEN k END) OVER (PARTITION BY time, id, ray) AS first_stop FROM raysteps) w
   JOIN field f ON f.time = w.time AND f.i = w.i AND f.j = w.j WHERE w.k < coalesce(w.first_stop, 1000)"""),

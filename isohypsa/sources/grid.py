@@ -62,13 +62,10 @@ def axis_lon(spark: SparkSession, spec: GridSpec) -> DataFrame:
 
 
 def grid_profile(field: DataFrame) -> DataFrame:
-    """Number of rows, columns and instants of a field. Distinct values are found one column at
-    a time (map-side combined), not by carrying every (i, j, time) through one expansion."""
-    counts = [
-        field.select(F.lit(dim).alias("dim"), F.col(c).cast("bigint").alias("v")).distinct()
-        for dim, c in (("nlat", "i"), ("nlon", "j"), ("ntime", "time"))
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy("dim").agg(F.count("*").alias("size"))
+    """Number of rows, columns and instants of a field, in one scan: each cell gives its three values, which
+    are made distinct map-side."""
+    values = F.array(*[F.struct(F.lit(dim).alias("dim"), F.col(c).cast("bigint").alias("v")) for dim, c in (("nlat", "i"), ("nlon", "j"), ("ntime", "time"))])
+    return field.select(F.inline(values)).distinct().where("v IS NOT NULL").groupBy("dim").agg(F.count("*").alias("size"))
 
 
 def unknown_variables(names: DataFrame, col: str = "name") -> DataFrame:
@@ -76,18 +73,25 @@ def unknown_variables(names: DataFrame, col: str = "name") -> DataFrame:
     return names.where(~F.col(col).isin(*KNOWN_VARIABLES))
 
 
-def normalize_dataset(df: DataFrame, var: str, level_col: str = "pressure_level") -> DataFrame:
+def normalize_dataset(df: DataFrame, var: str, level_col: str = "pressure_level", levels: list[float] | None = None) -> DataFrame:
     """Bring a raw download to the packed form. Without ``valid_time`` the input is already
-    in the right form and passes through."""
+    in the right form and passes through.
+
+    Of several pressure levels the first in file order is taken. Rows have no order, so it comes from ``levels`` (the file's
+    level axis) or from a column ``level_index``; with neither, a file of more than one level is an error."""
     if "valid_time" not in df.columns:
         return df
     scale, offset, long_name = PACKING[var]
     df = df.withColumnRenamed("valid_time", "time")
     if level_col in df.columns:
-        first = df.agg(F.min("level_index").alias("_first")) if "level_index" in df.columns else None
-        if first is not None:
+        if levels:
+            df = df.where(F.col(level_col) == levels[0]).drop("level_index")
+        elif "level_index" in df.columns:
             # one-row aggregate, so the broadcast is bounded
+            first = df.agg(F.min("level_index").alias("_first"))
             df = df.join(F.broadcast(first), df["level_index"] == F.col("_first")).drop("_first", "level_index")
+        elif df.select(level_col).distinct().limit(2).count() > 1:
+            raise ValueError(f"which {level_col} comes first in the file is not known: give levels")
     df = df.drop("expver", "number", level_col)
     packed = pack_int16(F.col(var), scale, offset)
     return df.withColumns({

@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from isohypsa.functions.geo import height, lat_of, lon_of
 from isohypsa.params import GridSpec
+from isohypsa.staging import stage
 
 SCHEMAS = {
     "selected": "time int, latitude double, longitude double, z double, type string, cluster int, "
@@ -86,17 +87,21 @@ def read_results(spark: SparkSession, base: str, kind: str, request_hash: str) -
     return found
 
 
-def publish_results(df: DataFrame, base: str, hash_col: str = "request_hash", salts: int = 8) -> DataFrame:
-    """Place every row's data under base/<hash>/ and return the listing of what was written.
+def publish_results(df: DataFrame, base: str, hash_col: str = "request_hash", rows_per_file: int = 1_000_000) -> DataFrame:
+    """Place every row's data under base/<hash>/ and return the listing of the hashes written. What other runs have
+    published under other hashes stays; a hash that is published again is replaced.
 
-    Rows are spread by (hash, salt): few files per hash, yet a hash holding a large share of the
-    rows is written by several tasks. The salt depends on the row only, so retries repeat it."""
+    A hash gets a file for every ``rows_per_file`` of its rows, so one that holds a large share of them is written by many tasks. The
+    place of a row depends on the row only, so retries repeat it."""
     spark = df.sparkSession
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != hash_col]), F.lit(salts))
-    df.repartition(F.col(hash_col), salt).write.mode("overwrite").partitionBy(hash_col).option("header", True).csv(base)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.csv",
-    ).load(base).select("path", F.col("length").alias("size"))
+    files = df.groupBy(hash_col).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
+    files = stage(files, "published")
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != hash_col]), F.col("_files"))
+    dealt = df.join(files, hash_col).repartition(F.col(hash_col), salt).drop("_files")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(hash_col).option("header", True).csv(base)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(base)
+    listing = listing.select("path", F.col("length").alias("size"), F.regexp_extract("path", f"/{hash_col}=([^/]*)/", 1).alias(hash_col))
+    return listing.join(files.select(F.col(hash_col).cast("string").alias(hash_col)), hash_col, "left_semi").select("path", "size")
 
 
 def run_output_name(long_name: Column, kind: Column, source: Column, ts: Column) -> Column:
@@ -105,18 +110,22 @@ def run_output_name(long_name: Column, kind: Column, source: Column, ts: Column)
     return F.concat(long_name, F.lit("_"), kind, F.lit("_"), base, F.lit("_"), F.date_format(ts, "dd-MM-yyyy_HH-mm"), F.lit("UTC.csv"))
 
 
+def folders_of(name: Column) -> Column:
+    """Every folder that holds a key: for a/b/c.csv these are a and a/b."""
+    parts = F.split(name, "/")
+    return F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
 def list_objects(listing: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Objects under each ``prefix`` (folder keys excluded). Keys are ``prefix/rest``, so this is
-    an equi-join on the text before the first slash, not a scan per prefix."""
-    keyed = listing.where(~F.col("name").endswith("/")).withColumn("prefix", F.substring_index("name", "/", 1))
-    return keyed.join(prefixes.select("prefix").distinct(), "prefix", "left_semi").withColumn(
-        "file", F.expr("substring(name, length(prefix) + 2)"),
-    )
+    """Objects under each ``prefix``, a folder of any depth (folder keys excluded). A key meets its few folders, so this
+    is an equi-join, not a scan per prefix."""
+    keyed = listing.where(~F.col("name").endswith("/")).withColumn("prefix", F.explode(folders_of(F.col("name"))))
+    wanted = prefixes.select(F.regexp_replace("prefix", "/+$", "").alias("prefix")).distinct()
+    return keyed.join(wanted, "prefix", "left_semi").withColumn("file", F.expr("substring(name, length(prefix) + 2)"))
 
 
 def prefix_exists(listing: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Prefixes that have at least one key (a folder key is enough)."""
-    have = listing.select(F.substring_index("name", "/", 1).alias("prefix")).distinct().withColumn("exists", F.lit(True))
-    return prefixes.join(have, "prefix", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
-
-
+    have = listing.select(F.explode(folders_of(F.col("name"))).alias("_folder")).distinct().withColumn("exists", F.lit(True))
+    found = prefixes.withColumn("_folder", F.regexp_replace("prefix", "/+$", "")).join(have, "_folder", "left").drop("_folder")
+    return found.withColumn("exists", F.coalesce("exists", F.lit(False)))

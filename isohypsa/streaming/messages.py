@@ -17,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from isohypsa.functions.text import parse_envelope
 from isohypsa.operators.catalogue import progress_carry, progress_running
 from isohypsa.params import GridSpec
-from isohypsa.staging import release, staged_paths
+from isohypsa.staging import children, delete, exists, mark, scoped
 
 # Fixed bindings: routing key -> (queue, exchange).
 ROUTES = {
@@ -73,51 +73,85 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return q
 
 
+# --- state as table versions ---------------------------------------------------------------------
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions ``root/v=<n>``, ascending."""
+    found = [int(name[2:]) for name in children(spark, root) if name.startswith("v=")]
+    return sorted(n for n in found if exists(spark, f"{root}/v={n}/_DONE"))
+
+
+def write_version(spark: SparkSession, root: str, n: int, state: DataFrame) -> None:
+    """Version n, marked as complete only when it is; versions before the last two go."""
+    state.write.mode("overwrite").parquet(f"{root}/v={n}")
+    mark(spark, f"{root}/v={n}/_DONE")
+    for old in versions(spark, root)[:-2]:
+        delete(spark, f"{root}/v={old}")
+
+
+def version_before(spark: SparkSession, root: str, n: int) -> DataFrame | None:
+    """The state that batch n starts from: the newest version under n, so a repeated batch starts from the same one."""
+    earlier = [k for k in versions(spark, root) if k < n]
+    return spark.read.parquet(f"{root}/v={earlier[-1]}") if earlier else None
+
+
+def latest_version(spark: SparkSession, root: str) -> DataFrame:
+    """The newest complete state, whichever run of the stream wrote it."""
+    return spark.read.parquet(f"{root}/v={versions(spark, root)[-1]}")
+
+
 def progress_stream(events: DataFrame, key: str, ts: str, tie: str, out: str, state: str,
                     checkpoint: str) -> StreamingQuery:
-    """Running progress per request. ``out/batch=n`` holds the progress rows of a micro-batch,
-    ``state/v=n`` the sum of each run that has not ended. Events without a numeric increment or a
-    text message are dropped; 100 emits and resets the run."""
+    """Running progress per request. ``out/batch=n`` holds the progress rows of a micro-batch, the versions under
+    ``state`` the sum of each run that has not ended (runs without a sum have no row). Events without a numeric
+    increment or a text message are dropped; 100 emits and resets the run."""
     spark = events.sparkSession
     valid = events.where(F.col("increment").isNotNull() & F.col("message").isNotNull())
 
     def sink(batch: DataFrame, n: int) -> None:
-        kept = spark.read.parquet(f"{state}/v={n - 1}") if n else None
+        kept = version_before(spark, state, n)
         progress_running(batch, key, ts, tie, carry=kept).write.mode("overwrite").parquet(f"{out}/batch={n}")
-        progress_carry(batch, key, ts, tie, kept).write.mode("overwrite").parquet(f"{state}/v={n}")
+        write_version(spark, state, n, progress_carry(batch, key, ts, tie, kept).where("carry <> 0"))
 
     return run_available(valid, sink, checkpoint)
 
 
 def detect_stream(slices: DataFrame, spec: GridSpec, out: str, checkpoint: str) -> StreamingQuery:
-    """Formations of every arriving instant. A batch overwrites only the partitions of its own
-    instants, so a repeated batch gives the same table."""
+    """Formations of every arriving instant. A batch overwrites the partitions of its own instants, so a repeated batch
+    gives the same table. An instant has one more row, without ids, so that one sent again without formations loses
+    its old ones; ``read_formations`` leaves these rows out."""
     from isohypsa.plans.detect import cluster_extrema
 
     def sink(batch: DataFrame, _: int) -> None:
-        before = len(staged_paths())
-        found = cluster_extrema(None, spec, slices=batch, staged=True).formations()
-        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("time").parquet(out)
-        release(batch.sparkSession, keep=before)
+        with scoped(batch.sparkSession):
+            found = cluster_extrema(None, spec, slices=batch, staged=True).formations()
+            seen = batch.select("time").distinct()
+            rows = found.unionByName(seen, allowMissingColumns=True)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("time").parquet(out)
 
     return run_available(slices, sink, checkpoint)
 
 
-def catalogue_stream(messages: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], root: str,
+def read_formations(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).where(F.col("max_id").isNotNull())
+
+
+def catalogue_stream(messages: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame | dict[str, DataFrame]], root: str,
                      initial: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Fold batches of messages into a catalogue kept as versions ``root/v=<batch>``: batch n reads
-    version n - 1, so a repeated batch starts from the same state."""
+    """Fold batches of messages into a catalogue kept as versions under ``root``. ``initial`` is written by the first start
+    only. ``merge`` gives the new catalogue, or a dict with it as ``catalogue`` beside other tables of the batch
+    (links, messages to send on), which are written to ``root/<name>/batch=<n>``."""
     spark = messages.sparkSession
-    initial.write.mode("overwrite").parquet(f"{root}/v=-1")
+    if not versions(spark, root):
+        write_version(spark, root, -1, initial)
 
     def sink(batch: DataFrame, n: int) -> None:
-        before = spark.read.parquet(f"{root}/v={n - 1}")
-        merge(batch, before).write.mode("overwrite").parquet(f"{root}/v={n}")
+        made = merge(batch, version_before(spark, root, n))
+        made = made if isinstance(made, dict) else {"catalogue": made}
+        for name, table in made.items():
+            if name != "catalogue":
+                table.write.mode("overwrite").parquet(f"{root}/{name}/batch={n}")
+        write_version(spark, root, n, made["catalogue"])
 
     return run_available(messages, sink, checkpoint)
-
-
-def latest_version(spark: SparkSession, root: str, query: StreamingQuery) -> DataFrame:
-    """The state after the last micro-batch of a finished query."""
-    last = query.lastProgress
-    return spark.read.parquet(f"{root}/v={last['batchId'] if last else -1}")

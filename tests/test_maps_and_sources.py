@@ -92,6 +92,31 @@ def test_normalize(spark):
     assert {(r.j, r.lon) for r in S.normalize_lon(f, west).collect()} == {(0, -180.0), (1, -90.0), (2, 0.0), (3, 90.0)}
 
 
+def test_first_level_must_be_known(spark):
+    df = spark.createDataFrame([(0, 850, 60000.0), (0, 500, 50000.0)], "valid_time int, pressure_level int, z double")
+    with pytest.raises(ValueError):
+        S.normalize_dataset(df, "z")
+    assert S.normalize_dataset(df, "z", levels=[850, 500]).count() == 1
+    assert S.normalize_dataset(df.where("pressure_level = 500"), "z").count() == 1
+
+
+def test_publishing_keeps_other_runs_and_replaces_its_own(spark):
+    base = scratch_path(spark, "pub")
+    rows = lambda h, n: spark.range(n).withColumn("request_hash", F.lit(h))
+    assert R.publish_results(rows("a", 10), base, rows_per_file=3).count() >= 1
+    assert {r.path.split("request_hash=")[1][0] for r in R.publish_results(rows("b", 5), base).collect()} == {"b"}
+    R.publish_results(rows("a", 4), base)
+    got = spark.read.option("header", True).csv(base).groupBy("request_hash").count().collect()
+    assert {(r[0], r[1]) for r in got} == {("a", 4), ("b", 5)}
+
+
+def test_listing_by_any_prefix(spark):
+    keys = spark.createDataFrame([("h/maps/x.svg", 1), ("h/y.csv", 2), ("h/maps/", 0), ("g/maps2/z", 3), ("top", 4)], "name string, size int")
+    want = spark.createDataFrame([("h",), ("h/maps/",), ("g/maps",), ("none",)], "prefix string")
+    assert {(r.prefix, r.file) for r in R.list_objects(keys, want).collect()} == {("h", "maps/x.svg"), ("h", "y.csv"), ("h/maps", "x.svg")}
+    assert {r.prefix: r.exists for r in R.prefix_exists(keys, want).collect()} == {"h": True, "h/maps/": True, "g/maps": False, "none": False}
+
+
 def test_results_round_trip_and_errors(spark):
     base = scratch_path(spark, "t")
     rows = spark.createDataFrame([(0, 1, 2, -1, "REX")], "time int, max_id int, min1_id int, min2_id int, type string")

@@ -6,7 +6,7 @@ from isohypsa.operators import catalogue as K
 from isohypsa.plans.detect import detect_blocking
 from isohypsa.registry.inputs import SPEC, synth_field
 from isohypsa.sources.grid import to_slices
-from isohypsa.staging import scratch_path
+from isohypsa.staging import exists, scoped, scratch_path, stage
 from isohypsa.streaming import messages as Z
 
 
@@ -52,7 +52,7 @@ def test_detect_stream_equals_batch_and_repeats(spark):
     for run in range(2):
         src = spark.readStream.schema("time int, vals array<int>").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
         Z.detect_stream(src, SPEC, f"{base}/out", f"{base}/cp{run}")
-        got = spark.read.parquet(f"{base}/out").select("time", "max_id", "min1_id", "min2_id", "type").collect()
+        got = Z.read_formations(spark, f"{base}/out").select("time", "max_id", "min1_id", "min2_id", "type").collect()
         assert sorted(map(tuple, got)) == want and len(want) == 3
 
 
@@ -62,8 +62,58 @@ def test_admission_stream_over_batches(spark):
     schema = "requestHash string, userId long, arrival long"
     for n, h in enumerate(["a", "n", "a", "n"]):
         spark.createDataFrame([(h, n, n)], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     cols = ["requestHash", "requestStatus", "timesRequested"]
-    q = Z.catalogue_stream(src, lambda b, c: K.admit_requests(b, c).select(*cols), f"{base}/cat", cat, f"{base}/cp")
-    got = {tuple(r) for r in Z.latest_version(spark, f"{base}/cat", q).collect()}
-    assert got == {("a", "CACHED", 3), ("b", "GENERATING", 1), ("n", "GENERATING", 1)}
+    def admit(b, c):
+        return {"catalogue": K.admit_requests(b, c).select(*cols), "links": K.admission_links(b, c)}
+
+    def start():
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        Z.catalogue_stream(source, admit, f"{base}/cat", cat, f"{base}/cp")
+        return {tuple(r) for r in Z.latest_version(spark, f"{base}/cat").collect()}
+
+    want = {("a", "CACHED", 3), ("b", "GENERATING", 1), ("n", "GENERATING", 1)}
+    assert start() == want
+    assert start() == want  # a second start without new files
+    spark.createDataFrame([("b", 9, 9), ("a", 9, 9)], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    assert start() == {("a", "CACHED", 4), ("b", "GENERATING", 1), ("n", "GENERATING", 1)}
+    assert len(Z.versions(spark, f"{base}/cat")) == 2
+    links = {(r.user_id, r.requestHash) for r in spark.read.parquet(f"{base}/cat/links").collect()}
+    assert links == {(0, "a"), (2, "a"), (9, "a"), (1, "n")}
+
+
+def test_progress_state_is_pruned_and_survives_a_restart(spark):
+    base = scratch_path(spark, "p")
+    schema = "k long, t timestamp, n long, increment long, message string"
+    source = lambda: spark.readStream.schema(schema).parquet(f"{base}/in")
+    send = lambda rows: spark.createDataFrame(rows, "k long, n long, increment long").select(
+        "k", F.timestamp_seconds("n").alias("t"), "n", "increment", F.lit("m").alias("message")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    send([(1, 1, 5), (2, 2, 7), (1, 3, 100)])
+    for rows in ([], [(2, 4, 3), (1, 5, 2)]):
+        if rows:
+            send(rows)
+        Z.progress_stream(source(), "k", "t", "n", f"{base}/out", f"{base}/state", f"{base}/cp")
+    got = {r.n: r.progress for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {1: 20, 2: 28, 3: 100, 4: 40, 5: 8}
+    assert {(r.k, r.carry) for r in Z.latest_version(spark, f"{base}/state").collect()} == {(2, 10), (1, 2)}
+    assert {(r.k, r.carry) for r in spark.read.parquet(f"{base}/state/v=0").collect()} == {(2, 7)}
+
+
+def test_an_instant_sent_again_without_formations_loses_its_old_ones(spark):
+    base = scratch_path(spark, "r")
+    params = spark.range(2).select(F.col("id").cast("int").alias("time"), F.lit(5).cast("bigint").alias("s"))
+    field = synth_field(params, SPEC)
+    to_slices(field, SPEC).coalesce(1).write.parquet(f"{base}/in")
+    source = lambda: spark.readStream.schema("time int, vals array<int>").parquet(f"{base}/in")
+    Z.detect_stream(source(), SPEC, f"{base}/out", f"{base}/cp")
+    assert {r.time for r in Z.read_formations(spark, f"{base}/out").collect()} == {0, 1}
+    to_slices(field.where("time = 1").withColumn("h", F.lit(5000)), SPEC).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    Z.detect_stream(source(), SPEC, f"{base}/out", f"{base}/cp")
+    assert {r.time for r in Z.read_formations(spark, f"{base}/out").collect()} == {0}
+
+
+def test_scopes_delete_their_own_tables_only(spark):
+    outer = stage(spark.range(3), "outer")
+    with scoped(spark) as staged:
+        inner = stage(spark.range(4), "inner")
+        assert inner.count() == 4 and len(staged) == 1
+    assert not exists(spark, staged[0]) and outer.count() == 3
