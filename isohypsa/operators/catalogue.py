@@ -140,6 +140,21 @@ def request_with_relations(requests: DataFrame, bridge: DataFrame, files: DataFr
     return requests.join(u, "requestHash", "left").join(f, "requestHash", "left").fillna(0, ["n_users", "n_files"])
 
 
+def request_relations(requests: DataFrame, bridge: DataFrame, files: DataFrame) -> DataFrame:
+    """The related rows themselves, one per user and one per file of a request, so that no request gathers them in one value:
+    requestHash, requestStatus, relation (user, file or none), user_id, file, expiresAt."""
+    own = requests.select("requestHash", "requestStatus")
+    related = bridge.select("requestHash", F.lit("user").alias("relation"), "user_id").unionByName(
+        files.select("requestHash", F.lit("file").alias("relation"), "file", "expiresAt"), allowMissingColumns=True)
+    return own.join(related, "requestHash", "left").withColumn("relation", F.coalesce("relation", F.lit("none")))
+
+
+def unexpected_fields(df: DataFrame, body: str, allowed: tuple[str, ...]) -> DataFrame:
+    """Messages whose JSON body names fields that a request does not have, with those names in order."""
+    names = F.array_sort(F.array_except(F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")), F.array(*map(F.lit, allowed))))
+    return df.withColumn("unexpected", names).where(F.size("unexpected") > 0)
+
+
 def requests_by_hashes(requests: DataFrame, hashes: DataFrame) -> DataFrame:
     return requests.join(hashes.select("requestHash"), "requestHash", "left_semi")
 

@@ -260,8 +260,18 @@ MEMBERS = """members AS (SELECT f.time, f.max_id, f.form_type, f.role, p.cluster
 MEMBER_CHAIN = with_ctes(chain("formations", "points"), MEMBERS)
 query("J05_formation_members", MEMBER_CHAIN + "SELECT time, max_id, form_type, role, cluster, lat, lon FROM members")(
     lambda s, d: members(s, d).select("time", "max_id", "form_type", "role", "cluster", "lat", "lon"))
-query("A14_formation_hull")(lambda s, d: M.formation_hull(members(s, d)))
 UNWRAP = "unwrapped AS (SELECT *, CASE WHEN MAX(lon) OVER (PARTITION BY time, max_id) - MIN(lon) OVER (PARTITION BY time, max_id) >= 180 AND lon < 0 THEN lon + 360 ELSE lon END AS ulon FROM members)"
+# An edge p-q belongs to the hull when no member lies to its right, and none on its line but outside of it.
+HULL = """u AS MATERIALIZED (SELECT DISTINCT time, max_id, ulon AS x, lat AS y FROM unwrapped),
+ v AS (SELECT p.time, p.max_id, p.x, p.y FROM u p JOIN u q ON p.time = q.time AND p.max_id = q.max_id AND (p.x <> q.x OR p.y <> q.y)
+   WHERE NOT EXISTS (SELECT 1 FROM u r WHERE r.time = p.time AND r.max_id = p.max_id AND ((q.x - p.x)*(r.y - p.y) - (q.y - p.y)*(r.x - p.x) < 0
+     OR ((q.x - p.x)*(r.y - p.y) - (q.y - p.y)*(r.x - p.x) = 0 AND (r.x - p.x)*(r.x - q.x) + (r.y - p.y)*(r.y - q.y) > 0)))),
+ c AS (SELECT *, AVG(x) OVER g AS mx, AVG(y) OVER g AS my, MIN((x, y)) OVER g AS s FROM v WINDOW g AS (PARTITION BY time, max_id)),
+ t AS (SELECT *, atan2(y - my, x - mx) - atan2(s[2] - my, s[1] - mx) AS turn FROM c)"""
+HULL_ROWS = f"""SELECT time, max_id, CAST(row_number() OVER (PARTITION BY time, max_id ORDER BY CASE WHEN turn < 0 THEN turn + 2*pi() ELSE turn END) - 1 AS INTEGER) AS vertex,
+  round(y + {M.HULL_PADDING}::DOUBLE*(y - my), 6) AS lat, round(x + {M.HULL_PADDING}::DOUBLE*(x - mx), 6) AS lon FROM t"""
+query("A14_formation_hull", with_ctes(MEMBER_CHAIN, UNWRAP, HULL) + HULL_ROWS)(
+    lambda s, d: M.formation_hull(members(s, d)).withColumns({c: F.round(c, 6) for c in ("lat", "lon")}))
 LABEL_SQL = """SELECT time, max_id, form_type, (MIN(lat) + MAX(lat))/2 - CASE WHEN form_type = 'OMEGA' THEN 8 ELSE 0 END AS label_lat, least((MIN(ulon) + MAX(ulon))/2, 170) AS label_lon"""
 query("A15_formation_label", with_ctes(MEMBER_CHAIN, UNWRAP) + LABEL_SQL + " FROM unwrapped GROUP BY time, max_id, form_type")(
     lambda s, d: M.formation_label(members(s, d)).drop("n_points"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isohypsa.functions import text as X
+from isohypsa.functions.text import CONFIG_KEYS
 from isohypsa.operators import catalogue as K
 from isohypsa.plans.lifecycle import request_lifecycle
 from isohypsa.registry.base import ORACLES, query
@@ -238,6 +239,14 @@ query("J08_requests_of_user", req_sql("SELECT b.user_id, b.requestHash, r.reques
 query("J09_request_with_relations", req_sql(f"""SELECT r.requestHash, coalesce(b.n, 0) AS n_users, coalesce(f.n, 0) AS n_files, {sfmt('f.e')} AS expiresAt FROM req r LEFT JOIN (SELECT requestHash, COUNT(*) AS n FROM bridge GROUP BY 1) b USING (requestHash)
   LEFT JOIN (SELECT requestHash, COUNT(*) AS n, MAX(expiresAt) AS e FROM files GROUP BY 1) f USING (requestHash)""", BRIDGE, FILES))(
     lambda s, d: K.request_with_relations(requests(s, d), bridge(s, d), cat_files(s, d)).select("requestHash", "n_users", "n_files", fmt("expiresAt").alias("expiresAt")))
+query("J09_related_rows", req_sql(f"""SELECT r.requestHash, r.requestStatus, coalesce(x.relation, 'none') AS relation, x.user_id, x.file, {sfmt('x.expiresAt')} AS expiresAt FROM req r LEFT JOIN (
+  SELECT requestHash, 'user' AS relation, user_id, NULL AS file, NULL::TIMESTAMP AS expiresAt FROM bridge UNION ALL SELECT requestHash, 'file', NULL, file, expiresAt FROM files) x USING (requestHash)""", BRIDGE, FILES))(
+    lambda s, d: K.request_relations(requests(s, d), bridge(s, d), cat_files(s, d)).select("requestHash", "requestStatus", "relation", "user_id", "file", fmt("expiresAt").alias("expiresAt")))
+BODIES = """bodies AS (SELECT o_orderkey AS key, '{"variableName": "geopotential"' || CASE WHEN o_orderkey % 3 = 0 THEN ', "' || o_orderstatus || 'x": 1' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN ', "colour": "red"' ELSE '' END || ', "years": ["2024"]}' AS body FROM orders)"""
+query("P13_unexpected_fields", f"WITH {BODIES} SELECT key, array_to_string(list_sort(list_filter(json_keys(body), lambda k: k NOT IN ('variableName', 'years'))), ',') AS unexpected FROM bodies WHERE key % 3 = 0 OR key % 5 = 0")(
+    lambda s, d: K.unexpected_fields(table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.concat(
+        F.lit('{"variableName": "geopotential"'), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(', "'), "o_orderstatus", F.lit('x": 1'))).otherwise(""),
+        F.when(F.col("o_orderkey") % 5 == 0, ', "colour": "red"').otherwise(""), F.lit(', "years": ["2024"]}')).alias("body")), "body", CONFIG_KEYS).select("key", F.array_join("unexpected", ",").alias("unexpected")))
 query("J10_requests_by_hashes", req_sql("SELECT requestHash, requestStatus FROM req WHERE requestHash IN (SELECT 'h' || (l_orderkey + CASE WHEN l_returnflag = 'R' THEN 0 ELSE 300000000 END) FROM lineitem)"))(
     lambda s, d: K.requests_by_hashes(requests(s, d), table(s, d, "lineitem").select(F.concat(F.lit("h"), F.col("l_orderkey") + F.when(F.col("l_returnflag") == "R", 0).otherwise(300_000_000)).alias("requestHash"))).select("requestHash", "requestStatus"))
 query("J11_files_without_catalogue", f"WITH {FILES} SELECT requestHash, file FROM stored WHERE requestHash NOT IN (SELECT requestHash FROM files WHERE expiresAt >= {NOW_SQL})")(
