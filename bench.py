@@ -14,7 +14,7 @@ import sys
 import time
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "1"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 NATIVE = int(os.environ.get("BENCH_NATIVE", "0"))
 HEADLINE = (
     "Q01_detect_extrema", "Q02_cluster_extrema", "Q03_detect_blocking", "Q04_heat_clusters",
@@ -55,11 +55,13 @@ def main() -> None:
     spark = local_session("bench", cpus)
     queries = load()[0]
     seconds: dict[str, float] = {}
+    spread: dict[str, float] = {}
     for name in HEADLINE:
         def make(q=queries[name]):
             return q(spark, SF_DIR)
         timed(make)
-        seconds[name] = round(statistics.median(timed(make) for _ in range(REPEATS)), 3)
+        runs = [timed(make) for _ in range(REPEATS)]
+        seconds[name], spread[name] = round(statistics.median(runs), 3), round(max(runs) - min(runs), 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     events = spark.read.parquet(f"{SF_DIR}/events.parquet").count()
     instants = (events + 999) // 1000
@@ -72,7 +74,7 @@ def main() -> None:
     spark.stop()
     print(json.dumps({
         "metric": "headline queries, total of medians", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")), "cpus": int(cpus), **extra,
+        "queries": seconds, "spread": spread, "repeats": REPEATS, "sf": os.path.basename(SF_DIR.rstrip("/")), "cpus": int(cpus), **extra,
     }))
 
 

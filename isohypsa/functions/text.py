@@ -51,7 +51,9 @@ def sort_numeric_or_text(arr: Column) -> Column:
     text = F.sort_array(F.transform(arr, lambda v: F.struct(
         F.lower(v).alias("n"), F.translate(v, upper + lower, lower + upper).alias("p"), v.alias("v"),
     )))
-    return F.when(F.size(arr) <= 1, arr).when(F.forall(arr, lambda v: v.rlike(NUMBER)), F.transform(numeric, lambda e: e["v"])).otherwise(
+    # one look at the whole array settles the usual case of plain digits
+    digits = F.array_join(arr, "\x1f").rlike(r"^\d+(\x1f\d+)*$")
+    return F.when(F.size(arr) <= 1, arr).when(digits | F.forall(arr, lambda v: v.rlike(NUMBER)), F.transform(numeric, lambda e: e["v"])).otherwise(
         F.transform(text, lambda e: e["v"])
     )
 
