@@ -70,10 +70,17 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def mark(spark: SparkSession, path: str) -> None:
-    """An empty file; readers of tables skip names that begin with an underscore."""
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, p = _at(spark, path)
-    fs.create(p, True).close()
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def exists(spark: SparkSession, path: str) -> bool:

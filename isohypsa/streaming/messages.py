@@ -1,9 +1,9 @@
 """Message streams: parsing, routing, expiry, running progress, detection and catalogue updates.
 
 Every step is a plain DataFrame transform usable on a batch or a stream. Streams that carry state
-(progress, catalogue, users' requests) keep it as table versions, one per micro-batch: batch n reads
-version n - 1 and overwrites version n, so a repeated batch gives the same result, and a key with
-very many events is spread like in the batch form instead of sitting in one state task.
+(progress, catalogue, users' requests) keep it as versions of buckets: a batch rewrites the buckets of its
+own keys, a repeated batch starts from the same state, and a key with very many events is spread like in
+the batch form instead of sitting in one state task.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from isohypsa.functions.text import parse_envelope
 from isohypsa.operators.catalogue import progress_carry, progress_running
 from isohypsa.params import GridSpec
-from isohypsa.staging import children, delete, exists, mark, scoped
+from isohypsa.staging import scoped
+from isohypsa.streaming.state import BUCKETS, before, latest_version, touched_by, versions, write_version  # noqa: F401
 
 # Fixed bindings: routing key -> (queue, exchange).
 ROUTES = {
@@ -73,46 +74,19 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return q
 
 
-# --- state as table versions ---------------------------------------------------------------------
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the complete versions ``root/v=<n>``, ascending."""
-    found = [int(name[2:]) for name in children(spark, root) if name.startswith("v=")]
-    return sorted(n for n in found if exists(spark, f"{root}/v={n}/_DONE"))
-
-
-def write_version(spark: SparkSession, root: str, n: int, state: DataFrame) -> None:
-    """Version n, marked as complete only when it is; versions before the last two go."""
-    state.write.mode("overwrite").parquet(f"{root}/v={n}")
-    mark(spark, f"{root}/v={n}/_DONE")
-    for old in versions(spark, root)[:-2]:
-        delete(spark, f"{root}/v={old}")
-
-
-def version_before(spark: SparkSession, root: str, n: int) -> DataFrame | None:
-    """The state that batch n starts from: the newest version under n, so a repeated batch starts from the same one."""
-    earlier = [k for k in versions(spark, root) if k < n]
-    return spark.read.parquet(f"{root}/v={earlier[-1]}") if earlier else None
-
-
-def latest_version(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete state, whichever run of the stream wrote it."""
-    return spark.read.parquet(f"{root}/v={versions(spark, root)[-1]}")
-
-
 def progress_stream(events: DataFrame, key: str, ts: str, tie: str, out: str, state: str,
                     checkpoint: str) -> StreamingQuery:
-    """Running progress per request. ``out/batch=n`` holds the progress rows of a micro-batch, the versions under
-    ``state`` the sum of each run that has not ended (runs without a sum have no row). Events without a numeric
+    """Running progress per request. ``out/batch=n`` holds the progress rows of a micro-batch, ``state`` the
+    sum of each run that has not ended (runs without a sum have no row), see streaming/state.py. Events without a numeric
     increment or a text message are dropped; 100 emits and resets the run."""
     spark = events.sparkSession
     valid = events.where(F.col("increment").isNotNull() & F.col("message").isNotNull())
 
     def sink(batch: DataFrame, n: int) -> None:
-        kept = version_before(spark, state, n)
+        touched = touched_by(batch, key)
+        kept = before(spark, state, n, touched)
         progress_running(batch, key, ts, tie, carry=kept).write.mode("overwrite").parquet(f"{out}/batch={n}")
-        write_version(spark, state, n, progress_carry(batch, key, ts, tie, kept).where("carry <> 0"))
+        write_version(spark, state, n, progress_carry(batch, key, ts, tie, kept).where("carry <> 0"), key, touched)
 
     return run_available(valid, sink, checkpoint)
 
@@ -138,20 +112,21 @@ def read_formations(spark: SparkSession, out: str) -> DataFrame:
 
 
 def catalogue_stream(messages: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame | dict[str, DataFrame]], root: str,
-                     initial: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Fold batches of messages into a catalogue kept as versions under ``root``. ``initial`` is written by the first start
-    only. ``merge`` gives the new catalogue, or a dict with it as ``catalogue`` beside other tables of the batch
-    (links, messages to send on), which are written to ``root/<name>/batch=<n>``."""
+                     initial: DataFrame, checkpoint: str, key: str = "requestHash") -> StreamingQuery:
+    """Fold batches of messages into a catalogue kept under ``root`` (streaming/state.py). ``initial`` is written by the first start
+    only. ``merge`` sees the part of the catalogue that shares buckets with the batch's keys and gives its new form, or a dict with it as
+    ``catalogue`` beside other tables of the batch (links, messages to send on), which are written to ``root/<name>/batch=<n>``."""
     spark = messages.sparkSession
     if not versions(spark, root):
-        write_version(spark, root, -1, initial)
+        write_version(spark, root, -1, initial, key, set(range(BUCKETS)))
 
     def sink(batch: DataFrame, n: int) -> None:
-        made = merge(batch, version_before(spark, root, n))
+        touched = touched_by(batch, key)
+        made = merge(batch, before(spark, root, n, touched))
         made = made if isinstance(made, dict) else {"catalogue": made}
         for name, table in made.items():
             if name != "catalogue":
                 table.write.mode("overwrite").parquet(f"{root}/{name}/batch={n}")
-        write_version(spark, root, n, made["catalogue"])
+        write_version(spark, root, n, made["catalogue"], key, touched)
 
     return run_available(messages, sink, checkpoint)

@@ -8,6 +8,7 @@ from isohypsa.registry.inputs import SPEC, synth_field
 from isohypsa.sources.grid import to_slices
 from isohypsa.staging import exists, scoped, scratch_path, stage
 from isohypsa.streaming import messages as Z
+from isohypsa.streaming import state as S
 
 
 def test_envelope_stream_splits(spark):
@@ -95,7 +96,21 @@ def test_progress_state_is_pruned_and_survives_a_restart(spark):
     got = {r.n: r.progress for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {1: 20, 2: 28, 3: 100, 4: 40, 5: 8}
     assert {(r.k, r.carry) for r in Z.latest_version(spark, f"{base}/state").collect()} == {(2, 10), (1, 2)}
-    assert {(r.k, r.carry) for r in spark.read.parquet(f"{base}/state/v=0").collect()} == {(2, 7)}
+    assert {(r.k, r.carry) for r in S.read_version(spark, f"{base}/state", 0).collect()} == {(2, 7)}
+
+
+def test_only_touched_buckets_are_rewritten(spark):
+    root = scratch_path(spark, "b")
+    full = spark.range(500).withColumn("v", F.lit(0))
+    S.write_version(spark, root, -1, full, "id", set(range(S.BUCKETS)))
+    batch = full.where("id < 2")
+    touched = S.touched_by(batch, "id")
+    part = S.before(spark, root, 0, touched)
+    assert 0 < part.count() < 60 and len(touched) <= 2
+    S.write_version(spark, root, 0, part.withColumn("v", F.expr("IF(id < 2, 1, v)")), "id", touched)
+    assert S.latest_version(spark, root).agg(F.count("*"), F.sum("v")).first()[:] == (500, 2)
+    S.write_version(spark, root, 0, S.before(spark, root, 0, touched).where("id >= 2"), "id", touched)  # the same batch again
+    assert S.latest_version(spark, root).agg(F.count("*"), F.sum("v")).first()[:] == (498, 0)
 
 
 def test_an_instant_sent_again_without_formations_loses_its_old_ones(spark):
