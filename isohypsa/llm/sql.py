@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from isohypsa.llm import licenses
 from isohypsa.llm.lines import MIN_CHARS, SITES
-from isohypsa.llm.quality import RULES, STOP_WORDS, WINDOW
+from isohypsa.llm.quality import MARKS, RULES, STOP_WORDS, TOLD, WINDOW
 
 WS = r"[\x20\x09-\x0D]+"
 
@@ -30,14 +30,14 @@ WITH d AS MATERIALIZED (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(c.n, 0) AS n_repeat_words,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
-    len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS stops,
+    len(list_filter(w, lambda x: trim(lower(x), '{MARKS}') IN ({stops}))) AS stops,
     len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS capitals
   FROM d LEFT JOIN covered c USING (doc_id)
 ), r AS (
   SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines,
     CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word,
     CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_ratio,
-    CASE WHEN n_words > 0 THEN stops / n_words ELSE 0 END AS stop_ratio,
+    CASE WHEN n_words < {TOLD} THEN 1 ELSE stops / n_words END AS stop_ratio,
     CASE WHEN n_words > 0 THEN capitals / n_words ELSE 0 END AS capital_ratio,
     CASE WHEN len(l) > 0 THEN (len(l) - len(list_distinct(l))) / len(l) ELSE 0 END AS dup_line_ratio,
     CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[-*•]\\s'))) / len(l) ELSE 0 END AS bullet_ratio,
