@@ -268,17 +268,28 @@ def unique_names(files: DataFrame, name: str, order: str, block_width: int = 100
     ).drop("_n")
 
 
-def progress_running(events: DataFrame, key: str, ts: str, tie: str, block_seconds: int = 86_400,
+def time_blocks(events: DataFrame, ts: str, blocks: int) -> Column:
+    """Number of the equal stretch of the events' own time range that a row falls into; the range is two values."""
+    u = F.unix_micros(F.col(ts).cast("timestamp"))
+    lo, hi = events.agg(F.min(u), F.max(u)).first()
+    if lo is None or lo == hi:
+        return F.lit(0).cast("bigint")
+    return F.width_bucket(u.cast("double"), F.lit(float(lo)), F.lit(float(hi)), F.lit(blocks).cast("bigint"))
+
+
+def progress_running(events: DataFrame, key: str, ts: str, tie: str, blocks: int | None = None,
                      carry: DataFrame | None = None) -> DataFrame:
     """Progress after each event of a run: increments outside 0..100 are ignored, 100 ends the run,
     otherwise min(100, 4 x the increments since the last end).
 
     Running sums are taken within (key, time block); each block's carry-in comes from the block
-    totals, so a run with very many events is spread over its blocks. ``carry(key, carry)`` holds
+    totals, so a run with very many events is spread over its blocks. The blocks divide the time range of these events,
+    a year or a minute, into ``blocks`` parts (four per shuffle partition unless stated). ``carry(key, carry)`` holds
     the sums of runs begun in earlier batches."""
     ok = events.where(F.col("increment").between(0, 100))
+    blocks = blocks or 4 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = ok.withColumns({
-        "_block": F.floor(F.unix_timestamp(ts) / block_seconds), "_end": (F.col("increment") == 100).cast("int"),
+        "_block": time_blocks(ok, ts, blocks), "_end": (F.col("increment") == 100).cast("int"),
         "_inc": F.when(F.col("increment") == 100, 0).otherwise(F.col("increment")),
     })
     inner = W.partitionBy(key, "_block").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, -1)

@@ -194,7 +194,7 @@ def test_progress_against_loop_with_carry(spark):
             key=lambda e: (e[1], e[2]))
         want = sorted(running(ev, state))
         df = spark.createDataFrame(ev, schema).withColumn("ts", F.timestamp_seconds("sec"))
-        got = K.progress_running(df, "k", "ts", "tie", block_seconds=500, carry=carry)
+        got = K.progress_running(df, "k", "ts", "tie", blocks=7, carry=carry)
         assert sorted((r.k, r.tie, r.progress) for r in got.collect()) == want
         carry = spark.createDataFrame([tuple(r) for r in K.progress_carry(df, "k", "ts", "tie", carry).collect()], "k long, carry long")
         # a run that has just ended may be absent: its carry is zero
