@@ -107,7 +107,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 80, pe
     decay[0] = 0.0
     for _ in range(rounds):
         z = np.add.reduceat(w[col] * value, first[:-1])
-        error = ((1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * each).astype(np.float32)
+        error = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * each).astype(np.float32)
         g = np.bincount(col, np.repeat(error, np.diff(first)) * value, size) + decay * w
         grown += g * g
         w -= (0.3 * g / np.sqrt(grown)).astype(np.float32)
