@@ -206,3 +206,11 @@ def test_nearest_runs(spark):
     df = spark.createDataFrame(rows, "d string, id int, age int")
     got = [(r.d, r.id, r.rank) for r in K.nearest_runs(df, "d", "age", "id").orderBy("d", "rank").collect()]
     assert got == [("d", 1, 1), ("d", 3, 2), ("d", 2, 3), ("e", 9, 1)]
+
+
+def test_sorted_json_takes_both_roads_alike(spark):
+    from isohypsa.functions.text import sort_numeric_or_text, sorted_json
+    rows = [(x,) for x in (["10", "2"], ["02", "01"], ["b", "a"], ["b", "A"], ["a", None], ["01", None], [], [""], ["x"], None, ["a\x1fb", "a"], ["1e3", "20"])]
+    df = spark.createDataFrame(rows, "a array<string>")
+    got = df.select(sorted_json(F.col("a")).alias("x"), F.to_json(sort_numeric_or_text(F.col("a"))).alias("y")).collect()
+    assert [r.x for r in got] == [r.y for r in got]
