@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from isohypsa.llm import lines, mixing, neardup, pieces, toxicity
 from isohypsa.llm.common import table
 from isohypsa.llm.queries import tokenizer_path
-from isohypsa.staging import stage
+from isohypsa.staging import scoped, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), f"corpus-{name}")
+        path = scratch_path(spark, f"corpus-{name}")
+        with scoped(spark):  # what a stage keeps on the way goes when its result is written
+            kept = apply(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

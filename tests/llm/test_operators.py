@@ -388,3 +388,27 @@ def test_pages(spark):
     assert len(found) > 10 and (found.token == "/html/body/div.body").sum() == 1
     inner = found[found.token == "/html/body/div.body/h1"].iloc[0]
     assert inner["parent"] == found[found.token == "/html/body/div.body"].iloc[0]["class"]
+
+
+# the pipeline
+
+def test_pipeline_stages_keep_the_columns_of_documents(spark, tmp_path):
+    import corpus_pipeline
+    from isohypsa.staging import stage
+
+    src = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{src}/documents.parquet")
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        after = stage(apply(spark, docs, src), "t")
+        assert after.dtypes == docs.dtypes, name
+        assert after.select("doc_id").distinct().join(docs, "doc_id", "left_anti").isEmpty()
+        if name == "near_duplicates":
+            left = neardup.near_duplicates(after)
+            assert left.filter("doc_id <> component_id").isEmpty()
+        docs = after
+    got = corpus_pipeline.run(spark, src)
+    assert got.columns == ["doc_id", "n_tokens", "ids"] and got.count() == docs.count() > 0
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "mixing", "sentencepiece"]
+    empty = spark.read.parquet(f"{src}/documents.parquet").limit(0)
+    for _, apply in corpus_pipeline.STAGES:
+        assert apply(spark, empty, src).count() == 0
