@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,31 +13,37 @@ from isohypsa.operators import catalogue as K
 from isohypsa.staging import stage
 
 
-def request_lifecycle(requests: DataFrame, listing: DataFrame, now: Column) -> DataFrame:
-    """From raw requests to settled ones, starting with an empty catalogue.
+def hashed_requests(requests: DataFrame) -> DataFrame:
+    """Valid requests, completed and hashed; ``given`` is the name each came in with."""
+    valid = K.validate_requests(requests).where(F.size("violations") == 0).drop("violations")
+    return with_request_hash(K.request_defaults(valid).withColumnRenamed("requestHash", "given"))
+
+
+def request_lifecycle(requests: DataFrame, listing: DataFrame, now: Column, catalogue: DataFrame | None = None) -> DataFrame:
+    """From raw requests to settled ones, one row per distinct request.
 
     ``listing(requestHash, file)`` holds the stored files under the name each request came in with;
-    equal requests get one hash and share their files."""
-    valid = K.validate_requests(requests).where(F.size("violations") == 0).drop("violations")
-    complete = K.request_defaults(valid)
-    # read four times below: written once, so that the hashes are computed once
-    hashed = stage(with_request_hash(complete.withColumnRenamed("requestHash", "given")), "hashed")
+    equal requests get one hash and share their files. ``catalogue(requestHash, requestStatus, timesRequested)`` is what is
+    known already, nothing unless given: a request that it holds as cached is answered at once, has no tasks, and is settled
+    again. The others go to processing: their map tasks are counted, and their next step follows from the run."""
+    # read several times below: written once, so that the hashes are computed once
+    hashed = stage(hashed_requests(requests), "hashed")
+    sizes = [F.size(c).cast("bigint") for c in ("pressureLevels", "years", "months", "days", "hours", "mapTypes", "mapLevels")]
+    # one grouping carries all that later steps need of a request; its map tasks themselves are map_tasks()
+    tasks = stage(hashed.groupBy("requestHash").agg(
+        F.min(reduce(mul, sizes)).alias("n_tasks"), F.count(F.lit(1)).alias("n_requests"), F.max("noMaps").alias("noMaps")), "distinct-requests")
     incoming = hashed.select("requestHash", F.col("userId"), F.col("key").alias("arrival"))
-    empty = incoming.select(
+    known = catalogue if catalogue is not None else tasks.select(
         "requestHash", F.lit(None).cast("string").alias("requestStatus"), F.lit(None).cast("bigint").alias("timesRequested"),
     ).where(F.lit(False))
-    admitted = K.admit_requests(incoming, empty)
-    sizes = [F.size(c) for c in ("pressureLevels", "years", "months", "days", "hours", "mapTypes", "mapLevels")]
-    product = sizes[0].cast("bigint")
-    for n in sizes[1:]:
-        product = product * n
-    # the number of map tasks follows from the array sizes; the tasks themselves are map_tasks()
-    tasks = hashed.groupBy("requestHash").agg(F.min(product).alias("n_tasks"), F.count(F.lit(1)).alias("n_requests"))
+    admitted = K.admit_requests(incoming, known).where(F.col("reply").isNotNull())
     found = hashed.select("requestHash", "given").join(
         listing.select(F.col("requestHash").alias("given"), "file"), "given",
     ).select("requestHash", "file").distinct()
-    done = admitted.where(F.col("to_process") > 0).select("requestHash", F.lit("OK").alias("status"))
+    done = admitted.where((F.col("to_process") > 0) | F.col("to_settle")).select("requestHash", F.lit("OK").alias("status"))
     settled, _ = K.settle_results(done, admitted, found, now)
-    return admitted.select("requestHash", F.col("requestStatus").alias("admitted")).join(tasks, "requestHash").join(
-        settled.select("requestHash", F.col("requestStatus").alias("settled"), "n_files"), "requestHash",
-    )
+    state = settled.select("requestHash", F.col("requestStatus").alias("settled"), "n_files")
+    run = F.col("to_process") > 0
+    return admitted.select("requestHash", F.col("requestStatus").alias("admitted"), "reply", "timesRequested", "to_process").join(tasks, "requestHash").join(state, "requestHash").select(
+        "requestHash", "admitted", "reply", "timesRequested", "n_requests", F.when(run, F.col("n_tasks")).otherwise(0).alias("n_tasks"),
+        F.when(run & ~F.col("noMaps"), "MAP_GENERATION").otherwise("DONE").alias("next_step"), "settled", "n_files")

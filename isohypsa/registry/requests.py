@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isohypsa.functions import text as X
 from isohypsa.functions.text import CONFIG_KEYS
 from isohypsa.operators import catalogue as K
-from isohypsa.plans.lifecycle import request_lifecycle
+from isohypsa.plans.lifecycle import hashed_requests, request_lifecycle
 from isohypsa.registry.base import ORACLES, query
 from isohypsa.registry.inputs import table
 from isohypsa.registry.mapdata import LISTING, listing
@@ -406,7 +406,20 @@ query("Q07_request_lifecycle", req_sql(f"""SELECT a.hash AS requestHash, 'GENERA
  FROM (SELECT sha256({CANON}) AS hash, key, len(pressureLevels)*len(years)*len(months)*len(days)*len(hours)*len(mapTypes)*len(mapLevels) AS n_tasks FROM (SELECT * REPLACE (CASE WHEN len(mapLevels) > 0 THEN mapLevels WHEN lower(variableName) = 'temperature' THEN ['10'] ELSE ['20'] END AS mapLevels, CASE WHEN lower(variableName) = 'temperature' THEN ['cont'] ELSE mapTypes END AS mapTypes) FROM req WHERE {VIOLATIONS} = '')) a
  LEFT JOIN (SELECT sha AS hash, COUNT(DISTINCT file) AS n FROM (SELECT sha256({CANON}) AS sha, s.file FROM (SELECT * REPLACE (CASE WHEN len(mapLevels) > 0 THEN mapLevels WHEN lower(variableName) = 'temperature' THEN ['10'] ELSE ['20'] END AS mapLevels, CASE WHEN lower(variableName) = 'temperature' THEN ['cont'] ELSE mapTypes END AS mapTypes) FROM req WHERE {VIOLATIONS} = '') JOIN stored s USING (requestHash)) GROUP BY 1) n ON n.hash = a.hash
  GROUP BY a.hash""", STORED))(
-    lambda s, d: request_lifecycle(requests(s, d), stored(s, d), now_col()))
+    lambda s, d: request_lifecycle(requests(s, d), stored(s, d), now_col()).select("requestHash", "admitted", "n_requests", "n_tasks", "settled", "n_files"))
+
+
+def half_cached(s, d):
+    """A catalogue that holds the requests whose hash begins with 0 to 7."""
+    return hashed_requests(requests(s, d)).where(F.col("requestHash") < "8").select("requestHash").distinct().select(
+        "requestHash", F.lit("CACHED").alias("requestStatus"), F.lit(2).cast("bigint").alias("timesRequested"))
+
+
+WITH_MAPS = ORACLES["Q07_request_lifecycle"].replace("AS n_tasks FROM (SELECT * REPLACE", "AS n_tasks, coalesce(noMaps, false) AS nm FROM (SELECT * REPLACE", 1).replace("MIN(a.n_tasks) AS n_tasks,", "MIN(a.n_tasks) AS n_tasks, bool_or(a.nm) AS nm,", 1)
+query("Q07_lifecycle_on_catalogue", f"""SELECT requestHash, CASE WHEN c THEN 'CACHED' ELSE 'GENERATING' END AS admitted, CASE WHEN c THEN 'CACHED' ELSE 'PROCESSING' END AS reply,
+  CASE WHEN c THEN 2 + n_requests ELSE 1 END AS timesRequested, n_requests, CASE WHEN c THEN 0 ELSE n_tasks END AS n_tasks, CASE WHEN c OR nm THEN 'DONE' ELSE 'MAP_GENERATION' END AS next_step, settled, n_files
+FROM (SELECT *, requestHash < '8' AS c FROM ({WITH_MAPS}))""")(
+    lambda s, d: request_lifecycle(requests(s, d), stored(s, d), now_col(), half_cached(s, d)))
 
 
 @query("T04_progress_stream", RUNNING + " SELECT user_id, event_id, CAST(progress AS BIGINT) AS progress FROM run")
