@@ -13,9 +13,9 @@ from isohypsa.operators import formations as B
 from isohypsa.operators import rays as R
 from isohypsa.operators.components import label_components
 from isohypsa.plans import detect as D
-from isohypsa.registry.base import query
+from isohypsa.registry.base import ORACLES, query
 from isohypsa.registry.inputs import HEAT_SPEC, SPEC, field, instants, table
-from isohypsa.registry.sql import LIMITS_SIDES, WEIGHTS, chain, destination_steps
+from isohypsa.registry.sql import LIMITS_SIDES, STEPS, WEIGHTS, chain, destination_steps
 from isohypsa.sources.grid import PACKING, to_slices
 
 HEAT = (0.05, 13.15)  # scale and offset turning metres of the test field into kelvin
@@ -255,3 +255,26 @@ query("Q01_detect_extrema_packed", chain("field", "sten")[:-1] + f""", pk AS MAT
   LEFT JOIN pk a ON a.time = o.time AND a.i = s.n_i AND a.j = s.n_j LEFT JOIN pk b ON b.time = o.time AND b.i = s.n_i AND b.j = s.n_j + 1
   LEFT JOIN pk c ON c.time = o.time AND c.i = s.n_i - 1 AND c.j = s.n_j LEFT JOIN pk d ON d.time = o.time AND d.i = s.n_i - 1 AND d.j = s.n_j + 1) GROUP BY time, x, y""")(
     lambda s, d: D.detect_extrema(packed(s, d), PACKED_SPEC, "raw").select("time", "x", "y", "n_ge", "n_le"))
+
+
+# --- the chain on a rough field -------------------------------------------------------------------
+
+
+def rough_field(spark, d):
+    """The field with noise in every cell, gaps, and its bumps moved: onto the date line at every second instant."""
+    i, j, t = F.col("i"), F.col("j"), F.col("time")
+    return field(spark, d).where((i * 13 + j * 7 + t) % 97 != 0).select(
+        "time", "i", ((j + F.when(t % 2 == 0, 72).otherwise(9)) % 144).cast("int").alias("j"), (F.col("h") + (i * 31 + j * 17 + t * 7) % 5 - 2).cast("int").alias("h"))
+
+
+def rough(sql: str) -> str:
+    """The SQL of a chain over the rough field."""
+    plain = f"field AS MATERIALIZED ({STEPS['field'][1]})"
+    assert plain in sql
+    return sql.replace(plain, f"smooth AS MATERIALIZED ({STEPS['field'][1]}),\nfield AS MATERIALIZED (SELECT time, i, CAST((j + CASE WHEN time % 2 = 0 THEN 72 ELSE 9 END) % 144 AS INTEGER) AS j, CAST(h + (i*31 + j*17 + time*7) % 5 - 2 AS INTEGER) AS h FROM smooth WHERE (i*13 + j*7 + time) % 97 <> 0)")
+
+
+query("Q01_detect_extrema_rough", rough(ORACLES["Q01_detect_extrema"]))(lambda s, d: D.detect_extrema(rough_field(s, d), SPEC))
+query("Q02_cluster_extrema_rough", rough(ORACLES["Q02_cluster_extrema"]))(
+    lambda s, d: D.cluster_extrema(rough_field(s, d), SPEC).clusters.select("time", "id", "type", "n_points", "contour", "center_lat", "center_lon"))
+query("Q03_detect_blocking_rough", rough(ORACLES["Q03_detect_blocking"]))(lambda s, d: D.detect_blocking(rough_field(s, d), SPEC))
