@@ -55,15 +55,16 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_words and, per verified span, label, base, first_word, last_word, cover; a row without spans has one line with null label.
+    """row, doc_id, n_words and, per verified span, label, base, first_word, last_word, cover; every row also has one line with null label.
 
+    That line is the place without a pair: the last word, or the one of a text without words. It matches no template, whatever the text begins with.
     Null and blank texts have no words. Rows are told apart by their place in the input, so repeated rows and null ids stay."""
     spark = docs.sparkSession
     split = docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), lower_words(F.col("text")).alias("w"))
     each = split.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(pairs(F.col("w"))).alias("pos", "pair"))
     t = F.broadcast(templates(spark))
     hit = each.join(t, (F.xxhash64("pair") == t["hash"]) & (F.col("pair") == t["t_pair"]), "left")
-    hit = hit.filter(F.col("template").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True)))
+    hit = hit.filter(F.col("template").isNotNull() | F.col("pair").isNull())
     key = ["row", "doc_id", "n_words", "template", "label", "exact", "base", "length", "votes"]
     diagonal = hit.withColumn("diagonal", F.col("pos") - F.col("place")).groupBy(*key, "diagonal").agg(
         F.count("template").alias("got"), F.min("pos").alias("first"), F.max("pos").alias("last"))

@@ -125,6 +125,14 @@ def test_license_scan(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_license_scan_keeps_texts_that_begin_with_a_part_of_a_phrase(spark):
+    texts = ["Licensed under terms of our own", "Creative Commons is a group", "1.0 was out", "CC BY", "Mozilla Public Radio", "lesser general rules", "MIT License", "licensed under cc by", "General Public", "mit"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(3, texts[3], "s"), (None, texts[0], "s")]
+    got = collected(licenses.scan(docs(spark, rows)))
+    want = [(i, len(re.findall(r"\w+", t)), {6: "mit", 7: "cc-by"}.get(i, "")) for i, t, _ in rows]
+    assert sorted(got[["doc_id", "n_words", "labels"]].itertuples(index=False, name=None), key=repr) == sorted(want, key=repr)
+
+
 # 4: chats
 
 def test_chat_round_trip(spark):
