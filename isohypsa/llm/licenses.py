@@ -2,12 +2,15 @@
 
 All word pairs of all texts are hashed and joined to the places of the same pairs in license templates. A match votes
 for the diagonal (place in the text minus place in the template); whole phrases are diagonals that got every vote. For long
-templates, which texts quote with changes, neighbouring diagonals are merged and the merged span is verified: enough of
-the template's pairs, in a span not much longer than the template.
+templates, which texts quote with changes, neighbouring diagonals are merged and the merged span is verified: enough places
+of the template, each counted once, in a span not much longer than the template. Where the merged span is too long, as other text around a quotation
+uses its words, the neighbouring diagonals that such a span can hold are verified by themselves; the best of those that overlap counts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ PASSAGES = (
 )
 #: Pairs of two of these carry no vote in a passage: they stand everywhere.
 COMMON = ("a", "an", "and", "any", "as", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with", "you")
-#: Diagonals this near are one quotation; it must hold this share of the passage's voting pairs, in a span this much longer at most.
+#: Diagonals this near are one quotation; it must hold this share of the passage's voting places, in a span this much longer at most.
 BAND, COVER, STRETCH = 6, 0.5, 2.0
 
 
@@ -66,17 +69,33 @@ def spans(docs: DataFrame) -> DataFrame:
     hit = each.join(t, (F.xxhash64("pair") == t["hash"]) & (F.col("pair") == t["t_pair"]), "left")
     hit = hit.filter(F.col("template").isNotNull() | F.col("pair").isNull())
     key = ["row", "doc_id", "n_words", "template", "label", "exact", "base", "length", "votes"]
+    slots = range(max(len(t.split()) for _, t in BASE + PHRASES + PASSAGES) // 63 + 1)
+    bits = [F.bit_or(F.expr(f"if(place DIV 63 = {k}, shiftleft(1L, place % 63), 0L)")).alias(f"places{k}") for k in slots]
     diagonal = hit.withColumn("diagonal", F.col("pos") - F.col("place")).groupBy(*key, "diagonal").agg(
-        F.count("template").alias("got"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+        F.count("template").alias("got"), F.min("pos").alias("first"), F.max("pos").alias("last"), *bits)
     whole = diagonal.filter(F.col("template").isNull() | ~F.col("exact") | (F.col("got") == F.col("votes")))
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > BAND), F.lit(True))
     run = whole.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(along))
-    merged = run.groupBy(*key, "run").agg(F.sum("got").alias("got"), F.min("first").alias("first_word"), (F.max("last") + 1).alias("last_word"))
-    cover = F.least(F.col("got") / F.col("votes"), F.lit(1.0))
-    good = F.col("exact") | ((cover >= COVER) & (F.col("last_word") - F.col("first_word") < STRETCH * F.col("length")))
-    found = lambda c: F.when(good, F.col(c)).alias(c)
-    return merged.select("row", "doc_id", "n_words", found("label"), found("base"), found("first_word"), found("last_word"), F.when(good, cover).alias("cover"))
+
+    def verified(frame: str) -> Column:
+        """cover, span (negative), first_word, last_word, diagonal of the diagonals in a frame of the run; null if they don't verify."""
+        over = lambda f: F.expr(f"{f} OVER (PARTITION BY row, template, run {frame})")
+        places = reduce(lambda a, k: a + F.bit_count(F.coalesce(over(f"bit_or(places{k})"), F.lit(0).cast("long"))), slots, F.lit(0))
+        cover, first, last = places / F.col("votes"), over("min(first)"), over("max(last)") + 1
+        found = F.struct(cover.alias("cover"), (first - last).alias("span"), first.alias("first_word"), last.alias("last_word"), F.col("diagonal"))
+        return F.when(F.col("exact") | ((cover >= COVER) & (last - first < STRETCH * F.col("length"))), found)
+
+    width = STRETCH - 1 + 1e-6  # of the diagonals that a span can hold, in lengths of the template
+    ahead = f"ORDER BY diagonal / length RANGE BETWEEN CURRENT ROW AND {width}D FOLLOWING"
+    near = f"ORDER BY diagonal / length RANGE BETWEEN {width + 1e-6}D PRECEDING AND {width + 1e-6}D FOLLOWING"
+    tried = run.withColumn("all", verified("")).withColumn("part", verified(ahead))
+    tried = tried.withColumn("best", F.expr(f"max(part) OVER (PARTITION BY row, template, run {near})"))
+    best = F.when(F.col("all").isNotNull(), F.when(F.col("diagonal") == F.expr("min(diagonal) OVER (PARTITION BY row, template, run)"), F.col("all")))
+    best = best.otherwise(F.when(F.col("part") == F.col("best"), F.col("part")))
+    found = tried.withColumn("found", best).filter(F.col("template").isNull() | F.col("found").isNotNull())
+    told = lambda c: F.when(F.col("found").isNotNull(), F.col(c)).alias(c)
+    return found.select("row", "doc_id", "n_words", told("label"), told("base"), "found.first_word", "found.last_word", "found.cover")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -133,6 +133,20 @@ def test_license_scan_keeps_texts_that_begin_with_a_part_of_a_phrase(spark):
     assert sorted(got[["doc_id", "n_words", "labels"]].itertuples(index=False, name=None), key=repr) == sorted(want, key=repr)
 
 
+def test_license_spans_count_places_once_and_survive_dense_talk(spark):
+    rng = random.Random(6)
+    talk = lambda n, every: " ".join("the software" if rng.randrange(every) == 0 else f"w{rng.randrange(500)}" for _ in range(n))
+    prose = [talk(n, every) for n in (300, 600) for every in (2, 4, 8, 12, 16) for _ in range(4)] + ["the software " * 400]
+    mit, parts = licenses.PASSAGES[0][1], licenses.PASSAGES[0][1].split()
+    changed = " ".join(parts[:30] + ["new", "words", "here"] + parts[30:60] + ["and", "there"] + parts[60:])
+    quoted = [f"{talk(300, 4)} {x} {talk(300, 4)}" for x in (mit, changed) for _ in range(8)]
+    rows = [(i, t, "s") for i, t in enumerate(prose + quoted + [f"{talk(300, 3)} {mit} {talk(100, 3)} {mit} {talk(300, 3)}"])]
+    got = collected(licenses.scan(docs(spark, rows))).sort_values("doc_id")
+    assert got["labels"].tolist() == [""] * len(prose) + ["mit"] * (len(quoted) + 1)
+    assert (got["score"] == 1.0).sum() >= 9 and got["score"].max() == 1.0
+    assert licenses.spans(docs(spark, rows[-1:])).filter("label IS NOT NULL").count() == 2
+
+
 # 4: chats
 
 def test_chat_round_trip(spark):
