@@ -412,6 +412,20 @@ def test_pages(spark):
     assert inner["parent"] == found[found.token == "/html/body/div.body"].iloc[0]["class"]
 
 
+@pytest.mark.parametrize("begin, end", [("<div class='content has-sidebar'>", "</div>"), ("<div class='layout no-sidebar'>", "</div>"), ("<div id='page' class='header-fixed'>", "</div>"),
+                                        ("<div class='post tag-linux'>", "</div>"), ("<div class='has-sidebar'><article>", "</article></div>"), ("<article class='post category-advice'>", "</article>"), ("<article class='author-adam'>", "</article>")])
+def test_names_leave_the_main_text(begin, end):
+    page = f"<body><nav>menu</nav>{begin}<p>{'Long words of a post. ' * 9}</p><p>More.</p><div class='tags'>linux</div><div class=ad>buy</div>{end}<div class='sidebar'>{'side ' * 9}</div></body>"
+    assert pages.main_text(pages.parse(page)) == ("Long words of a post. " * 9).strip() + "\nMore."
+
+
+def test_names_of_many_elements_and_of_articles():
+    posts = "".join(f"<div class='post tag-t{i}'><p>post {i} of the list</p></div>" for i in range(9))
+    assert pages.main_text(pages.parse(f"<body>{posts}<div class=ad>buy</div></body>")) == "\n".join(f"post {i} of the list" for i in range(9))
+    assert pages.main_text(pages.parse("<div class=has-sidebar><article><p>The main article</p><article class='comment'>I agree</article></article></div><div class=related><article>Other</article></div>"
+                                       f"<div class=links><p>{'x' * 99}</p></div>")) == "The main article"
+
+
 # the pipeline
 
 def test_pipeline_stages_keep_the_columns_of_documents(spark, tmp_path):
