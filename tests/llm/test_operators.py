@@ -426,6 +426,14 @@ def test_names_of_many_elements_and_of_articles():
                                        f"<div class=links><p>{'x' * 99}</p></div>")) == "The main article"
 
 
+def test_templates_judge_articles_too(spark):
+    page = "<body><div class=x>Top</div><{0}><p>Read this first</p><h1>Head {1}</h1><p>Text {1}</p><div class=more><a href=1>Next {1}</a></div><p>All rights reserved</p></{0}></body>"
+    rows = [(i, f"http://{tag}.example/{i}", page.format(tag, i)) for tag in ("article", "main") for i in range(5)]
+    rows += [(90 + i, "http://same.example", f"<body><article><p>One text</p></article><!-- {i} --></body>") for i in range(4)]
+    got = collected(pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert sorted(got["text"]) == sorted([f"Head {i}\nText {i}" for i in range(5)] * 2 + ["One text"] * 4)
+
+
 # the pipeline
 
 def test_pipeline_stages_keep_the_columns_of_documents(spark, tmp_path):
