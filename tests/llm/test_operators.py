@@ -434,6 +434,18 @@ def test_templates_judge_articles_too(spark):
     assert sorted(got["text"]) == sorted([f"Head {i}\nText {i}" for i in range(5)] * 2 + ["One text"] * 4)
 
 
+def test_templates_of_layouts(spark):
+    a = "<body><div class=post><div class=hint><p>Please read on</p></div><p>Post {0}</p><div class=go><a href=1>Go {0}</a></div></div></body>"
+    b = "<body><table class=list><tr><td class=t>Our list<td class=e>Entry {0}</table></body>"
+    rows = [(i, f"http://two.example/{i}", (a, b)[i % 2].format(i)) for i in range(10)] + [(10 + i, "http://few.example", a.format(i)) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = collected(pages.extract(df)).set_index("page_id")["text"]
+    assert [by.loc[i] for i in range(10)] == [("Post", "Entry")[i % 2] + f" {i}" for i in range(10)]
+    assert by.loc[10] == "Please read on\nPost 0\nGo 0"
+    found = pages.classes(df).filter("kind = 'tag'").toPandas().set_index("token")
+    assert found.loc["/body/div.post/div.hint", "pages"] == 5
+
+
 # the pipeline
 
 def test_pipeline_stages_keep_the_columns_of_documents(spark, tmp_path):
