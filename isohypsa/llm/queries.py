@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohypsa.llm import chat, licenses, lines, mixing, neardup, pages, pieces, quality, sql, toxicity, vectors
+from isohypsa.llm import chat, hardneg, licenses, linecrf, lines, middle, mixing, neardup, pages, pieces, quality, sql, toxicity, vectors
 from isohypsa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,32 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+ORACLES["op11_fill_in_middle"] = sql.fill_in_middle()
+
+
+@query
+def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = linecrf.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", linecrf.held_out(F.col("doc_id")).alias("held_out"), linecrf.score(F.col("text"), field).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = sql.hard_negatives()

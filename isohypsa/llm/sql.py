@@ -137,3 +137,44 @@ WITH l AS MATERIALIZED (
 SELECT d.doc_id, CASE WHEN gone > 0 THEN coalesce(c.text, '') ELSE d.text END AS text, coalesce(n, 0) AS n_lines, coalesce(gone, 0) AS n_removed,
   coalesce(gone > 0 AND NOT regexp_matches(coalesce(c.text, ''), '[^\\x20\\x09-\\x0D]'), FALSE) AS emptied
 FROM {documents} d LEFT JOIN c USING (doc_id)"""
+
+
+def fill_in_middle() -> str:
+    """Tokens by a regular expression; the cuts are the lengths of the first tokens together. What is restored must be the text."""
+    token = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+    number = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, {number(0)} AS h1, {number(1)} AS h2, {number(2)} AS h3, {number(3)} AS h4,
+    list_transform(regexp_extract_all(t, '{token}'), lambda x: length(x)) AS w FROM d
+), c AS (
+  SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT *, coalesce(list_sum(w[1:a]), 0)::BIGINT AS low, coalesce(list_sum(w[1:b]), 0)::BIGINT AS high FROM c
+), o AS (
+  SELECT *, '<P>' || substr(t, 1, low) AS prefix, '<M>' || substr(t, low + 1, high - low) AS middle, '<S>' || substr(t, high + 1) AS suffix FROM p
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN suffix || prefix || middle ELSE prefix || suffix || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o"""
+
+
+def hard_negatives() -> str:
+    return """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.e, r.e)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id AND len(a.e) = len(r.e) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
