@@ -4,8 +4,8 @@ Every line that holds a word gets measures of its characters and words; its feat
 The field labels lines good (1) or bad (0). Forward and backward sums give each line's marginal, and a document's share of good lines, weighted by
 their length, is turned into a score.
 
-Labels are known for documents only. Training begins with all lines of a document labelled like the document; then lines of bad documents that the
-fitted field holds to be good are relabelled, but for the worst line of each, and the field is fitted again. It is fitted on a bounded sample
+Labels are known for documents only. Training begins with all lines of a document labelled like the document and judged by themselves; then lines of bad documents
+that look good are relabelled, but for the worst line of each, and the whole field is fitted, and once more after a look by the field. It is fitted on a bounded sample
 of labelled rows; scoring is one pass over the documents, without a shuffle.
 """
 
@@ -156,14 +156,17 @@ def share_good(good: np.ndarray, length: np.ndarray, lines: np.ndarray) -> np.nd
     return np.bincount(of, good * length, len(lines)) / np.maximum(np.bincount(of, length, len(lines)), 1)
 
 
-def fit_field(measures: np.ndarray, lines: np.ndarray, good: np.ndarray, each: np.ndarray, start: Field, rounds: int = 150, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient steps with a step size per weight. good: the labels of lines; each: the weight of every text."""
+def fit_field(measures: np.ndarray, lines: np.ndarray, good: np.ndarray, each: np.ndarray, start: Field, alone: bool = False, rounds: int = 150, penalty: float = 1e-3) -> Field:
+    """Maximum likelihood by gradient steps with a step size per weight. good: the labels of lines; each: the weight of every text; alone: without what
+    neighbours tell."""
     features, of = with_neighbours((measures - start.mean) * start.scale, lines), np.repeat(np.arange(len(lines)), lines)
     inner = np.flatnonzero(of[1:] == of[:-1])
     seen = np.zeros((len(lines), 2, 2))
     np.add.at(seen, (of[inner], good[inner], good[inner + 1]), 1)
     per_line = (each / np.maximum(lines, 1))
     w, moves = start.weights.copy(), start.moves.copy()
+    if alone:
+        features[:, WIDTH:-1] = 0
     grown, grown_moves = np.full(w.shape, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(rounds):
         p, pairs = marginals(features @ w, lines, moves)
@@ -172,7 +175,7 @@ def fit_field(measures: np.ndarray, lines: np.ndarray, good: np.ndarray, each: n
         grown += g * g
         grown_moves += m * m
         w -= 0.3 * g / np.sqrt(grown)
-        moves -= 0.3 * m / np.sqrt(grown_moves)
+        moves -= 0.0 if alone else 0.3 * m / np.sqrt(grown_moves)
     return Field(start.mean, start.scale, w, moves)
 
 
@@ -191,7 +194,7 @@ def fit(lines: np.ndarray, measures: np.ndarray, labels: np.ndarray, share: floa
     each = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
     good = labels[of]
     for again in range(relabelled):
-        field = fit_field(measures, lines, good, each, field)
+        field = fit_field(measures, lines, good, each, field, alone=again == 0)
         if again == relabelled - 1:
             break
         p = field.good(measures, lines)

@@ -197,6 +197,6 @@ def test_tree_bounds_hold_and_prune():
     tree.rows = np.zeros(0, rows.dtype).view(Seen)
     found = tree.search(np.array([1, 1, 1]), -1, 5, [(-np.inf, np.inf)], [-np.inf])[0]
     s = x.sum(1)
-    assert [i for i, _ in found] == np.lexsort((np.arange(1200), -s))[:5].tolist() and len(opened) < 4  # of eleven leaves or so
+    assert [i for _, i in found] == np.lexsort((np.arange(1200), -s))[:5].tolist() and len(opened) < 4  # of eleven leaves or so
     with pytest.raises(ValueError):
         tree.ready(np.array([1 << 45, 0, 0]))
