@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohypsa.functions.clock import clock
 from isohypsa.functions.geo import (
     height, interpolate, lat_of, lon_of, turned_lon, with_bilinear_weights, with_destination, with_turn,
 )
@@ -89,30 +90,38 @@ def row_stencil(spark: SparkSession, spec: GridSpec) -> DataFrame:
     return with_turn(each, "lat", F.lit(float(spec.dist_km)), F.col("bearing")).select("x", "dest_lat", "turn")
 
 
-def votes_from_slices(slices: DataFrame, spec: GridSpec) -> DataFrame:
+def votes_from_slices(slices: DataFrame, spec: GridSpec, measured: bool = False) -> DataFrame:
     """Per coarse cell the number of samples not above (n_ge) and not below (n_le) it.
 
     A slice meets the stencil of each coarse row once, and the columns of the row are an explode of a
     sequence; join, explode, array reads and partial aggregation are one code-generated stage, so
-    samples are never materialized."""
+    samples are never materialized.
+
+    ``measured`` adds ``clock``, the reading of the task's clock when a coarse row began, and one row more for each instant,
+    x = size_x without a vote, whose clock was read when the instant's last sample was done."""
     samples = row_stencil(slices.sparkSession, spec)
-    rows = slices.select("time", "vals", F.explode(F.sequence(F.lit(0), F.lit(spec.size_x - 1))).alias("x"))
-    each = rows.join(F.broadcast(samples), "x").select("*", F.explode(F.sequence(F.lit(0), F.lit(spec.size_y - 1))).alias("y"))
+    rows = slices.select("time", "vals", F.explode(F.sequence(F.lit(0), F.lit(spec.size_x - (0 if measured else 1)))).alias("x"))
+    if measured:
+        rows = rows.withColumn("clock", clock())
+    columns = F.sequence(F.lit(0), F.lit(spec.size_y - 1))
+    if measured:
+        columns = F.when(F.col("x") < spec.size_x, columns).otherwise(F.array(F.lit(-1)))
+    each = rows.join(F.broadcast(samples), "x", "left" if measured else "inner").select("*", F.explode(columns).alias("y"))
     each = each.withColumn("lon", lon_of(F.col("y") * spec.step, spec).cast("float")).withColumn("dest_lon", turned_lon("lon", "turn"))
     at = F.col("i_lo") * spec.nlon + F.col("j_lo")
     corners = [at, at + 1, at - spec.nlon, at - spec.nlon + 1]
     own_at = F.col("x") * (spec.step * spec.nlon) + F.col("y") * spec.step
     probe = with_bilinear_weights(each, spec).select(
-        "time", "x", "y", F.get("vals", own_at).alias("raw"),
+        "time", "x", "y", *(["clock"] if measured else []), (F.when(F.col("y") >= 0, F.get("vals", own_at)) if measured else F.get("vals", own_at)).alias("raw"),
         interpolate(
             [F.col("w11"), F.col("w12"), F.col("w21"), F.col("w22")],
             [F.get("vals", c) for c in corners],
         ).alias("sample"),
     )
     votes = probe.groupBy("time", "x", "y").agg(
-        F.min("raw").alias("raw"), *_vote_aggregates(F.col("raw"), F.col("sample"), spec),
+        F.min("raw").alias("raw"), *_vote_aggregates(F.col("raw"), F.col("sample"), spec), *([F.min("clock").alias("clock")] if measured else []),
     )
-    return votes.where(F.col("raw").isNotNull())
+    return votes.where(F.col("raw").isNotNull() | (F.col("x") == spec.size_x) if measured else F.col("raw").isNotNull())
 
 
 def gather4(samples: DataFrame, field: DataFrame, value: str = "h") -> DataFrame:

@@ -13,6 +13,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohypsa.functions.clock import clock
 from isohypsa.functions.geo import col_of, contour_level, haversine_km, height, lat_of, lon_of, row_of
 from isohypsa.params import EARTH_RADIUS_KM, GridSpec
 
@@ -131,16 +132,15 @@ def _by_instant(clusters: DataFrame, *cols: str) -> DataFrame:
     return clusters.groupBy("time").agg(F.collect_list(F.struct(*cols)).alias("cs"))
 
 
-def ray_reach(clusters: DataFrame, slices: DataFrame, spec: GridSpec) -> DataFrame:
-    """Reach of each (cluster, ray), reading the slice by index.
-
-    The walk is a nested transform over the arrays of one slice row: exploding rays or steps next
-    to the slice would copy it for every step."""
+def _rays_by_instant(clusters: DataFrame, spec: GridSpec) -> DataFrame:
     rays = ray_plan(clusters, spec).where("k_max >= 1").groupBy("time", "id", "type", "ci", "cj").agg(
         F.collect_list(F.struct("ray", "dx", "dy", "k_max")).alias("rays"),
     )
-    per_time = _by_instant(rays, "id", "type", "ci", "cj", "rays")
+    return _by_instant(rays, "id", "type", "ci", "cj", "rays")
+
 
+def _walk_rays(cs: str, spec: GridSpec) -> Column:
+    """Every ray of every cluster in ``cs`` with the extreme packed value it meets."""
     def one_ray(c: Column, r: Column) -> Column:
         seen = F.transform(
             F.sequence(F.lit(1), r["k_max"]),
@@ -152,14 +152,25 @@ def ray_reach(clusters: DataFrame, slices: DataFrame, spec: GridSpec) -> DataFra
             r["dy"].alias("dy"), far.alias("far"),
         )
 
-    walked = slices.join(per_time, "time").select(
-        "time", F.flatten(F.transform("cs", lambda c: F.transform(c["rays"], lambda r: one_ray(c, r)))).alias("rs"),
-    )
+    return F.flatten(F.transform(cs, lambda c: F.transform(c["rays"], lambda r: one_ray(c, r))))
+
+
+def reach_rows(walked: DataFrame, spec: GridSpec) -> DataFrame:
+    """Reach rows from (time, rs)."""
     reach = walked.select("time", F.explode("rs").alias("r")).select("time", "r.*").where("far IS NOT NULL")
     # height grows with the packed value, so the extreme of the heights is the height of the extreme
     return reach.select("time", "id", "type", "ray", "dx", "dy", height(F.col("far"), spec).alias("reach"))
 
 
+def ray_reach(clusters: DataFrame, slices: DataFrame, spec: GridSpec) -> DataFrame:
+    """Reach of each (cluster, ray), reading the slice by index.
+
+    The walk is a nested transform over the arrays of one slice row: exploding rays or steps next
+    to the slice would copy it for every step."""
+    walked = slices.join(_rays_by_instant(clusters, spec), "time").select("time", _walk_rays("cs", spec).alias("rs"))
+    return reach_rows(walked, spec)
+
+
 def hit(reach: Column, kind: Column, level: Column) -> Column:
     return F.coalesce(F.when(kind == "MAX", reach < level).otherwise(reach > level), F.lit(False))
 
@@ -196,14 +207,18 @@ def contour_tests(reach: DataFrame, levels: DataFrame) -> DataFrame:
     return j.groupBy("time", "id", "type", "level").agg(*aggs)
 
 
-def north_walk(clusters: DataFrame, slices: DataFrame, spec: GridSpec) -> DataFrame:
-    """Distinct contour levels met walking north from each MAX centre, in first-visit order."""
-    step_km = EARTH_RADIUS_KM * spec.res * math.pi / 180
-    most = int(spec.search_km / step_km) + 1
+def _maxima_by_instant(clusters: DataFrame, spec: GridSpec) -> DataFrame:
     maxima = with_center_cell(clusters.where(F.col("type") == "MAX"), spec).where(
         (F.col("cj") >= 0) & (F.col("ci") <= F.lit(spec.row_limit - 1))
     )
-    per_time = _by_instant(maxima, "id", "ci", "cj")
+    return _by_instant(maxima, "id", "ci", "cj")
+
+
+def _walk_north(cs: str, spec: GridSpec) -> Column:
+    """The packed values met north of every centre in ``cs`` within the search radius."""
+    step_km = EARTH_RADIUS_KM * spec.res * math.pi / 180
+    most = int(spec.search_km / step_km) + 1
+
     # the distance grows with k along a meridian, so a count of rows equals "stop at the first
     # violation"; it depends on k only through the latitude difference
     def in_reach(c: Column, k: Column) -> Column:
@@ -217,9 +232,34 @@ def north_walk(clusters: DataFrame, slices: DataFrame, spec: GridSpec) -> DataFr
             F.get("vals", (c["ci"] - k) * spec.nlon + c["cj"]).alias("raw"),
         ))
 
-    seen = slices.join(per_time, "time").select(
-        "time", F.flatten(F.transform("cs", walk)).alias("ws"),
-    ).select("time", F.explode("ws").alias("w")).where("w.raw IS NOT NULL").select(
+    return F.flatten(F.transform(cs, walk))
+
+
+def level_rows(walked: DataFrame, spec: GridSpec) -> DataFrame:
+    """Levels in first-visit order from (time, ws)."""
+    seen = walked.select("time", F.explode("ws").alias("w")).where("w.raw IS NOT NULL").select(
         "time", "w.id", "w.k", contour_level(height(F.col("w.raw"), spec), spec.contour_step).alias("level"),
     )
     return seen.groupBy("time", "id", "level").agg(F.min("k").alias("first_k"))
+
+
+def north_walk(clusters: DataFrame, slices: DataFrame, spec: GridSpec) -> DataFrame:
+    """Distinct contour levels met walking north from each MAX centre, in first-visit order."""
+    walked = slices.join(_maxima_by_instant(clusters, spec), "time").select("time", _walk_north("cs", spec).alias("ws"))
+    return level_rows(walked, spec)
+
+
+def walks(clusters: DataFrame, slices: DataFrame, spec: GridSpec, measured: bool = False) -> DataFrame:
+    """Both walks of an instant from one meeting of its slice with its clusters: ``rs`` for ``reach_rows``, ``ws`` for ``level_rows``.
+
+    The slices, the largest table of the search, move (or are read) once. ``measured`` keeps the instants without clusters and adds
+    ``took``, the nanoseconds that the walks of the instant took in its task."""
+    met = _rays_by_instant(clusters, spec).withColumnRenamed("cs", "r_cs").join(
+        _maxima_by_instant(clusters, spec).withColumnRenamed("cs", "m_cs"), "time", "full_outer")
+    joined = slices.join(met, "time", "left" if measured else "inner")
+    both = [_walk_rays("r_cs", spec).alias("rs"), _walk_north("m_cs", spec).alias("ws")]
+    if not measured:
+        return joined.select("time", *both)
+    # the fields of a struct are evaluated in order
+    each = joined.select("time", F.struct(clock().alias("began"), *both, clock().alias("ended")).alias("w"))
+    return each.select("time", "w.rs", "w.ws", (F.col("w.ended") - F.col("w.began")).alias("took"))

@@ -50,10 +50,15 @@ class Detection:
     def pairs(self) -> DataFrame:
         return B.near_pairs(self.clusters, self.spec)
 
-    def candidates(self) -> DataFrame:
+    def walks(self, measured: bool = False) -> DataFrame:
+        """Ray and north walks of every instant, written once: the slices meet the clusters in one join."""
+        return stage(R.walks(self.clusters, self.slices, self.spec, measured), "walks")
+
+    def candidates(self, walked: DataFrame | None = None) -> DataFrame:
+        walked = self.walks() if walked is None else walked
         # the thresholds serve the maxima's levels and the minima: written once
-        limits = stage(self.limits, "limits")
-        return B.formation_candidates(self.pairs, B.open_levels(self.levels, limits), limits, self.spec)
+        limits = stage(R.thresholds(R.reach_rows(walked, self.spec)), "limits")
+        return B.formation_candidates(self.pairs, B.open_levels(R.level_rows(walked, self.spec), limits), limits, self.spec)
 
     def formations(self) -> DataFrame:
         return B.formations(self.candidates())

@@ -10,6 +10,7 @@ from isohypsa.operators.catalogue import position_within
 from isohypsa.operators.extrema import clip_and_coarsen
 from isohypsa.plans import detect as D
 from isohypsa.plans import maps as P
+from isohypsa.plans.timings import timed_detection
 from isohypsa.registry.base import query
 from isohypsa.registry.detection import CUST, HEAT, HOT_OUT, OFFSET, RAW_SQL, SCALE, customer_points, det, packed, staged
 from isohypsa.registry.inputs import HEAT_SPEC, SPEC, field, instants, table
@@ -90,11 +91,19 @@ query("S07_sink_temperature", chain("hotlab", "hotcent") + f"""SELECT time, prin
 
 @query("S08_sink_stage_timings")
 def _timings(s, d):
-    import time
-    began = time.time()
-    votes = stage(D.detect_extrema(field(s, d), SPEC).groupBy("time").count(), "votes")
-    took = (time.time() - began) / max(votes.count(), 1)
-    return R.stage_timings("1", votes.select("time", F.lit(took).alias("elapsed")))
+    """Measured times of a detection over the whole field, stored as results of a run and read back."""
+    base = scratch_path(s, "speed")
+    R.write_results(R.timing_rows(timed_detection(field(s, d), SPEC).timings), base, "speed", "run-0")
+    return R.read_results(s, base, "speed", "run-0").select("part", "instant", "time_elapsed")
+
+
+@query("S08_measured_parts", chain("synth") + "SELECT part, instant, true AS measured FROM (SELECT '1' AS part, time AS instant FROM synth UNION ALL SELECT '2', time FROM synth UNION ALL SELECT 'init', -1 UNION ALL SELECT 'total', -1)")
+def _measured(s, d):
+    """Which parts of which instants were measured, and whether the times add up: every part is above zero and the total is the sum of the others."""
+    found = timed_detection(field(s, d), SPEC)
+    told = stage(found.timings, "timings")
+    adds_up = told.agg(F.abs(F.sum(F.when(F.col("part") == "total", F.col("time_elapsed")).otherwise(-F.col("time_elapsed")))) < 1e-6).scalar()
+    return told.select("part", F.col("instant").cast("int").alias("instant"), ((F.col("time_elapsed") > 0) & adds_up).alias("measured"))
 
 
 @query("S09_read_results", chain("points") + "SELECT p.time, p.latitude::DOUBLE AS latitude, p.longitude::DOUBLE AS longitude, p.z::DOUBLE AS z, p.type, p.cluster, p.centroid_lat::DOUBLE AS centroid_lat, p.centroid_lon::DOUBLE AS centroid_lon, 'run-0' AS request_hash FROM (" + SEL_SQL + ") p")

@@ -58,10 +58,9 @@ def temperature_rows(hot: DataFrame) -> DataFrame:
     )
 
 
-def stage_timings(part: str, elapsed_by_instant: DataFrame) -> DataFrame:
-    return elapsed_by_instant.select(
-        F.lit(part).alias("part"), F.col("time").alias("instant"), F.round("elapsed", 3).alias("time_elapsed"),
-    )
+def timing_rows(timings: DataFrame) -> DataFrame:
+    """Measured stage times with milliseconds."""
+    return timings.select("part", F.col("instant").cast("int").alias("instant"), _fixed(F.col("time_elapsed"), 3).alias("time_elapsed"))
 
 
 def write_results(df: DataFrame, base: str, kind: str, request_hash: str | Column) -> str:
