@@ -99,13 +99,14 @@ def contour_band_points(field: DataFrame, spec: GridSpec, value: str = "h") -> D
     )
 
 
-def level_list(vmin: Column, vmax: Column, step: float) -> Column:
+def level_list(vmin: Column, vmax: Column, step: float | Column) -> Column:
     """arange(ceil(vmin / 10) * 10, vmax, step); fewer than two levels -> 5 equally spaced ones."""
+    gap = step.cast("double") if isinstance(step, Column) else F.lit(float(step))
     first = F.ceil(vmin.cast("double") / 10) * 10
-    n = F.ceil((vmax.cast("double") - first) / F.lit(float(step)))
+    n = F.ceil((vmax.cast("double") - first) / gap)
     spaced = F.when(n >= 1, F.transform(
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int")),
-        lambda k: (first + k * F.lit(float(step))).cast("double"),
+        lambda k: (first + k * gap).cast("double"),
     )).otherwise(F.array().cast("array<double>"))
     even = F.transform(
         F.sequence(F.lit(0), F.lit(4)), lambda k: vmin.cast("double") + (vmax - vmin).cast("double") * k / 4,
@@ -189,17 +190,17 @@ def surface_grid(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFram
     )
 
 
-def formation_members(formations: DataFrame, points: DataFrame) -> DataFrame:
-    """Points of the partners of each formation; the second minimum counts only for OMEGA."""
+def formation_members(formations: DataFrame, points: DataFrame, keys: list[str] | tuple[str, ...] = ("time",)) -> DataFrame:
+    """Points of the partners of each formation; the second minimum counts only for OMEGA. Clusters are numbered within ``keys``."""
     ids = formations.select(
-        "time", "max_id", F.col("type").alias("form_type"),
+        *keys, "max_id", F.col("type").alias("form_type"),
         F.explode(F.array_compact(F.array(
             F.struct(F.lit("max").alias("role"), F.col("max_id").alias("cluster")),
             F.struct(F.lit("min1").alias("role"), F.col("min1_id").alias("cluster")),
             F.when(F.col("type") == "OMEGA", F.struct(F.lit("min2").alias("role"), F.col("min2_id").alias("cluster"))),
         ))).alias("m"),
-    ).select("time", "max_id", "form_type", "m.role", "m.cluster")
-    return ids.join(points, ["time", "cluster"])
+    ).select(*keys, "max_id", "form_type", "m.role", "m.cluster")
+    return ids.join(points, [*keys, "cluster"])
 
 
 def unwrap_set(df: DataFrame, keys: list[str], lon: str = "lon", out: str = "lon_unwrapped") -> DataFrame:
@@ -243,12 +244,12 @@ def formation_hull(members: DataFrame) -> DataFrame:
     )
 
 
-def formation_label(members: DataFrame) -> DataFrame:
+def formation_label(members: DataFrame, keys: list[str] | tuple[str, ...] = ("time",)) -> DataFrame:
     """Position of the type label of each formation and its number of points. Both readings of the
     longitudes (plain and unwrapped) are kept in one aggregation, the span picks one afterwards."""
     lon = F.col("lon")
     east = F.when(lon < 0, lon + 360).otherwise(lon)
-    ranges = members.groupBy("time", "max_id", "form_type").agg(
+    ranges = members.groupBy(*keys, "max_id", "form_type").agg(
         F.min(lon).alias("_lo"), F.max(lon).alias("_hi"), F.min(east).alias("_elo"), F.max(east).alias("_ehi"),
         ((F.min("lat") + F.max("lat")) / 2).alias("_mid"), F.count(F.lit(1)).alias("n_points"),
     )
@@ -256,7 +257,7 @@ def formation_label(members: DataFrame) -> DataFrame:
     mid_lon = F.when(wide, F.col("_elo") + F.col("_ehi")).otherwise(F.col("_lo") + F.col("_hi")) / 2
     south = F.when(F.col("form_type") == "OMEGA", OMEGA_LABEL_SOUTH).otherwise(0.0)
     return ranges.select(
-        "time", "max_id", "form_type", (F.col("_mid") - south).alias("label_lat"),
+        *keys, "max_id", "form_type", (F.col("_mid") - south).alias("label_lat"),
         F.least(mid_lon, F.lit(MAX_LABEL_LON)).alias("label_lon"), "n_points",
     )
 

@@ -55,7 +55,7 @@ def crossings_sql(where: str = "TRUE", source: str = "field") -> str:
 def _load_grid(s, d):
     path = scratch_path(s, "grid")
     S.save_grid(field(s, d), path)
-    return S.load_grid(s, path).select("time", "i", "j", "h")
+    return S.read_grid(s, path).select("time", "i", "j", "h")
 
 
 query("S02_grid_profile", chain("field") + "SELECT dim, COUNT(*) AS size FROM (SELECT DISTINCT 'nlat' AS dim, i AS v FROM field UNION ALL SELECT DISTINCT 'nlon', j FROM field UNION ALL SELECT DISTINCT 'ntime', time FROM field) GROUP BY dim")(
@@ -342,19 +342,5 @@ query("Q05_contour_map_data", with_ctes(chain("field"), AXIS_SQL, LOC, AREA_CELL
 query("Q05_isolines_in_area", with_ctes(chain("field"), AXIS_SQL, crossings_sql(AREA_SQL)) + "SELECT c.time, a.label, edge, level, i, j, round(lat, 6) AS lat, round(lon, 6) AS lon FROM crossings c JOIN axis a USING (time)")(
     lambda s, d: P.isolines_in_area(S.to_slices(field(s, d), SPEC), axis(s, d), SPEC, AREA, 20).select(
         "time", "label", "edge", "level", "i", "j", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")))
-query("Q06_scatter_map_data", with_ctes(chain("points"), AXIS_SQL) + "SELECT p.time, a.label, 90 - 2.5::DOUBLE*x AS lat, -180 + 2.5::DOUBLE*y AS lon, raw AS value, cluster FROM points p JOIN axis a USING (time)")(
-    lambda s, d: P.scatter_map_data(selected(det(s, d)), axis(s, d)).select("time", "label", "lat", "lon", "value", "cluster"))
-query("Q06_combined_map_data", with_ctes(chain("points", "field"), crossings_sql(AREA_SQL)) + """SELECT time, layer, COUNT(*) AS n, round(SUM(value), 3) AS total FROM (
-  SELECT time, level AS value, 'contour' AS layer FROM crossings UNION ALL SELECT time, CAST(raw AS DOUBLE), 'points' FROM points) GROUP BY time, layer""")(
-    lambda s, d: (lambda x: P.combined_map_data(M.isoline_crossings(x.slices, SPEC, 20, AREA), selected(x)))(det(s, d))
-    .groupBy("time", "layer").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")))
-
-
-@query("Q06_formation_map_data", with_ctes(MEMBER_CHAIN, UNWRAP) + LABEL_SQL + ", COUNT(*) AS n_points FROM unwrapped GROUP BY time, max_id, form_type")
-def _formation_map(s, d):
-    x = staged(s, d)
-    return P.formation_map_data(x.formations(), map_points(x).drop("type"))
-
-
 query("Q06_surface_map_data", with_ctes(chain("field"), LOC) + f"SELECT time, lat, lon, CASE WHEN h % 3 <> 0 THEN h END AS value FROM located WHERE {AREA_SQL}")(
     lambda s, d: P.surface_map_data(holey(s, d), SPEC, AREA))

@@ -35,16 +35,32 @@ FIELD_SCHEMA = T.StructType([
 ])
 
 
+#: Instants that share a folder of a stored field.
+FOLDER_INSTANTS = 256
+
+
 def load_grid(spark: SparkSession, path: str, schema: T.StructType = FIELD_SCHEMA, fmt: str = "parquet",
               times: list[int] | None = None) -> DataFrame:
-    """Read a long field; ``times`` prunes partitions of a table partitioned by time."""
+    """Read a long field; ``times`` are read from the folders that hold them, others are not opened."""
     reader = spark.read.schema(schema)
     df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     return df if times is None else df.where(F.col("time").isin(times))
 
 
+def folder_of(time: Column) -> Column:
+    return F.floor(time / FOLDER_INSTANTS).cast("int")
+
+
 def save_grid(field: DataFrame, path: str) -> None:
-    field.repartition("time").write.mode("overwrite").partitionBy("time").parquet(path)
+    """Write a long field in folders of neighbouring instants, sorted by instant; files follow the data, not the instants."""
+    dealt = field.withColumn("folder", folder_of(F.col("time"))).repartitionByRange("folder", "time").sortWithinPartitions("folder", "time", "i", "j")
+    dealt.write.mode("overwrite").partitionBy("folder").parquet(path)
+
+
+def read_grid(spark: SparkSession, path: str, times: list[int] | None = None) -> DataFrame:
+    """A field written by ``save_grid``; of stated instants only their folders are read."""
+    df = load_grid(spark, path, T.StructType([*FIELD_SCHEMA.fields, T.StructField("folder", T.IntegerType())]), times=times)
+    return (df if times is None else df.where(F.col("folder").isin(sorted({t // FOLDER_INSTANTS for t in times})))).drop("folder")
 
 
 def axis_lat(spark: SparkSession, spec: GridSpec) -> DataFrame:

@@ -71,16 +71,20 @@ def write_results(df: DataFrame, base: str, kind: str, request_hash: str | Colum
     return path
 
 
-def read_results(spark: SparkSession, base: str, kind: str, request_hash: str) -> DataFrame:
-    """Rows of one result table; an unknown kind or hash is an error, not an empty result."""
+def results_table(spark: SparkSession, base: str, kind: str) -> DataFrame:
+    """Results of all runs of one kind; ``request_hash`` is a folder, so a filter or join on it reads only what it needs."""
     if kind not in SCHEMAS:
         raise ValueError(f"unknown result kind {kind!r}")
     try:
-        df = spark.read.schema(SCHEMAS[kind]).option("header", True).csv(f"{base}/{kind}")
-        found = df.where(F.col("request_hash") == request_hash)
-        missing = found.limit(1).isEmpty()
+        return spark.read.schema(SCHEMAS[kind]).option("header", True).csv(f"{base}/{kind}")
     except AnalysisException as e:
         raise FileNotFoundError(f"no {kind!r} results under {base}") from e
+
+
+def read_results(spark: SparkSession, base: str, kind: str, request_hash: str) -> DataFrame:
+    """Rows of one result table; an unknown kind or hash is an error, not an empty result."""
+    found = results_table(spark, base, kind).where(F.col("request_hash") == request_hash)
+    missing = found.limit(1).isEmpty()
     if missing:
         raise FileNotFoundError(f"no {kind!r} results for {request_hash}")
     return found
