@@ -347,11 +347,15 @@ def admit_requests(incoming: DataFrame, catalogue: DataFrame) -> DataFrame:
     timesRequested). One row per hash of either side with its new state, how many messages go to
     processing, whether the cached result must be settled again, and the reply."""
     batch = incoming.groupBy("requestHash").agg(F.count(F.lit(1)).alias("_n"))
-    j = catalogue.join(batch, "requestHash", "full_outer")
+    return admitted_state(catalogue.join(batch, "requestHash", "full_outer"))
+
+
+def admitted_state(known: DataFrame) -> DataFrame:
+    """The new state of rows (requestHash, requestStatus, timesRequested: as catalogued, or null; _n: how often asked for now, or null)."""
     new = F.col("requestStatus").isNull()
     hit = F.col("_n").isNotNull() & (F.col("requestStatus") == CACHED)
     sent = F.when(hit | F.col("_n").isNull(), F.lit(0)).otherwise(F.col("_n"))
-    return j.select(
+    return known.select(
         "requestHash",
         F.coalesce("requestStatus", F.lit(GENERATING)).alias("requestStatus"),
         F.when(new, F.lit(1)).when(hit, F.col("timesRequested") + F.col("_n")).otherwise(F.col("timesRequested"))
@@ -375,25 +379,37 @@ def admission_links(incoming: DataFrame, catalogue: DataFrame) -> DataFrame:
     return cached.unionByName(first_of_new).select(F.col("userId").alias("user_id"), "requestHash").distinct()
 
 
-def settle_results(done: DataFrame, catalogue: DataFrame, listing: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Apply done messages: (new catalogue, file rows of the settled requests). A request without
-    stored files becomes EMPTY; messages with an error status change nothing."""
-    hashes = done.where(F.col("status") == "OK").select("requestHash").distinct().withColumn("_done", F.lit(True))
+def done_hashes(done: DataFrame) -> DataFrame:
+    return done.where(F.col("status") == "OK").select("requestHash").distinct()
+
+
+def settled_state(done: DataFrame, catalogue: DataFrame, listing: DataFrame, now: Column) -> DataFrame:
+    """The catalogue after done messages: a request without stored files becomes EMPTY; messages with an error
+    status change nothing."""
+    hashes = done_hashes(done).withColumn("_done", F.lit(True))
     # only the listing of settled requests is counted, not the whole store
     stored = listing.join(hashes.select("requestHash"), "requestHash", "left_semi").groupBy("requestHash").agg(F.count(F.lit(1)).alias("n_files"))
     state = catalogue.join(hashes, "requestHash", "left").join(stored, "requestHash", "left")
     full = F.col("n_files") > 0
-    updated = state.withColumns({
+    return state.withColumns({
         "requestStatus": F.when(F.col("_done"), F.when(full, CACHED).otherwise(EMPTY)).otherwise(F.col("requestStatus")),
         "expiresAt": F.when(F.col("_done") & full, now + F.expr(f"INTERVAL {FILE_DAYS} DAYS")),
         "n_files": F.when(F.col("_done"), F.coalesce("n_files", F.lit(0))),
     }).drop("_done")
-    settled = listing.join(hashes.select("requestHash"), "requestHash", "left_semi").join(
+
+
+def settled_files(done: DataFrame, catalogue: DataFrame, listing: DataFrame, now: Column) -> DataFrame:
+    """The stored files of settled requests that the catalogue holds, with their place and new date."""
+    return listing.join(done_hashes(done), "requestHash", "left_semi").join(
         catalogue.select("requestHash"), "requestHash", "left_semi",
     ).withColumns({
         "url": proxy_url(F.col("requestHash"), F.col("file")), "expiresAt": now + F.expr(f"INTERVAL {FILE_DAYS} DAYS"),
     })
-    return updated, settled
+
+
+def settle_results(done: DataFrame, catalogue: DataFrame, listing: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Apply done messages: (new catalogue, file rows of the settled requests)."""
+    return settled_state(done, catalogue, listing, now), settled_files(done, catalogue, listing, now)
 
 
 def file_rows(files: DataFrame, array_col: str = "files") -> DataFrame:
@@ -425,7 +441,7 @@ def user_upsert(incoming: DataFrame, users: DataFrame) -> tuple[DataFrame, DataF
             for c in ("name", "email", "role")
         ],
     )
-    return merged, checked.where(refused).select("id", "email").withColumn("error", F.lit("Email already in use"))
+    return merged, checked.where(refused).select("id", "email").withColumn("error", F.lit("e-mail belongs to another user"))
 
 
 def link_user_requests(bridge: DataFrame, new_links: DataFrame) -> DataFrame:

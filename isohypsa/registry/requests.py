@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isohypsa.functions import text as X
 from isohypsa.functions.text import CONFIG_KEYS
 from isohypsa.operators import catalogue as K
-from isohypsa.plans.lifecycle import hashed_requests, request_lifecycle
+from isohypsa.plans.lifecycle import hashed_requests, lifecycle, read_lifecycle, request_lifecycle, save_lifecycle
 from isohypsa.registry.base import ORACLES, query
 from isohypsa.registry.inputs import table
 from isohypsa.registry.mapdata import LISTING, listing
@@ -422,6 +422,39 @@ FROM (SELECT *, requestHash < '8' AS c FROM ({WITH_MAPS}))""")(
     lambda s, d: request_lifecycle(requests(s, d), stored(s, d), now_col(), half_cached(s, d)))
 
 
+def notices(s, d):
+    """What the runs reported: a notice for every line of an order."""
+    return table(s, d, "lineitem").select(
+        F.concat(F.lit("h"), F.col("l_orderkey")).alias("requestHash"), F.when(F.col("l_linenumber") % 2 == 1, "EXECUTION").otherwise("VISUALIZATION").alias("request_type"),
+        F.when(F.col("l_returnflag") == "A", "ERROR").otherwise("OK").alias("exec_status"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("no"))
+
+
+def whole_cycle(s, d, part):
+    """A life cycle with catalogue, notices and known files, written as a version and read back."""
+    root = scratch_path(s, "lifecycle")
+    save_lifecycle(lifecycle(requests(s, d), stored(s, d), now_col(), half_cached(s, d), notices(s, d), ["at", "no", "given"], cat_files(s, d)), root, 1)
+    return read_lifecycle(s, root, part)
+
+
+CYCLE = [f"""hashed AS MATERIALIZED (SELECT sha256({CANON}) AS hash, requestHash AS given, coalesce(noMaps, false) AS nm, pressureLevels, years, months, days, hours, mapTypes, mapLevels
+   FROM (SELECT * REPLACE (CASE WHEN len(mapLevels) > 0 THEN mapLevels WHEN lower(variableName) = 'temperature' THEN ['10'] ELSE ['20'] END AS mapLevels, CASE WHEN lower(variableName) = 'temperature' THEN ['cont'] ELSE mapTypes END AS mapTypes) FROM req WHERE {VIOLATIONS} = ''))""",
+         FILES,
+         """one AS (SELECT hash, hash < '8' AS c, COUNT(*) AS n, bool_or(nm) AS nm, first(given ORDER BY given) AS given FROM hashed GROUP BY 1)""",
+         """last AS (SELECT hash, first(l_returnflag ORDER BY l_shipdate DESC, l_linenumber DESC, given DESC) AS f, first(l_linenumber ORDER BY l_shipdate DESC, l_linenumber DESC, given DESC) AS no FROM hashed JOIN lineitem ON given = 'h' || l_orderkey GROUP BY 1)""",
+         """step AS (SELECT o.*, CASE WHEN c THEN 'DONE' WHEN no IS NULL THEN 'EXECUTION' WHEN f = 'A' THEN 'FAILED' WHEN no % 2 = 1 AND NOT nm THEN 'MAP_GENERATION' ELSE 'DONE' END AS next_step FROM one o LEFT JOIN last USING (hash))""",
+         """found AS (SELECT DISTINCT hash, file FROM hashed JOIN stored ON given = requestHash)"""]
+query("Q07_whole_lifecycle", req_sql("""SELECT s.hash AS requestHash, CASE WHEN c THEN 'CACHED' ELSE 'GENERATING' END AS admitted, CASE WHEN c THEN 'CACHED' ELSE 'PROCESSING' END AS reply, CAST(CASE WHEN c THEN 2 + s.n ELSE 1 END AS BIGINT) AS timesRequested, s.n AS n_requests,
+   CASE WHEN c THEN 0 ELSE len(pressureLevels)*len(years)*len(months)*len(days)*len(hours)*len(mapTypes)*len(mapLevels) END AS n_tasks, next_step,
+   CASE WHEN next_step <> 'DONE' THEN 'GENERATING' WHEN k.n > 0 THEN 'CACHED' ELSE 'EMPTY' END AS settled, CASE WHEN next_step = 'DONE' THEN coalesce(k.n, 0) ELSE 0 END AS n_files
+ FROM step s JOIN hashed h ON h.given = s.given LEFT JOIN (SELECT hash, COUNT(*) AS n FROM found GROUP BY 1) k ON k.hash = s.hash""", *CYCLE))(lambda s, d: whole_cycle(s, d, "states"))
+query("Q07_lifecycle_tasks", req_sql("""SELECT hash AS requestHash, unnest(pressureLevels) AS pressureLevel, year, month, day, hour, mapType, mapLevel FROM (SELECT *, unnest(years) AS year FROM (SELECT *, unnest(months) AS month FROM (SELECT *, unnest(days) AS day
+ FROM (SELECT *, unnest(hours) AS hour FROM (SELECT *, unnest(mapTypes) AS mapType FROM (SELECT h.*, unnest(mapLevels) AS mapLevel FROM hashed h JOIN one o ON o.given = h.given WHERE NOT c))))))""", *CYCLE))(
+    lambda s, d: whole_cycle(s, d, "tasks").select("requestHash", "pressureLevel", "year", "month", "day", "hour", "mapType", "mapLevel"))
+query("Q07_lifecycle_files", req_sql(f"""SELECT hash AS requestHash, file, {sfmt(NOW_SQL + ' + INTERVAL 7 DAY')} AS expiresAt, 'settled' AS state FROM found JOIN step USING (hash) WHERE next_step = 'DONE'
+ UNION ALL SELECT hash, file, {sfmt('MAX(expiresAt)')}, CASE WHEN MAX(expiresAt) < {NOW_SQL} THEN 'deleted' ELSE 'kept' END FROM files JOIN hashed ON given = requestHash JOIN step USING (hash) WHERE next_step <> 'DONE' GROUP BY hash, file""", *CYCLE))(
+    lambda s, d: whole_cycle(s, d, "files").select("requestHash", "file", fmt("expiresAt").alias("expiresAt"), "state"))
+
+
 @query("T04_progress_stream", RUNNING + " SELECT user_id, event_id, CAST(progress AS BIGINT) AS progress FROM run")
 def _progress_stream(s, d):
     """The whole events table as a file stream of several micro-batches, in event order."""
