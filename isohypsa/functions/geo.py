@@ -178,10 +178,7 @@ def with_unwrapped_pair(df: DataFrame, lon_a: str, lon_b: str, out_a: str = "lon
 
 def with_cell_step(df: DataFrame, lat: str, res: float, out: str = "step_km") -> DataFrame:
     """East-west size in km of one grid cell at a latitude."""
-    return df.withColumn(
-        out,
-        F.lit(float(EARTH_RADIUS_KM)) * F.cos(rad(F.col(lat))) * (F.lit(float(res)) * math.pi / 180.0),
-    )
+    return df.withColumn(out, cell_step_km(F.col(lat), res))
 
 
 def with_bearing_walk(df: DataFrame, lat: str, lon: str, bearing: str, res: float, n_steps: int) -> DataFrame:
@@ -194,6 +191,45 @@ def with_bearing_walk(df: DataFrame, lat: str, lon: str, bearing: str, res: floa
     return cur
 
 
+def destination(lat: Column, lon: Column, dist_km: Column, bearing: Column) -> Column:
+    """Great-circle destination as a struct (lat, lon), for use inside folds; points are single precision, also while in radians."""
+    single = lambda c: c.cast("float").cast("double")
+    start = F.struct(single(rad(single(lat))).alias("la"), single(rad(single(lon))).alias("lo"), rad(bearing).alias("be"), (dist_km / F.lit(float(EARTH_RADIUS_KM))).alias("ad"))
+    # an array of one element names a value that is used more than once
+    reached = F.transform(F.array(start), lambda s: F.struct(
+        s["la"].alias("la"), s["lo"].alias("lo"), s["be"].alias("be"), s["ad"].alias("ad"),
+        single(F.asin(F.sin(s["la"]) * F.cos(s["ad"]) + F.cos(s["la"]) * F.sin(s["ad"]) * F.cos(s["be"]))).alias("fa")))
+    point = F.transform(reached, lambda s: F.struct(
+        deg(s["fa"]).cast("float").alias("lat"),
+        deg(single(s["lo"] + F.atan2(F.sin(s["be"]) * F.sin(s["ad"]) * F.cos(s["la"]), F.cos(s["ad"]) - F.sin(s["la"]) * F.sin(s["fa"])))).cast("float").alias("lon")))
+    return F.get(point, F.lit(0))
+
+
+def cell_step_km(lat: Column, res: float) -> Column:
+    return F.lit(float(EARTH_RADIUS_KM)) * F.cos(rad(lat)) * (F.lit(float(res)) * math.pi / 180.0)
+
+
+def with_walk_to(df: DataFrame, lat: str, lon: str, bearing: str, to_lat: str, to_lon: str, res: float, most: int = 1000, least: int = 2) -> DataFrame:
+    """Great-circle steps of one cell width along a bearing until the point is neither south nor west of the target: ``walk_lat``, ``walk_lon``,
+    ``n_steps`` and ``reached``.
+
+    The first ``least`` steps are always taken. A walk that never gets there ends after ``most`` steps, not reached. It is a fold over the row's own steps: once it has stopped, the point is
+    handed on without arithmetic. A null start, bearing or target has no walk."""
+    ahead = lambda a: (a["lat"] < F.col(to_lat)) | (a["lon"] < F.col(to_lon))
+
+    def step(a: Column, k: Column) -> Column:
+        p = destination(a["lat"], a["lon"], cell_step_km(a["lat"], res), F.col(bearing))
+        moved = F.get(F.transform(F.array(p), lambda q: F.struct(q["lat"].alias("lat"), q["lon"].alias("lon"), (a["n"] + 1).alias("n"))), F.lit(0))
+        return F.when((k <= least) | ahead(a), moved).otherwise(a)
+
+    start = F.struct(F.col(lat).cast("float").alias("lat"), F.col(lon).cast("float").alias("lon"), F.lit(0).alias("n"))
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(bearing).isNotNull() & F.col(to_lat).isNotNull() & F.col(to_lon).isNotNull()
+    walked = df.withColumn("_w", F.when(known, F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)))
+    return walked.withColumns({
+        "walk_lat": F.col("_w.lat"), "walk_lon": F.col("_w.lon"), "n_steps": F.col("_w.n"), "reached": ~ahead(F.col("_w")),
+    }).drop("_w")
+
+
 def with_line_fit(df: DataFrame, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
     """Slope and intercept of the line through two points; NULL for a vertical line."""
     m = F.try_divide(F.col(y2) - F.col(y1), F.col(x2) - F.col(x1))

@@ -66,6 +66,11 @@ def stencil(spark: SparkSession, spec: GridSpec) -> DataFrame:
     return with_bilinear_weights(dest, spec)
 
 
+def save_stencil(spark: SparkSession, spec: GridSpec, path: str) -> None:
+    """Write the stencil of a grid: it depends on the grid alone, so one table serves every field and run."""
+    stencil(spark, spec).select("x", "y", "k", "bearing", "dest_lat", "dest_lon", "i_lo", "j_lo", "w11", "w12", "w21", "w22").write.mode("overwrite").parquet(path)
+
+
 def missing_sample(sample: Column, spec: GridSpec) -> Column:
     """A packed sample of -1 cannot be told from a missing one, which compat keeps."""
     if spec.compat and spec.scale is not None:
@@ -147,22 +152,19 @@ def corner_table(field: DataFrame, value: str = "h") -> DataFrame:
     return each.groupBy("time", "i_lo", "j_lo").agg(*[F.max(F.when(F.col("n") == n, F.col("v"))).alias(n) for n in ("z11", "z12", "z21", "z22")])
 
 
-def votes_by_join(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
-    """Relational form of the vote, a cross-check: the four corners of every cell are put side by side once
-    (by neighbours within a row and one join to the row above) and met by the samples in one join."""
-    spark = field.sparkSession
+def samples_by_join(field: DataFrame, spec: GridSpec, value: str = "h", stored: DataFrame | None = None) -> DataFrame:
+    """time, x, y, raw (the cell's own value), k and sample for every coarse cell and bearing of a field: the stencil, a stored one or one made
+    for the occasion, meets the four corners of every cell, which are put side by side once."""
     own = clip_and_coarsen(field, spec).select("time", "x", "y", F.col(value).alias("raw"))
-    samples = own.join(
-        stencil(spark, spec).select("x", "y", "i_lo", "j_lo", "w11", "w12", "w21", "w22"), ["x", "y"],
-    )
-    z = samples.join(corner_table(field, value), ["time", "i_lo", "j_lo"], "left").withColumn(
-        "sample",
-        interpolate(
-            [F.col("w11"), F.col("w12"), F.col("w21"), F.col("w22")],
-            [F.col("z11"), F.col("z12"), F.col("z21"), F.col("z22")],
-        ),
-    )
-    return z.groupBy("time", "x", "y").agg(
+    points = stencil(field.sparkSession, spec) if stored is None else stored
+    samples = own.join(points.select("x", "y", "k", "i_lo", "j_lo", "w11", "w12", "w21", "w22"), ["x", "y"])
+    met = samples.join(corner_table(field, value), ["time", "i_lo", "j_lo"], "left")
+    return met.select("time", "x", "y", "raw", "k", interpolate([F.col(f"w{n}") for n in (11, 12, 21, 22)], [F.col(f"z{n}") for n in (11, 12, 21, 22)]).alias("sample"))
+
+
+def votes_by_join(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
+    """Relational form of the vote, a cross-check."""
+    return samples_by_join(field, spec, value).groupBy("time", "x", "y").agg(
         F.min("raw").alias("raw"), *_vote_aggregates(F.col("raw"), F.col("sample"), spec),
     ).where(F.col("raw").isNotNull())
 

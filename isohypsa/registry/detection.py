@@ -17,6 +17,7 @@ from isohypsa.registry.base import ORACLES, query
 from isohypsa.registry.inputs import HEAT_SPEC, SPEC, field, instants, table
 from isohypsa.registry.sql import LIMITS_SIDES, STEPS, WEIGHTS, chain, destination_steps
 from isohypsa.sources.grid import PACKING, to_slices
+from isohypsa.staging import scratch_path
 
 HEAT = (0.05, 13.15)  # scale and offset turning metres of the test field into kelvin
 
@@ -75,6 +76,21 @@ query("J01_stencil_join", BEARINGS + f" SELECT key, bearing, round(dest_lat::DOU
              F.round(F.col("dest_lon").cast("double"), 3).alias("dest_lon")))
 
 
+STORED_SAMPLES = chain("field", "sten")[:-1] + """ SELECT time, x, y, COUNT(z) AS n_found, CAST(SUM(z) AS BIGINT) AS total, CAST(SUM(z*k) AS BIGINT) AS by_bearing FROM (
+  SELECT o.time, s.x, s.y, s.k, CASE WHEN s.ok THEN round(s.w11::DOUBLE*a.h + s.w12::DOUBLE*b.h + s.w21::DOUBLE*c.h + s.w22::DOUBLE*d.h) END AS z FROM sten s JOIN field o ON o.i = s.x AND o.j = s.y
+  LEFT JOIN field a ON a.time = o.time AND a.i = s.n_i AND a.j = s.n_j LEFT JOIN field b ON b.time = o.time AND b.i = s.n_i AND b.j = s.n_j + 1
+  LEFT JOIN field c ON c.time = o.time AND c.i = s.n_i - 1 AND c.j = s.n_j LEFT JOIN field d ON d.time = o.time AND d.i = s.n_i - 1 AND d.j = s.n_j + 1) GROUP BY time, x, y"""
+
+
+@query("J01_stencil_over_grid", STORED_SAMPLES)
+def _stencil_over_grid(s, d):
+    """The stencil of the lattice as a stored table, met by every instant of the field."""
+    path = scratch_path(s, "stencil")
+    E.save_stencil(s, SPEC, path)
+    samples = E.samples_by_join(field(s, d), SPEC, stored=s.read.parquet(path))
+    return samples.groupBy("time", "x", "y").agg(F.count("sample").alias("n_found"), F.sum("sample").alias("total"), F.sum(F.col("sample") * F.col("k")).alias("by_bearing"))
+
+
 def sampled_points(spark, d):
     """Customer points (single precision) with their enclosing nodes, dealt over all instants."""
     spread = instants(spark, d).agg((F.max("time") + 1).alias("n")).scalar()

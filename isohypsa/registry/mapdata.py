@@ -221,6 +221,15 @@ W2 = destination_steps("w1", "lat", "lon", STEP_KM.format(c="lat"), "bearing", "
 query("G09_bearing_walk", f"WITH {CUST}, w1 AS (SELECT key, bearing, dest_lat AS lat, dest_lon AS lon FROM ({W1})) SELECT key, round(dest_lat::DOUBLE, 3) AS walk_lat, round(dest_lon::DOUBLE, 3) AS walk_lon FROM ({W2})")(
     lambda s, d: G.with_bearing_walk(customer_points(s, d), "lat", "lon", "bearing", 0.25, 2).select(
         "key", F.round(F.col("walk_lat").cast("double"), 3).alias("walk_lat"), F.round(F.col("walk_lon").cast("double"), 3).alias("walk_lon")))
+TARGETS = "walk_from AS (SELECT key, bearing/2 AS bearing, CAST(lat*0.7::DOUBLE AS FLOAT) AS lat, CAST(lon AS FLOAT) AS lon, lat*0.7::DOUBLE + key % 7*0.9::DOUBLE + 0.33::DOUBLE AS tlat, lon + key % 5*1.1::DOUBLE + 0.27::DOUBLE AS tlon FROM cust)"
+STEP_1 = STEP_KM.replace("0.25", "1.0")
+query("G09_walk_to_target", f"""WITH RECURSIVE {CUST}, {TARGETS}, walk AS (SELECT key, bearing, tlat, tlon, 0 AS n, lat, lon FROM walk_from UNION ALL
+   SELECT key, bearing, tlat, tlon, n + 1, dest_lat, dest_lon FROM ({destination_steps("(SELECT * FROM walk WHERE n < 25 AND (n < 2 OR lat < tlat OR lon < tlon))", "lat", "lon", STEP_1.format(c="lat"), "bearing", "key, bearing, tlat, tlon, n")}))
+  SELECT key, n AS n_steps, round(lat::DOUBLE, 2) AS walk_lat, round(lon::DOUBLE, 2) AS walk_lon, NOT (lat < tlat OR lon < tlon) AS reached FROM walk QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1""")(
+    lambda s, d: G.with_walk_to(customer_points(s, d).select("key", (F.col("bearing") / 2).alias("bearing"), (F.col("lat") * F.lit(0.7)).cast("float").alias("lat"), F.col("lon").cast("float").alias("lon"),
+                                                            (F.col("lat") * F.lit(0.7) + F.col("key") % 7 * F.lit(0.9) + F.lit(0.33)).alias("tlat"), (F.col("lon") + F.col("key") % 5 * F.lit(1.1) + F.lit(0.27)).alias("tlon")),
+                                "lat", "lon", "bearing", "tlat", "tlon", 1.0, 25).select(
+        "key", "n_steps", F.round(F.col("walk_lat").cast("double"), 2).alias("walk_lat"), F.round(F.col("walk_lon").cast("double"), 2).alias("walk_lon"), "reached"))
 LINE = "line AS (SELECT p_partkey AS key, CAST(p_partkey % 13 AS DOUBLE) AS x1, CAST(p_partkey % 7 AS DOUBLE) AS y1, CAST(p_partkey % 13 + 1 + p_partkey % 5 AS DOUBLE) AS x2, CAST(p_partkey % 7 + 1 + p_partkey % 11 AS DOUBLE) AS y2 FROM part)"
 query("G10_line_fit", f"""WITH {LINE}, fit AS (SELECT *, (y2 - y1)/(x2 - x1) AS m, y1 - (y2 - y1)/(x2 - x1)*x1 AS c, (x2 - x1) >= (y2 - y1) AS ax FROM line),
   walk AS (SELECT fit.*, s FROM fit, range(0, (SELECT CAST(MAX(greatest(x2, y2)) AS BIGINT) + 1 FROM line)) r(s) WHERE s >= CASE WHEN ax THEN x1 ELSE y1 END AND s <= CASE WHEN ax THEN x2 ELSE y2 END)

@@ -325,6 +325,27 @@ query("T02_route", "SELECT event_id, CASE event_type WHEN 'click' THEN 'config_q
     lambda s, d: Z.route(table(s, d, "events").withColumn("routing_key", F.coalesce(F.try_element_at(X.literal_map(KEYS), F.col("event_type")), F.lit("unknown")))).select("event_id", "queue", "exchange"))
 query("T03_ttl_drop", f"WITH {EV} SELECT event_id FROM ev WHERE k * 100 <= 5000")(
     lambda s, d: Z.ttl_drop(events(s, d).withColumn("consumed", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("k") * 100_000)), "ts", F.col("consumed")).select("event_id"))
+BOUND = "CASE event_type WHEN 'click' THEN 'config_queue' WHEN 'view' THEN 'progress_queue' WHEN 'purchase' THEN 'results_queue' WHEN 'signup' THEN 'notifications_queue' END"
+
+
+def message_source(s, d):
+    """The events as messages of one stream, read by a few files at a time; the folder that the stream fills."""
+    base = scratch_path(s, "messages")
+    rows = bodies(s, d).join(events(s, d).select("event_id", "k", "event_type"), "event_id").select(
+        "event_id", "body", F.col("ts").cast("timestamp").alias("sent_at"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("k") * 100_000).alias("consumed_at"),
+        F.coalesce(F.try_element_at(X.literal_map(KEYS), F.col("event_type")), F.lit("unknown")).alias("routing_key"))
+    rows.write.parquet(f"{base}/in")
+    source = s.readStream.schema("event_id bigint, body string, sent_at timestamp, consumed_at timestamp, routing_key string").option("maxFilesPerTrigger", 3).parquet(f"{base}/in")
+    Z.message_stream(source, CONTENT, f"{base}/out", f"{base}/cp", consumed=F.col("consumed_at"))
+    return f"{base}/out"
+
+
+query("T01_message_stream", f"WITH {EV} SELECT event_id, increment, {BOUND} AS queue FROM ev WHERE event_id % 17 <> 0 AND k * 100 <= 5000 AND event_type <> 'error'")(
+    lambda s, d: s.read.parquet(message_source(s, d) + "/queues").select("event_id", F.col("content.increment").alias("increment"), "queue"))
+query("T01_message_counts", f"""WITH {EV} SELECT COUNT(*) AS received, COUNT(*) FILTER (event_id % 17 = 0) AS malformed, COUNT(*) FILTER (event_id % 17 <> 0 AND k * 100 > 5000) AS expired,
+  COUNT(*) FILTER (event_id % 17 <> 0 AND k * 100 <= 5000 AND event_type = 'error') AS unbound, COUNT(*) FILTER (event_id % 17 <> 0 AND k * 100 <= 5000 AND event_type <> 'error') AS routed FROM ev""")(
+    lambda s, d: s.read.parquet(message_source(s, d) + "/counts").agg(*[F.sum(c).alias(c) for c in ("received", "malformed", "expired", "unbound", "routed")]))
+query("T01_malformed_messages", f"WITH {EV} SELECT event_id FROM ev WHERE event_id % 17 = 0")(lambda s, d: s.read.parquet(message_source(s, d) + "/malformed").select("event_id"))
 RUNNING = f"""WITH {EV}, ok AS (SELECT * FROM ev WHERE increment BETWEEN 0 AND 100), seg AS (SELECT *, coalesce(SUM(CASE WHEN increment = 100 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM ok),
   run AS (SELECT *, CASE WHEN increment = 100 THEN 100 ELSE least(100, 4*SUM(increment) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) END AS progress FROM seg)"""
 

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from isohypsa.functions.text import parse_envelope
 from isohypsa.operators.catalogue import progress_carry, progress_running
 from isohypsa.params import GridSpec
-from isohypsa.staging import scoped
+from isohypsa.sources.grid import folder_of
+from isohypsa.staging import exists, scoped, stage
 from isohypsa.streaming.state import BUCKETS, before, latest_version, touched_by, versions, write_version  # noqa: F401
 
 # Fixed bindings: routing key -> (queue, exchange).
@@ -91,24 +92,59 @@ def progress_stream(events: DataFrame, key: str, ts: str, tie: str, out: str, st
     return run_available(valid, sink, checkpoint)
 
 
+def message_stream(messages: DataFrame, content_schema: str, out: str, checkpoint: str, body: str = "body", key: str = "routing_key",
+                   sent: str = "sent_at", consumed: Column | None = None, ttl_ms: int = MESSAGE_TTL_MS) -> StreamingQuery:
+    """One source of messages into the queues they are bound for.
+
+    A micro-batch is parsed once. Malformed messages go to ``out/malformed``, those that are neither too old nor without a binding to
+    ``out/queues`` (a folder per queue), and ``out/counts`` gets a row: received, malformed, expired, unbound and routed, as observed while the batch was written.
+    All are folders by batch, which a repeated batch replaces."""
+    spark = messages.sparkSession
+
+    def sink(batch: DataFrame, n: int) -> None:
+        seen, young, bound = Observation("seen"), Observation("young"), Observation("bound")
+        with scoped(spark):
+            parsed = parse_envelope(batch, body, content_schema).observe(seen, F.count("*").alias("received"), F.count_if("malformed").alias("malformed"))
+            parsed = stage(parsed, "messages")
+            fresh = ttl_drop(parsed.where(~F.col("malformed")).drop("malformed"), sent, consumed, ttl_ms).observe(young, F.count("*").alias("n"))
+            route(fresh, key).observe(bound, F.count("*").alias("n")).write.mode("overwrite").partitionBy("queue").parquet(f"{out}/queues/batch={n}")
+            parsed.where("malformed").select(*batch.columns).write.mode("overwrite").parquet(f"{out}/malformed/batch={n}")
+            told = {"received": seen.get["received"], "malformed": seen.get["malformed"], "expired": seen.get["received"] - seen.get["malformed"] - young.get["n"],
+                    "unbound": young.get["n"] - bound.get["n"], "routed": bound.get["n"]}
+            spark.range(1).select(*[F.lit(v).cast("bigint").alias(c) for c, v in told.items()]).write.mode("overwrite").parquet(f"{out}/counts/batch={n}")
+
+    return run_available(messages, sink, checkpoint)
+
+
+FORMATION_ROWS = "time int, max_id int, min1_id int, min2_id int, type string, folder int"
+
+
 def detect_stream(slices: DataFrame, spec: GridSpec, out: str, checkpoint: str) -> StreamingQuery:
-    """Formations of every arriving instant. A batch overwrites the partitions of its own instants, so a repeated batch
-    gives the same table. An instant has one more row, without ids, so that one sent again without formations loses
+    """Formations of every arriving instant, in folders of neighbouring instants.
+
+    A batch merges its instants into their folders: rows of other instants there are kept, those of its own replaced, and only these folders are
+    rewritten, so a repeated batch or instant gives the same table and files follow the data. An instant has one more row, without ids, so that one sent again without formations loses
     its old ones; ``read_formations`` leaves these rows out."""
     from isohypsa.plans.detect import cluster_extrema
 
     def sink(batch: DataFrame, _: int) -> None:
-        with scoped(batch.sparkSession):
+        spark = batch.sparkSession
+        with scoped(spark):
             found = cluster_extrema(None, spec, slices=batch, staged=True).formations()
-            seen = batch.select("time").distinct()
-            rows = found.unionByName(seen, allowMissingColumns=True)
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("time").parquet(out)
+            seen = stage(batch.select("time").distinct().withColumn("folder", folder_of(F.col("time"))), "arrived")
+            rows = found.withColumn("folder", folder_of(F.col("time"))).unionByName(seen, allowMissingColumns=True)
+            if exists(spark, out):
+                old = spark.read.schema(FORMATION_ROWS).parquet(out)
+                rows = rows.unionByName(old.join(seen.select("folder").distinct(), "folder", "left_semi").join(seen.select("time"), "time", "left_anti"))
+            # written aside first: its folders are read until then
+            merged = stage(rows, "merged").repartitionByRange("folder", "time").sortWithinPartitions("folder", "time", "max_id")
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(out)
 
     return run_available(slices, sink, checkpoint)
 
 
 def read_formations(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).where(F.col("max_id").isNotNull())
+    return spark.read.schema(FORMATION_ROWS).parquet(out).where(F.col("max_id").isNotNull()).drop("folder")
 
 
 def catalogue_stream(messages: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame | dict[str, DataFrame]], root: str,
