@@ -502,8 +502,8 @@ def _detect_stream(s, d):
 def _versions(s, d, merge, rows, schema, part=None):
     src, root = scratch_path(s, "messages-in"), scratch_path(s, "catalogue")
     rows.write.parquet(src)
-    Z.catalogue_stream(s.readStream.schema(schema).parquet(src), merge, root, catalogue(s, d), scratch_path(s, "catalogue-cp"))
-    return Z.latest_version(s, root) if part is None else s.read.parquet(f"{root}/{part}").drop("batch")
+    table = Z.catalogue_stream(s.readStream.schema(schema).parquet(src), merge, root, catalogue(s, d), scratch_path(s, "catalogue-cp"))
+    return table.current() if part is None else s.read.parquet(f"{root}/{part}").drop("batch")
 
 
 ARRIVAL = "requestHash string, userId bigint, arrival bigint"

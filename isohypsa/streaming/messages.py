@@ -1,8 +1,7 @@
 """Message streams: parsing, routing, expiry, running progress, detection and catalogue updates.
 
 Every step is a plain DataFrame transform usable on a batch or a stream. Streams that carry state
-(progress, catalogue, users' requests) keep it as versions of buckets: a batch rewrites the buckets of its
-own keys, a repeated batch starts from the same state, and a key with very many events is spread like in
+(progress, catalogue, users' requests) keep it in a table (state.py) that a batch joins and updates, so a key with very many events is spread like in
 the batch form instead of sitting in one state task.
 """
 
@@ -12,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from isohypsa.functions.text import parse_envelope
@@ -19,7 +19,7 @@ from isohypsa.operators.catalogue import progress_carry, progress_running
 from isohypsa.params import GridSpec
 from isohypsa.sources.grid import folder_of
 from isohypsa.staging import exists, scoped, stage
-from isohypsa.streaming.state import BUCKETS, before, latest_version, touched_by, versions, write_version  # noqa: F401
+from isohypsa.streaming.state import StateTable
 
 # Fixed bindings: routing key -> (queue, exchange).
 ROUTES = {
@@ -75,19 +75,24 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return q
 
 
+def progress_state(spark: SparkSession, state: str, key: str, key_type: str, buckets: int = 64) -> StateTable:
+    return StateTable(spark, state, key, T.StructType.fromDDL(f"{key} {key_type}, carry bigint"), buckets)
+
+
 def progress_stream(events: DataFrame, key: str, ts: str, tie: str, out: str, state: str,
-                    checkpoint: str) -> StreamingQuery:
-    """Running progress per request. ``out/batch=n`` holds the progress rows of a micro-batch, ``state`` the
-    sum of each run that has not ended (runs without a sum have no row), see streaming/state.py. Events without a numeric
+                    checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Running progress per request. ``out/batch=n`` holds the progress rows of a micro-batch, the table ``state`` the
+    sum of each run that has not ended (runs without a sum have no row). Events without a numeric
     increment or a text message are dropped; 100 emits and resets the run."""
     spark = events.sparkSession
     valid = events.where(F.col("increment").isNotNull() & F.col("message").isNotNull())
+    sums = progress_state(spark, state, key, events.schema[key].dataType.simpleString(), buckets)
 
     def sink(batch: DataFrame, n: int) -> None:
-        touched = touched_by(batch, key)
-        kept = before(spark, state, n, touched)
-        progress_running(batch, key, ts, tie, carry=kept).write.mode("overwrite").parquet(f"{out}/batch={n}")
-        write_version(spark, state, n, progress_carry(batch, key, ts, tie, kept).where("carry <> 0"), key, touched)
+        with scoped(spark):
+            kept = stage(sums.before(n, batch), "carry")
+            progress_running(batch, key, ts, tie, carry=kept).write.mode("overwrite").parquet(f"{out}/batch={n}")
+            sums.write(n, batch, progress_carry(batch, key, ts, tie, kept).where("carry <> 0"))
 
     return run_available(valid, sink, checkpoint)
 
@@ -148,21 +153,22 @@ def read_formations(spark: SparkSession, out: str) -> DataFrame:
 
 
 def catalogue_stream(messages: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame | dict[str, DataFrame]], root: str,
-                     initial: DataFrame, checkpoint: str, key: str = "requestHash") -> StreamingQuery:
-    """Fold batches of messages into a catalogue kept under ``root`` (streaming/state.py). ``initial`` is written by the first start
-    only. ``merge`` sees the part of the catalogue that shares buckets with the batch's keys and gives its new form, or a dict with it as
+                     initial: DataFrame, checkpoint: str, key: str = "requestHash", buckets: int = 64) -> StateTable:
+    """Fold batches of messages into a catalogue, the table ``root/catalogue``, which is returned. ``initial`` is written by the first start
+    only. ``merge`` sees a batch and the rows of its keys and gives their new form, or a dict with it as
     ``catalogue`` beside other tables of the batch (links, messages to send on), which are written to ``root/<name>/batch=<n>``."""
     spark = messages.sparkSession
-    if not versions(spark, root):
-        write_version(spark, root, -1, initial, key, set(range(BUCKETS)))
+    table = StateTable(spark, f"{root}/catalogue", key, initial.schema, buckets)
+    table.create(initial)
 
     def sink(batch: DataFrame, n: int) -> None:
-        touched = touched_by(batch, key)
-        made = merge(batch, before(spark, root, n, touched))
-        made = made if isinstance(made, dict) else {"catalogue": made}
-        for name, table in made.items():
-            if name != "catalogue":
-                table.write.mode("overwrite").parquet(f"{root}/{name}/batch={n}")
-        write_version(spark, root, n, made["catalogue"], key, touched)
-
-    return run_available(messages, sink, checkpoint)
+        with scoped(spark):
+            made = merge(batch, stage(table.before(n, batch), "known"))
+            made = made if isinstance(made, dict) else {"catalogue": made}
+            for name, rows in made.items():
+                if name != "catalogue":
+                    rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={n}")
+            table.write(n, batch, made["catalogue"])
+
+    run_available(messages, sink, checkpoint)
+    return table

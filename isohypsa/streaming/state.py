@@ -1,73 +1,73 @@
-"""Keyed state of a stream as versions of buckets.
+"""State of a stream as an ordinary table: a row per key, in folders by the hash of the key.
 
-A row belongs to a bucket by the hash of its key. A micro-batch reads and rewrites only the buckets that its own keys
-touch, into ``root/v=<batch>/bucket=<b>``; a manifest names the version of every bucket and is written last, so
-a version counts when it is complete and a repeated batch starts from the same state. Files that the last two
-manifests do not name are deleted."""
+A micro-batch joins the rows of its own keys, and rewrites the folders that they are in by dynamic partition overwrite. Every row keeps the number of the batch
+that changed it last and its value before that, so a repeated batch, also one that broke off between two folders, starts from the values that it
+started from the first time."""
 
 from __future__ import annotations
 
-import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isohypsa.staging import children, delete, read_text, write_text
-
-BUCKETS = 64
-
-
-def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the complete versions that are kept, ascending."""
-    return sorted(int(name[:-5]) for name in children(spark, f"{root}/manifests") if name.endswith(".json"))
-
-
-def _manifest(spark: SparkSession, root: str, n: int) -> dict:
-    return json.loads(read_text(spark, f"{root}/manifests/{n}.json"))
-
-
-def read_version(spark: SparkSession, root: str, n: int, touched: set[int] | None = None) -> DataFrame:
-    """The state of a version, or those of its buckets that are touched."""
-    made = _manifest(spark, root, n)
-    schema = T.StructType.fromJson(made["schema"])
-    paths = [f"{root}/v={v}/bucket={b}" for b, v in made["buckets"].items() if touched is None or int(b) in touched]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def latest_version(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete state, whichever run of the stream wrote it."""
-    return read_version(spark, root, versions(spark, root)[-1])
-
-
-def touched_by(batch: DataFrame, key: str, buckets: int = BUCKETS) -> set[int]:
-    """Buckets of the batch's keys: at most as many numbers as there are buckets."""
-    return {r[0] for r in batch.select(bucket_of(key, buckets)).distinct().collect()}
-
-
-def before(spark: SparkSession, root: str, n: int, touched: set[int]) -> DataFrame | None:
-    """The touched part of the state that batch n starts from: the newest version under n."""
-    earlier = [k for k in versions(spark, root) if k < n]
-    return read_version(spark, root, earlier[-1], touched) if earlier else None
-
-
-def write_version(spark: SparkSession, root: str, n: int, state: DataFrame, key: str, touched: set[int], buckets: int = BUCKETS) -> None:
-    """Version n: the touched buckets as in ``state``, the others as in the version before."""
-    earlier = [k for k in versions(spark, root) if k < n]
-    kept = _manifest(spark, root, earlier[-1])["buckets"] if earlier else {}
-    state.withColumn("bucket", bucket_of(key, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v={n}")
-    written = [name[7:] for name in children(spark, f"{root}/v={n}") if name.startswith("bucket=")]
-    places = {b: v for b, v in kept.items() if int(b) not in touched} | {b: n for b in written}
-    write_text(spark, f"{root}/manifests/{n}.json", json.dumps({"schema": state.schema.jsonValue(), "buckets": places}))
-    for old in versions(spark, root)[:-2]:
-        delete(spark, f"{root}/manifests/{old}.json")
-    needed = {(str(v), b) for k in versions(spark, root) for b, v in _manifest(spark, root, k)["buckets"].items()}
-    for folder in children(spark, root):
-        if folder.startswith("v="):
-            for b in children(spark, f"{root}/{folder}"):
-                if b.startswith("bucket=") and (folder[2:], b[7:]) not in needed:
-                    delete(spark, f"{root}/{folder}/{b}")
+from isohypsa.staging import exists, stage
+
+
+@dataclass(frozen=True)
+class StateTable:
+    """Rows (key and values, as in ``schema``) under ``root``. ``buckets``, the number of folders, belongs to the table: take one for each few million keys, so that a
+    folder stays small while the table grows."""
+
+    spark: SparkSession
+    root: str
+    key: str
+    schema: T.StructType
+    buckets: int = 64
+
+    def _values(self) -> list[str]:
+        return [f.name for f in self.schema.fields if f.name != self.key]
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
+
+    def _rows(self) -> DataFrame:
+        value = T.StructType([f for f in self.schema.fields if f.name != self.key])
+        stored = T.StructType([self.schema[self.key], T.StructField("batch", T.LongType()), T.StructField("now", value), T.StructField("was", value), T.StructField("bucket", T.IntegerType())])
+        return self.spark.read.schema(stored).parquet(self.root) if exists(self.spark, self.root) else self.spark.createDataFrame([], stored)
+
+    def _keys(self, batch: DataFrame) -> DataFrame:
+        return batch.select(self.key).where(F.col(self.key).isNotNull()).distinct().withColumn("bucket", self._bucket())
+
+    def _plain(self, rows: DataFrame, value: Column) -> DataFrame:
+        return rows.withColumn("v", value).where("v IS NOT NULL").select(self.key, *[F.col(f"v.{c}").alias(c) for c in self._values()])
+
+    def create(self, initial: DataFrame) -> None:
+        """Start with rows, unless the table is there already."""
+        if not exists(self.spark, self.root):
+            value = F.struct(*self._values())
+            rows = initial.select(self.key, F.lit(-1).cast("bigint").alias("batch"), value.alias("now"), F.when(F.lit(False), value).alias("was"), self._bucket().alias("bucket"))
+            rows.repartition("bucket").write.partitionBy("bucket").parquet(self.root)
+
+    def current(self) -> DataFrame:
+        """The newest value of every key."""
+        return self._plain(self._rows(), F.col("now"))
+
+    def before(self, n: int, batch: DataFrame) -> DataFrame:
+        """The values that the keys of a batch had before it; only the folders of these keys are read."""
+        mine = self._rows().join(self._keys(batch), ["bucket", self.key], "left_semi")
+        return self._plain(mine, F.when(F.col("batch") >= n, F.col("was")).otherwise(F.col("now")))
+
+    def write(self, n: int, batch: DataFrame, after: DataFrame) -> None:
+        """Give the keys of batch n their values in ``after``; a key without a row there loses its value."""
+        keys = stage(self._keys(batch), "state-keys")
+        value = F.struct(*self._values())
+        was, now = self.before(n, batch).select(self.key, value.alias("was")), after.select(self.key, value.alias("now"))
+        changed = keys.join(was, self.key, "left").join(now, self.key, "left").where("was IS NOT NULL OR now IS NOT NULL")
+        changed = changed.select(self.key, F.lit(n).cast("bigint").alias("batch"), "now", "was", "bucket")
+        others = self._rows().join(keys.select("bucket").distinct(), "bucket", "left_semi").join(keys.select(self.key), self.key, "left_anti")
+        others = others.where(F.col("now").isNotNull()).select(*changed.columns)
+        # written aside first: the folders are read until then
+        rows = stage(others.unionByName(changed), "state-rows")
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.root)

@@ -1,6 +1,7 @@
 """Streams run to exhaustion over files and compared with their batch forms."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isohypsa.operators import catalogue as K
 from isohypsa.plans.detect import detect_blocking
@@ -8,7 +9,7 @@ from isohypsa.registry.inputs import SPEC, synth_field
 from isohypsa.sources.grid import to_slices
 from isohypsa.staging import exists, scoped, scratch_path, stage
 from isohypsa.streaming import messages as Z
-from isohypsa.streaming import state as S
+from isohypsa.streaming.state import StateTable
 
 
 def test_envelope_stream_splits(spark):
@@ -69,15 +70,13 @@ def test_admission_stream_over_batches(spark):
 
     def start():
         source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-        Z.catalogue_stream(source, admit, f"{base}/cat", cat, f"{base}/cp")
-        return {tuple(r) for r in Z.latest_version(spark, f"{base}/cat").collect()}
+        return {tuple(r) for r in Z.catalogue_stream(source, admit, f"{base}/cat", cat, f"{base}/cp").current().collect()}
 
     want = {("a", "CACHED", 3), ("b", "GENERATING", 1), ("n", "GENERATING", 1)}
     assert start() == want
     assert start() == want  # a second start without new files
     spark.createDataFrame([("b", 9, 9), ("a", 9, 9)], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
     assert start() == {("a", "CACHED", 4), ("b", "GENERATING", 1), ("n", "GENERATING", 1)}
-    assert len(Z.versions(spark, f"{base}/cat")) == 2
     links = {(r.user_id, r.requestHash) for r in spark.read.parquet(f"{base}/cat/links").collect()}
     assert links == {(0, "a"), (2, "a"), (9, "a"), (1, "n")}
 
@@ -95,22 +94,45 @@ def test_progress_state_is_pruned_and_survives_a_restart(spark):
         Z.progress_stream(source(), "k", "t", "n", f"{base}/out", f"{base}/state", f"{base}/cp")
     got = {r.n: r.progress for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {1: 20, 2: 28, 3: 100, 4: 40, 5: 8}
-    assert {(r.k, r.carry) for r in Z.latest_version(spark, f"{base}/state").collect()} == {(2, 10), (1, 2)}
-    assert {(r.k, r.carry) for r in S.read_version(spark, f"{base}/state", 0).collect()} == {(2, 7)}
+    sums = Z.progress_state(spark, f"{base}/state", "k", "bigint")
+    assert {(r.k, r.carry) for r in sums.current().collect()} == {(2, 10), (1, 2)}
+    assert {(r.k, r.carry) for r in sums.before(1, spark.range(9).withColumnRenamed("id", "k")).collect()} == {(2, 7)}
 
 
-def test_only_touched_buckets_are_rewritten(spark):
-    root = scratch_path(spark, "b")
+def state_of(spark, buckets=64):
+    return StateTable(spark, scratch_path(spark, "b"), "id", T.StructType.fromDDL("id bigint, v int"), buckets)
+
+
+def test_a_batch_rewrites_the_folders_of_its_keys_only(spark):
+    table = state_of(spark)
     full = spark.range(500).withColumn("v", F.lit(0))
-    S.write_version(spark, root, -1, full, "id", set(range(S.BUCKETS)))
-    batch = full.where("id < 2")
-    touched = S.touched_by(batch, "id")
-    part = S.before(spark, root, 0, touched)
-    assert 0 < part.count() < 60 and len(touched) <= 2
-    S.write_version(spark, root, 0, part.withColumn("v", F.expr("IF(id < 2, 1, v)")), "id", touched)
-    assert S.latest_version(spark, root).agg(F.count("*"), F.sum("v")).first()[:] == (500, 2)
-    S.write_version(spark, root, 0, S.before(spark, root, 0, touched).where("id >= 2"), "id", touched)  # the same batch again
-    assert S.latest_version(spark, root).agg(F.count("*"), F.sum("v")).first()[:] == (498, 0)
+    table.create(full)
+    table.create(full.where("id < 3"))  # it is there already
+    files = lambda: {r.f for r in spark.read.parquet(table.root).select(F.input_file_name().alias("f")).distinct().collect()}
+    first, batch = files(), full.where("id < 2")
+    assert {r.id for r in table.before(0, batch).collect()} == {0, 1}
+    table.write(0, batch, table.before(0, batch).withColumn("v", F.lit(1)))
+    assert table.current().agg(F.count("*"), F.sum("v")).first()[:] == (500, 2)
+    assert 0 < len(first - files()) <= 2
+    table.write(1, batch, batch.limit(0))  # both lose their values
+    assert table.current().count() == 498
+
+
+def test_a_repeated_batch_starts_from_the_same_values(spark):
+    table = state_of(spark, 4)
+    add = lambda n, ids, by: table.write(n, b := spark.createDataFrame([(i,) for i in ids], "id bigint"), b.distinct().join(table.before(n, b), "id", "left").select("id", (F.coalesce("v", F.lit(0)) + by).alias("v")))
+    now = lambda: {r.id: r.v for r in table.current().collect()}
+    assert now() == {}
+    add(0, [1, 2], 5)
+    add(1, [2, 3, 3], 7)
+    assert now() == {1: 5, 2: 12, 3: 7}
+    for _ in range(2):
+        add(1, [2, 3, 3], 7)
+        assert now() == {1: 5, 2: 12, 3: 7}
+    add(1, [2], 7)  # as if it had broken off before the folder of 3
+    assert now() == {1: 5, 2: 12, 3: 7}
+    add(2, [1, 2], 1)
+    assert now() == {1: 6, 2: 13, 3: 7}
 
 
 def test_an_instant_sent_again_without_formations_loses_its_old_ones(spark):
