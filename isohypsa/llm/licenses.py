@@ -10,6 +10,7 @@ uses its words, the neighbouring diagonals that such a span can hold are verifie
 from __future__ import annotations
 
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def pairs(words: Column) -> Column:
 
 
 def lower_words(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(WORD), F.lit(0))
 
 
 def templates(spark: SparkSession) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near-duplicate documents by an inverted join over MinHash coordinates.
 
 Texts with the same set of word shingles are one class. Each class has a signature of COORDINATES minima and is posted under
-coordinate-value pairs. Two sets of the wanted similarity agree in at least MATCHES coordinates (but for odds of about one in
-a hundred thousand at the threshold itself, none for nearer pairs), so in any common order of all pairs they share one of the
+coordinate-value pairs. Two sets of the wanted similarity agree in at least MATCHES coordinates (but for odds of 2.4 in
+a million at the threshold itself, less for nearer pairs), so in any common order of all pairs they share one of the
 first COORDINATES - MATCHES + 1 of each: only that prefix, the rarest pairs first, is joined. Pairs that one class alone has
 fill the prefix without being posted, so texts that share a passage but little else meet nowhere.
 
@@ -76,7 +76,7 @@ def fingerprint(sets: list[np.ndarray]) -> dict[str, list[int]]:
 def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         sets = [shingles(t) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"]} | fingerprint(sets) | {"sig": [signature(s).tobytes() if len(s) else None for s in sets]})
+        yield pd.DataFrame({c: b[c] for c in b.columns if c != "text"} | fingerprint(sets) | {"sig": [signature(s).tobytes() if len(s) else None for s in sets]})
 
 
 def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,13 +154,20 @@ def posted(classes: DataFrame) -> DataFrame:
     return listed.select("node", F.explode(few).alias("k")).select("node", "k.key")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable over links, itself included), one row per row of docs.
+def text_key() -> list[Column]:
+    """128 bits of a row's text."""
+    return [F.xxhash64("text").alias("near_text1"), F.xxhash64(F.lit("text"), "text").alias("near_text2")]
+
+
+def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable over links, itself included), one row per row of docs; if keyed, with near_text1 and near_text2,
+    which tell rows of one id apart.
 
     Documents without words have no shingles and are linked with nothing; rows with a null doc_id are linked with nothing either and have a null
     component. Repeated rows are one class; rows of one id with other texts are judged by their own text. An empty table gives no rows; other
     columns are not looked at."""
-    profiles = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(profile, f"doc_id long, {SET}, sig binary")
+    key, key_schema = (text_key(), "near_text1 long, near_text2 long, ") if keyed else ([], "")
+    profiles = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text").mapInPandas(profile, f"doc_id long, {key_schema}{SET}, sig binary")
     rows = stage(profiles.withColumn("node", F.when(F.col("n_shingles") > 0, class_node())), "shingle-profiles")
     full = rows.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = stage(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig")), "shingle-classes")
@@ -182,7 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = parts.join(low, "component").select(F.col("node"), "component_id").unionByName(
         classes.join(parts, "node", "left_anti").select("node", F.col("doc_id").alias("component_id")))
     out = rows.join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", *(["near_text1", "near_text2"] if keyed else []), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def collisions(a: str, b: str) -> Column:
@@ -212,6 +219,10 @@ def block_links(long: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group, columns as they are. Rows with a null id stay."""
-    away = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("away")).distinct()
-    return docs.join(away, docs["doc_id"] == away["away"], "left_anti")
+    """The rows of docs whose id is the smallest of its group, columns as they are. Rows are told by id and text, so that one of several texts of an id goes
+    without the others. Rows with a null id stay."""
+    away = near_duplicates(docs, keyed=True).filter("doc_id <> component_id").select(F.col("doc_id").alias("away"), "near_text1", "near_text2").distinct()
+    text1, text2 = text_key()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text1, text2)
+    kept = rows.join(away, (rows["doc_id"] == away["away"]) & (rows["near_text1"] == away["near_text1"]) & (rows["near_text2"] == away["near_text2"]), "left_anti")
+    return kept.select("row.*")

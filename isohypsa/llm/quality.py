@@ -15,8 +15,9 @@ from isohypsa.llm.common import words
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]+"
-#: Marks that may stand around a stop word, and words from which on a text is long enough to miss them.
-MARKS, TOLD = ".,;:!?", 20
+#: Marks that may stand around a stop word, and words from which on a text is long enough to miss them. The stop words say nothing about a text of which less than
+#: half of the characters in words are Latin letters.
+MARKS, TOLD, LATIN = ".,;:!?", 20, "[A-Za-z\u00c0-\u024f]+"
 #: Frequent words of the languages that the rules know (fixed values).
 STOP_WORDS = ("a", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "that", "the", "this", "to", "was", "with",
               "au", "avec", "dans", "de", "des", "du", "en", "est", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "sur", "un", "une",
@@ -43,7 +44,7 @@ class Rule:
 
 #: The method's own rules, beside the base ones (n_words < 10, 100 * n_repeat_words > 20 * n_words).
 RULES = (
-    Rule("n_words", low=10, high=200_000),
+    Rule("n_words", low=10),
     Rule("mean_word", low=2.0, high=14.0),
     Rule("symbol_ratio", high=0.25),
     Rule("stop_ratio", low=0.02),
@@ -80,7 +81,9 @@ def measures(docs: DataFrame) -> DataFrame:
         F.char_length(F.array_join("q_words", "")).cast("long").alias("word_chars"),
         (F.char_length("q_text") - F.char_length(F.regexp_replace("q_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        (F.char_length("q_text") - F.char_length(F.regexp_replace("q_text", LATIN, ""))).alias("q_latin"),
     )
+    told = (F.col("n_words") >= TOLD) & (2 * F.col("q_latin") >= F.col("word_chars"))
     stop = F.filter("q_words", lambda x: F.btrim(F.lower(x), F.lit(MARKS)).isin(*STOP_WORDS))
     capital = F.filter("q_words", lambda x: (F.char_length(x) > 1) & (F.upper(x) == x) & (F.lower(x) != x))
     bullet = F.filter("q_lines", lambda x: F.rlike(x, F.lit(r"^\s*[-*•]\s")))
@@ -90,7 +93,7 @@ def measures(docs: DataFrame) -> DataFrame:
     return base.select(
         "doc_id", "n_words", "word_chars", "n_symbols", (lines - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         over(F.col("n_repeat_words"), F.col("n_words")).alias("repeat_ratio"), over(F.col("word_chars"), F.col("n_words")).alias("mean_word"),
-        over(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"), F.when(F.col("n_words") < TOLD, 1.0).otherwise(over(F.size(stop), F.col("n_words"))).alias("stop_ratio"),
+        over(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"), F.when(told, over(F.size(stop), F.col("n_words"))).otherwise(1.0).alias("stop_ratio"),
         over(F.size(capital), F.col("n_words")).alias("capital_ratio"),
         over(lines - F.size(F.array_distinct("q_lines")), lines).alias("dup_line_ratio"),
         over(F.size(bullet), lines).alias("bullet_ratio"), over(F.size(ellipsis), lines).alias("ellipsis_ratio"),

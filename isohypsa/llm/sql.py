@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from isohypsa.llm import licenses
 from isohypsa.llm.lines import MIN_CHARS, SITES
-from isohypsa.llm.quality import MARKS, RULES, STOP_WORDS, TOLD, WINDOW
+from isohypsa.llm.quality import LATIN, MARKS, RULES, STOP_WORDS, TOLD, WINDOW
 
 WS = r"[\x20\x09-\x0D]+"
 
@@ -29,6 +29,7 @@ WITH d AS MATERIALIZED (
 ), m AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(c.n, 0) AS n_repeat_words,
+    length(t) - length(regexp_replace(t, '{LATIN}', '', 'g')) AS latin,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
     len(list_filter(w, lambda x: trim(lower(x), '{MARKS}') IN ({stops}))) AS stops,
     len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS capitals
@@ -37,7 +38,7 @@ WITH d AS MATERIALIZED (
   SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines,
     CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word,
     CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_ratio,
-    CASE WHEN n_words < {TOLD} THEN 1 ELSE stops / n_words END AS stop_ratio,
+    CASE WHEN n_words < {TOLD} OR 2 * latin < word_chars THEN 1 ELSE stops / n_words END AS stop_ratio,
     CASE WHEN n_words > 0 THEN capitals / n_words ELSE 0 END AS capital_ratio,
     CASE WHEN len(l) > 0 THEN (len(l) - len(list_distinct(l))) / len(l) ELSE 0 END AS dup_line_ratio,
     CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[-*•]\\s'))) / len(l) ELSE 0 END AS bullet_ratio,
@@ -69,7 +70,9 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY conv_id"""
 
 
-def license_scan() -> str:
+def license_scan(documents: str = "documents") -> str:
+    """Votes are counted by distinct places of the passage, in the whole run of diagonals or, where that is too long, from each diagonal as far as a span reaches."""
+    width = licenses.STRETCH - 1 + 1e-6
     phrases = [(i, label, True, i < len(licenses.BASE), t) for i, (label, t) in enumerate(licenses.BASE + licenses.PHRASES)]
     passages = [(len(phrases) + i, label, False, False, t) for i, (label, t) in enumerate(licenses.PASSAGES)]
     rows = ", ".join(f"({i}, '{label}', {exact}, {base}, '{text}')" for i, label, exact, base, text in phrases + passages)
@@ -84,21 +87,35 @@ WITH t AS MATERIALIZED (
     FROM (SELECT *, unnest(range(len(w) - 1)) AS place FROM t))
   WHERE exact OR NOT (a IN ({common}) AND b IN ({common}))
 ), d AS MATERIALIZED (
-  SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents
+  SELECT doc_id, {words("coalesce(text, '')")} AS w FROM {documents}
 ), p AS (
   SELECT doc_id, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS pos FROM d)
 ), g AS (
   SELECT doc_id, template, label, exact, base, length, votes, pos - place AS diagonal, count(*) AS got, min(pos) AS lo, max(pos) AS hi
   FROM p JOIN tp USING (a, b) GROUP BY ALL
+), v AS MATERIALIZED (
+  SELECT doc_id, template, place, pos, pos - place AS diagonal FROM p JOIN tp USING (a, b)
+), r AS MATERIALIZED (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM (
+    SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {licenses.BAND} THEN exact::INT ELSE 1 END AS fresh
+    FROM g WHERE NOT exact OR got = votes)
 ), m AS (
-  SELECT doc_id, template, label, exact, base, length, votes, run, sum(got) AS got, min(lo) AS lo, max(hi) + 1 AS hi FROM (
-    SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM (
-      SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {licenses.BAND} THEN exact::INT ELSE 1 END AS fresh
-      FROM g WHERE NOT exact OR got = votes))
-  GROUP BY ALL
+  SELECT r.doc_id, template, label, base, run, count(DISTINCT place) / any_value(votes) AS cover, min(pos) AS lo, max(pos) + 1 AS hi
+  FROM r JOIN v USING (doc_id, template, diagonal) GROUP BY ALL
+  HAVING any_value(exact) OR (count(DISTINCT place) / any_value(votes) >= {licenses.COVER} AND max(pos) + 1 - min(pos) < {licenses.STRETCH} * any_value(length))
+), o AS (
+  SELECT * FROM r ANTI JOIN m USING (doc_id, template, run)
+), x AS MATERIALIZED (
+  SELECT a.doc_id, a.template, a.label, a.base, a.run, a.diagonal, a.length, count(DISTINCT place) / any_value(a.votes) AS cover, min(pos) AS lo, max(pos) + 1 AS hi
+  FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.template = b.template AND a.run = b.run AND b.diagonal / b.length BETWEEN a.diagonal / a.length AND a.diagonal / a.length + {width}
+  JOIN v ON v.doc_id = b.doc_id AND v.template = b.template AND v.diagonal = b.diagonal GROUP BY ALL
+  HAVING count(DISTINCT place) / any_value(a.votes) >= {licenses.COVER} AND max(pos) + 1 - min(pos) < {licenses.STRETCH} * any_value(a.length)
 ), s AS (
-  SELECT *, least(got / votes, 1.0) AS cover FROM m
-  WHERE exact OR (least(got / votes, 1.0) >= {licenses.COVER} AND hi - lo < {licenses.STRETCH} * length)
+  SELECT doc_id, label, base, lo, cover FROM m UNION ALL
+  SELECT a.doc_id, any_value(a.label), any_value(a.base), any_value(a.lo), any_value(a.cover)
+  FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.template = b.template AND a.run = b.run AND b.diagonal / b.length BETWEEN a.diagonal / a.length - {width + 1e-6} AND a.diagonal / a.length + {width + 1e-6}
+  GROUP BY a.doc_id, a.template, a.run, a.diagonal
+  HAVING max((b.cover, b.lo - b.hi, b.lo, b.hi, b.diagonal)) = any_value((a.cover, a.lo - a.hi, a.lo, a.hi, a.diagonal))
 )
 SELECT d.doc_id, any_value(len(d.w)) AS n_words, count(*) FILTER (base) AS n_base, min(lo) FILTER (base) AS first_word, max(lo) FILTER (base) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,

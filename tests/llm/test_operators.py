@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from isohypsa.llm import chat, licenses, lines, mixing, neardup, pages, pieces, quality, toxicity, vectors
 from isohypsa.llm.graph import components
+from isohypsa.llm.sql import license_scan as licenses_sql
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, row int, key string, node long"
@@ -147,6 +148,22 @@ def test_license_spans_count_places_once_and_survive_dense_talk(spark):
     assert licenses.spans(docs(spark, rows[-1:])).filter("label IS NOT NULL").count() == 2
 
 
+def test_license_sql_counts_places_and_spans(spark, duck):
+    rng = random.Random(6)
+    talk = lambda n, every: " ".join("the software" if rng.randrange(every) == 0 else f"w{rng.randrange(500)}" for _ in range(n))
+    mit, gpl = licenses.PASSAGES[0][1], licenses.PASSAGES[2][1]
+    texts = [talk(n, every) for n in (300, 600) for every in (2, 4, 8, 12)] + ["the software " * 400, "Mit license \u212a MIT Licen\u017fe"]
+    texts += [f"{talk(200, 4)} {mit} {talk(100, k)} {mit[:400]} {talk(200, 3)} {gpl}" for k in (2, 3, 5)] + [mit[40:600] + " other words " + mit[620:], gpl.replace("software", "the software")]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    duck.register("license_docs", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    want = duck.execute(licenses_sql("license_docs")).df()
+    got = licenses.scan(docs(spark, rows)).toPandas()
+    key = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want, got = (x[key].astype(object).where(x[key].notna(), None).sort_values("doc_id").values.tolist() for x in (want, got))
+    assert [[round(v, 9) if isinstance(v, float) else v for v in r] for r in got] == [[round(v, 9) if isinstance(v, float) else v for v in r] for r in want]
+    assert {r[6] for r in got} >= {"", "gpl,mit", "mit"}
+
+
 # 4: chats
 
 def test_chat_round_trip(spark):
@@ -341,6 +358,13 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_text_is_not_dropped_for_its_id(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "s"), (2, text, "t"), (2, "quite another text of some more words here", "t"), (3, None, "s"), (2, None, "s")]
+    kept = neardup.keep_one(docs(spark, rows))
+    assert sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[3], rows[4]], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
@@ -385,6 +409,10 @@ def test_quality_against_brute_force(spark):
     assert not (got.kept.astype(bool) & got.base_failed.astype(bool)).any()
     clean = docs(spark, [(1, "The quick brown fox of the old farm is in the yard, and it was with us for a day by the river bank.\nThat is all.", "s")])
     assert quality.judge(quality.measures(clean)).first()["kept"]
+    more = docs(spark, [(1, "Быстрая лиса старой фермы была сегодня во дворе и видела нас весь день у самого берега широкой тихой реки а потом ушла домой", "s"),
+                        (2, "Nothing useful here because every single sentence avoids ordinary little words entirely whatever somebody might actually expect seeing inside longer English passages", "s"),
+                        (3, " ".join(f"the word{i}" for i in range(120_000)), "s")])
+    assert {r["doc_id"]: r["kept"] for r in quality.judge(quality.measures(more)).collect()} == {1: True, 2: False, 3: True}
     assert quality.measures(docs(spark, [])).count() == 0
 
 
