@@ -474,6 +474,64 @@ def test_templates_of_layouts(spark):
     assert found.loc["/body/div.post/div.hint", "pages"] == 5
 
 
+def test_unclosed_and_quoted_elements_keep_the_text():
+    text = lambda x: pages.main_text(pages.parse(x))
+    assert text("<article><p>Before</p><video src=x controls><p>After the video</p></article>") == "Before\nAfter the video"
+    assert text("<article><p>Before</p><video src=x>no player</video><audio><source src=y></audio><p>After</p></article>") == "Before\nAfter"
+    assert text("<article><p>The sum <math><mi>x</mi></math> is five</p><xmp>if a < b & c</xmp></article>") == "The sum x is five\nif a < b & c"
+    assert text("<article><object><object>in</object>still in</object><p>Out</p><svg><title>t</title><text>no</text></svg></article>") == "Out"
+    assert text("<article><p>One<svg/> two<canvas></p><p>Three</p></article>") == "One two\nThree"
+
+
+def brute_template(rows):
+    """Which blocks and slots of a host's pages its template takes, by plain counting over the pages of one host."""
+    parsed = {html: pages.parse(html) for _, _, html in rows}
+    holds, runs, slots = {}, {}, {}
+    for html, page in parsed.items():
+        for path, (n, _) in page.tags.items():
+            holds.setdefault(path, {})[html] = n
+        free = [r for r in page.runs if not r.outside]
+        for path, text in pages.blocks(free):
+            runs.setdefault((path, text), {}).setdefault(html, 0)
+            runs[path, text][html] += 1
+        for r in free:
+            n = len("".join(r.text.split()))
+            if n:
+                s = slots.setdefault(r.path, {}).setdefault(html, [0, 0])
+                s[0] += n
+                s[1] += n * r.link
+    everywhere = dict.fromkeys(parsed, 1)
+    vector = lambda held: frozenset(held.items())
+    tokens = [("tag", t, pages.element(t.rsplit("/", 1)[0]), vector(h)) for t, h in holds.items()]
+    tokens += [("run", k, pages.element(k[0]), vector(h)) for k, h in runs.items()] + [("slot", p, pages.element(p), vector(dict.fromkeys(h, 1))) for p, h in slots.items()]
+    most = lambda around, v: len(v) >= pages.LEAST_PAGES and len(v) >= pages.SHARE * len(holds.get(around, everywhere))
+    valid = {v for _, _, around, v in tokens if most(around, v)}
+    linked = {p for p, h in slots.items() if sum(k for _, k in h.values()) >= pages.LINKS * sum(c for c, _ in h.values())}
+    return {html: pages.main_text(page, frozenset(pages.slot_key(p) for k, p, _, v in tokens if k == "slot" and p in linked and v in valid),
+                                  frozenset(pages.run_key(*r) for k, r, _, v in tokens if k == "run" and v in valid)) for html, page in parsed.items()}
+
+
+@pytest.mark.parametrize("hot_share", [500, 2])
+def test_templates_against_plain_counting(spark, monkeypatch, hot_share):
+    monkeypatch.setattr(pages, "SALTED", hot_share)
+    rng = random.Random(9)
+    rows = []
+    for host in "abc":
+        for i in range(14 if host == "a" else 7):
+            bits = ["<div class=note><p>Please log in</p></div>" if rng.random() < 0.5 else "", f"<article><h1>Title {rng.randrange(99)}</h1>" if host == "b" else "<div class=text>",
+                    "".join(f"<p>words {rng.randrange(5)} of <a href=x>page</a> {i}</p>" for _ in range(rng.randrange(4))), "<p>All rights</p>" if rng.random() < 0.7 else "",
+                    "<div class=more>" + "".join(f"<a href={k}>link {rng.randrange(9)}</a> " for k in range(3)) + "</div>" if rng.random() < 0.8 else "", "</article>" if host == "b" else "</div>"]
+            html = f"<body><div class=top>Site {host}</div>{''.join(bits)}<div class='end/x'>bye</div></body>"
+            rows += [(len(rows) + k, f"http://{host}.example/{i}", html) for k in range(1 if rng.random() < 0.7 else 3)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {}
+    for host in "abc":
+        own = [r for r in rows if f"//{host}." in r[1]]
+        told = brute_template(own)
+        want |= {i: told[html] for i, _, html in own}
+    assert got == want and len({t for t in want.values()}) > 10
+
+
 # the pipeline
 
 def test_pipeline_stages_keep_the_columns_of_documents(spark, tmp_path):
