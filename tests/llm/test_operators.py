@@ -98,6 +98,33 @@ def test_toxicity_learns_and_holds_out(spark):
     assert odd_rows.select(toxicity.score(F.col("text"), model).alias("s")).filter("s BETWEEN 0 AND 1").count() == 8
 
 
+def plain_score(model, text):
+    """Every n-gram of the whole text by itself, in whole numbers."""
+    t, mask = toxicity.normal(text), (1 << 64) - 1
+    weights, total, n = np.frombuffer(model.weights, np.float32), 0.0, 0
+    for order in toxicity.ORDERS:
+        for at in range(len(t) - order + 1):
+            h = 0
+            for k, c in enumerate(t[at:at + order]):
+                h = (h ^ ord(c)) * int(toxicity.MIX[k]) & mask
+                h ^= h >> 29
+            total += float(weights[((h ^ order) * int(toxicity.MIX[0]) & mask) >> (64 - toxicity.BITS)])
+            n += 1
+    return 1 / (1 + np.exp(-(model.bias + toxicity.SCALE * total / max(n, 1) ** 0.5)))
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 50])
+def test_toxicity_counts_every_place_of_the_whole_text(monkeypatch, chunk):
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    rng = random.Random(2)
+    model = toxicity.Model(np.random.default_rng(3).standard_normal(1 << toxicity.BITS).astype(np.float32).tobytes(), 0.25)
+    texts = ["".join(rng.choice("abcé😀 \n\tF*!") for _ in range(rng.randrange(n))) for n in (1, 2, 3, 8, 60, 300, 300, 5) for _ in range(4)] + [None, "", "  ", "ab", "f*ck f*ck", "f*ck"]
+    got = model.scores(texts)
+    assert np.allclose(got, [plain_score(model, t) for t in texts]) and got[-1] != got[-2]
+    assert np.array_equal(got, np.concatenate([model.scores(texts[:9]), model.scores(texts[9:])]))
+    assert len({round(x, 9) for x in model.scores(["you are bad", "are you bad", "you are  BAD", "you are bad."])}) == 3
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs(spark, odd()), none)
