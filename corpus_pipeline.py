@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from isohypsa.llm import lines, mixing, neardup, pieces, toxicity
 from isohypsa.llm.common import table
 from isohypsa.llm.queries import tokenizer_path
-from isohypsa.staging import scoped, scratch_path
+from isohypsa.staging import delete, scoped, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again before the next; a written table goes when the next one stands. The last of them
+    stays, as the result is read from it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, apply in STAGES[:-1]:
         path = scratch_path(spark, f"corpus-{name}")
         with scoped(spark):  # what a stage keeps on the way goes when its result is written
             kept = apply(spark, docs, sf_dir)
             kept.write.parquet(path)
-        docs = spark.read.schema(kept.schema).parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.schema(kept.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
