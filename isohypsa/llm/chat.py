@@ -30,6 +30,8 @@ CONTROL = r"\||/?s>|/?INST\]|/?SYS>>"
 PLAIN = rf"([<\[])(\\*)(?={CONTROL})"
 ESCAPED = rf"([<\[])\\(\\*)(?={CONTROL})"
 LEARNED = "assistant"
+#: Elements of a run of running sums, and characters of a part of a text from which spans are cut.
+RUN, PART = 128, 1024
 
 
 def escape(text: Column) -> Column:
@@ -41,6 +43,22 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often an inner function asks for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(widths: Column) -> Column:
+    """The sum of the elements before each element. Sums are written down run by run and then of whole runs, so that a list is
+    copied for each of its own RUN elements only, not for all."""
+    sums = lambda xs: F.aggregate(xs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("before")),
+                                  lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["before"], F.array(a["at"])).alias("before")))
+    run = lambda w, r: F.transform(F.sequence(r * RUN, F.least(r * RUN + RUN, F.size(w)) - 1), lambda i: F.get(w, i))
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / RUN).cast("int")), lambda r: sums(run(w, r)))
+    joined = lambda rs: F.flatten(F.zip_with(rs, sums(F.transform(rs, lambda r: r["at"]))["before"], lambda r, at: F.transform(r["before"], lambda x: x + at)))
+    return let(widths, lambda w: let(runs(w), joined))
+
+
 def format_chats(turns: DataFrame, template: Template = Template(), learned: str = LEARNED) -> DataFrame:
     """conv_id, formatted, and loss_spans: array of (start, length) in characters from 0, one per turn of the learned role.
 
@@ -55,7 +73,7 @@ def format_chats(turns: DataFrame, template: Template = Template(), learned: str
     starts = F.filter(places, lambda i: (i == 0) | (role(i) != role(i - 1)))
     merged = F.transform("starts", lambda s, k: F.struct(
         role(s).alias("role"), F.get(F.col("t"), s)["learn"].alias("learn"),
-        F.transform(F.slice("t", s + 1, F.coalesce(F.get(F.col("starts"), k + 1), F.size("t")) - s), lambda x: x["text"]).alias("texts")))
+        F.transform(F.sequence(s, F.coalesce(F.get(F.col("starts"), k + 1), F.size("t")) - 1), lambda i: F.get(F.col("t"), i)["text"]).alias("texts")))
     blocks = chats.withColumn("starts", starts).select("conv_id", merged.alias("blocks"))
     block = lambda b: F.concat(F.lit(template.begin), b["role"], F.lit(template.text), F.array_join(b["texts"], template.turn), F.lit(template.end))
     written = blocks.withColumn("formatted", F.array_join(F.transform("blocks", block), ""))
@@ -63,11 +81,10 @@ def format_chats(turns: DataFrame, template: Template = Template(), learned: str
     pieces = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda x, i: F.struct(
         F.when(i == 0, len(template.begin) + F.char_length(b["role"]) + len(template.text)).otherwise(len(template.turn)).alias("before"),
         F.char_length(x).alias("length"), F.when(i == F.size(b["texts"]) - 1, len(template.end)).otherwise(0).alias("after"), b["learn"].alias("learn")))))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:int,learn:boolean>>").alias("spans"))
-    placed = F.aggregate(pieces, empty, lambda a, p: F.struct(
-        (a["at"] + p["before"] + p["length"] + p["after"]).alias("at"),
-        F.concat(a["spans"], F.array(F.struct((a["at"] + p["before"]).alias("start"), p["length"].alias("length"), p["learn"].alias("learn")))).alias("spans")))
-    spans = F.transform(F.filter(placed["spans"], lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["length"].cast("bigint").alias("length")))
+    spans = let(pieces, lambda ps: F.filter(
+        F.zip_with(ps, running(F.transform(ps, lambda p: p["before"] + p["length"] + p["after"])), lambda p, at: F.struct(
+            (at + p["before"]).alias("start"), p["length"].cast("bigint").alias("length"), p["learn"].alias("learn"))), lambda s: s["learn"]))
+    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     return written.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
@@ -76,7 +93,13 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
     quoted = lambda s: "\\Q" + s + "\\E"
     blocks = F.filter(F.split("formatted", quoted(template.begin)), lambda _, i: i > 0)
     part = lambda b: F.split(F.left(b, F.char_length(b) - len(template.end)), quoted(template.text), 2)
-    turns = F.flatten(F.transform(blocks, lambda b: F.transform(
-        F.split(F.get(part(b), F.lit(1)), quoted(template.turn)), lambda x: F.struct(unescape(F.get(part(b), F.lit(0))).alias("role"), unescape(x).alias("text")))))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+    told = lambda p: let(unescape(F.get(p, F.lit(0))), lambda role: F.transform(
+        F.split(F.get(p, F.lit(1)), quoted(template.turn)), lambda x: F.struct(role.alias("role"), unescape(x).alias("text"))))
+    turns = F.flatten(F.transform(blocks, lambda b: let(part(b), told)))
+    # A span is cut from the parts it meets, so that no search for its start goes through the whole text.
+    place = lambda at: F.floor(at / PART).cast("int")
+    met = lambda parts, s: F.array_join(F.transform(F.sequence(place(s["start"]), place(s["start"] + s["length"])), lambda i: F.get(parts, i)), "")
+    cut = lambda parts, s: F.substring(met(parts, s), (s["start"] % PART).cast("int") + 1, s["length"].cast("int"))
+    loss = let(F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)),
+               lambda parts: F.array_join(F.transform("loss_spans", lambda s: unescape(cut(parts, s))), ""))
     return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))

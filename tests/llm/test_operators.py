@@ -209,6 +209,18 @@ def test_chat_round_trip(spark):
 
 # 5: lines
 
+
+@pytest.mark.parametrize("turns_of_a_role", [1, 7, 5000])
+def test_chat_of_many_turns_against_plain_python(spark, turns_of_a_role):
+    roles = ["user", "assistant"]
+    rows = [(1, t, roles[(t // turns_of_a_role + 1) % 2], "é\U0001f600\n" * (t % 5) + ("<|end|>" if t % 3 == 0 else "") + "x" * (3000 if t == 700 else 0))
+            for t in range(2500)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    read = chat.read_back(chat.format_chats(turns)).first()
+    assert [(x.role, x.text) for x in read.turns] == [(role, text) for _, _, role, text in rows]
+    assert read.loss_text == "".join(text for _, _, role, text in rows if role == "assistant")
+
+
 def test_line_spread(spark):
     foot = "This line stands on every site there is."
     rows = [(100 + i, f"own line number {i} of this document\n{foot}\nshort", f"s{i}") for i in range(8)] + [(120, f"{foot}", "s1"), (121, foot + "\n" + foot, None)]
