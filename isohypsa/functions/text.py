@@ -26,7 +26,7 @@ MIME_TYPES = {
 }
 DEFAULT_MIME = "application/octet-stream"
 PREVIEW_EXTENSIONS = ("jpg", "jpeg", "png", "svg", "gif", "pdf")
-DATA_FOLDER = "/app/config/data"
+DATA_FOLDER = "/fields"
 # Texts read as numbers; an empty one counts as zero. Checked before the cast, because a failing
 # cast costs an exception per element.
 NUMBER = r"^\s*([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?)?\s*$"

@@ -7,11 +7,15 @@ the bridge user_requests(user_id, requestHash).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isohypsa.functions.text import CONFIG_KEYS, proxy_url, variable_code
+from isohypsa.staging import stage
 
 # Allowed values of each option, fixed.
 DOMAINS = {
@@ -246,15 +250,26 @@ def nearest_runs(runs: DataFrame, key: str, age: str, tie: str, k: int = 3) -> D
 def position_within(df: DataFrame, keys: list[str], block: Column, order: list[Column], out: str) -> DataFrame:
     """0-based position of each row within ``keys`` by ``order``. ``block`` must not decrease along
     the order: rows are numbered within (keys, block) and block sizes give the offsets, so a key
-    holding very many rows is spread over its blocks."""
+    holding very many rows is spread over its blocks. Null keys are one key, null blocks the first block."""
     d = df.withColumn("_block", block)
     sizes = d.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    inside = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*order)) - 1
-    return d.withColumn("_in", inside).join(offsets, [*keys, "_block"]).withColumn(
+    at = [*keys, "_block"]
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).select(
+        *(F.col(c).alias(f"_of_{i}") for i, c in enumerate(at)), "_before")
+    inside = F.row_number().over(W.partitionBy(*at).orderBy(*order)) - 1
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(at)))
+    return d.withColumn("_in", inside).join(offsets, same).withColumn(
         out, (F.col("_in") + F.col("_before")).cast("bigint"),
-    ).drop("_block", "_in", "_before")
+    ).drop("_block", "_in", "_before", *(f"_of_{i}" for i in range(len(at))))
+
+
+def position_by_range(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """As ``position_within``, for orders whose spread is not known: the blocks are the ranges of a global
+    range partitioning by keys and order, so their size follows the rows and a key with very many rows is
+    spread over as many ranges as it fills. The ranges are written once, because a second sampling could cut elsewhere."""
+    dealt = stage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    return position_within(dealt, keys, F.col("_range"), order, out).drop("_range")
 
 
 def unique_names(files: DataFrame, name: str, order: str, block_width: int = 100_000) -> DataFrame:

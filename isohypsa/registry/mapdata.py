@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from isohypsa.functions import geo as G
 from isohypsa.operators import maps as M
-from isohypsa.operators.catalogue import position_within
+from isohypsa.operators.catalogue import position_by_range
 from isohypsa.operators.extrema import clip_and_coarsen
 from isohypsa.plans import detect as D
 from isohypsa.plans import maps as P
@@ -339,9 +339,9 @@ query("O01_order_points", chain("points") + "SELECT time, x, y, type, CAST(row_n
         det(s, d).points.withColumns({"lat": G.lat_of(F.col("x"), SPEC), "scan": F.col("x") * SPEC.size_y + F.col("y")}),
         ["time"], [*M.order_key(), F.col("scan")]).select("time", "x", "y", "type", "rank"))
 query("O02_sort_by_lat", f"WITH {CUST} SELECT nation, key, row_number() OVER (PARTITION BY nation ORDER BY lat, key) - 1 AS by_lat, row_number() OVER (PARTITION BY nation ORDER BY lon, key) - 1 AS by_lon FROM cust")(
-    lambda s, d: position_within(
-        position_within(customer_points(s, d), ["nation"], F.floor(F.col("lat") / 5), [F.col("lat"), F.col("key")], "by_lat"),
-        ["nation"], F.floor(F.col("lon") / 10), [F.col("lon"), F.col("key")], "by_lon").select("nation", "key", "by_lat", "by_lon"))
+    lambda s, d: position_by_range(
+        position_by_range(customer_points(s, d), ["nation"], [F.col("lat"), F.col("key")], "by_lat"),
+        ["nation"], [F.col("lon"), F.col("key")], "by_lon").select("nation", "key", "by_lat", "by_lon"))
 
 # --- composite maps ---------------------------------------------------------------------------
 

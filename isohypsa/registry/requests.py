@@ -147,7 +147,7 @@ query("W08_compact_ranges", f"""WITH {DAYSET}, flat AS (SELECT key, unnest(days)
     lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(prefix_days().alias("days"))
     .select("key", X.compact_ranges(F.col("days")).alias("ranges")))
 D0, D1 = "CAST(days[1] AS INTEGER)", "CAST(days[2] AS INTEGER)"
-query("F02_source_file_name", req_sql(f"""SELECT key, '/app/config/data/' || variableName || '_' || array_to_string(pressureLevels, '-') || 'hPa_' || {PAD.format(c='years')} || '-' || {PAD.format(c='months')} || '-(' || r.ranges || ')_' || {PAD.format(c='hours')} || 'UTC.nc' AS file
+query("F02_source_file_name", req_sql(f"""SELECT key, '/fields/' || variableName || '_' || array_to_string(pressureLevels, '-') || 'hPa_' || {PAD.format(c='years')} || '-' || {PAD.format(c='months')} || '-(' || r.ranges || ')_' || {PAD.format(c='hours')} || 'UTC.nc' AS file
   FROM req JOIN ranges r USING (key)""", """flat AS (SELECT key, CAST(unnest(days) AS INTEGER) AS v FROM req), ord AS (SELECT key, v, row_number() OVER (PARTITION BY key ORDER BY v) AS n, lag(v) OVER (PARTITION BY key ORDER BY v) AS p FROM flat),
   seg AS (SELECT key, v, SUM(CASE WHEN p IS NULL OR v <> p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY n) AS g FROM ord), runs AS (SELECT key, g, MIN(v) AS a, MAX(v) AS b FROM seg GROUP BY key, g),
   ranges AS (SELECT key, string_agg(CASE WHEN a = b THEN printf('%02d', a) ELSE printf('%02d-%02d', a, b) END, '-' ORDER BY g) AS ranges FROM runs GROUP BY key)"""))(
@@ -278,8 +278,7 @@ query("O03_newest_first", req_sql("SELECT requestHash, row_number() OVER (PARTIT
 
 def _newest(s, d):
     age = -F.coalesce(F.unix_timestamp("updatedAt"), F.lit(0))
-    return K.position_within(requests(s, d), ["userId"], F.floor(age / (30 * 86_400)),
-                             [age, F.col("requestHash")], "position").select("requestHash", "position")
+    return K.position_by_range(requests(s, d), ["userId"], [age, F.col("requestHash")], "position").select("requestHash", "position")
 
 
 query("O05_union_distinct_days", """WITH sel AS (SELECT o_custkey AS user_id, MAX(day(last_day(o_orderdate))) AS last FROM orders GROUP BY 1) SELECT user_id, CAST(n AS INTEGER) AS day FROM sel, range(1, 32) r(n) WHERE n <= last""")(

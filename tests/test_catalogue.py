@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isohypsa.functions import text as X
 from isohypsa.operators import catalogue as K
+from isohypsa.staging import scoped
 
 REQUEST = ("requestHash string, variableName string, pressureLevels array<string>, years array<string>, months array<string>, "
            "days array<string>, hours array<string>, areaCovered array<string>, mapTypes array<string>, mapLevels array<string>, "
@@ -65,7 +66,7 @@ def test_compact_ranges(spark, values, text):
 def test_source_file_name(spark):
     df = frame(spark, request(pressureLevels=["500", "850"], days=["1", "2", "3"], hours=["0", "6"]))
     assert df.select(X.source_file_name().alias("f")).collect()[0].f == (
-        "/app/config/data/geopotential_500-850hPa_2019-06-(01-03)_00-06UTC.nc")
+        "/fields/geopotential_500-850hPa_2019-06-(01-03)_00-06UTC.nc")
 
 
 def test_instant_dates(spark):
@@ -164,13 +165,28 @@ def test_expiry_keeps_the_rest(spark):
 def test_hot_key_positions(spark):
     rnd = random.Random(3)
     rows = [("hot" if rnd.random() < 0.6 else f"k{rnd.randrange(9)}", n, rnd.randrange(50)) for n in range(2000)]
+    rows += [(None, 3000 + n, n % 4) for n in range(20)] + [("hot", 4000 + n, None) for n in range(5)]
     df = spark.createDataFrame(rows, "k string, id long, v long")
-    got = {r.id: r.n for r in K.position_within(df, ["k"], F.floor(F.col("v") / 7), [F.col("v"), F.col("id")], "n").collect()}
+    order = [F.col("v"), F.col("id")]
     want = {}
     for k in {r[0] for r in rows}:
-        for n, (_, i) in enumerate(sorted((v, i) for kk, i, v in rows if kk == k)):
+        for n, (_, i) in enumerate(sorted((-1 if v is None else v, i) for kk, i, v in rows if kk == k)):
             want[i] = n
-    assert got == want
+    assert {r.id: r.n for r in K.position_within(df, ["k"], F.floor(F.col("v") / 7), order, "n").collect()} == want
+    assert {r.id: r.n for r in K.position_by_range(df.repartition(3), ["k"], order, "n").collect()} == want
+    assert K.position_by_range(df.limit(0), ["k"], order, "n").columns == ["k", "id", "v", "n"]
+
+
+def test_hot_key_fills_several_ranges(spark):
+    with scoped(spark) as staged:
+        one = spark.range(4000).select(F.lit("k").alias("k"), F.pmod(F.col("id") * 7919, F.lit(4000)).alias("v"))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = K.position_by_range(one, ["k"], [F.col("v")], "n")
+            assert spark.read.parquet(staged[0]).select("_range").distinct().count() > 2
+            assert got.where("n <> v").count() == 0
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def running(events, state):
