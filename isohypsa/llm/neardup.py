@@ -7,8 +7,10 @@ first COORDINATES - MATCHES + 1 of each: only that prefix, the rarest pairs firs
 fill the prefix without being posted, so texts that share a passage but little else meet nowhere.
 
 Short lists are joined to pairs of classes, which count their collisions over the whole signature; what reaches MATCHES is
-confirmed on the full sets. Long lists, of groups of many copies, are cut into blocks; two blocks at a time are compared as
-matrices and only the components they form leave the task, never all pairs.
+confirmed on the full sets. Long lists, of groups of many copies, are compared as matrices in blocks, and only the components
+they form leave the task, never all pairs. A list of several blocks first meets PIVOTS of its own classes: those that link with the
+best of them are one component already, so only the others are still compared with each other and with these. What moves
+grows with the list, and with its square only as far as classes link with no pivot.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ COORDINATES, MATCHES = 64, 40
 PREFIX = COORDINATES - MATCHES + 1
 #: Classes of a list up to which all of its pairs become rows, and classes of a block beyond that.
 SHORT_LIST, BLOCK = 24, 1024
+#: Classes of a list of several blocks that all of its classes are compared with first.
+PIVOTS = 8
 SET = "n_shingles long, set1 long, set2 long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -130,6 +134,16 @@ def roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
+def compare_pivots(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The classes of one block of a list that link with its pivots."""
+    node, is_pivot = pdf["node"].to_numpy(), pdf["is_pivot"].to_numpy(bool)
+    sig = np.stack([np.frombuffer(x, np.int32) for x in pdf["sig"]])
+    sets = [np.asarray(x).view(np.uint64) for x in pdf["shingles"]]
+    i, j = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
+    x, y = np.nonzero(linked((sig[i], sig[j]), ([sets[k] for k in i], [sets[k] for k in j])))
+    return pd.DataFrame({"key": key[0], "node": node[i[x]], "pivot": node[j[y]]})
+
+
 def compare_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Links (a, b) that join the components of two blocks of a list: one per class that is not the smallest of its component."""
     pdf = pdf.sort_values("node", kind="stable")
@@ -211,11 +225,36 @@ def confirmed(matched: DataFrame, chosen: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("both") >= SIMILAR * (F.col("n") - F.col("both"))).select("a", "b")
 
 
+def pivot_links(many: DataFrame, chosen: DataFrame) -> DataFrame:
+    """key, node, pivot: the classes of each list that link with the best of its pivots, itself included. The best is the one with most links."""
+    part = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(PIVOTS))
+    pivots = many.groupBy("key", part.alias("part")).agg(F.min("node").alias("node"), F.max("blocks").alias("blocks"))
+    pivots = pivots.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", F.lit(True).alias("is_pivot"))
+    members = many.select("key", "block", "node", F.lit(False).alias("is_pivot"))
+    met = members.unionByName(pivots).join(chosen, "node").groupBy("key", "block")
+    met = stage(met.applyInPandas(compare_pivots, "key long, node long, pivot long"), "pivot-links")
+    best = met.groupBy("key", "pivot").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
+    return met.join(best, ["key", "pivot"])
+
+
 def block_links(long: DataFrame, chosen: DataFrame) -> DataFrame:
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = long.join(chosen, "node").withColumn("other", other)
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "sig", "shingles")
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare_blocks, "a long, b long")
+    """Links (a, b) within the lists. Of lists of several blocks, classes that link with the best pivot are dealt into blocks below 0, the others into
+    blocks from 0 on, and blocks below 0 are not compared with each other."""
+    many = long.filter("blocks > 1")
+    core = stage(pivot_links(many, chosen), "cores")
+    split = many.select("key", "node").join(core.select("key", "node", F.lit(True).alias("core")), ["key", "node"], "left")
+    inside = F.coalesce("core", F.lit(False))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = split.groupBy("key").agg(blocks(F.count("core")).alias("cores"), blocks(F.count("*") - F.count("core")).alias("others")).filter("others > 0")
+    dealt = lambda n: F.pmod(F.xxhash64("node", F.lit("split")), n).cast("int")
+    rest = split.join(sizes, "key").select(
+        "key", "node", F.when(inside, -1 - dealt(F.col("cores"))).otherwise(dealt(F.col("others"))).alias("block"),
+        F.sequence(F.when(inside, 0).otherwise(-F.col("cores")), F.col("others") - 1).alias("partners"))
+    whole = long.filter("blocks = 1").select("key", "node", "block", F.array(F.lit(0)).alias("partners"))
+    met = whole.unionByName(rest).join(chosen, "node").withColumn("other", F.explode("partners"))
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "sig", "shingles")
+    joined = core.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    return met.groupBy("key", "i", "j").applyInPandas(compare_blocks, "a long, b long").unionByName(joined)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -379,7 +379,7 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("short, block", [(24, 1024), (4, 30)])
+@pytest.mark.parametrize("short, block", [(24, 1024), (4, 30), (4, 7)])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, short, block):
     monkeypatch.setattr(neardup, "SHORT_LIST", short)
     monkeypatch.setattr(neardup, "BLOCK", block)
@@ -388,6 +388,31 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, short, block):
     assert got == brute_components(rows)
 
 
+def test_long_lists_move_in_step_with_their_size(spark, monkeypatch):
+    """Near copies of one text: rows that meet in blocks double when the group does."""
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    moved = []
+    run = neardup.compare_blocks, neardup.compare_pivots
+    for size in (400, 800):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counting(f, seen=seen):
+            def call(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+                seen.add(len(pdf))
+                return f(key, pdf)
+            return call
+        monkeypatch.setattr(neardup, "compare_blocks", counting(run[0]))
+        monkeypatch.setattr(neardup, "compare_pivots", counting(run[1]))
+        base = [f"w{k}" for k in range(300)]
+        rows = [(i, " ".join(base[:150] + [f"x{i}"] + base[150:]), "s") for i in range(size)]
+        rows += [(5000 + i, " ".join(base[:150] + [f"y{i}{k}" for k in range(90)] + base[150:]), "s") for i in range(3)]
+        found = neardup.near_duplicates(docs(spark, rows)).collect()
+        assert {r["component_id"] for r in found if r["doc_id"] < 5000} == {0}
+        assert all(r["component_id"] == r["doc_id"] for r in found if r["doc_id"] >= 5000)
+        moved.append(seen.value)
+    assert 0 < moved[1] < 2.6 * moved[0], moved
+
+
 def test_near_duplicates_odd_rows(spark):
     df = docs(spark, odd())
     got = collected(neardup.near_duplicates(df))
