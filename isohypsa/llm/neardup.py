@@ -34,6 +34,8 @@ PREFIX = COORDINATES - MATCHES + 1
 SHORT_LIST, BLOCK = 24, 1024
 #: Classes of a list of several blocks that all of its classes are compared with first.
 PIVOTS = 8
+#: Parts into which the rows of a long list are dealt where its key alone would bring them to one task.
+SALTS = 32
 SET = "n_shingles long, set1 long, set2 long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -141,7 +143,7 @@ def compare_pivots(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     sets = [np.asarray(x).view(np.uint64) for x in pdf["shingles"]]
     i, j = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
     x, y = np.nonzero(linked((sig[i], sig[j]), ([sets[k] for k in i], [sets[k] for k in j])))
-    return pd.DataFrame({"key": key[0], "node": node[i[x]], "pivot": node[j[y]]})
+    return pd.DataFrame({"key": key[0], "block": key[1], "node": node[i[x]], "pivot": node[j[y]]})
 
 
 def compare_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,7 +194,8 @@ def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
     pairs = short.alias("x").join(short.alias("y"), "key").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     sig = lambda name, to: classes.select(F.col("node").alias(name), F.col("sig").alias(to))
     matched = stage(pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").filter(collisions("sa", "sb") >= MATCHES).select("a", "b"), "matches")
-    long = post.join(alike.filter(F.col("size") > SHORT_LIST).select("key", "size"), "key")
+    salted = alike.filter(F.col("size") > SHORT_LIST).select("key", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    long = post.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     long = stage(long.select("key", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int").alias("block")), "long-lists")
     wanted = matched.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
@@ -226,15 +229,21 @@ def confirmed(matched: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def pivot_links(many: DataFrame, chosen: DataFrame) -> DataFrame:
-    """key, node, pivot: the classes of each list that link with the best of its pivots, itself included. The best is the one with most links."""
+    """key, block, node, pivot: the classes of each list that link with the best of its pivots, itself included. The best is the one with most links."""
     part = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(PIVOTS))
     pivots = many.groupBy("key", part.alias("part")).agg(F.min("node").alias("node"), F.max("blocks").alias("blocks"))
     pivots = pivots.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", F.lit(True).alias("is_pivot"))
     members = many.select("key", "block", "node", F.lit(False).alias("is_pivot"))
     met = members.unionByName(pivots).join(chosen, "node").groupBy("key", "block")
-    met = stage(met.applyInPandas(compare_pivots, "key long, node long, pivot long"), "pivot-links")
-    best = met.groupBy("key", "pivot").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-    return met.join(best, ["key", "pivot"])
+    met = stage(met.applyInPandas(compare_pivots, "key long, block int, node long, pivot long"), "pivot-links")
+    best = met.groupBy("key", "pivot").agg(F.count("*").alias("n"), F.max("block").alias("last")).groupBy("key").agg(
+        F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"), F.max("last").alias("last"))
+    return met.join(in_blocks(best, "last"), ["key", "block", "pivot"])
+
+
+def in_blocks(lists: DataFrame, last: str) -> DataFrame:
+    """A row per block of every list, so that rows of a list are met block by block and not in one task."""
+    return lists.withColumn("block", F.explode(F.sequence(F.lit(0), last))).drop(last)
 
 
 def block_links(long: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -242,12 +251,12 @@ def block_links(long: DataFrame, chosen: DataFrame) -> DataFrame:
     blocks from 0 on, and blocks below 0 are not compared with each other."""
     many = long.filter("blocks > 1")
     core = stage(pivot_links(many, chosen), "cores")
-    split = many.select("key", "node").join(core.select("key", "node", F.lit(True).alias("core")), ["key", "node"], "left")
+    split = many.select("key", "block", "node").join(core.select("key", "node", F.lit(True).alias("core")), ["key", "node"], "left")
     inside = F.coalesce("core", F.lit(False))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = split.groupBy("key").agg(blocks(F.count("core")).alias("cores"), blocks(F.count("*") - F.count("core")).alias("others")).filter("others > 0")
+    sizes = split.groupBy("key").agg(blocks(F.count("core")).alias("cores"), blocks(F.count("*") - F.count("core")).alias("others"), F.max("block").alias("last"))
     dealt = lambda n: F.pmod(F.xxhash64("node", F.lit("split")), n).cast("int")
-    rest = split.join(sizes, "key").select(
+    rest = split.join(in_blocks(sizes.filter("others > 0"), "last"), ["key", "block"]).select(
         "key", "node", F.when(inside, -1 - dealt(F.col("cores"))).otherwise(dealt(F.col("others"))).alias("block"),
         F.sequence(F.when(inside, 0).otherwise(-F.col("cores")), F.col("others") - 1).alias("partners"))
     whole = long.filter("blocks = 1").select("key", "node", "block", F.array(F.lit(0)).alias("partners"))
