@@ -268,13 +268,30 @@ def test_vectors_in_blocks(spark, monkeypatch):
     x = np.random.default_rng(6).standard_normal((300, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     one = vectors.nearest(df, F.col("vec_id") % 10 == 0, sigmas=99.0).toPandas()
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(vectors, "ROW_BLOCK", 40)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 15)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 80)
+    monkeypatch.setattr(vectors, "PACK", 7)
     two = vectors.nearest(df, F.col("vec_id") % 10 == 0, sigmas=99.0).toPandas()
     key = ["query_id", "rank", "vec_id"]
     pd.testing.assert_frame_equal(one.sort_values(key)[key].reset_index(drop=True), two.sort_values(key)[key].reset_index(drop=True))
 
 
+@pytest.mark.parametrize("kind, width", [("float", 4), ("double", 8)])
+def test_vectors_travel_in_packs(spark, kind, width):
+    x = np.random.default_rng(8).standard_normal((500, 40)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").coalesce(1)
+    dtype = f"<f{width}"
+    packs = vectors.usable(df).mapInPandas(vectors.pack(200, dtype), vectors.PACKED).toPandas()
+    assert packs["ids"].map(len).tolist() == [1600, 1600, 800]
+    moved = sum(packs[c].map(len).sum() for c in ("ids", "vectors", "codes", "scalars"))
+    assert moved == 500 * (8 + 40 * width + 8 + 8)
+    ids, back, codes, scalar = vectors.unpack(packs.iloc[::-1], dtype)
+    assert ids.tolist() == list(range(500)) and (back == x).all()
+    unit = x / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None]
+    want, cosine = vectors.encode(unit.astype(np.float64), vectors.rotation(40))
+    assert (codes == want).mean() > 0.99 and np.allclose(scalar, cosine)
+
+
 # 7: pieces
 
 @pytest.fixture(scope="module")
