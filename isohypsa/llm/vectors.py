@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 #: Rows of a block of queries, of a block of candidates and of a pack, about.
-QUERY_BLOCK, ROW_BLOCK, PACK = 16384, 4096, 1024
+QUERY_BLOCK, ROW_BLOCK, PACK = 16384, 8192, 1024
 #: Width of the error bound in standard deviations, and bits of a query's components.
 SIGMAS, PLANES = 3.0, 6
 #: Partitions over which groups are dealt at most.
@@ -48,18 +48,23 @@ def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(bits).view(np.uint64), np.abs(y).sum(1) / np.sqrt(y.shape[1])
 
 
-def estimate(unit: np.ndarray, turn: np.ndarray, codes: np.ndarray, scalar: np.ndarray) -> tuple[np.ndarray, float]:
+def ones_of(words: np.ndarray) -> np.ndarray:
+    """Set bits of each column of words (words of a code x rows)."""
+    return np.bitwise_count(words).sum(0, dtype=np.int32)
+
+
+def estimate(unit: np.ndarray, turn: np.ndarray, words: np.ndarray, ones: np.ndarray, scalar: np.ndarray) -> tuple[np.ndarray, float]:
     """Estimated inner products of one unit query with all coded rows, and how much the rounding of the query may add."""
     y = unit @ turn
     low, step = y.min(), max((y.max() - y.min()) / ((1 << PLANES) - 1), 1e-30)
     level = np.rint((y - low) / step).astype(np.int64)
-    ones, common = np.bitwise_count(codes).sum(1, dtype=np.int64), np.zeros(len(codes), np.int64)
+    common = np.zeros(words.shape[1], np.int32)
     for b in range(PLANES):
         plane = np.packbits((level >> b & 1).astype(bool))
         plane = np.pad(plane, (0, -len(plane) % 8)).view(np.uint64)
-        common += np.bitwise_count(codes & plane).sum(1, dtype=np.int64) << b
+        common += ones_of(words & plane[:, None]) << b
     d = len(y)
-    product = (step * (2 * common - level.sum()) + low * (2 * ones - d)) / np.sqrt(d)
+    product = (2 * step * common + 2 * low * ones - (step * level.sum() + low * d)) / np.sqrt(d)
     return product / scalar, step / 2 * np.sqrt(d)
 
 
@@ -98,12 +103,13 @@ def search_block(k: int, sigmas: float, dtype: str):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         ids, x, codes, scalar = unpack(rows, dtype)
         norms = np.sqrt((x * x).sum(1))
-        turn = rotation(x.shape[1])
+        turn, words = rotation(x.shape[1]), np.ascontiguousarray(codes.T)
+        ones = ones_of(words)
         spread = sigmas * np.sqrt(np.maximum(1 - scalar**2, 0) / (scalar**2 * max(x.shape[1] - 1, 1)))
         out = []
         for qid, q in zip(*unpack(queries, dtype)[:2]):
             norm = np.sqrt((q * q).sum())
-            guess, blur = estimate(q / norm, turn, codes, scalar)
+            guess, blur = estimate(q / norm, turn, words, ones, scalar)
             other = ids != qid
             guess[~other] = -np.inf
             first = np.argpartition(-guess, min(4 * k, len(guess)) - 1)[:4 * k]
@@ -112,8 +118,9 @@ def search_block(k: int, sigmas: float, dtype: str):
                 continue
             known = np.sort(exact(x[first], norms[first], q, norm))[::-1]
             floor = known[k - 1] if len(known) >= k else -np.inf
-            rest = np.flatnonzero(other & (guess + spread + blur / scalar >= floor))
-            rest = np.union1d(rest, first)
+            near = other & (guess + spread + blur / scalar >= floor)
+            near[first] = True
+            rest = np.flatnonzero(near)
             score = exact(x[rest], norms[rest], q, norm)
             best = np.lexsort((ids[rest], -score))[:k]
             out += zip([int(qid)] * len(best), ids[rest][best].tolist(), score[best].tolist())
