@@ -104,6 +104,13 @@ class Encoder:
         """The map changes nothing but white space."""
         return not self.map.units and not self.model.trim and self.model.escape
 
+    def prefix(self, data: bytes, at: int) -> tuple[int, bytes]:
+        """Bytes of the longest prefix of data[at:] that the map knows, or else of one character, and what stands for them."""
+        if found := self.map.longest(data, at):
+            return found
+        one = re.match(rb"(?s).[\x80-\xbf]*", data[at:at + 4])[0]
+        return len(one), one
+
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the byte of the text where its source begins."""
         if self.plain and SPACE not in text:
@@ -114,28 +121,29 @@ class Encoder:
             return out, np.concatenate([np.array(lead, np.int64), np.repeat(np.arange(len(data)), width), [len(data)]])
         data, at, sources, blank = text.encode(), 0, [], self.model.trim
         out = bytearray()
+        mark = SPACE.encode() if self.model.escape else b" "
+        while blank and at < len(data) and (found := self.prefix(data, at))[1] == b" ":
+            at += found[0]
+        if at == len(data):
+            return "", np.zeros(1, np.int64)
+        if self.model.dummy_prefix:  # before the first place that is no blank, even if the map deletes it
+            out += mark
+            sources += [at] * len(out)
         while at < len(data):
-            n, new = self.map.longest(data, at) or (0, b"")
-            if not n:
-                n = len(re.match(rb"(?s).[\x80-\xbf]*", data[at:at + 4])[0])
-                new = data[at:at + n]
+            n, new = self.prefix(data, at)
             if blank and self.model.trim:
                 new = new.lstrip(b" ")
             if new:
-                if not out and self.model.dummy_prefix:
-                    out += SPACE.encode() if self.model.escape else b" "
-                    sources += [at] * len(out)
                 blank = new.endswith(b" ")
-                new = new.replace(b" ", SPACE.encode()) if self.model.escape else new
+                new = new.replace(b" ", mark)
                 out += new
                 same = new.replace(SPACE.encode(), b" ") == data[at:at + n] or new == data[at:at + n]
                 sources += [at + min(k, n - 1) if same and len(new) == n else at for k in range(len(new))]
             at += n
         end = len(data)
-        tail = SPACE.encode() if self.model.escape else b" "
-        while self.model.trim and out.endswith(tail):
-            end = sources[len(out) - len(tail)]
-            del out[-len(tail):], sources[len(out):]
+        while self.model.trim and out.endswith(mark):
+            end = sources[len(out) - len(mark)]
+            del out[-len(mark):], sources[len(out):]
         return out.decode(), np.array([*sources, end], np.int64)
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
