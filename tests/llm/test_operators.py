@@ -49,6 +49,36 @@ def test_mix_totals_caps_and_reruns(spark):
     assert (abs(by["taken"] - by["target"]) <= 0.03 * by["target"] + 3).all()
 
 
+def water_filled(sizes):
+    """Targets by the contract: shares by weight, at most three times a source's size, the excess shared again."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight, left, out = {s: 1.0 + i % 3 for i, s in enumerate(order)}, float(sum(sizes.values())), {}
+    while True:
+        total = sum(w for s, w in weight.items() if s not in out)
+        full = [s for s in order if s not in out and 3 * sizes[s] <= left * weight[s] / total]
+        if not full:
+            return out | {s: left * weight[s] / total for s in order if s not in out}
+        for s in full:
+            out[s] = 3.0 * sizes[s]
+        left = sum(sizes.values()) - sum(out.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_targets_against_plain_water_filling(spark, seed):
+    rng = random.Random(seed)
+    names = [None, "", "Z", "a", "\u00e9", "\uffee", "\U0001f600", "b", "ab"][:9 if seed < 3 else 5]
+    rows = [(k, "w " * rng.choice([0, 1, 2, 30]), s) for k, s in enumerate(rng.choices(names, [1, 2, 4, 8, 16, 32, 64, 128, 1][:len(names)], k=600))]
+    rows += [(1000, "", "no words"), (1001, "one", "one word")]
+    sizes = {s: sum(len(SPACE.findall(t)) for _, t, o in rows if o == s) for _, _, s in rows}
+    got = collected(mixing.mix(docs(spark, rows)))
+    want = water_filled(sizes)
+    assert any(want[s] == 3 * sizes[s] > 0 for s in sizes) and sum(want.values()) == pytest.approx(sum(sizes.values()))
+    for r in got.itertuples():
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source], abs=1e-9) and 0 <= r.copies <= 3
+    taken = {s: sum(r.copies * r.size * r.rows for r in got.itertuples() if r.source == s) for s in sizes}
+    assert all(abs(taken[s] - want[s]) <= 30 for s in sizes)  # no more than the longest text
+
+
 def test_mix_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 40)
     a = mixing.mix(docs(spark, [(i, "w " * (1 + i % 90), "ab"[i % 2]) for i in range(900)])).toPandas()
@@ -359,6 +389,46 @@ def test_longest_prefix_and_alignment(model):
     assert text == "▁x▁yzé" and source.tolist() == [2, 2, 2, 2, 3, 3, 3, 5, 5, 7, 8, 9]
 
 
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("trim, prefix, escape", [(True, True, True), (False, True, True), (True, False, False), (False, False, True)])
+def test_normaliser_and_offsets_match_the_library(model, rule, trim, prefix, escape):
+    """A compiled map of real size: the library's own rules, held against its normaliser and its offsets."""
+    import dataclasses
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    lib = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=prefix, escape_whitespaces=escape, remove_extra_whitespaces=trim)
+    proto = pb.ModelProto()
+    proto.ParseFromString(lib.serialized_model_proto())
+    blob = proto.normalizer_spec.precompiled_charsmap
+    assert len(blob) > 100_000
+    enc = pieces.Encoder(dataclasses.replace(model, charmap=blob, trim=trim, dummy_prefix=prefix, escape=escape))
+    rng = random.Random(14)
+    parts = [" ", "  ", "\t", "\n", "\u3000", "\u00a0", "\u200b", "\u00ad", "\ufb01", "\u00bd", "\u338f", "\uff21", "e\u0301", "\u00e9\u0323", "\u1112\u1161\u11ab", "\ufdfa", "\uff76\uff9e", "\u2460",
+             "\U0001d400", "\U0001f600", "\u2581", "a", "Z", "stra\u00dfe", "\u212a", "x\u0308\u0301", "\u0344", "\ufeff", "\x00", "\x7f"]
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        normal, source = enc.normalise(text)
+        want, offsets = lib.normalize(text, with_offsets=True)
+        assert normal == want, text
+        begins = np.cumsum([0, *(len(c.encode()) for c in normal)])
+        places = {b: i for i, b in enumerate(np.cumsum([0, *(len(c.encode()) for c in text)]).tolist())}
+        assert [places[int(source[b])] for b in begins] == list(offsets), text
+
+
+def test_plain_road_is_the_map_road(model):
+    """The shortcut for a model without a map against the walk that other texts take."""
+    walk = pieces.Encoder(model)
+    assert walk.plain
+    walk.__dict__["plain"] = False
+    rng, short = random.Random(15), pieces.Encoder(model)
+    for _ in range(500):
+        text = "".join(rng.choice("ab  \n\u00e9\u6f22\U0001f600\u2581\0") for _ in range(rng.randrange(30)))
+        (a, at), (b, bt) = short.normalise(text), walk.normalise(text)
+        assert a == b and at.tolist() == bt.tolist()
+
+
 # 8: near duplicates
 
 def brute_components(rows, n=5):
@@ -635,3 +705,73 @@ def test_pipeline_stages_keep_the_columns_of_documents(spark, tmp_path):
     empty = spark.read.parquet(f"{src}/documents.parquet").limit(0)
     for _, apply in corpus_pipeline.STAGES:
         assert apply(spark, empty, src).count() == 0
+
+
+def brute_lines(rows):
+    """doc_id to the text without lines that stand on five sources or more, but for their first place; without texts that this empties."""
+    from isohypsa.llm.common import SPACES
+
+    at = {}
+    for i, t, s in rows:
+        for no, line in enumerate((t or "").split("\n")):
+            if len(line.strip(SPACES)) >= 20:
+                at.setdefault(line.strip(SPACES), []).append((i, no, s or ""))
+    away = {p[:2] for places in at.values() if len({s for _, _, s in places}) >= 5 for p in sorted(places)[1:]}
+    out = {}
+    for i, t, _ in rows:
+        left = None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in away)
+        if left == t or left.strip(SPACES):
+            out[i] = left
+    return out
+
+
+def test_pipeline_against_plain_python(spark):
+    """Each stage on what the one before kept; what the first one keeps is what scores under 0.5. Made rows join after it, as its model has seen nothing like them."""
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    from isohypsa.staging import stage
+
+    src, rng = "/root/testdata/sf0.001", random.Random(21)
+    given = spark.read.parquet(f"{src}/documents.parquet").dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL")
+    common = [f"Line number {k} that many of these sites have in common" for k in range(6)]
+    base = [f"word{rng.randrange(900)}" for _ in range(90)]
+    extra = []
+    for i in range(120):
+        w = list(base) if i % 3 else [f"other{rng.randrange(900)}" for _ in range(90)]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        at = rng.randrange(1, 89)
+        extra.append((100_000 + i, "\n".join([" ".join(w[:at]), *rng.sample(common, rng.randrange(3)), " ".join(w[at:])]) if i % 11 else common[i % 6], f"site{rng.randrange(9)}"))
+    more = spark.createDataFrame(extra, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.char_length("text"))
+    docs, more = stage(given, "t"), more.select(*[F.col(f.name).cast(f.dataType) for f in given.schema])
+    steps = dict(corpus_pipeline.STAGES)
+    rows = lambda df: [(r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").orderBy("doc_id").collect()]
+    clean = stage(steps["toxicity"](spark, docs, src), "t")
+    model = toxicity.train(docs, spark.read.parquet(f"{src}/labels.parquet"))
+    scored = docs.select("doc_id", toxicity.score(F.col("text"), model).alias("score")).collect()
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in scored if r.score < 0.5}
+    clean = stage(clean.unionByName(more), "t")
+    lined = stage(steps["line_dedup"](spark, clean, src), "t")
+    want = brute_lines(rows(clean))
+    assert {i: t for i, t, _ in rows(lined)} == want and len(want) < clean.count() and any(want[i] != t for i, t, _ in rows(clean) if i in want)
+    single = stage(steps["near_duplicates"](spark, lined, src), "t")
+    groups = brute_components(rows(lined))
+    assert rows(single) == [r for r in rows(lined) if groups[r[0]][1] == r[0]] and single.count() < lined.count() - 40
+    mixed = stage(steps["mixing"](spark, single, src), "t")
+    size = {i: len(SPACE.findall(t or "")) for i, t, _ in rows(single)}
+    by = {}
+    for i, _, s in rows(single):
+        by.setdefault(s, []).append(i)
+    total = {s: sum(size[i] for i in ids) for s, ids in by.items()}
+    goal, taken = water_filled(total), {i: 0 for i in size}
+    for i, _, _ in rows(mixed):
+        taken[i] += 1
+    assert set(rows(mixed)) <= set(rows(single)) and max(taken.values()) <= 3
+    for s, ids in by.items():
+        assert abs(sum(taken[i] * size[i] for i in ids) - goal[s]) <= max(size[i] for i in ids)
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = sorted((r.doc_id, r.n_tokens, list(r.ids)) for r in steps["sentencepiece"](spark, mixed, src).collect())
+    ids = {i: lib.encode(t or "", add_bos=True, add_eos=True) for i, t, _ in rows(mixed)}
+    assert got == sorted((i, len(ids[i]), ids[i]) for i, _, _ in rows(mixed))
