@@ -9,8 +9,8 @@ full, so the result differs from brute force only where a bound fails.
 Vectors are coded once, where they are read, and travel in packs: a row of bytes for up to PACK vectors, with codes and scalars, in the
 width they are stored in. Packs of queries and of candidates are dealt into blocks and every pair of blocks is one group: the work is queries
 times candidates, as asked, but nothing is sent to all tasks and no pair is a row. A pack of candidates moves once per QUERY_BLOCK queries. A block returns its
-k best per query. Pairs chosen by codes alone are not sent to a second step that fetches their vectors: where vectors have no structure a bound of three deviations leaves
-a seventh of all pairs at 64 dimensions, as rows many times the bytes of the packs.
+k best per query. Pairs chosen by codes alone are not sent to a second step that fetches their vectors: where vectors have little structure a bound of three deviations leaves
+more than a fifth of all pairs at 64 dimensions, as rows many times the bytes of the packs.
 """
 
 from __future__ import annotations
