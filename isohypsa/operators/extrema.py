@@ -2,22 +2,28 @@
 
 The sampling geometry depends on the latitude of a cell only: a coarse row has one destination
 latitude and one change of longitude per bearing, whatever the instant and the column. So the
-stencil that goes to all tasks has rows x bearings entries on any grid, and ``votes_from_slices``
-probes each slice by array index; per-sample rows never leave the generated code.
+positions and weights of all samples are worked out once for a grid, and ``votes_from_slices``
+reads each slice by them; samples never become rows.
 ``votes_by_join`` is the same vote by equi-joins, kept as its independent twin.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from isohypsa.functions.clock import clock
 from isohypsa.functions.geo import (
     height, interpolate, lat_of, lon_of, turned_lon, with_bilinear_weights, with_destination, with_turn,
 )
-from isohypsa.params import GridSpec
-from isohypsa.sources.grid import to_slices
+from isohypsa.params import GRAVITY, GridSpec
+from isohypsa.sources.grid import shuffled, to_slices
 
 
 def bearing_set(spark: SparkSession, spec: GridSpec) -> DataFrame:
@@ -95,8 +101,63 @@ def row_stencil(spark: SparkSession, spec: GridSpec) -> DataFrame:
     return with_turn(each, "lat", F.lit(float(spec.dist_km)), F.col("bearing")).select("x", "dest_lat", "turn")
 
 
+def lattice_stencil(spark: SparkSession, spec: GridSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the lower-left node in a slice (n_cells where a node is off the grid) and the four weights of every sample, by coarse cell and bearing.
+    Bounded by the grid: the same numbers for every instant, so they are worked out once."""
+    at = F.when(F.col("i_lo").isNotNull(), F.col("i_lo") * spec.nlon + F.col("j_lo")).otherwise(F.lit(-1)).cast("int").alias("at")
+    told = stencil(spark, spec).select("cell", "k", at, *[F.coalesce(w, F.lit(0.0)).cast("float").alias(w) for w in ("w11", "w12", "w21", "w22")]).toArrow()
+    order = np.lexsort((told["k"].to_numpy(), told["cell"].to_numpy()))
+    at = told["at"].to_numpy()[order].reshape(spec.n_coarse, spec.n_bearings)
+    return at, np.stack([told[w].to_numpy()[order].reshape(spec.n_coarse, spec.n_bearings) for w in ("w11", "w12", "w21", "w22")])
+
+
+def _vote_kernel(at: np.ndarray, weights: np.ndarray, spec: GridSpec, schema: pa.Schema):
+    """Votes of batches of slices. The samples of one instant are one gather of the four nodes and stay in its arrays."""
+    own_at = (np.arange(spec.size_x)[:, None] * (spec.step * spec.nlon) + np.arange(spec.size_y) * spec.step).ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = at >= 0
+        nodes = [np.where(found, at + by, spec.n_cells) for by in (0, 1, -spec.nlon, 1 - spec.nlon)]  # beyond the last cell lies a blank
+        w = weights.astype("float64")
+        x, y = np.divmod(np.arange(spec.n_coarse, dtype="int32"), np.int32(spec.size_y))
+        metres = (lambda v: v) if spec.scale is None else (lambda v: (v * spec.scale + spec.offset) / GRAVITY)
+        for batch in batches:
+            for time, vals in zip(batch.column(0), batch.column(1)):
+                read = np.full(spec.n_cells + 1, np.nan)
+                if vals.is_valid:
+                    cells = vals.values.to_numpy(zero_copy_only=False).astype("float64")[:spec.n_cells]
+                    read[:len(cells)] = cells
+                total = w[0] * read[nodes[0]]
+                for wi, at_i in zip(w[1:], nodes[1:]):
+                    total += wi * read[at_i]
+                sample = np.where(total >= 0, np.floor(total + 0.5), np.ceil(total - 0.5))
+                own = read[own_at]
+                gone = np.isnan(sample) | (sample == -1) if spec.compat and spec.scale is not None else np.isnan(sample)
+                hs, ho = metres(sample), metres(own)[:, None]
+                n_ge, n_le = (gone | (ho >= hs)).sum(1), (~gone & (ho <= hs)).sum(1)
+                here = np.flatnonzero(~np.isnan(own))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([time.as_py()] * len(here), schema.field(0).type), pa.array(x[here]), pa.array(y[here]), pa.array(own[here]).cast(schema.field(3).type),
+                    pa.array(n_ge[here].astype("int32")), pa.array(n_le[here].astype("int32"))], schema=schema)
+
+    return run
+
+
 def votes_from_slices(slices: DataFrame, spec: GridSpec, measured: bool = False) -> DataFrame:
-    """Per coarse cell the number of samples not above (n_ge) and not below (n_le) it.
+    """Per coarse cell the number of samples not above (n_ge) and not below (n_le) it, from slices with one row per instant.
+
+    Every slice of integers is read by the same positions and weighed by the same weights, in array arithmetic; only votes leave the task."""
+    kind = slices.schema["vals"].dataType.elementType
+    if measured or not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+        return votes_by_row(slices, spec, measured)
+    out = T.StructType([slices.schema["time"], T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("raw", kind),
+                        T.StructField("n_ge", T.IntegerType()), T.StructField("n_le", T.IntegerType())])
+    run = _vote_kernel(*lattice_stencil(slices.sparkSession, spec), spec, to_arrow_schema(out))
+    return slices.select("time", "vals").mapInArrow(run, out)
+
+
+def votes_by_row(slices: DataFrame, spec: GridSpec, measured: bool = False) -> DataFrame:
+    """The same votes as columns, for values that are no integers and for measured runs.
 
     A slice meets the stencil of each coarse row once, and the columns of the row are an explode of a
     sequence; join, explode, array reads and partial aggregation are one code-generated stage, so
@@ -113,14 +174,12 @@ def votes_from_slices(slices: DataFrame, spec: GridSpec, measured: bool = False)
         columns = F.when(F.col("x") < spec.size_x, columns).otherwise(F.array(F.lit(-1)))
     each = rows.join(F.broadcast(samples), "x", "left" if measured else "inner").select("*", F.explode(columns).alias("y"))
     each = each.withColumn("lon", lon_of(F.col("y") * spec.step, spec).cast("float")).withColumn("dest_lon", turned_lon("lon", "turn"))
-    at = F.col("i_lo") * spec.nlon + F.col("j_lo")
-    corners = [at, at + 1, at - spec.nlon, at - spec.nlon + 1]
     own_at = F.col("x") * (spec.step * spec.nlon) + F.col("y") * spec.step
     probe = with_bilinear_weights(each, spec).select(
         "time", "x", "y", *(["clock"] if measured else []), (F.when(F.col("y") >= 0, F.get("vals", own_at)) if measured else F.get("vals", own_at)).alias("raw"),
         interpolate(
             [F.col("w11"), F.col("w12"), F.col("w21"), F.col("w22")],
-            [F.get("vals", c) for c in corners],
+            corners("vals", spec),
         ).alias("sample"),
     )
     votes = probe.groupBy("time", "x", "y").agg(
@@ -132,34 +191,33 @@ def votes_from_slices(slices: DataFrame, spec: GridSpec, measured: bool = False)
 def gather4(samples: DataFrame, field: DataFrame, value: str = "h") -> DataFrame:
     """The four corner values of each sample by equi-joins on (i, j); NULL when absent.
 
-    ``samples`` carries ``i_lo, j_lo`` and, when it is per instant, ``time``."""
+    ``samples`` carries ``i_lo, j_lo`` and, when it is per instant, ``time``. The field is never sent to all tasks, whatever its estimate."""
     keys = ["time"] if "time" in samples.columns else []
     out = samples
     for name, di, dj in (("z11", 0, 0), ("z12", 0, 1), ("z21", -1, 0), ("z22", -1, 1)):
         node = field.select(
             *keys, (F.col("i") - di).alias("i_lo"), (F.col("j") - dj).alias("j_lo"), F.col(value).alias(name),
         )
-        out = out.join(node, [*keys, "i_lo", "j_lo"], "left")
+        # the samples are hashed and the field streams by: it is neither gathered nor sorted
+        out = out.hint("shuffle_hash").join(node, [*keys, "i_lo", "j_lo"], "left")
     return out
 
 
-def corner_table(field: DataFrame, value: str = "h") -> DataFrame:
-    """time, i_lo, j_lo and the four corner values; a row for each cell that is a corner of any."""
-    cells = field.select("time", F.col("i").alias("i_lo"), F.col("j").alias("j_lo"), F.col(value).alias("v"))
-    each = cells.select("time", F.explode(F.array(*[
-        F.struct((F.col("i_lo") + di).alias("i_lo"), (F.col("j_lo") - dj).alias("j_lo"), F.lit(n).alias("n"), F.col("v").alias("v"))
-        for n, di, dj in (("z11", 0, 0), ("z12", 0, 1), ("z21", 1, 0), ("z22", 1, 1))])).alias("c")).select("time", "c.*")
-    return each.groupBy("time", "i_lo", "j_lo").agg(*[F.max(F.when(F.col("n") == n, F.col("v"))).alias(n) for n in ("z11", "z12", "z21", "z22")])
+def corners(vals: str, spec: GridSpec) -> list[Column]:
+    """The four corner values of a sample (``i_lo``, ``j_lo``) from the slice beside it; NULL when absent."""
+    at = F.col("i_lo") * spec.nlon + F.col("j_lo")
+    return [F.get(vals, c) for c in (at, at + 1, at - spec.nlon, at - spec.nlon + 1)]
 
 
 def samples_by_join(field: DataFrame, spec: GridSpec, value: str = "h", stored: DataFrame | None = None) -> DataFrame:
-    """time, x, y, raw (the cell's own value), k and sample for every coarse cell and bearing of a field: the stencil, a stored one or one made
-    for the occasion, meets the four corners of every cell, which are put side by side once."""
+    """time, x, y, raw (the cell's own value), k and sample for every coarse cell and bearing of a field: the cells meet the slice of their instant,
+    then the stencil, a stored one or one made for the occasion, which is bounded by the grid. What moves is a row per cell; the 64 samples of a cell
+    read their corners where they are made and are never shuffled."""
     own = clip_and_coarsen(field, spec).select("time", "x", "y", F.col(value).alias("raw"))
     points = stencil(field.sparkSession, spec) if stored is None else stored
-    samples = own.join(points.select("x", "y", "k", "i_lo", "j_lo", "w11", "w12", "w21", "w22"), ["x", "y"])
-    met = samples.join(corner_table(field, value), ["time", "i_lo", "j_lo"], "left")
-    return met.select("time", "x", "y", "raw", "k", interpolate([F.col(f"w{n}") for n in (11, 12, 21, 22)], [F.col(f"z{n}") for n in (11, 12, 21, 22)]).alias("sample"))
+    met = own.join(shuffled(to_slices(field, spec, value)), "time", "left")
+    samples = met.join(F.broadcast(points.select("x", "y", "k", "i_lo", "j_lo", "w11", "w12", "w21", "w22")), ["x", "y"])
+    return samples.select("time", "x", "y", "raw", "k", interpolate([F.col(f"w{n}") for n in (11, 12, 21, 22)], corners("vals", spec)).alias("sample"))
 
 
 def votes_by_join(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:

@@ -11,10 +11,15 @@ without moving them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from isohypsa.functions.geo import pack_int16
 from isohypsa.params import GridSpec
@@ -144,6 +149,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shuffled(cells: DataFrame) -> DataFrame:
+    """A side of a join that must not be broadcast. Cells are unfolded from few small rows (instants, slices), so the planner, also the
+    adaptive one, takes a whole field for a few kB and would gather it on the driver."""
+    return cells.hint("merge")
+
+
 def rejected_cells(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
     """What ``to_slices`` leaves out, as rows with a reason: cells beyond the grid, and values beside the
     smallest one of their cell."""
@@ -157,7 +168,7 @@ def to_slices(field: DataFrame, spec: GridSpec, value: str = "h", partitions: in
     """Long field -> one dense array per instant.
 
     The field is shuffled once, by ``time``, into ``partitions`` (the session's number unless stated; take
-    a few dozen instants per partition): cells are made unique, assembled per latitude and stacked where they
+    a few dozen instants per partition): cells are made unique, gathered per instant and laid out where they
     are, so a group never exceeds the grid. ``rejected_cells`` lists what is left out.
     """
     uniq = (
@@ -165,29 +176,25 @@ def to_slices(field: DataFrame, spec: GridSpec, value: str = "h", partitions: in
         .repartition(partitions or shuffle_width(field.sparkSession), "time")
         .groupBy("time", "i", "j").agg(F.min(F.col(value)).alias("v"))
     )
-    rows = uniq.groupBy("time", "i").agg(
-        F.sort_array(F.collect_list(F.struct("j", "v"))).alias("cells")
-    )
-    gaps = F.transform(
-        F.sequence(F.lit(0), F.lit(spec.nlon - 1)),
-        lambda j: F.get(F.col("cells.v"), F.array_position(F.col("cells.j"), j).cast("int") - 1),
-    )
-    rows = rows.select(
-        "time", "i",
-        F.when(F.size("cells") == spec.nlon, F.col("cells.v")).otherwise(gaps).alias("vals"),
-    )
-    stacked = rows.groupBy("time").agg(F.sort_array(F.collect_list(F.struct("i", "vals"))).alias("rows"))
-    blank = F.array_repeat(F.lit(None).cast("int"), spec.nlon)
-    holes = F.transform(
-        F.sequence(F.lit(0), F.lit(spec.nlat - 1)),
-        lambda i: F.coalesce(
-            F.get(F.col("rows.vals"), F.array_position(F.col("rows.i"), i).cast("int") - 1), blank,
-        ),
-    )
-    return stacked.select(
-        "time",
-        F.flatten(F.when(F.size("rows") == spec.nlat, F.col("rows.vals")).otherwise(holes)).alias("vals"),
-    )
+    cell = (F.col("i") * spec.nlon + F.col("j")).cast("int").alias("cell")
+    gathered = uniq.groupBy("time").agg(F.collect_list(F.struct(cell, "v")).alias("cells"))
+    out = T.StructType([uniq.schema["time"], T.StructField("vals", T.ArrayType(uniq.schema["v"].dataType))])
+    return gathered.mapInArrow(_dense(spec.n_cells, to_arrow_schema(out)), out)
+
+
+def _dense(n_cells: int, schema: pa.Schema):
+    """Cells (position, value) of an instant, in any order and with gaps, as one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for time, cells in zip(batch.column(0), batch.column(1)):
+                at = np.full(n_cells, -1, "int64")
+                at[cells.values.field("cell").to_numpy()] = np.arange(len(cells.values))
+                vals = cells.values.field("v").take(pa.array(at, mask=at < 0)).cast(schema.field(1).type.value_type)
+                row = pa.ListArray.from_arrays(pa.array([0, n_cells], "int32"), vals).cast(schema.field(1).type)
+                yield pa.RecordBatch.from_arrays([pa.array([time.as_py()], schema.field(0).type), row], schema=schema)
+
+    return run
 
 
 def save_slices(slices: DataFrame, table: str, buckets: int) -> None:
