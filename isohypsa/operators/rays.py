@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from isohypsa.functions.clock import clock
 from isohypsa.functions.geo import col_of, contour_level, haversine_km, height, lat_of, lon_of, row_of
 from isohypsa.params import EARTH_RADIUS_KM, GridSpec
+from isohypsa.sources.grid import shuffled
 
 N_RAYS = 64
 SECTOR_SIZE = 17
@@ -116,7 +117,7 @@ def ray_cells(clusters: DataFrame, field: DataFrame, spec: GridSpec, value: str
         })
     )
     return cells.join(
-        field.select("time", "i", "j", height(F.col(value), spec).alias("cell_h")), ["time", "i", "j"],
+        shuffled(field.select("time", "i", "j", height(F.col(value), spec).alias("cell_h"))), ["time", "i", "j"],
     )
 
 
