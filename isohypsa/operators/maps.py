@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from isohypsa.functions.geo import height, lat_of, lon_of
 from isohypsa.params import GridSpec
+from isohypsa.sources.grid import shuffle_width, shuffled
 
 # Fixed map constants.
 HULL_PADDING = 0.3
@@ -182,10 +183,12 @@ def isoline_crossings(slices: DataFrame, spec: GridSpec, step: float, area: tupl
 def surface_grid(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
     """Dense lattice per instant, NULL where the field has no cell. The lattice is generated from
     the instants present (one row each), not by crossing tables."""
-    lattice = field.select("time").distinct().withColumn(
+    # an instant is a few bytes and becomes a whole lattice: a stated number of partitions, or they would be merged into one
+    times = field.select("time").distinct()
+    lattice = times.repartition(shuffle_width(field.sparkSession)).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.lit(spec.nlat - 1))),
     ).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(spec.nlon - 1))))
-    return lattice.join(field.select("time", "i", "j", F.col(value).alias("value")), ["time", "i", "j"], "left").select(
+    return lattice.join(shuffled(field.select("time", "i", "j", F.col(value).alias("value"))), ["time", "i", "j"], "left").select(
         "time", lat_of(F.col("i"), spec).alias("lat"), lon_of(F.col("j"), spec).alias("lon"), "value",
     )
 

@@ -37,22 +37,25 @@ def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synth_field(params: DataFrame, spec: GridSpec = SPEC, scenarios: list | None = None) -> DataFrame:
     """field(time, i, j, h) from rows (time, s): base slope plus the three bumps of the scenario."""
     scenarios = scenarios or SCENARIOS
-    grid = params.select(
-        "time", "s", F.explode(F.sequence(F.lit(0), F.lit(spec.nlat - 1))).alias("i"),
+
+    # the scenario of an instant is looked up once for its whole grid: a cell is three bumps, not three of each scenario
+    def of_scenario(n: int, at: int) -> str:
+        return f"CASE time % {len(scenarios)} {' '.join(f'WHEN {k} THEN {float(sc[n][at])}D' for k, sc in enumerate(scenarios))} END"
+
+    told = [F.expr(f"{of_scenario(n, at)}{(' + (s % 11 - 5)' if n == 0 else ' + 0') if at == 0 else ''}").alias(f"{c}{n}") for n in range(3) for at, c in enumerate(("amp", "blat", "blon", "slat", "slon"))]
+    names = [f"{c}{n}" for n in range(3) for c in ("amp", "blat", "blon", "slat", "slon")]
+    grid = params.select("time", *told).select(
+        "time", *names, F.explode(F.sequence(F.lit(0), F.lit(spec.nlat - 1))).alias("i"),
     ).select(
-        "time", "s", "i", F.explode(F.sequence(F.lit(0), F.lit(spec.nlon - 1))).alias("j"),
+        "time", *names, "i", F.explode(F.sequence(F.lit(0), F.lit(spec.nlon - 1))).alias("j"),
         (F.lit(90.0) - F.col("i") * F.lit(float(spec.res))).alias("lat"),
     ).withColumn("lon", F.lit(-180.0) + F.col("j") * F.lit(float(spec.res)))
 
     def bump(n: int) -> str:
-        arms = []
-        for k, (amp, blat, blon, slat, slon) in enumerate(sc[n] for sc in scenarios):
-            a = f"({float(amp)}D + {'(s % 11 - 5)' if n == 0 else '0'})"
-            u, v = f"((lat - {blat}D) / {slat}D)", f"((lon - ({blon}D)) / {slon}D)"
-            arms.append(f"WHEN {k} THEN {a} * exp(-({u} * {u} + {v} * {v}))")
-        return f"(CASE time % {len(scenarios)} {' '.join(arms)} END)"
-
-    h = f"floor(5900D - 8D * greatest(lat - 25D, 0D) + {bump(0)} + {bump(1)} + {bump(2)} + 0.5D)"
+        u, v = f"((lat - blat{n}) / slat{n})", f"((lon - blon{n}) / slon{n})"
+        return f"amp{n} * exp(-({u} * {u} + {v} * {v}))"
+
+    h = f"floor(5900D - 8D * greatest(lat - 25D, 0D) + ({bump(0)}) + ({bump(1)}) + ({bump(2)}) + 0.5D)"
     return grid.select("time", "i", "j", F.expr(f"CAST({h} AS INT) AS h"))
 
 
