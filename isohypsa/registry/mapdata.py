@@ -125,6 +125,7 @@ def _publish(s, d):
     """Two publications one after the other, and the rows that are there in the end."""
     base = scratch_path(s, "published")
     rows = R.selected_rows(det(s, d).points, SPEC).withColumn("request_hash", F.concat(F.lit("run-"), F.col("time")))
+    rows = stage(rows, "selected")  # both publications read them, and a publication counts before it writes
     for n in range(2):
         R.publish_results(rows.where(F.col("time") % 2 == n), base)
     return s.read.option("header", True).csv(base).groupBy("request_hash").agg(F.count("*").alias("n_rows"))

@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from isohypsa.functions.geo import height, lat_of, lon_of
 from isohypsa.params import GridSpec
+from isohypsa.sources.grid import shuffle_width
 from isohypsa.staging import stage
 
 SCHEMAS = {
@@ -100,7 +101,8 @@ def publish_results(df: DataFrame, base: str, hash_col: str = "request_hash", ro
     files = df.groupBy(hash_col).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
     files = stage(files, "published")
     salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != hash_col]), F.col("_files"))
-    dealt = df.join(files, hash_col).repartition(F.col(hash_col), salt).drop("_files")
+    # a stated number of tasks: a hash costs a folder and a file, however few its bytes, and by bytes all would be merged into one task
+    dealt = df.join(files, hash_col).repartition(shuffle_width(spark), F.col(hash_col), salt).drop("_files")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(hash_col).option("header", True).csv(base)
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(base)
     listing = listing.select("path", F.col("length").alias("size"), F.regexp_extract("path", f"/{hash_col}=([^/]*)/", 1).alias(hash_col))
