@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from isohypsa.params import GRAVITY, KELVIN_OFFSET
-from isohypsa.sources.grid import normalize_lon
+from isohypsa.sources.grid import normalize_lon, shuffle_width
 
 SCHEMAS = {
     "field": "time int, i int, j int, raw smallint, var string, month string",
@@ -26,6 +27,10 @@ SCHEMAS = {
 }
 
 
+#: Cells that a task sorts when a data set is written.
+ROWS_PER_RANGE = 2_000_000
+
+
 @dataclass(frozen=True)
 class Dataset:
     field: DataFrame
@@ -39,14 +44,23 @@ def month_of(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+def ranges_of(data: Dataset) -> int | None:
+    """Number of ranges to sort a data set in, from its axes; none where the session's number will do."""
+    cells = math.prod(table.count() for table in (data.times, data.lats, data.lons, data.meta))
+    ranges = math.ceil(cells / ROWS_PER_RANGE)
+    return ranges if ranges > shuffle_width(data.field.sparkSession) else None
+
+
 def save_dataset(data: Dataset, path: str, partitions: int | None = None) -> None:
     """Write all tables under ``path``. ``data.field(var, time, i, j, raw)`` gets its months from the time axis; an instant that is not on it has none.
 
     Ranges of (variable, month, instant) are written side by side, so files follow the data: a task holds whole stretches of
-    instants and a month is one folder, however many instants it has."""
+    instants and a month is one folder, however many instants it has. Unless stated, there is a range for every ``ROWS_PER_RANGE`` cells that the axes
+    span, so that a task sorts no more of a longer data set."""
     dated = data.field.select("var", "time", "i", "j", F.col("raw").cast("smallint").alias("raw")).join(
         data.times.select("time", month_of(F.col("ts")).alias("month")), "time", "left")
     order = ["var", "month", "time"]
+    partitions = partitions or ranges_of(data)
     dealt = dated.repartitionByRange(partitions, *order) if partitions else dated.repartitionByRange(*order)
     dealt.sortWithinPartitions(*order, "i", "j").write.mode("overwrite").partitionBy("var", "month").parquet(f"{path}/field")
     for name, table in (("axis_lat", data.lats), ("axis_lon", data.lons), ("axis_time", data.times), ("field_meta", data.meta)):
