@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from isohypsa.functions.geo import height, lat_of, lon_of
 from isohypsa.params import GridSpec
-from isohypsa.sources.grid import shuffle_width, shuffled
+from isohypsa.sources.grid import row_partitions, shuffled
+from isohypsa.staging import stage
 
 # Fixed map constants.
 HULL_PADDING = 0.3
@@ -182,13 +183,18 @@ def isoline_crossings(slices: DataFrame, spec: GridSpec, step: float, area: tupl
 
 def surface_grid(field: DataFrame, spec: GridSpec, value: str = "h") -> DataFrame:
     """Dense lattice per instant, NULL where the field has no cell. The lattice is generated from
-    the instants present (one row each), not by crossing tables."""
-    # an instant is a few bytes and becomes a whole lattice: a stated number of partitions, or they would be merged into one
-    times = field.select("time").distinct()
-    lattice = times.repartition(shuffle_width(field.sparkSession)).withColumn(
+    the instants present (one row each), not by crossing tables.
+
+    Both sides are dealt by cell into partitions whose number follows the instants, so a task sorts no more cells of a longer field."""
+    keys = ["time", "i", "j"]
+    times = stage(field.select("time").distinct(), "instants")
+    # stated numbers: an instant is a few bytes and becomes a whole lattice, and cells shrink so well that partitions merged by bytes hold very many
+    n = row_partitions(field.sparkSession, times.count() * spec.n_cells)
+    lattice = times.repartition(n).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.lit(spec.nlat - 1))),
-    ).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(spec.nlon - 1))))
-    return lattice.join(shuffled(field.select("time", "i", "j", F.col(value).alias("value"))), ["time", "i", "j"], "left").select(
+    ).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(spec.nlon - 1)))).repartition(n, *keys)
+    cells = field.select(*keys, F.col(value).alias("value")).repartition(n, *keys)
+    return lattice.join(shuffled(cells), keys, "left").select(
         "time", lat_of(F.col("i"), spec).alias("lat"), lon_of(F.col("j"), spec).alias("lon"), "value",
     )
 

@@ -11,6 +11,7 @@ without moving them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +150,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Small rows that a task sorts or hashes.
+ROWS_PER_TASK = 2_000_000
+
+
+def row_partitions(spark: SparkSession, rows: int, per_task: int | None = None) -> int:
+    """Partition count for work whose memory follows small rows: one for every ``per_task`` (``ROWS_PER_TASK``) of them, and no fewer than the session's number."""
+    return max(shuffle_width(spark), math.ceil(rows / (per_task or ROWS_PER_TASK)))
+
+
 def shuffled(cells: DataFrame) -> DataFrame:
     """A side of a join that must not be broadcast. Cells are unfolded from few small rows (instants, slices), so the planner, also the
     adaptive one, takes a whole field for a few kB and would gather it on the driver."""
