@@ -131,8 +131,8 @@ def _publish(s, d):
     return s.read.option("header", True).csv(base).groupBy("request_hash").agg(F.count("*").alias("n_rows"))
 
 
-def listing(s, d):
-    return table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("bigint").alias("size")).select(
+def listing(s, d, lines=None):
+    return (table(s, d, "lineitem") if lines is None else lines).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("bigint").alias("size")).select(
         F.concat(F.col("l_orderkey"), F.lit("/ln_"), F.col("l_linenumber"), F.lit("."),
                  F.element_at(F.array(*[F.lit(x) for x in ("csv", "svg", "png", "pdf")]), (F.col("l_linenumber") % 4 + 1).cast("int"))).alias("name"), "size")
 

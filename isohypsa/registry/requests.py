@@ -11,7 +11,8 @@ from isohypsa.plans.lifecycle import hashed_requests, lifecycle, read_lifecycle,
 from isohypsa.registry.base import ORACLES, query
 from isohypsa.registry.inputs import table
 from isohypsa.registry.mapdata import LISTING, listing
-from isohypsa.staging import scratch_path
+from isohypsa.sources.grid import row_partitions
+from isohypsa.staging import scratch_path, stage
 from isohypsa.streaming import messages as Z
 
 NOW = "2000-06-01 00:00:00"
@@ -179,14 +180,23 @@ query("F12_return_view", req_sql(f"SELECT requestHash, array_to_string(mapLevels
 # --- files -------------------------------------------------------------------------------------
 
 
-def stored(s, d):
-    return listing(s, d).select(
+#: Lines that a task gathers, for files that meet their dates by request.
+LINES_PER_TASK = 1_000_000
+
+
+def stored(s, d, lines=None):
+    return listing(s, d, lines).select(
         F.concat(F.lit("h"), F.substring_index("name", "/", 1)).alias("requestHash"), X.base_name(F.col("name")).alias("file"), "size")
 
 
 def cat_files(s, d):
-    ship = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
-    return stored(s, d).join(ship.select(F.concat(F.lit("h"), F.col("l_orderkey")).alias("requestHash"), (F.col("last").cast("timestamp") + F.expr("interval 7 days")).alias("expiresAt")), "requestHash")
+    lines = table(s, d, "lineitem")
+    # dealt into partitions that follow the rows: merged by their well packed bytes, one would hold very many
+    n = row_partitions(s, lines.count(), LINES_PER_TASK)
+    lines = lines.where(F.col("l_orderkey").isNotNull()).select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate").repartition(n, "l_orderkey")
+    ship = lines.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
+    ends = ship.select(F.concat(F.lit("h"), F.col("l_orderkey")).alias("requestHash"), (F.col("last").cast("timestamp") + F.expr("interval 7 days")).alias("expiresAt"))
+    return stored(s, d, lines).repartition(n, "requestHash").join(ends.repartition(n, "requestHash"), "requestHash")
 
 
 STORED = LISTING + ", stored AS (SELECT 'h' || split_part(name, '/', 1) AS requestHash, split_part(name, '/', 2) AS file, size FROM listing)"

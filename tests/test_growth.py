@@ -27,3 +27,16 @@ def test_f18_surface_partitions_follow_the_cells(spark, monkeypatch):
     got = M.surface_grid(cells, SMALL)
     assert got.rdd.getNumPartitions() == -(-3 * SMALL.n_cells // 100)
     assert tuple(got.agg(F.count("*"), F.count("value"), F.sum("value")).first()) == (3 * SMALL.n_cells, 120, sum(range(120)))
+
+
+def test_f22_files_meet_their_dates_in_partitions_that_follow_the_lines(spark, tmp_path, monkeypatch):
+    rows = [(k if k % 50 else None, n, float(q), datetime(2000, 1, 1 + (k + n) % 28)) for k in range(200) for n in range(1, 4) for q in range(1 + k % 2)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_shipdate timestamp")
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(Q, "LINES_PER_TASK", 30)
+    found = Q.cat_files(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == len(rows) // 30
+    keys = {r[0] for r in rows} - {None}
+    assert {(r["requestHash"], r["size"], r["expiresAt"].day) for r in found.collect()} == {
+        (f"h{k}", k % 2, (max(r[3] for r in rows if r[0] == k).day + 7 - 1) % 31 + 1) for k in keys}
+    assert found.count() == 3 * len(keys)
