@@ -143,7 +143,7 @@ def _vote_kernel(at: np.ndarray, weights: np.ndarray, spec: GridSpec, schema: pa
     return run
 
 
-def votes_from_slices(slices: DataFrame, spec: GridSpec, measured: bool = False) -> DataFrame:
+def votes_from_slices(slices: DataFrame, spec: GridSpec, measured: bool = False, geometry: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """Per coarse cell the number of samples not above (n_ge) and not below (n_le) it, from slices with one row per instant.
 
     Every slice of integers is read by the same positions and weighed by the same weights, in array arithmetic; only votes leave the task."""
@@ -152,7 +152,7 @@ def votes_from_slices(slices: DataFrame, spec: GridSpec, measured: bool = False)
         return votes_by_row(slices, spec, measured)
     out = T.StructType([slices.schema["time"], T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("raw", kind),
                         T.StructField("n_ge", T.IntegerType()), T.StructField("n_le", T.IntegerType())])
-    run = _vote_kernel(*lattice_stencil(slices.sparkSession, spec), spec, to_arrow_schema(out))
+    run = _vote_kernel(*(geometry or lattice_stencil(slices.sparkSession, spec)), spec, to_arrow_schema(out))
     return slices.select("time", "vals").mapInArrow(run, out)
 
 
@@ -236,6 +236,6 @@ def classify(votes: DataFrame, spec: GridSpec) -> DataFrame:
     )
 
 
-def detect_extrema(field: DataFrame, spec: GridSpec, value: str = "h", slices: DataFrame | None = None) -> DataFrame:
+def detect_extrema(field: DataFrame, spec: GridSpec, value: str = "h", slices: DataFrame | None = None, geometry: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(time, x, y, raw, n_ge, n_le, type) for every coarse cell."""
-    return classify(votes_from_slices(to_slices(field, spec, value) if slices is None else slices, spec), spec)
+    return classify(votes_from_slices(to_slices(field, spec, value) if slices is None else slices, spec, geometry=geometry), spec)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +66,16 @@ class Detection:
 
 
 def cluster_extrema(field: DataFrame | None, spec: GridSpec, slices: DataFrame | None = None,
-                    value: str = "h", method: str = "slice", staged: bool = False) -> Detection:
-    """Sampling and clustering of a long ``field`` or of stored ``slices``.
+                    value: str = "h", method: str = "slice", staged: bool = False,
+                    geometry: tuple[np.ndarray, np.ndarray] | None = None) -> Detection:
+    """Sampling and clustering of a long ``field`` or of stored ``slices``. ``geometry`` is the grid's ``lattice_stencil``, if it is at hand.
 
     ``staged`` writes what the formation stage reads again - slices (unless they are stored
     already), labelled points and cluster rows - instead of deriving it anew for every reader."""
     if slices is None:
         slices = to_slices(field, spec, value)
         slices = stage(slices, "slices") if staged else slices
-    extrema = detect_extrema(field, spec, value, slices)
+    extrema = detect_extrema(field, spec, value, slices, geometry)
     labelled = label_components(
         C.typed_points(extrema).select("time", "x", "y", "type", "raw"), spec.size_x, spec.size_y, method,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from isohypsa.functions import text as X
@@ -498,12 +500,18 @@ def _progress_stream(s, d):
     return s.read.parquet(f"{base}/out").select("user_id", "event_id", "progress")
 
 
+#: Instants in a file of the stream of slices.
+INSTANTS_PER_FILE = 16
+
+
 @query("T07_detect_stream", ORACLES["Q03_detect_blocking"])
 def _detect_stream(s, d):
-    from isohypsa.registry.inputs import SPEC, field
-    from isohypsa.sources.grid import to_slices
+    from isohypsa.registry.inputs import SPEC, field, instants
+    from isohypsa.sources.grid import shuffle_width, to_slices
     src, out = scratch_path(s, "slices-in"), scratch_path(s, "formations-out")
-    to_slices(field(s, d), SPEC).write.parquet(src)
+    # files follow the instants, up to the session's number: a micro-batch takes some seconds, however few of them it holds
+    files = min(shuffle_width(s), math.ceil(instants(s, d).count() / INSTANTS_PER_FILE)) or 1
+    to_slices(field(s, d), SPEC, partitions=files).write.parquet(src)
     Z.detect_stream(s.readStream.schema("time int, vals array<int>").option("maxFilesPerTrigger", 4).parquet(src), SPEC, out, scratch_path(s, "detect-cp"))
     return Z.read_formations(s, out)
 

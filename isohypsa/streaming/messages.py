@@ -130,12 +130,15 @@ def detect_stream(slices: DataFrame, spec: GridSpec, out: str, checkpoint: str)
     A batch merges its instants into their folders: rows of other instants there are kept, those of its own replaced, and only these folders are
     rewritten, so a repeated batch or instant gives the same table and files follow the data. An instant has one more row, without ids, so that one sent again without formations loses
     its old ones; ``read_formations`` leaves these rows out."""
+    from isohypsa.operators.extrema import lattice_stencil
     from isohypsa.plans.detect import cluster_extrema
 
+    geometry = lattice_stencil(slices.sparkSession, spec)  # the same for every batch
+
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         with scoped(spark):
-            found = cluster_extrema(None, spec, slices=batch, staged=True).formations()
+            found = cluster_extrema(None, spec, slices=batch, staged=True, geometry=geometry).formations()
             seen = stage(batch.select("time").distinct().withColumn("folder", folder_of(F.col("time"))), "arrived")
             rows = found.withColumn("folder", folder_of(F.col("time"))).unionByName(seen, allowMissingColumns=True)
             if exists(spark, out):
