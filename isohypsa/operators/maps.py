@@ -116,6 +116,24 @@ def level_list(vmin: Column, vmax: Column, step: float | Column) -> Column:
     return F.when(F.size(spaced) < 2, even).otherwise(spaced)
 
 
+def levels_between(edges: DataFrame, a: Column, b: Column, gap: Column) -> DataFrame:
+    """Every edge with each ``level`` of ``level_list(vmin, vmax, gap)`` that parts its ends ``a`` and ``b``, which differ and lie between vmin and vmax.
+
+    Level number n is first + n * gap; arithmetic finds the few numbers near an edge, the comparison decides."""
+    start = F.ceil(F.col("vmin").cast("double") / 10) * 10
+    count = F.ceil((F.col("vmax").cast("double") - start) / gap)
+    even = F.coalesce(count < 2, F.lit(True))
+    placed = edges.withColumns({
+        "_even": even, "_first": F.when(even, F.col("vmin").cast("double")).otherwise(start), "_count": F.when(even, 5).otherwise(count).cast("int"),
+        "_gap": F.when(even, (F.col("vmax") - F.col("vmin")) / F.lit(4.0)).otherwise(gap),
+    })
+    lo = F.greatest(F.floor((F.least(a, b) - F.col("_first")) / F.col("_gap")), F.lit(0)).cast("int")
+    hi = F.least(F.ceil((F.greatest(a, b) - F.col("_first")) / F.col("_gap")), F.col("_count") - 1).cast("int")
+    level = F.when(F.col("_even"), F.col("vmin").cast("double") + (F.col("vmax") - F.col("vmin")).cast("double") * F.col("_n") / 4).otherwise(F.col("_first") + F.col("_n") * F.col("_gap"))
+    crossed = placed.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("_n", F.explode(F.sequence("_lo", "_hi"))).withColumn("level", level)
+    return crossed.where((a < F.col("level")) != (b < F.col("level")))
+
+
 def crop_window(spec: GridSpec, area: tuple[float, float, float, float] | None) -> tuple[int, int, int, int]:
     """First and last row and column of the cells inside (north, west, south, east)."""
     if area is None:
@@ -159,20 +177,7 @@ def isoline_crossings(slices: DataFrame, spec: GridSpec, step: float, area: tupl
             F.struct(F.lit("S").alias("edge"), F.col("c.south").alias("b")),
         )).alias("e"),
     ).select("time", "vmin", "vmax", "i", "j", "a", "e.edge", "e.b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    # level number n is first + n * gap; arithmetic finds the few numbers near an edge, the comparison decides
-    start = F.ceil(F.col("vmin").cast("double") / 10) * 10
-    count = F.ceil((F.col("vmax") - start) / F.lit(float(step)))
-    even = count < 2
-    placed = edges.withColumns({
-        "_even": even, "_first": F.when(even, F.col("vmin").cast("double")).otherwise(start), "_count": F.when(even, 5).otherwise(count).cast("int"),
-        "_gap": F.when(even, (F.col("vmax") - F.col("vmin")) / F.lit(4.0)).otherwise(F.lit(float(step))),
-    })
-    lo = F.greatest(F.floor((F.least("a", "b") - F.col("_first")) / F.col("_gap")), F.lit(0)).cast("int")
-    hi = F.least(F.ceil((F.greatest("a", "b") - F.col("_first")) / F.col("_gap")), F.col("_count") - 1).cast("int")
-    level = F.when(F.col("_even"), F.col("vmin") + (F.col("vmax") - F.col("vmin")).cast("double") * F.col("_n") / 4).otherwise(F.col("_first") + F.col("_n") * F.lit(float(step)))
-    crossed = placed.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("_n", F.explode(F.sequence("_lo", "_hi"))).withColumn("level", level).where(
-        (F.col("a") < F.col("level")) != (F.col("b") < F.col("level"))
-    )
+    crossed = levels_between(edges, F.col("a"), F.col("b"), F.lit(float(step)))
     t = (F.col("level") - F.col("a")) / (F.col("b") - F.col("a"))
     return crossed.select(
         "time", "i", "j", "edge", F.col("level").cast("double").alias("level"),

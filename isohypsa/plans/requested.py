@@ -35,14 +35,15 @@ def dated_requests(requests: DataFrame, times: DataFrame) -> DataFrame:
 def contour_maps(data: Dataset, requests: DataFrame) -> ContourMaps:
     """Levels and isolines of requests (request_id, variableName, year, month, day, hour, north, west, south, east, step) over a data set.
 
-    A request meets the cells of its variable, month and instant: other months are not read. Values are unpacked by the metadata, the axis is turned, cells
-    outside of the area go, and what is left of a request, bounded by the grid, is laid out as rows of its lattice in one shuffle.
+    Values are unpacked by the metadata and the axis is turned, once for each cell. A request meets the cells of its variable, month and instant inside its area:
+    other months are not read, other cells make no row. What is left of a request, bounded by the grid, is laid out as rows of its lattice in one shuffle.
     A row's southern neighbours are those of the next row. Requests that cannot be drawn are rejects with the first reason that holds."""
     asked = stage(dated_requests(requests, data.times), "asked-maps")
     good = asked.where(~F.col("rejected") & (F.col("time_index") >= 0))
     wanted = good.select("request_id", F.col("variable").alias("var"), "month", F.col("time_index").alias("time"), "north", "west", "south", "east", "step")
-    cells = located(unpacked(data.field.join(wanted, ["var", "month", "time"]), data.meta), data)
-    cells = cells.where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
+    cells = located(unpacked(data.field, data.meta), data).select("var", "month", "time", "i", "j", "lat", "lon", "value")
+    inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
+    cells = cells.join(wanted, ["var", "month", "time"]).where(inside)
     cells = M.mask_invalid(cells.select("request_id", "step", "i", "j", "lat", "lon", "value"), "value")
     rows = cells.groupBy("request_id", "step", "i", "lat").agg(
         F.sort_array(F.collect_list(F.struct("j", "lon", "value"))).alias("cells"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -62,21 +63,24 @@ def contour_maps(data: Dataset, requests: DataFrame) -> ContourMaps:
 
 
 def lattice_crossings(rows: DataFrame) -> DataFrame:
-    """Crossings of the levels with the edges between neighbours, from the rows of each lattice: cells in column order, the row below beside them."""
-    levels = M.level_list(F.col("vmin"), F.col("vmax"), F.col("step"))
+    """Crossings of the levels with the edges between neighbours, from the rows of each lattice: cells in column order, the row below beside them.
+
+    Neighbours are put beside each cell while a row is an array; what unfolds is a cell with its two neighbours, not the row."""
     near = F.when(F.col("below.i") == F.col("i") + 1, F.col("below.cells"))
     alike = near["j"] == F.col("cells.j")  # the usual case: no gaps, so that neighbours have the same position
+    found = F.map_from_arrays(near["j"], near["value"])
+    south = F.when(alike, near["value"]).otherwise(F.transform("cells.j", lambda j: F.try_element_at(found, j)))
+    beside = F.slice("cells", 2, F.size("cells"))
+    around = F.arrays_zip(F.col("cells.j").alias("j"), F.col("cells.lon").alias("lon"), F.col("cells.value").alias("a"), beside["j"].alias("east_j"), beside["lon"].alias("east_lon"),
+                          beside["value"].alias("east"), F.coalesce(south, F.array().cast("array<double>")).alias("south"))
     each = rows.where("vmin IS NOT NULL").select(
-        "request_id", "i", "lat", levels.alias("levels"), F.col("below.lat").alias("south_lat"), F.when(alike, near).alias("same"),
-        F.when(~alike, F.map_from_arrays(near["j"], near["value"])).alias("other"), "cells", F.posexplode("cells").alias("at", "c"))
-    beside = F.get("cells", F.col("at") + 1)
-    south = F.coalesce(F.get("same", F.col("at"))["value"], F.try_element_at("other", F.col("c.j")))
-    edges = each.select("request_id", "i", "lat", "levels", F.col("c.j").alias("j"), F.col("c.lon").alias("lon"), F.col("c.value").alias("a"), F.explode(F.array(
-        F.struct(F.lit("E").alias("edge"), F.when(beside["j"] == F.col("c.j") + 1, beside["value"]).alias("b"), F.lit(0.0).alias("dlat"), (beside["lon"] - F.col("c.lon")).alias("dlon")),
-        F.struct(F.lit("S").alias("edge"), south.alias("b"), (F.col("south_lat") - F.col("lat")).alias("dlat"), F.lit(0.0).alias("dlon")))).alias("e"))
-    crossed = edges.where("a <> e.b").withColumn("level", F.explode(F.filter("levels", lambda v: (F.col("a") < v) != (F.col("e.b") < v))))
+        "request_id", "i", "lat", "vmin", "vmax", "step", (F.col("below.lat") - F.col("lat")).alias("south_dlat"), F.explode(around).alias("c"))
+    edges = each.select("request_id", "i", "lat", "vmin", "vmax", "step", "c.j", "c.lon", "c.a", F.explode(F.array(
+        F.struct(F.lit("E").alias("edge"), F.when(F.col("c.east_j") == F.col("c.j") + 1, F.col("c.east")).alias("b"), F.lit(0.0).alias("dlat"), (F.col("c.east_lon") - F.col("c.lon")).alias("dlon")),
+        F.struct(F.lit("S").alias("edge"), F.col("c.south").alias("b"), F.col("south_dlat").alias("dlat"), F.lit(0.0).alias("dlon")))).alias("e"))
+    placed = M.levels_between(edges.where("a <> e.b"), F.col("a"), F.col("e.b"), F.col("step"))
     t = (F.col("level") - F.col("a")) / (F.col("e.b") - F.col("a"))
-    return crossed.select("request_id", "e.edge", "level", "i", "j", (F.col("lat") + t * F.col("e.dlat")).alias("lat"), (F.col("lon") + t * F.col("e.dlon")).alias("lon"))
+    return placed.select("request_id", "e.edge", "level", "i", "j", (F.col("lat") + t * F.col("e.dlat")).alias("lat"), (F.col("lon") + t * F.col("e.dlon")).alias("lon"))
 
 
 def stored_rows(results: DataFrame, requests: DataFrame, times: DataFrame) -> DataFrame:

@@ -51,3 +51,27 @@ def test_f22_files_meet_their_dates_in_partitions_that_follow_the_lines(spark, t
     assert {(r["requestHash"], r["size"], r["expiresAt"].day) for r in found.collect()} == {
         (f"h{k}", k % 2, (max(r[3] for r in rows if r[0] == k).day + 7 - 1) % 31 + 1) for k in keys}
     assert found.count() == 3 * len(keys)
+
+
+CELLS = {(0, 0): 3.0, (0, 1): 47.0, (0, 3): 21.0, (1, 0): 30.0, (1, 1): None, (1, 2): 12.0, (1, 3): 60.0, (3, 0): 11.0, (3, 1): 11.0, (3, 2): 58.5}
+
+
+@pytest.mark.parametrize("step", [7.0, 200.0, None])
+def test_f11_crossings_of_a_lattice_with_gaps(spark, step):
+    rows = []
+    for i in (0, 1, 3):
+        row = lambda n: [(j, 2.0 * j, v) for (k, j), v in sorted(CELLS.items()) if k == n]
+        below = {0: 1, 1: 3}.get(i)
+        rows.append((1, step, i, 90.0 - i, row(i), 3.0, 60.0, None if below is None else (below, 90.0 - below, row(below))))
+    cell = "array<struct<j:int,lon:double,value:double>>"
+    lattice = spark.createDataFrame(rows, f"request_id long, step double, i int, lat double, cells {cell}, vmin double, vmax double, below struct<i:int,lat:double,cells:{cell}>")
+    drawn = lattice_crossings(lattice)
+    levels = [10 + 7.0 * n for n in range(8)] if step == 7.0 else [3 + 57.0 * n / 4 for n in range(5)]
+    want = set()
+    for (i, j), a in CELLS.items():
+        for edge, b in (("E", CELLS.get((i, j + 1))), ("S", CELLS.get((i + 1, j)))):
+            want |= {(edge, v, i, j) for v in levels if None not in (a, b) and (a < v) != (b < v)}
+    assert {(r["edge"], r["level"], r["i"], r["j"]) for r in drawn.collect()} == want and want
+    # an unfolded cell takes no array of its row along
+    kept = re.findall(r"Generate (?:pos)?explode\(.*?\), \[([^\]]*)\]", drawn._jdf.queryExecution().executedPlan().toString())
+    assert kept and not any(re.match(r"(cells|same|other|levels|below)#", c.strip()) for k in kept for c in k.split(","))
