@@ -388,9 +388,9 @@ def admission_links(incoming: DataFrame, catalogue: DataFrame) -> DataFrame:
         catalogue.select("requestHash", "requestStatus"), "requestHash", "left",
     )
     cached = j.where(F.col("requestStatus") == CACHED).select("userId", "requestHash")
-    first_of_new = incoming.groupBy("requestHash").agg(F.min(F.struct("arrival", "userId")).alias("f")).join(
-        catalogue.select("requestHash"), "requestHash", "left_anti",
-    ).select(F.col("f.userId").alias("userId"), "requestHash").where(F.col("userId").isNotNull())
+    # only the messages of new requests are ranked: known ones, the usual case, leave before
+    new = incoming.join(catalogue.select("requestHash"), "requestHash", "left_anti")
+    first_of_new = new.groupBy("requestHash").agg(F.min(F.struct("arrival", "userId")).alias("f")).select(F.col("f.userId").alias("userId"), "requestHash").where(F.col("userId").isNotNull())
     return cached.unionByName(first_of_new).select(F.col("userId").alias("user_id"), "requestHash").distinct()
 
 

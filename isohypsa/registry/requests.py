@@ -527,7 +527,7 @@ ARRIVAL = "requestHash string, userId bigint, arrival bigint"
 
 
 def _admit(batch, before):
-    admitted = K.admit_requests(batch, before)
+    admitted = stage(K.admit_requests(batch, before), "admitted")  # the catalogue and the messages read it
     return {"catalogue": admitted.select(*CATALOGUE), "links": K.admission_links(batch, before),
             "messages": admitted.where("to_process > 0 OR to_settle").select("requestHash", "to_process", "to_settle")}
 

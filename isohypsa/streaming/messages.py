@@ -90,9 +90,10 @@ def progress_stream(events: DataFrame, key: str, ts: str, tie: str, out: str, st
 
     def sink(batch: DataFrame, n: int) -> None:
         with scoped(spark):
-            kept = stage(sums.before(n, batch), "carry")
+            keys = sums.keys(batch)
+            kept = stage(sums.before(n, batch, keys), "carry")
             progress_running(batch, key, ts, tie, carry=kept).write.mode("overwrite").parquet(f"{out}/batch={n}")
-            sums.write(n, batch, progress_carry(batch, key, ts, tie, kept).where("carry <> 0"))
+            sums.write(n, batch, progress_carry(batch, key, ts, tie, kept).where("carry <> 0"), keys)
 
     return run_available(valid, sink, checkpoint)
 
@@ -166,12 +167,13 @@ def catalogue_stream(messages: DataFrame, merge: Callable[[DataFrame, DataFrame]
 
     def sink(batch: DataFrame, n: int) -> None:
         with scoped(spark):
-            made = merge(batch, stage(table.before(n, batch), "known"))
+            keys = table.keys(batch)
+            made = merge(batch, stage(table.before(n, batch, keys), "known"))
             made = made if isinstance(made, dict) else {"catalogue": made}
             for name, rows in made.items():
                 if name != "catalogue":
                     rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={n}")
-            table.write(n, batch, made["catalogue"])
+            table.write(n, batch, made["catalogue"], keys)
 
     run_available(messages, sink, checkpoint)
     return table

@@ -54,20 +54,29 @@ class StateTable:
         """The newest value of every key."""
         return self._plain(self._rows(), F.col("now"))
 
-    def before(self, n: int, batch: DataFrame) -> DataFrame:
+    def keys(self, batch: DataFrame) -> DataFrame:
+        """The keys of a batch, written once: ``before`` and ``write`` both need them."""
+        return stage(self._keys(batch), "state-keys")
+
+    def before(self, n: int, batch: DataFrame, keys: DataFrame | None = None) -> DataFrame:
         """The values that the keys of a batch had before it; only the folders of these keys are read."""
-        mine = self._rows().join(self._keys(batch), ["bucket", self.key], "left_semi")
+        mine = self._rows().join(self._keys(batch) if keys is None else keys, ["bucket", self.key], "left_semi")
         return self._plain(mine, F.when(F.col("batch") >= n, F.col("was")).otherwise(F.col("now")))
 
-    def write(self, n: int, batch: DataFrame, after: DataFrame) -> None:
-        """Give the keys of batch n their values in ``after``; a key without a row there loses its value."""
-        keys = stage(self._keys(batch), "state-keys")
-        value = F.struct(*self._values())
-        was, now = self.before(n, batch).select(self.key, value.alias("was")), after.select(self.key, value.alias("now"))
-        changed = keys.join(was, self.key, "left").join(now, self.key, "left").where("was IS NOT NULL OR now IS NOT NULL")
-        changed = changed.select(self.key, F.lit(n).cast("bigint").alias("batch"), "now", "was", "bucket")
-        others = self._rows().join(keys.select("bucket").distinct(), "bucket", "left_semi").join(keys.select(self.key), self.key, "left_anti")
-        others = others.where(F.col("now").isNotNull()).select(*changed.columns)
+    def write(self, n: int, batch: DataFrame, after: DataFrame, keys: DataFrame | None = None) -> None:
+        """Give the keys of batch n their values in ``after``; a key without a row there loses its value. ``keys`` are those of the batch, if they are at hand.
+
+        The stored rows meet the new values once: a row without one stays as it is, one with it moves its value before the batch to ``was``."""
+        keys = self.keys(batch) if keys is None else keys
+        new = keys.join(after.select(self.key, F.struct(*self._values()).alias("new")), self.key, "left").withColumn("mine", F.lit(True))
+        # a row that had lost its value before the batch is none for its key and need not be kept
+        touched = F.broadcast(keys.select("bucket").distinct())  # no more than there are folders
+        old = self._rows().join(touched, "bucket", "left_semi").where((F.col("batch") >= n) | F.col("now").isNotNull())
+        mine = F.col("mine").isNotNull()
+        rows = old.join(new, ["bucket", self.key], "full_outer").select(
+            self.key, F.when(mine, F.lit(n).cast("bigint")).otherwise(F.col("batch")).alias("batch"), F.when(mine, F.col("new")).otherwise(F.col("now")).alias("now"),
+            F.when(mine, F.when(F.col("batch") >= n, F.col("was")).otherwise(F.col("now"))).otherwise(F.col("was")).alias("was"), "bucket",
+            mine.alias("mine")).where("now IS NOT NULL OR mine AND was IS NOT NULL").drop("mine")
         # written aside first: the folders are read until then
-        rows = stage(others.unionByName(changed), "state-rows")
+        rows = stage(rows, "state-rows")
         rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.root)

@@ -53,6 +53,40 @@ def test_f22_files_meet_their_dates_in_partitions_that_follow_the_lines(spark, t
     assert found.count() == 3 * len(keys)
 
 
+def test_f14_f21_f24_a_batch_is_read_four_times(spark, tmp_path):
+    arrivals = [(f"h{k % 60}", k, k) for k in range(240)]
+    spark.createDataFrame(arrivals, Q.ARRIVAL).write.parquet(str(tmp_path / "in"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(h):
+        seen.add(1)
+        return h
+
+    stream = spark.readStream.schema(Q.ARRIVAL).parquet(str(tmp_path / "in")).withColumn("requestHash", F.udf(told, "string")("requestHash"))
+    known = spark.createDataFrame([(f"h{k}", "CACHED" if k % 2 else "GENERATING", 5) for k in range(30, 90)], "requestHash string, requestStatus string, timesRequested long")
+    table = Z.catalogue_stream(stream, Q._admit, str(tmp_path / "out"), known, str(tmp_path / "cp"))
+    assert seen.value <= 4 * len(arrivals)  # keys, counts, links of cached requests, first users of new ones
+    assert {r["requestHash"]: (r["requestStatus"], r["timesRequested"]) for r in table.current().collect()} == {
+        f"h{k}": ("GENERATING", 1) if k < 30 else ("CACHED", 9 if k < 60 else 5) if k % 2 else ("GENERATING", 5) for k in range(90)}
+    assert spark.read.parquet(str(tmp_path / "out/messages")).count() == 60
+
+
+def test_state_rows_meet_their_new_values_once(spark, tmp_path):
+    schema = T.StructType.fromDDL("k string, v long")
+    table = StateTable(spark, str(tmp_path / "state"), "k", schema, 2)
+    table.create(spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4), ("c", 5)], schema))
+    now = lambda: Counter(map(tuple, table.current().collect()))
+    batch = spark.createDataFrame([("a",), ("b",), ("d",), (None,)], "k string")
+    after = spark.createDataFrame([("a", 10), ("d", 40), ("x", 99)], schema)
+    for _ in range(2):  # repeated, it starts from the same values
+        assert Counter(map(tuple, table.before(0, batch).collect())) == Counter([("a", 1), ("b", 2), ("b", 3)])
+        table.write(0, batch, after)
+        assert now() == Counter([("a", 10), ("d", 40), (None, 4), ("c", 5)])
+    assert Counter(map(tuple, table.before(1, batch).collect())) == Counter([("a", 10), ("d", 40)])
+    table.write(1, batch, spark.createDataFrame([("b", 7)], schema), table.keys(batch))
+    assert now() == Counter([("b", 7), (None, 4), ("c", 5)])
+
+
 CELLS = {(0, 0): 3.0, (0, 1): 47.0, (0, 3): 21.0, (1, 0): 30.0, (1, 1): None, (1, 2): 12.0, (1, 3): 60.0, (3, 0): 11.0, (3, 1): 11.0, (3, 2): 58.5}
 
 
