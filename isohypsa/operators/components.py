@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from isohypsa.staging import ensure_checkpoint_dir
+from isohypsa.sources.grid import shuffled
+from isohypsa.staging import stage
 
 
 def _kernel(size_y: int):
@@ -66,41 +67,41 @@ def row_runs(points: DataFrame) -> DataFrame:
 
 
 def label_components_relational(points: DataFrame, size_y: int) -> DataFrame:
-    """Fixpoint over runs: neighbours' minimum, then pointer jumping. Lineage is cut with
-    ``checkpoint()`` on shared storage each round, so lost executors do not restart the loop."""
-    spark = points.sparkSession
-    ensure_checkpoint_dir(spark)
-    tagged = row_runs(points)
-    runs = tagged.groupBy("time", "type", "x", "y0").agg(F.max("y").alias("y1")).withColumn(
+    """Fixpoint over runs: neighbours' minimum, then pointer jumping. Points, runs, edges and the labels of each round are
+    written to shared storage, so lost executors do not restart the loop and the points are derived once. Points and runs are
+    unfolded from few small rows, so no join may broadcast them; a table read back has the size of its files, where
+    checkpoints would keep the planner's product of sizes, whose digits double with every round."""
+    tagged = stage(row_runs(points), "tagged")
+    runs = stage(tagged.groupBy("time", "type", "x", "y0").agg(F.max("y").alias("y1")).withColumn(
         "run", F.col("x") * size_y + F.col("y0"),
-    )
+    ), "runs")
     below = runs.select(
         "time", "type", (F.col("x") - 1).alias("x"),
         F.col("y0").alias("b0"), F.col("y1").alias("b1"), F.col("run").alias("other"),
     )
-    touching = runs.join(below, ["time", "type", "x"]).where(
+    touching = runs.join(shuffled(below), ["time", "type", "x"]).where(
         (F.col("b0") <= F.col("y1") + 1) & (F.col("b1") >= F.col("y0") - 1)
     ).select("time", "run", "other")
-    edges = touching.unionByName(
-        touching.select("time", F.col("other").alias("run"), F.col("run").alias("other"))
-    ).checkpoint()
-    labels = runs.select("time", "run", F.col("run").alias("root")).checkpoint()
+    edges = stage(touching.select("time", F.inline(F.array(
+        F.struct("run", "other"), F.struct(F.col("other").alias("run"), F.col("run").alias("other")),
+    ))), "edges")
+    labels = runs.select("time", "run", F.col("run").alias("root"))
     while True:
         neighbour = (
-            edges.join(labels.withColumnRenamed("run", "other"), ["time", "other"])
+            edges.join(shuffled(labels.withColumnRenamed("run", "other")), ["time", "other"])
             .groupBy("time", "run").agg(F.min("root").alias("near"))
         )
-        lowered = labels.join(neighbour, ["time", "run"], "left").select(
+        lowered = labels.join(shuffled(neighbour), ["time", "run"], "left").select(
             "time", "run", "root", F.least("root", F.coalesce("near", "root")).alias("low"),
         )
         parents = lowered.select("time", F.col("run").alias("low"), F.col("low").alias("jump"))
-        step = lowered.join(parents, ["time", "low"], "left").select(
+        step = stage(lowered.join(shuffled(parents), ["time", "low"], "left").select(
             "time", "run", F.col("root").alias("old"), F.least("low", F.coalesce("jump", "low")).alias("root"),
-        ).checkpoint()
+        ), "labels")
         labels = step.select("time", "run", "root")
         if step.where(F.col("old") != F.col("root")).isEmpty():
             break
     return (
         tagged.withColumn("run", F.col("x") * size_y + F.col("y0"))
-        .join(labels, ["time", "run"]).drop("run", "y0")
+        .join(shuffled(labels), ["time", "run"]).drop("run", "y0")
     )
