@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from isohypsa.functions.geo import contour_level, height, lat_of, lon_of, rad, snap
 from isohypsa.params import GridSpec
+from isohypsa.sources.grid import shuffled
 
 # Unit-vector components are summed as integers of this scale: exact, order-independent sums.
 UNIT = 10 ** 12
@@ -96,8 +97,9 @@ def reindex(clusters: DataFrame) -> DataFrame:
 
 
 def cluster_points(labelled: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Points of the kept clusters with the final id and centre."""
+    """Points of the kept clusters with the final id and centre. Neither side is broadcast: the points grow with the field, and
+    the planner takes them for the smaller side."""
     return labelled.join(
-        clusters.select("time", "root", F.col("id").alias("cluster"), "center_lat", "center_lon"),
+        shuffled(clusters.select("time", "root", F.col("id").alias("cluster"), "center_lat", "center_lon")),
         ["time", "root"],
     )
